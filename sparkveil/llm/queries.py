@@ -9,7 +9,8 @@ from .licenses import op6_license_scan
 from .mixing import OP10_SQL, op10_mixing
 from .pii import op4_pii
 from .quality import op1_quality_rules
+from .substring import op9_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_benchmark_decontamination, op4_pii, op6_license_scan, op7_html_extraction, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_benchmark_decontamination, op4_pii, op6_license_scan, op7_html_extraction, op9_substring_dedup, op10_mixing)}
 
 SQL = {"op10_mixing": OP10_SQL}
