@@ -34,7 +34,10 @@ from . import store
 from .text import Block, U, Words, blocks, covered, inside, mix, per_block, windows
 
 WINDOW, GRAM = 13, 5
-SHIP_BYTES = 32 << 20
+#: Bounds of a task's memory: words held before they are sent, and windows searched at once.
+SHIP_BYTES, SEARCHED = 16 << 20, 1 << 17
+#: Shards are smaller than the store's by this many bits, for the index takes many arrays.
+MORE_BITS = 2
 FIELDS = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("removed", T.ArrayType(T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())])))]
 
 
@@ -210,10 +213,10 @@ class FMIndex:
         while True:
             behind = np.zeros(n, np.int64)
             behind[: n - k] = rank[k:] + 1 if k < n else 0
-            pair = rank.astype(U) * U(int(rank.max(initial=0)) + int(behind.max(initial=0)) + 2) + behind.astype(U)
-            order = np.argsort(pair)
-            s = pair[order]
-            new = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])]) if n else np.zeros(0, np.int64)
+            behind += rank * (int(rank.max(initial=0)) + int(behind.max(initial=0)) + 2)
+            order = np.argsort(behind)
+            behind = behind[order]
+            new = np.concatenate([[0], np.cumsum(behind[1:] != behind[:-1])]) if n else np.zeros(0, np.int64)
             rank = np.empty(n, np.int64)
             rank[order] = new
             k *= 2
@@ -284,7 +287,8 @@ def _index(directory: str):
         flat_begin = np.cumsum(size) - size
         flat_at = np.repeat(flat_begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         key, first = np.unique(windows(flat, WINDOW)[flat_at], return_index=True)
-        lo, hi = index.search(at[first], WINDOW)
+        found = [index.search(at[first[i : i + SEARCHED]], WINDOW) for i in range(0, len(first), SEARCHED)]
+        lo, hi = (np.concatenate([x[i] for x in found]) for i in (0, 1))
         owner = index.passage[index.suffix]
         order = np.argsort(lo)
         edge = np.stack([lo[order], hi[order]], 1).reshape(-1)
@@ -344,7 +348,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Fo
     """Finds all windows that two or more documents share, and stores them in the shared folder."""
     spark = docs.sparkSession
     read = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    bits = store.shard_bits(read)
+    bits = store.shard_bits(read) + MORE_BITS
     directory = store.new_dir(spark, "substring")
     counted = read.select("_text").mapInArrow(_count(bits), "shard int, keys binary, body binary")
     meta = "shard int, n long"
