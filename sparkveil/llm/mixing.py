@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET, LEAST_BUCKETS = 5_000, 128
 MAX_REPEATS = 3
 TILT = 0.5
 WORD = r"[^\x20\x09-\x0D]+"
@@ -88,7 +88,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = docs.select(F.col(id_col), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     rows = rows.withColumn("key", F.coalesce(key, F.lit("")))
     rows = rows.checkpoint()
-    buckets = max(16, rows.count() // ROWS_PER_BUCKET)
+    buckets = max(LEAST_BUCKETS, rows.count() // ROWS_PER_BUCKET)
     bucket = F.floor(F.conv(F.substring("key", 1, 12), 16, 10).cast("double") / F.lit(float(16**12)) * buckets).cast("long")
     rows = rows.withColumn("bucket", F.coalesce(bucket, F.lit(0).cast("long")))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))

@@ -6,12 +6,13 @@ from .classifier import op2_quality_classifier
 from .decontaminate import op3_benchmark_decontamination
 from .html import op7_html_extraction
 from .licenses import op6_license_scan
+from .jaccard import op5_ngram_jaccard
 from .lm import op8_lm_scoring
 from .mixing import OP10_SQL, op10_mixing
 from .pii import op4_pii
 from .quality import op1_quality_rules
 from .substring import op9_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_benchmark_decontamination, op4_pii, op6_license_scan, op7_html_extraction, op8_lm_scoring, op9_substring_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_benchmark_decontamination, op4_pii, op5_ngram_jaccard, op6_license_scan, op7_html_extraction, op8_lm_scoring, op9_substring_dedup, op10_mixing)}
 
 SQL = {"op10_mixing": OP10_SQL}
