@@ -207,9 +207,10 @@ def _buckets(table: pa.Table) -> pa.Table:
     return pa.table({"sign": pa.concat_arrays([nothing, pa.array(sign[large].view(np.int64))]), "a": pa.array(np.concatenate([star[:, 0], name[large]])), "b": pa.concat_arrays([pa.array(star[:, 1]), pa.nulls(int(large.sum()), pa.int64())])})
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(a, b) -> (id, root): root is the smallest id that links reach. Alternating large and
-    small stars; every step is a sum per node (combined before it is shuffled) and a join.
+def components(edges: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """(a, b) -> (id, root), and the number of edges left: root is the smallest id that links
+    reach. Alternating large and small stars; every step is a least value per node (combined
+    before it is shuffled) and a join; its edges are written under ``path``.
     """
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
@@ -217,8 +218,9 @@ def components(edges: DataFrame) -> DataFrame:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     # edges point from the larger to the smaller id
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
-    last = state(e)
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    e = store.written(e.distinct(), f"{path}-0", edges.count())
+    last, step = state(e), 0
     while last[0]:
         # large star: larger neighbours of each node go to the least id around it
         around = both(e)
@@ -226,12 +228,15 @@ def components(edges: DataFrame) -> DataFrame:
         large = around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: smaller neighbours of each node, and the node, go to the least of them
         small = large.groupBy("a").agg(F.min("b").alias("m"))
-        e = large.join(small, "a").select(F.col("b").alias("x"), "a", "m").select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("s")).select("s.*").where("a <> b").distinct().checkpoint()
+        to_least = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b"))))
+        e = large.join(small, "a").select(to_least.alias("s")).select("s.*").where("a <> b").distinct()
+        step += 1
+        e = store.written(e, f"{path}-{step}", last[0])
         now = state(e)
         if now == last:
             break
         last = now
-    return e.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+    return e.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()), last[0]
 
 
 def _members(directory: str):
@@ -379,22 +384,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     read = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     bits = store.shard_bits(read)
-    directory, table = store.new_dir(spark, "jaccard"), lambda name: f"{directory}-{name}"
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(table(name))
-        return spark.read.parquet(table(name))
+    directory = store.new_dir(spark, "jaccard")
 
     def named(block: Block, *_):
         _, _, size, name = sets(block)
         return [size, name.view(np.int64)], None
 
-    rows = kept(per_block(read, ["_id"], "_text", named, [("n_shingles", T.LongType()), ("name", T.LongType())], lower=True), "rows")
+    rows = store.written(per_block(read, ["_id"], "_text", named, [("n_shingles", T.LongType()), ("name", T.LongType())], lower=True), f"{directory}-rows")
     signed = read.select("_text").mapInArrow(_sign(bits), "shard int, keys binary, body binary")
-    found = kept(signed.groupBy("shard").applyInArrow(_buckets, "sign long, a long, b long"), "buckets")
-    stars = found.where("sign is null").select("a", "b").distinct()
-    clusters = kept(components(stars), "clusters")
-    roots = kept(_components_of(spark, read, found, clusters, bits, directory, kept), "roots")
+    found = signed.groupBy("shard").applyInArrow(_buckets, "sign long, a long, b long")
+    found = store.written(found.coalesce(max(1, read.rdd.getNumPartitions())), f"{directory}-buckets")
+    clusters, n = components(found.where("sign is null").select("a", "b").distinct(), f"{directory}-clusters")
+    roots, _ = _components_of(spark, read, found, clusters, n, bits, directory)
     # classes of equal sets, and components of classes; empty sets stand for themselves
     full = rows.where("n_shingles > 0")
     classes = full.groupBy("name").agg(F.min("_id").alias("rep"))
@@ -405,8 +406,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.unionByName(rows.where("n_shingles = 0").select(F.col("_id").alias(id_col), "n_shingles", F.col("_id").alias("component_id")))
 
 
-def _components_of(spark: SparkSession, read: DataFrame, found: DataFrame, clusters: DataFrame, bits: int, directory: str, kept) -> DataFrame:
+def _components_of(spark: SparkSession, read: DataFrame, found: DataFrame, clusters: DataFrame, n: int, bits: int, directory: str) -> tuple[DataFrame, int]:
     """(id, root) of the exact components of all members of clusters that have a link."""
+    kept = lambda df, name: store.written(df, f"{directory}-{name}", n)
     shard = F.shiftrightunsigned("id", 64 - bits).cast("int").alias("shard")
     there = frozenset(r.shard for r in clusters.select(shard, "id").groupBy("shard").applyInArrow(_members(directory), "shard int").collect())
     shipped = read.select("_text").mapInArrow(_needed(directory, bits, there), "shard int, name binary, size binary, flat binary")
@@ -420,9 +422,9 @@ def _components_of(spark: SparkSession, read: DataFrame, found: DataFrame, clust
     inside = kept(one.where(F.size("left") > 1).select("left").repartition(spread(spark)).mapInArrow(_links(all_sets, False), "a long, b long"), "inside")
     many = placed.where("block > 0").select("root").distinct()
     if many.isEmpty():
-        return components(inside)
+        return components(inside, f"{directory}-roots")
     # clusters of several blocks: pairs of blocks that share a bucket, connected members as one
-    half = kept(components(inside), "half")
+    half, _ = components(inside, f"{directory}-half")
     within = placed.join(many, "root").join(half.select("id", F.col("root").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
     within = kept(within, "within")
     at = within.select("id", "root", "block")
@@ -435,7 +437,7 @@ def _components_of(spark: SparkSession, read: DataFrame, found: DataFrame, clust
     side = lambda block, name: members.select("root", F.col("block").alias(block), F.transform("m", lambda s: s["id"]).alias(name), F.transform("m", lambda s: s["label"]).alias(f"{name}_root"))
     rows = met.join(side("p", "left"), ["root", "p"]).join(side("q", "right"), ["root", "q"]).select("left", "left_root", "right", "right_root")
     across = rows.repartition(spread(spark)).mapInArrow(_links(all_sets, True), "a long, b long")
-    return components(kept(inside.unionByName(across), "links"))
+    return components(kept(inside.unionByName(across), "links"), f"{directory}-roots")
 
 
 def spread(spark: SparkSession) -> int:

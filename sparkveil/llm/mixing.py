@@ -14,7 +14,7 @@ its target to the word.
 Running sums within a source need no task that holds the source: words are summed by
 (source, hash bucket) first, the sums of buckets are run through, and documents are run
 through within their bucket only. The number of buckets follows the number of rows. Only
-(id, source, size) leaves the scan; that narrow table is cut off by checkpoint().
+(id, source, size) leaves the scan; that narrow table is written to the shared folder.
 
 Defined results for odd input: null and empty texts have size 0, take 0 and stand where
 their order puts them; null is a source of its own, after all others; repeated rows count
@@ -25,6 +25,7 @@ columns are never read, whatever their names.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -83,11 +84,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """Per document row: id, size, source, source_size, target, taken and position (of its first
     word among the training positions; null if nothing is taken), range-sorted by position."""
     spark = docs.sparkSession
-    checkpoint_dir(spark)
     key = F.md5(F.col(id_col).cast("string").cast("binary"))
     rows = docs.select(F.col(id_col), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     rows = rows.withColumn("key", F.coalesce(key, F.lit("")))
-    rows = rows.checkpoint()
+    path = f"{checkpoint_dir(spark).rstrip('/')}/mix-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
     buckets = max(LEAST_BUCKETS, rows.count() // ROWS_PER_BUCKET)
     bucket = F.floor(F.conv(F.substring("key", 1, 12), 16, 10).cast("double") / F.lit(float(16**12)) * buckets).cast("long")
     rows = rows.withColumn("bucket", F.coalesce(bucket, F.lit(0).cast("long")))

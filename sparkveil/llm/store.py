@@ -22,12 +22,22 @@ from .mixing import checkpoint_dir
 from .text import U
 
 MOST_SHARDS = 8192
+ROWS_PER_FILE = 200_000
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, path: str, rows: int | None = None) -> DataFrame:
+    """The table, written to the shared folder and read again: cuts lineage, and is made once.
+    With a known number of rows small tables go to few files."""
+    if rows is not None:
+        df = df.coalesce(max(1, min(rows // ROWS_PER_FILE + 1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shard_bits(docs: DataFrame) -> int:
     """Leading bits that name a shard: two to four shards for each partition of the input."""
     n = max(8, min(MOST_SHARDS // 2, docs.rdd.getNumPartitions()))
