@@ -1,4 +1,486 @@
-"""Every query of the engine by name, with its SQL counterpart."""
+"""Every query of the engine by name, with its SQL counterpart where SQL can express it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import lookups, textpii
+from ..operators import boxes, parsers, speech, summary, tracks
+from .inputs import CARRY, KIND_OF, MARGIN, TOTAL, boxed_tracks, event_kind, event_tracks, line_boxes, raw_events, table, words
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- SQL building blocks ------------------------------------------------------------------
+
+ET = """et AS (SELECT DISTINCT 'clip' AS media_id, event_type || ':' || user_id AS track_key,
+  CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 3600) AS INTEGER) AS frame FROM events)"""
+NEXT = f"""{ET}, nx AS (SELECT *, lead(frame) OVER (PARTITION BY track_key ORDER BY frame) AS nxt FROM et)"""
+KIND_CASE = "CASE split_part(track_key, ':', 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in KIND_OF.items()) + " END"
+
+
+def severity_case(expr: str) -> str:
+    return "CASE " + " ".join(f"WHEN contains(lower({expr}), '{k}') THEN '{v}'" for k, v in lookups.SEVERITY_OF) + " ELSE 'medium' END"
+
+
+WEIGHT_CASE = "CASE severity " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in lookups.WEIGHTS.items()) + " END"
+ELEMENTS = f"""{ET}, g AS (SELECT media_id, track_key, {KIND_CASE} AS kind, count(*) AS frames_detected, min(frame) AS first_frame, max(frame) AS last_frame FROM et GROUP BY 1, 2, 3),
+s AS (SELECT *, {severity_case("kind")} AS severity, round(frames_detected / {TOTAL}::DOUBLE, 3) AS share_of_clip FROM g),
+el AS (SELECT *, {WEIGHT_CASE} AS severity_weight FROM s)"""
+CLEAN = "coalesce(text, '')"
+LUHN = "list_sum(list_transform(range(length(d)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(d[length(d) - i] AS INTEGER) ELSE (CASE WHEN 2 * CAST(d[length(d) - i] AS INTEGER) > 9 THEN 2 * CAST(d[length(d) - i] AS INTEGER) - 9 ELSE 2 * CAST(d[length(d) - i] AS INTEGER) END) END)) % 10 = 0"
+
+
+def found_sql(name: str, source: str, key: str, body: str) -> str:
+    """Matches of the four kinds that the tables hold, as a CTE; patterns without look-around are
+    anchored at each place whose left neighbour allows a start."""
+    at = lambda pattern, width, first: f"""SELECT {key}, i - 1 AS start, regexp_extract(substr(t, i, {width}), '^({pattern})(?:[^0-9]|$)', 1) AS m
+      FROM (SELECT {key}, t, unnest(range(1, length(t) + 1)) AS i FROM {name}_t WHERE regexp_matches(t, '[0-9]{{3}}')) WHERE regexp_matches(substr(t, i, 1), '{first}') AND NOT regexp_matches(substr(t, i - 1, CASE WHEN i = 1 THEN 0 ELSE 1 END), '[0-9]')"""
+    return f"""{name}_t AS (SELECT {key}, coalesce({body}, '') AS t FROM {source}),
+{name}_e AS (SELECT {key}, list_sum(list_transform(seg[:k], lambda s: length(s))) + coalesce(list_sum(list_transform(ms[:k - 1], lambda s: length(s))), 0) AS start, ms[k] AS m
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM (SELECT {key}, regexp_extract_all(t, '{textpii.EMAIL}') AS ms, regexp_split_to_array(t, '{textpii.EMAIL}') AS seg FROM {name}_t WHERE contains(t, '@')))),
+{name}_c0 AS (SELECT * FROM ({at("(?:[0-9][ -]?){12,18}[0-9]", 60, "[0-9]")}) WHERE m <> ''),
+{name}_c1 AS (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM {name}_c0 a WHERE NOT EXISTS (SELECT 1 FROM {name}_c0 b WHERE b.{key} = a.{key} AND b.start < a.start AND b.start + length(b.m) > a.start)),
+{name}_c AS (SELECT {key}, start, m FROM {name}_c1 WHERE {LUHN}),
+{name}_p0 AS (SELECT * FROM ({at("(?:[+]?1[ .-]?)?[(]?[0-9]{3}[)]?[ .-][0-9]{3}[ .-][0-9]{4}", 40, "[0-9+(]")}) WHERE m <> ''),
+{name}_p AS (SELECT * FROM {name}_p0 a WHERE NOT EXISTS (SELECT 1 FROM {name}_p0 b WHERE b.{key} = a.{key} AND b.start < a.start AND b.start + length(b.m) > a.start)),
+{name}_all AS (SELECT *, 'email' AS kind, 1 AS rank FROM {name}_e UNION ALL SELECT *, 'credit card number', 4 FROM {name}_c UNION ALL SELECT *, 'phone number', 5 FROM {name}_p),
+{name} AS (SELECT {key}, kind, CAST(start AS INTEGER) AS start, m AS text FROM {name}_all a WHERE NOT EXISTS (SELECT 1 FROM {name}_all b WHERE b.{key} = a.{key} AND b.rank < a.rank AND a.start < b.start + length(b.m) AND a.start + length(a.m) > b.start))"""
+
+
+DOCS = found_sql("f", "documents", "doc_id", "text")
+
+
+# --- text -----------------------------------------------------------------------------------
+
+
+def doc_hits(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", "source", F.explode(textpii.find_pii(F.col("text"))).alias("h")).select("doc_id", "source", "h.*")
+
+
+def one_kind(pattern: str, ok=None):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        found = textpii.matches(F.coalesce("text", F.lit("")), pattern)
+        found = found if ok is None else F.filter(found, lambda s: ok(s["text"]))
+        return table(spark, sf, "documents").select("doc_id", F.explode(found).alias("h")).select("doc_id", "h.start", "h.text")
+
+    return run
+
+
+for _name, _run, _cte in (("pii_email", one_kind(textpii.EMAIL), "f_e"), ("pii_card", one_kind(textpii.CARD, textpii.luhn_ok), "f_c"), ("pii_phone", one_kind(textpii.PHONE), "f_p")):
+    QUERIES[_name] = _run
+    SQL[_name] = f"WITH {DOCS} SELECT doc_id, CAST(start AS INTEGER) AS start, m AS text FROM {_cte}"
+QUERIES["pii_ssn"] = one_kind(textpii.SSN, textpii.ssn_ok)
+SQL["pii_ssn"] = "SELECT doc_id, CAST(strpos(text, s) - 1 AS INTEGER) AS start, s AS text FROM (SELECT doc_id, text, unnest(regexp_extract_all(text, '\\b[0-9]{3}-[0-9]{2}-[0-9]{4}\\b')) AS s FROM documents)"
+
+
+@query(f"WITH {DOCS} SELECT doc_id, kind, start, CAST(start + length(text) AS INTEGER) AS \"end\", text FROM f")
+def pii_hits_all(spark, sf):
+    return doc_hits(spark, sf).select("doc_id", "kind", "start", "end", "text")
+
+
+@query(f"WITH {DOCS} SELECT d.source, f.kind, {severity_case('f.kind')} AS severity, count(*) AS hits, count(DISTINCT f.doc_id) AS docs FROM f JOIN documents d USING (doc_id) GROUP BY ALL")
+def pii_counts_by_source(spark, sf):
+    return doc_hits(spark, sf).withColumn("severity", lookups.severity(F.col("kind"))).groupBy("source", "kind", "severity").agg(F.count("*").alias("hits"), F.countDistinct("doc_id").alias("docs"))
+
+
+@query(f"WITH {found_sql('f', 'pages', 'page_id', 'html')} SELECT kind, count(*) AS hits, count(DISTINCT page_id) AS pages FROM f GROUP BY ALL")
+def pii_counts_pages(spark, sf):
+    rows = table(spark, sf, "pages").select("page_id", F.explode(textpii.find_pii(F.col("html"))).alias("h"))
+    return rows.groupBy(F.col("h.kind").alias("kind")).agg(F.count("*").alias("hits"), F.countDistinct("page_id").alias("pages"))
+
+
+@query()
+def pii_mask_documents(spark, sf):
+    docs = table(spark, sf, "documents")
+    found = docs.withColumn("found", textpii.find_pii(F.col("text")))
+    return found.select("doc_id", F.size("found").alias("hits"), F.md5(textpii.mask(F.col("text"), F.col("found"))).alias("masked_md5"))
+
+
+@query(f"""WITH n AS (SELECT o_orderkey, lpad(CAST(o_orderkey * 7919 AS VARCHAR), 16, '4') AS d FROM orders)
+SELECT o_orderkey, d AS digits, {LUHN} AS ok FROM n""")
+def luhn_check_numbers(spark, sf):
+    digits = F.lpad((F.col("o_orderkey") * 7919).cast("string"), 16, "4")
+    return table(spark, sf, "orders").select("o_orderkey", digits.alias("digits"), textpii.luhn_ok(digits).alias("ok"))
+
+
+@query("""WITH n AS (SELECT o_orderkey, lpad(CAST(o_orderkey * 104729 AS VARCHAR), 15, '4242') AS b FROM orders),
+d AS (SELECT o_orderkey, b, (10 - list_sum(list_transform(range(15), lambda i: CASE WHEN i % 2 = 1 THEN CAST(b[15 - i] AS INTEGER) ELSE (CASE WHEN 2 * CAST(b[15 - i] AS INTEGER) > 9 THEN 2 * CAST(b[15 - i] AS INTEGER) - 9 ELSE 2 * CAST(b[15 - i] AS INTEGER) END) END)) % 10) % 10 AS c FROM n)
+SELECT o_orderkey, b || CAST(c AS VARCHAR) AS number FROM d""")
+def luhn_complete_numbers(spark, sf):
+    body = F.lpad((F.col("o_orderkey") * 104729).cast("string"), 15, "4242")
+    return table(spark, sf, "orders").select("o_orderkey", F.concat(body, textpii.luhn_digit(body)).alias("number"))
+
+
+GPS_TEXTS = [
+    "2026-08-26 -30.920099 146.96307E speed 42", "N 51.50722 W 0.12750", "146.963070 -30.920099", "LAT: 37.774929, LON: -122.419418", "37.774929° -122.419418°", "52,520008, 13,404954", "999.1234 37.774929 -122.419418",
+    "total 12.99 and 45.00 due", "GPS 0.0000 0.0000 no fix", "value 91.12345 and 200.12345", "version 1.2.3456 build 7.8.9012", "at 37.774929 -122.419418 now", "1.2345 37.774929 -122.419418",
+    "Card 4242 4242 4242 4242, SSN 078-05-1120, mail test@example.com, call 415-555-2671", "Order 1234567890123456 shipped on 2026-10-05", "666-05-1120",
+]
+
+
+@query()
+def pii_literals(spark, sf):
+    df = spark.createDataFrame(list(enumerate(GPS_TEXTS)), "id int, text string")
+    return df.select("id", F.explode(textpii.find_pii(F.col("text"))).alias("h")).select("id", "h.*")
+
+
+# --- tracks -----------------------------------------------------------------------------------
+
+
+@query(f"WITH {ELEMENTS} SELECT severity, count(*) AS tracks, sum(frames_detected)::BIGINT AS frames FROM el GROUP BY 1")
+def severity_distribution(spark, sf):
+    e = summary.elements(event_tracks(spark, sf), TOTAL, event_kind())
+    return e.groupBy("severity").agg(F.count("*").alias("tracks"), F.sum("frames_detected").alias("frames"))
+
+
+@query(f"WITH {ELEMENTS} SELECT media_id, track_key AS track, kind, severity, severity_weight, frames_detected, first_frame, last_frame, share_of_clip FROM el")
+def track_elements(spark, sf):
+    return summary.order_elements(summary.elements(event_tracks(spark, sf), TOTAL, event_kind()))
+
+
+SUMMARY_COLUMNS = """media_id, count(*) AS elements_found, count_if(severity = 'critical') AS critical, count_if(severity = 'high') AS high, count_if(severity = 'medium') AS medium, count_if(severity = 'low') AS low,
+round(sum(severity_weight * greatest(0.2::DOUBLE, share_of_clip)), 1) AS exposure_score"""
+
+
+@query(f"WITH {ELEMENTS}, fr AS (SELECT media_id, count(DISTINCT frame) AS frames_with_elements FROM et GROUP BY 1), x AS (SELECT {SUMMARY_COLUMNS} FROM el GROUP BY media_id) SELECT x.*, frames_with_elements, round(frames_with_elements / {TOTAL}::DOUBLE, 3) AS share_of_frames, 0::BIGINT AS kept_visible FROM x JOIN fr USING (media_id)")
+def run_summary(spark, sf):
+    return summary.summaries(event_tracks(spark, sf), TOTAL, event_kind()).drop("elements")
+
+
+@query(f"WITH {ELEMENTS} SELECT kind, round(sum(severity_weight * greatest(0.2::DOUBLE, share_of_clip)), 1) AS exposure FROM el GROUP BY 1")
+def exposure_score(spark, sf):
+    return summary.elements(event_tracks(spark, sf), TOTAL, event_kind()).groupBy("kind").agg(summary.exposure().alias("exposure"))
+
+
+@query(f"WITH {NEXT} SELECT media_id, track_key, frame, 'detected' AS origin FROM et UNION ALL SELECT media_id, track_key, frame + 1, 'filled' FROM nx WHERE nxt - frame - 1 = 1")
+def gap_fill(spark, sf):
+    return tracks.fill_gaps(event_tracks(spark, sf).withColumn("origin", F.lit("detected")))
+
+
+CARRIED = f"""{NEXT}, cf AS (SELECT media_id, track_key, frame, 'detected' AS origin FROM et UNION ALL
+SELECT media_id, track_key, CAST(unnest(generate_series(frame + 1, CASE WHEN nxt IS NULL THEN least(frame + {CARRY}, {TOTAL - 1}) WHEN nxt - frame - 1 BETWEEN 1 AND {CARRY} THEN nxt - 1 ELSE frame END)) AS INTEGER), 'carried' FROM nx)"""
+
+
+@query(f"WITH {CARRIED} SELECT * FROM cf")
+def carry_forward(spark, sf):
+    return tracks.carry_forward(event_tracks(spark, sf).withColumn("origin", F.lit("detected")), CARRY, TOTAL)
+
+
+@query(f"WITH {NEXT} SELECT media_id, track_key, frame + 1 AS gap_start, nxt - 1 AS gap_end, nxt - frame - 1 AS gap_len FROM nx WHERE nxt - frame - 1 > {CARRY}")
+def coverage_gaps(spark, sf):
+    return tracks.coverage_gaps(event_tracks(spark, sf), CARRY)
+
+
+REPORT = f"""{NEXT}, rp AS (SELECT media_id, track_key, count(*) AS detected, min(frame) AS first_frame, max(frame) AS last_frame, coalesce(max(nxt - frame - 1), 0) AS longest_gap, count_if(nxt - frame - 1 > {CARRY}) AS open_gaps FROM nx GROUP BY 1, 2)"""
+
+
+@query(f"WITH {REPORT} SELECT *, last_frame - first_frame + 1 AS span, greatest(0, last_frame - first_frame + 1 - detected) AS carried_est, CASE WHEN open_gaps > 0 THEN 'NEEDS REVIEW' ELSE 'OK' END AS status FROM rp")
+def coverage_report_rows(spark, sf):
+    return tracks.coverage_report(event_tracks(spark, sf), CARRY)
+
+
+@query(f"WITH {REPORT} SELECT media_id, max(longest_gap) AS longest_gap, sum(detected)::BIGINT AS detected, sum(open_gaps)::BIGINT AS open_gaps FROM rp GROUP BY 1")
+def longest_gap(spark, sf):
+    return tracks.coverage_report(event_tracks(spark, sf), CARRY).groupBy("media_id").agg(F.max("longest_gap").alias("longest_gap"), F.sum("detected").alias("detected"), F.sum("open_gaps").alias("open_gaps"))
+
+
+@query(f"""WITH {ET}, one AS (SELECT DISTINCT frame FROM et WHERE track_key LIKE 'purchase:%'), sp AS (SELECT unnest(range(0, {TOTAL})) AS frame),
+c AS (SELECT sp.frame, one.frame IS NOT NULL AS c FROM sp LEFT JOIN one ON sp.frame = one.frame),
+n AS (SELECT *, lag(c) OVER (ORDER BY frame) AS b, lead(c) OVER (ORDER BY frame) AS a FROM c)
+SELECT CAST(frame AS INTEGER) AS frame, c OR (CASE WHEN b IS NULL THEN coalesce(a, false) WHEN a IS NULL THEN b ELSE a AND b END) AS covered FROM n""")
+def frame_coverage_smoothed(spark, sf):
+    one = event_tracks(spark, sf).where("track_key like 'purchase:%'").select("media_id", "frame").distinct()
+    unit = F.array(F.struct(F.lit(0).alias("x1"), F.lit(0).alias("y1"), F.lit(1).alias("x2"), F.lit(1).alias("y2")))
+    empty = F.array().cast("array<struct<x1:int,y1:int,x2:int,y2:int>>")
+    media = spark.createDataFrame([("clip", TOTAL)], "media_id string, total_frames int")
+    frames = tracks.spine(media).join(one.withColumn("boxes", unit), ["media_id", "frame"], "left").withColumn("boxes", F.coalesce("boxes", empty))
+    return tracks.smooth(frames).select("frame", (F.size("boxes") > 0).alias("covered"))
+
+
+BOXED = f"""bx AS (SELECT event_type || ':' || user_id AS track_key, CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 3600) AS INTEGER) AS frame, CAST(min(user_id) % 100 AS INTEGER) AS x, CAST(floor(min(value) % 100) AS INTEGER) AS y FROM events GROUP BY 1, 2),
+pd AS (SELECT DISTINCT frame, greatest(0, x - {MARGIN}) AS x1, greatest(0, y - {MARGIN}) AS y1, least(100, x + 10 + {MARGIN}) AS x2, least(100, y + 10 + {MARGIN}) AS y2 FROM bx)"""
+
+
+@query(f"WITH {BOXED} SELECT frame, count(*) AS n_boxes, sum((x2 - x1) * (y2 - y1))::BIGINT AS area, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM pd WHERE x2 > x1 AND y2 > y1 GROUP BY 1")
+def boxes_padded_merged(spark, sf):
+    padded = boxed_tracks(spark, sf).withColumn("boxes", tracks.pad(F.col("boxes"), MARGIN, 100, 100))
+    rows = tracks.merge_frames(padded).select("frame", F.explode("boxes").alias("b")).select("frame", "b.*")
+    return rows.groupBy("frame").agg(F.count("*").alias("n_boxes"), F.sum((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+
+
+@query()
+def per_frame_masks(spark, sf):
+    media = spark.createDataFrame([("clip", TOTAL)], "media_id string, total_frames int")
+    some = boxed_tracks(spark, sf).where("track_key like 'purchase:%'")
+    return tracks.per_frame_masks(some, media, TOTAL, 2, MARGIN, 100, 100).select("frame", F.size("boxes").alias("n_boxes"))
+
+
+@query(f"""WITH t AS (SELECT DISTINCT user_id, CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 3600) AS INTEGER) AS frame, event_id FROM events),
+e AS (SELECT user_id, min(frame) AS a, max(frame) AS b FROM t GROUP BY 1), sp AS (SELECT user_id, CAST(unnest(generate_series(a, b)) AS INTEGER) AS frame FROM e),
+m AS (SELECT sp.user_id, sp.frame, p.frame IS NOT NULL AS hit FROM sp LEFT JOIN (SELECT DISTINCT user_id, frame FROM t WHERE event_id % 3 <> 0) p USING (user_id, frame)),
+i AS (SELECT *, frame - row_number() OVER (PARTITION BY user_id, hit ORDER BY frame) AS isl FROM m), l AS (SELECT user_id, hit, isl, count(*) AS n FROM i GROUP BY 1, 2, 3)
+SELECT CAST(user_id AS VARCHAR) AS media_id, sum(n)::BIGINT AS span, coalesce(sum(n) FILTER (hit), 0)::BIGINT AS covered, coalesce(max(n) FILTER (NOT hit), 0)::BIGINT AS longest_gap,
+round(coalesce(sum(n) FILTER (hit), 0) / sum(n)::DOUBLE, 4) AS coverage, (sum(n) - coalesce(sum(n) FILTER (hit), 0))::BIGINT AS gap_frames FROM l GROUP BY 1""")
+def continuity_stats(spark, sf):
+    e = raw_events(spark, sf).withColumn("media_id", F.col("user_id").cast("string"))
+    return tracks.continuity(e, e.where("event_id % 3 <> 0"))
+
+
+@query(f"WITH {ET} SELECT track_key, CASE WHEN track_key GLOB 'error:1*' THEN 'kept' WHEN track_key GLOB 'view:*' OR track_key GLOB '*:[5-7]?' THEN 'excluded' ELSE 'redacted' END AS decision FROM (SELECT DISTINCT track_key FROM et)")
+def select_tracks_keep_exclude(spark, sf):
+    return tracks.select_tracks(event_tracks(spark, sf).select("track_key").distinct(), ["error:1*"], ["view:*", "*:[5-7]?"])
+
+
+@query(f"WITH {ET}, p AS (SELECT * FROM (VALUES (0, 'error:1*'), (1, 'missing:*'), (2, 'view:*'), (3, 'Error:*')) t(pos, pattern)) SELECT CAST(pos AS INTEGER) AS pos, pattern FROM p WHERE NOT EXISTS (SELECT 1 FROM et WHERE track_key GLOB pattern)")
+def unmatched_patterns(spark, sf):
+    return tracks.unmatched_patterns(event_tracks(spark, sf).select("track_key").distinct(), ["error:1*", "missing:*"], ["view:*", "Error:*"])
+
+
+BY_MEDIA = ELEMENTS.replace("'clip' AS media_id", "CAST(user_id % 5 AS VARCHAR) AS media_id")
+
+
+@query(f"WITH {BY_MEDIA}, fr AS (SELECT media_id, count(DISTINCT frame) AS n FROM et GROUP BY 1), x AS (SELECT {SUMMARY_COLUMNS} FROM el GROUP BY media_id) SELECT count(*) AS files_processed, sum(elements_found)::BIGINT AS elements_found, sum(critical)::BIGINT AS critical, sum(high)::BIGINT AS high, sum(medium)::BIGINT AS medium, sum(low)::BIGINT AS low, sum(n)::BIGINT AS frames_with_elements, 0::BIGINT AS kept_visible_count FROM x JOIN fr USING (media_id)")
+def batch_rollup(spark, sf):
+    t = event_tracks(spark, sf, (F.col("user_id") % 5).cast("string"))
+    return summary.rollup(summary.summaries(t, TOTAL, event_kind()))
+
+
+@query(f"WITH {ELEMENTS} SELECT CASE WHEN count_if(severity IN ('critical', 'high')) > 0 THEN 1 ELSE 0 END AS exit_code, count_if(severity IN ('critical', 'high')) AS findings FROM el")
+def audit_gate(spark, sf):
+    return summary.gate(summary.elements(event_tracks(spark, sf), TOTAL, event_kind()).withColumn("error", F.lit(None).cast("string")), "high")
+
+
+@query(f"""WITH {ELEMENTS}, ex AS (SELECT 'clip' AS media_id, unnest(generate_series(700, 730)) AS frame) SELECT media_id, count(DISTINCT frame) AS frames_with_elements FROM (SELECT media_id, frame FROM et UNION ALL SELECT media_id, frame FROM ex) GROUP BY 1""")
+def affected_frames_with_extras(spark, sf):
+    extra = spark.createDataFrame([("clip", 700, 730)], "media_id string, first_frame int, last_frame int")
+    return summary.affected_frames(event_tracks(spark, sf), extra)
+
+
+@query("""WITH e AS (SELECT CAST(user_id % 7 AS VARCHAR) AS media_id, event_type, count(*) AS objects, CASE WHEN min(event_id) % 3 = 0 THEN 'pixel' WHEN min(event_id) % 3 = 1 THEN 'box' ELSE 'mixed' END AS s FROM events GROUP BY 1, 2)
+SELECT media_id, CASE WHEN count_if(objects > 0) = 0 THEN 'none' WHEN min(s) = max(s) THEN min(s) ELSE 'mixed' END AS mask_source FROM e GROUP BY 1""")
+def run_mask_source(spark, sf):
+    e = table(spark, sf, "events").groupBy((F.col("user_id") % 7).cast("string").alias("media_id"), "event_type").agg(F.count("*").alias("objects"), F.min("event_id").alias("first"))
+    kind = F.when(F.col("first") % 3 == 0, "pixel").when(F.col("first") % 3 == 1, "box").otherwise("mixed")
+    return summary.mask_source(e.withColumn("mask_source", kind))
+
+
+# --- boxes ------------------------------------------------------------------------------------
+
+PAIRS = """l AS (SELECT l_orderkey AS frame, l_linenumber AS n, CAST(l_partkey % 50 AS INTEGER) AS x1, CAST(l_suppkey % 50 AS INTEGER) AS y1, CAST(trunc(l_quantity + 10) AS INTEGER) AS s FROM lineitem),
+b AS (SELECT DISTINCT ON (frame, n) frame, n, x1, y1, x1 + s AS x2, y1 + s AS y2 FROM l),
+pr AS (SELECT t.frame, t.x1, greatest(0, least(t.x2, p.x2) - greatest(t.x1, p.x1)) * greatest(0, least(t.y2, p.y2) - greatest(t.y1, p.y1)) AS i, (t.x2 - t.x1) * (t.y2 - t.y1) AS ta, (p.x2 - p.x1) * (p.y2 - p.y1) AS pa FROM (SELECT * FROM b WHERE n = 1) t LEFT JOIN (SELECT * FROM b WHERE n = 2) p USING (frame)),
+io AS (SELECT frame, coalesce(CASE WHEN ta + pa - i > 0 THEN i / (ta + pa - i)::DOUBLE ELSE 0 END, 0) AS iou, pa FROM pr)"""
+
+
+@query(f"WITH {PAIRS} SELECT frame, round(iou, 6) AS iou FROM io WHERE pa IS NOT NULL")
+def iou_pairs(spark, sf):
+    truth, found = line_boxes(spark, sf)
+    side = lambda df, name: df.select("frame", F.struct("x1", "y1", "x2", "y2").alias(name))
+    return side(truth, "t").join(side(found, "p"), "frame").select("frame", F.round(boxes.iou(F.col("t"), F.col("p")), 6).alias("iou"))
+
+
+@query(f"WITH {PAIRS} SELECT 'clip' AS media_id, count(*) AS gt_boxes, count_if(iou >= 0.5) AS hits, round(avg(CASE WHEN iou >= 0.5 THEN 1.0::DOUBLE ELSE 0 END), 4) AS recall, round(avg(iou), 4) AS mean_iou FROM io")
+def eval_recall(spark, sf):
+    return boxes.recall(boxes.match_boxes(*line_boxes(spark, sf)))
+
+
+@query("SELECT * FROM (VALUES ('badge', 0.7667, 0.7667, 0.5, 'C'), ('form', 1.0, 1.0, 0.0671, 'A'), ('half', 0.5, 0.6, 2.0, 'F'), ('qr', 1.0, 1.0, 0.1237, 'A')) t(clip, recall, coverage, leakage, grade)".replace("1.0, 1.0, 0.0671", "1.0, 1.0, 0.0671"))
+def eval_grade(spark, sf):
+    df = spark.createDataFrame([("badge", 0.7667, 0.7667, 0.5), ("form", 1.0, 1.0, 0.0671), ("half", 0.5, 0.6, 2.0), ("qr", 1.0, 1.0, 0.1237)], "clip string, recall double, coverage double, leakage double")
+    return df.withColumn("grade", boxes.grade(F.col("recall"), F.col("coverage"), F.col("leakage")))
+
+
+@query("SELECT * FROM (VALUES ('form'), ('lost')) t(clip)")
+def eval_floors(spark, sf):
+    scores = spark.createDataFrame([("qr", 1.0, 0.7511), ("form", 1.0, 0.63), ("badge", 0.7667, 0.7455)], "clip string, recall double, mean_iou double")
+    floors = spark.createDataFrame([("qr", 0.99, 0.70), ("form", 0.99, 0.64), ("badge", 0.70, 0.70), ("lost", 0.5, 0.5)], "clip string, floor_recall double, floor_iou double")
+    return boxes.below_floors(scores, floors)
+
+
+@query()
+def iou_tracker(spark, sf):
+    l = table(spark, sf, "lineitem")  # noqa: E741
+    x, y = (F.col("l_partkey") % 40).cast("int"), (F.col("l_suppkey") % 40).cast("int")
+    d = l.select((F.col("l_orderkey") % 16).cast("string").alias("media_id"), F.lit("box").alias("phrase"), (F.col("l_orderkey") / 16).cast("int").alias("frame"), F.col("l_linenumber").alias("seq"), x.alias("x1"), y.alias("y1"), (x + 20).alias("x2"), (y + 20).alias("y2"))
+    return boxes.track_boxes(d)
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size * 12 AS size FROM part), k AS (SELECT *, CAST(ceil(size * 0.75::DOUBLE) AS INTEGER) AS c FROM p), n AS (SELECT *, c + (1 - c % 2) AS need FROM k)
+SELECT p_partkey, size, CASE WHEN need <= 21 THEN 21 WHEN need <= 41 THEN 41 WHEN need <= 81 THEN 81 WHEN need <= 161 THEN 161 ELSE 301 END AS kernel FROM n""")
+def blur_kernel_by_size(spark, sf):
+    size = F.col("p_size") * 12
+    return table(spark, sf, "part").select("p_partkey", size.alias("size"), boxes.blur_kernel(size, F.lit(20)).alias("kernel"))
+
+
+SIZED = """sz AS (SELECT event_type AS track_key, CAST(floor(value % 97) AS INTEGER) + 1 AS w FROM events), ty AS (SELECT track_key, CAST(trunc(median(w)) AS INTEGER) AS typical FROM sz GROUP BY 1)"""
+
+
+def sized_tracks(spark, sf):
+    w = F.floor(F.col("value") % 97).cast("int") + 1
+    box = F.array(F.struct(F.lit(0).alias("x1"), F.lit(0).alias("y1"), w.alias("x2"), F.lit(200).alias("y2")))
+    return table(spark, sf, "events").select(F.lit("clip").alias("media_id"), F.col("event_type").alias("track_key"), F.col("event_id").cast("int").alias("frame"), box.alias("boxes"))
+
+
+@query(f"WITH {SIZED} SELECT track_key, typical FROM ty")
+def typical_min_dim(spark, sf):
+    return boxes.typical_size(sized_tracks(spark, sf)).select("track_key", "typical")
+
+
+@query(f"WITH {SIZED}, k AS (SELECT track_key, CAST(ceil(typical * 0.75::DOUBLE) AS INTEGER) AS c FROM ty), n AS (SELECT track_key, c + (1 - c % 2) AS need FROM k), m AS (SELECT track_key, CASE WHEN need <= 9 THEN 9 WHEN need <= 41 THEN 41 WHEN need <= 81 THEN 81 WHEN need <= 161 THEN 161 ELSE 301 END AS kernel FROM n) SELECT kernel, count(DISTINCT event_id) AS frames FROM events JOIN m ON event_type = track_key GROUP BY 1")
+def blur_layers(spark, sf):
+    return boxes.blur_layers(sized_tracks(spark, sf), 8).groupBy("kernel").agg(F.count("*").alias("frames"))
+
+
+# --- speech -----------------------------------------------------------------------------------
+
+
+def document_words(spark, sf):
+    rows = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("media_id"), F.posexplode(F.split("text", "[ \n]+")).alias("pos", "word"))
+    clean = rows.withColumn("word", speech.clean_word(F.col("word")))
+    return clean.withColumn("start", F.round(F.col("pos") * 0.3, 1)).withColumn("end", F.round(F.col("pos") * 0.3 + 0.25, 2))
+
+
+WORDS_SQL = r"""w AS (SELECT CAST(doc_id AS VARCHAR) AS media_id, unnest(range(0, len(ws))) AS pos, unnest(ws) AS raw FROM (SELECT doc_id, regexp_split_to_array(text, '[ \n]+') AS ws FROM documents)),
+v AS (SELECT media_id, pos, trim(trim(raw, '.,!?;:"''-')) AS word FROM w),
+g AS (SELECT *, CASE WHEN lower(word) IN ('zero', 'oh') THEN '0' WHEN lower(word) = 'one' THEN '1' WHEN regexp_matches(word, '^[0-9\s.,\-()+]+$') AND regexp_matches(word, '[0-9]') THEN regexp_replace(word, '[^0-9]', '', 'g') END AS d FROM v),
+i AS (SELECT *, sum(CASE WHEN d IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY pos) AS isl FROM g)"""
+
+
+@query(f"WITH {WORDS_SQL} SELECT media_id, string_agg(d, '' ORDER BY pos) AS digits, CAST(min(pos) AS INTEGER) AS first, CAST(max(pos) AS INTEGER) AS last FROM i WHERE d IS NOT NULL GROUP BY media_id, isl")
+def speech_digit_runs(spark, sf):
+    return speech.digit_runs(document_words(spark, sf)).select("media_id", "digits", "first", "last")
+
+
+@query("""WITH h AS (SELECT event_type AS media_id, event_id, CAST(event_id AS DOUBLE) AS s, user_id % 3 AS k FROM events WHERE event_id % 4 = 0),
+x AS (SELECT *, greatest(0::DOUBLE, s - 2.5::DOUBLE) AS a, s + 1.0::DOUBLE + 2.5::DOUBLE AS b FROM h), r AS (SELECT *, max(b) OVER (PARTITION BY media_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x),
+n AS (SELECT *, CASE WHEN a <= reach THEN 0 ELSE 1 END AS nw FROM r), p AS (SELECT *, sum(nw) OVER (PARTITION BY media_id ORDER BY s) AS part, nw = 1 OR lag(k) OVER (PARTITION BY media_id ORDER BY s) <> k AS ch FROM n)
+SELECT media_id, 'k' || CAST(arg_max(k, s) AS VARCHAR) AS kind, min(a) AS start, max(b) AS "end", string_agg(CAST(event_id AS VARCHAR), ' / ' ORDER BY s) FILTER (ch) AS text FROM p GROUP BY media_id, part""")
+def speech_merge_intervals(spark, sf):
+    e = table(spark, sf, "events").where("event_id % 4 = 0")
+    s = F.col("event_id").cast("double")
+    return speech.merge_intervals(e.select(F.col("event_type").alias("media_id"), F.concat(F.lit("k"), (F.col("user_id") % 3).cast("string")).alias("kind"), s.alias("start"), (s + 1.0).alias("end"), F.col("event_id").cast("string").alias("text")), 2.5)
+
+
+@query("""SELECT * FROM (VALUES ('phone', 'phone number', '4155552671', 0.0, 3.6), ('card', 'credit card number', '4242424242424242', 0.0, 5.1), ('ssn', 'ssn', '078051123', 0.0, 3.0), ('email', 'email', 'alex.example@mail.com', 0.3, 3.0), ('glued', 'phone number', '415-555-2671', 0.0, 0.9)) t(media_id, kind, text, start, "end")""")
+def spoken_pii(spark, sf):
+    return speech.find_speech_pii(words(spark)).select("media_id", "kind", "text", F.round("start", 2).cast("decimal(3,1)").alias("start"), F.round("end", 2).cast("decimal(3,1)").alias("end"))
+
+
+@query()
+def speech_mute_filters(spark, sf):
+    return speech.mute_filter(speech.find_speech_pii(words(spark)))
+
+
+@query("""WITH h AS (SELECT event_type AS media_id, event_id, value AS s, value + 0.5::DOUBLE AS e FROM events WHERE event_id % 50 = 0)
+SELECT media_id, 'speech:x:' || row_number() OVER (PARTITION BY media_id ORDER BY s, event_id) AS track, CAST(least(trunc(s * 29.97::DOUBLE), 99999) AS INTEGER) AS first_frame, CAST(greatest(least(trunc(s * 29.97::DOUBLE), 99999), least(trunc(e * 29.97::DOUBLE), 99999)) AS INTEGER) AS last_frame FROM h""")
+def speech_cover_frames(spark, sf):
+    e = table(spark, sf, "events").where("event_id % 50 = 0")
+    hits = e.select(F.col("event_type").alias("media_id"), F.lit("x").alias("kind"), F.col("value").alias("start"), (F.col("value") + 0.5).alias("end"))
+    return speech.cover_frames(hits, F.lit(29.97), F.lit(100000)).drop("kind")
+
+
+# --- parsers ----------------------------------------------------------------------------------
+
+
+def token_text(spark, sf):
+    """One line of detection tokens per order; only the first of its lines has a header."""
+    l = table(spark, sf, "lineitem")  # noqa: E741
+    n = lambda c: F.col(c).cast("string")
+    x2, y2 = (F.col("l_partkey") + 5).cast("string"), (F.col("l_suppkey") + 5).cast("string")
+    box = F.concat(F.when(F.col("l_linenumber") == 1, F.concat(F.lit("<"), (F.col("l_orderkey") % 9).cast("string"), F.lit("f>"), (F.col("l_orderkey") % 3).cast("string"))).otherwise(F.lit("")), F.lit("<|box;x1="), n("l_partkey"), F.lit(";y1="), n("l_suppkey"), F.lit(";x2="), x2, F.lit(";y2="), y2, F.lit(";w=9;h=9|>"))
+    return l.groupBy(F.col("l_orderkey").alias("media_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", box.alias("t")))), lambda s: s["t"]), " ").alias("text"))
+
+
+@query("""WITH o AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS seq FROM lineitem),
+g AS (SELECT *, max(CASE WHEN l_linenumber = 1 THEN seq END) OVER (PARTITION BY l_orderkey ORDER BY seq) AS hd FROM o)
+SELECT l_orderkey AS media_id, CAST(seq AS INTEGER) AS seq, CASE WHEN hd IS NULL THEN 0 ELSE CAST(l_orderkey % 9 AS INTEGER) END AS frame, CAST(CASE WHEN hd IS NULL THEN seq ELSE l_orderkey % 3 + seq - hd END AS VARCHAR) AS track_id, CAST(l_partkey AS INTEGER) AS x1, CAST(l_suppkey AS INTEGER) AS y1, CAST(l_partkey + 5 AS INTEGER) AS x2, CAST(l_suppkey + 5 AS INTEGER) AS y2 FROM g""")
+def parse_tokens(spark, sf):
+    return parsers.parse_tokens(token_text(spark, sf)).drop("mask_h", "mask_w", "mask_payload")
+
+
+@query("""SELECT * FROM (VALUES ('a', 0, 3, '7', 1, 2, 3, 4), ('a', 2, 0, '0', 0, 0, 64, 48), ('b', 1, 5, 'x', 9, 9, 12, 12)) t(media_id, seq, frame, track_id, x1, y1, x2, y2)""")
+def parse_jsonl(spark, sf):
+    rows = [("a", '{"frame": 3, "track_id": "7", "box": [1,2,3,4]}\nnot json\n{"box": [1,2]}'), ("b", 'text\n{"frame_index": 5, "id": "x", "box": [9,9,12,12]}'), ("c", '<0f>0<|box;x1=1;y1=1;x2=2;y2=2;w=1;h=1|>\n{"frame": 1}')]
+    return parsers.parse_json_lines(spark.createDataFrame(rows, "media_id string, text string"), width=64, height=48)
+
+
+@query("SELECT * FROM (VALUES ('a', 'one two'), ('b', 'whole'), ('c', 'rawx')) t(media_id, text)")
+def parse_sse(spark, sf):
+    d = lambda t: '{"type": "response.output_text.delta", "delta": "%s"}' % t
+    c = '{"type": "response.completed", "response": {"output_text": "whole"}}'
+    rows = [("a", 0, d("one ")), ("a", 1, d("two")), ("a", 2, c), ("a", 3, "[DONE]"), ("a", 4, d("late")), ("b", 0, '{"type": "ping"}'), ("b", 1, c), ("c", 0, "raw"), ("c", 1, d("x"))]
+    return parsers.parse_events(spark.createDataFrame(rows, "media_id string, pos int, data string"))
+
+
+@query("SELECT * FROM (VALUES (0, 'ok', 51.5072, -0.1275, 0.8, 'UK', 2), (1, 'failed', NULL, NULL, NULL, NULL, NULL), (2, 'failed', NULL, NULL, NULL, NULL, NULL)) t(id, status, lat, lon, confidence, country, n_cues)")
+def parse_verdict(spark, sf):
+    rows = [(0, 'sure: {"lat": 51.50722, "lon": -0.1275, "country": "UK", "city": "London", "confidence_25km": 80, "cues": ["sign", " ", "bus"]} bye'), (1, '{"lat": 95, "lon": 0, "confidence_25km": 10}'), (2, "no json")]
+    v = spark.createDataFrame(rows, "id int, t string").select("id", parsers.parse_verdict(F.col("t")).alias("v"))
+    dec = lambda c, t: F.col(f"v.{c}").cast(t).alias(c)
+    return v.select("id", "v.status", dec("lat", "decimal(6,4)"), dec("lon", "decimal(6,4)"), dec("confidence", "decimal(2,1)"), "v.country", F.size("v.cues").alias("n_cues")).withColumn("n_cues", F.when(F.col("status") == "ok", F.col("n_cues")))
+
+
+@query("""SELECT * FROM (VALUES ('a', 'GPS location', 'high', 1), ('a', 'creation time', 'medium', 2), ('a', 'title and description', 'medium', 4), ('b', 'device info', 'medium', 3)) t(media_id, label, severity, pos)""")
+def metadata_classify(spark, sf):
+    rows = [("a", {"location-eng": "x", "location": "y", "creation_time": "z", "Title": "t", "encoder": "e"}), ("b", {"make": "m", "model": "n"}), ("c", {"encoder": "e"})]
+    return summary.metadata_findings(spark.createDataFrame(rows, "media_id string, tags map<string,string>"))
+
+
+# --- sampling and options ---------------------------------------------------------------------
+
+
+@query(f"""WITH {ET}, s AS (SELECT *, split_part(track_key, ':', 1) AS kind FROM et WHERE frame % 10 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY frame, track_key) AS n FROM s)
+SELECT media_id, kind || ':' || n AS track_key, CAST(unnest(range(frame, least(frame + 10, {TOTAL}))) AS INTEGER) AS frame FROM n""")
+def sample_hold(spark, sf):
+    return tracks.sample_hold(event_tracks(spark, sf).withColumn("kind", F.split("track_key", ":")[0]), 10, TOTAL)
+
+
+@query(f"WITH {ET} SELECT frame, count(*) AS tracks FROM et WHERE frame < 90 GROUP BY 1")
+def preview_frames(spark, sf):
+    n = tracks.preview_frames(30.0, TOTAL)
+    return event_tracks(spark, sf).where(F.col("frame") < n).groupBy("frame").agg(F.count("*").alias("tracks"))
+
+
+@query(f"WITH {ET}, c AS (SELECT CAST(trunc(i * {TOTAL} / 9) AS INTEGER) AS frame FROM range(9) t(i)) SELECT c.frame, count(track_key) AS tracks FROM c LEFT JOIN et USING (frame) GROUP BY 1")
+def contact_sheet_frames(spark, sf):
+    frames = spark.createDataFrame([(i,) for i in tracks.contact_frames(TOTAL)], "frame int")
+    return frames.join(event_tracks(spark, sf), "frame", "left").groupBy("frame").agg(F.count("track_key").alias("tracks"))
+
+
+@query(f"WITH {ET} SELECT track_key FROM et WHERE frame = {TOTAL // 2}")
+def middle_frame(spark, sf):
+    return event_tracks(spark, sf).where(F.col("frame") == TOTAL // 2).select("track_key")
+
+
+@query("SELECT * FROM (VALUES ('family', 'blur', 31, 14, 6, 4), ('street', 'pixelate', 18, 16, 6, 3), ('documents', 'blur', 99, 12, 6, 7), ('nope', 'blur', 21, 10, 4, NULL)) t(preset, mode, strength, mask_margin, carry_frames, n_targets)")
+def presets_resolved(spark, sf):
+    rows = [("family", "blur", 21, 10, 4), ("street", "blur", 21, 10, 4), ("documents", "blur", 99, 10, 4), ("nope", "blur", 21, 10, 4)]
+    out = lookups.apply_preset(spark.createDataFrame(rows, "preset string, mode string, strength int, mask_margin int, carry_frames int"))
+    return out.select("preset", "mode", "strength", "mask_margin", "carry_frames", F.when(F.col("targets").isNotNull(), F.size("targets")).alias("n_targets"))
+
+
+@query("SELECT * FROM (VALUES (0, 'person,face,license plate,screen'), (1, 'dog,cat,dog'), (2, 'person,face,license plate,screen,dog'), (3, 'person,face,license plate,screen,bag,dog')) t(id, targets)")
+def targets_resolved(spark, sf):
+    rows = [(0, " ; ", None, False), (1, "dog; cat,dog", None, False), (2, "dog,face", None, True), (3, "dog", "bag,face", False)]
+    df = spark.createDataFrame(rows, "id int, t string, a string, d boolean")
+    return df.select("id", F.array_join(lookups.resolve_targets(lookups.split_targets(F.col("t")), lookups.split_targets(F.col("a")), F.col("d")), ",").alias("targets"))
+
+
+@query(f"WITH {ET}, k AS (SELECT split_part(track_key, ':', 1) AS kind, track_key, count(*) AS frames FROM et GROUP BY 1, 2) SELECT kind, CAST(bucket AS INTEGER) AS bucket, count(*) AS tracks FROM (SELECT *, frames // 2 AS bucket FROM k) GROUP BY ALL")
+def track_length_histogram(spark, sf):
+    k = event_tracks(spark, sf).groupBy(F.split("track_key", ":")[0].alias("kind"), "track_key").agg(F.count("*").alias("frames"))
+    return k.groupBy("kind", F.floor(F.col("frames") / 2).cast("int").alias("bucket")).agg(F.count("*").alias("tracks"))
