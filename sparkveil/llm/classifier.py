@@ -3,8 +3,8 @@ dictionary built from good texts than with one built from bad texts.
 
 Dictionaries are trained with zstandard on a bounded sample of labelled texts. Every text is
 cut into pieces that cover it whole; the sizes of its pieces under both dictionaries and
-without one, taken relative to its bytes, are the features. A logistic fit on labelled
-texts that no dictionary has seen turns them into a calibrated score.
+without one, taken relative to its bytes, are the features. A logistic fit, by halves on texts that
+the dictionaries in use have not seen, turns them into a calibrated score.
 
 The labelled sample is at most ``SAMPLE_ROWS`` rows of each class with texts of at most
 ``SAMPLE_BYTES`` bytes, chosen by the hash of the id; scoring covers all texts whole.
@@ -27,7 +27,7 @@ from .text import Block, crc_mod, per_block
 
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 64 << 10
 DICTIONARY_BYTES, PIECE, LEVEL = 112 << 10, 2048, 3
-THRESHOLD = 0.3
+THRESHOLD, SHRINK = 0.3, 48
 FIELDS = [("score", T.DoubleType()), ("predicted", T.IntegerType()), ("size_difference", T.DoubleType())]
 
 
@@ -68,7 +68,8 @@ class Model:
             return [0.0, 0.0, 0.0, 0.0, 1.0]
         g, b, none = self.sizes(text)
         n = len(text)
-        return [(b - g) / n, (b - g) / max(none, 16), none / n, 1 / np.sqrt(n), 1.0]
+        # short texts say little: their shares shrink to nothing
+        return [(b - g) / (n + SHRINK), (b - g) / max(none + SHRINK, 1), none / (n + SHRINK), SHRINK / (n + SHRINK), 1.0]
 
     def score(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features @ self.weights, -30, 30)))
@@ -77,22 +78,30 @@ class Model:
 def fit(rows: list[tuple[bytes, int]], share: float | None = None) -> Model:
     """rows: texts with labels; share: of label 1 among all labels, if the rows hold another.
 
-    Even rows of each class build the dictionaries, odd ones calibrate.
+    The dictionaries are built from all rows; the logistic fit uses figures of each half of the
+    rows under dictionaries of the other half.
     """
     by = {q: [t for t, label in rows if label == q] for q in (0, 1)}
     if not by[0] or not by[1]:
         share = min(max(len(by[1]) / max(len(rows), 1), 0.02), 0.98) if rows else 0.5
         return Model(b"", b"", np.array([0, 0, 0, 0, np.log(share / (1 - share))]))
-    model = Model(_dictionary(by[1][::2]), _dictionary(by[0][::2]), np.zeros(5))
-    x = np.array([model.features(t) for q in (0, 1) for t in by[q][1::2] or by[q]])
-    y = np.array([q for q in (0, 1) for _ in (by[q][1::2] or by[q])], float)
-    weights = logistic(x, y)
+    # each half is measured by dictionaries built from the other, so no text by its own
+    x, y = [], []
+    for half in (0, 1):
+        other = {q: by[q][1 - half :: 2] or by[q] for q in (0, 1)}
+        model = Model(_dictionary(other[1]), _dictionary(other[0]), np.zeros(5))
+        for q in (0, 1):
+            x += [model.features(t) for t in by[q][half::2]]
+            y += [q] * len(by[q][half::2])
+    model = Model(_dictionary(by[1]), _dictionary(by[0]), np.zeros(5))
+    y = np.array(y, float)
+    weights = logistic(np.array(x), y)
     if share is not None:
         weights[-1] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
     return Model(model.good, model.bad, weights)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
     """Newton's method on scaled columns; the classes keep their share among the labels."""
     scale = np.maximum(np.abs(x).max(0), 1e-9)
     z, w = x / scale, np.zeros(x.shape[1])

@@ -210,5 +210,4 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
     return contamination(docs, bench).select(
         "doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), is_contaminated().alias("contaminated"),
-        F.coalesce(F.array_max(F.transform("matches", lambda m: m["length"])), F.lit(0).cast("long")).alias("longest_match"),
     )

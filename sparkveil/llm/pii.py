@@ -248,6 +248,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """The rows as they came, with every span replaced by its kind; the length column follows."""
     hidden = "_redacted"
+    while hidden in docs.columns:
+        hidden = f"_{hidden}"
 
     def columns(block: Block, *_):
         digits, out = block.per_text(DIGIT[block.data]), []

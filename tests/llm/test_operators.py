@@ -1,0 +1,297 @@
+"""Corpus operators against brute force, over sf0.001 and over rows made to break them."""
+
+import random
+
+import pytest
+
+from tests.conftest import SF, rows_of
+from tests.llm import plain
+
+from sparkveil.llm import classifier, decontaminate, html, jaccard, licenses, lm, mixing, pii, quality, substring
+from sparkveil.llm.queries import QUERIES, SQL
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, size string, row int, shard int, name string, score string, key string, start string"
+
+
+def nasty():
+    """Nulls everywhere, empty and long texts, ties, repeated rows, one- and two-word texts."""
+    r = random.Random(5)
+    vocabulary = [f"w{i}é" for i in range(40)] + ["the", "Of", "a"]
+    say = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    base, passage = say(60), say(30)
+    texts = [None, "", " \n\t ", "one", "one", "One two", "one TWO", base, base, base.replace("the", "thee", 1), base + " more", "x " + passage + "\ny\x0bz", passage + " " + passage, "a" * 5000, say(13), say(12), "\n".join([say(5)] * 6)]
+    texts += ["mail a@b.co, a.b@c-d.org.x +1 (743) 555-3824 4242 4242-4242 4242 227.5.221.1 300.1.1.1 token = \"0123456789abcdef0123456789abcdef01234567\"", "x@y@z.com +12345678901234567890 1.2.3.4.5 é 4111111111111111", "Licensed under CC BY-NC 4.0.\nAll rights reserved. This work is licensed under the GNU General Public License, version 3."]
+    texts += [say(3000), "long " * 400000 + base]
+    out = [(i, t, "en", ["s0", "s1", None][i % 3], 0, *["x"] * 2, 1, 2, *["y"] * 4) for i, t in enumerate(texts)]
+    return out + [out[7], out[7], out[11], (None, base, None, None, None, *[None] * 8), (-3, say(80), "fr", "s9", 1, *[None] * 8)]
+
+
+@pytest.fixture(scope="module")
+def bad(spark):
+    return spark.createDataFrame(nasty(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def good(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def pairs(df):
+    return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+
+
+def key(x):
+    return tuple(str(v) for v in x) if isinstance(x, tuple) else (str(x),)
+
+
+def same(got, want):
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+@pytest.mark.parametrize("which", ["bad", "good"])
+def test_quality(request, which):
+    docs = request.getfixturevalue(which)
+    got = [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.quality_rules(docs).collect()]
+    same(got, [(i, *plain.quality(t)) for i, t in pairs(docs)])
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and kept.count() == quality.quality_rules(docs).where("kept").count()
+    assert quality.quality_rules(docs).where("kept and base_failed").count() == 0
+
+
+@pytest.mark.parametrize("which", ["bad", "good"])
+@pytest.mark.parametrize("part", [1 << 25, 2000])
+def test_decontamination(request, spark, which, part, monkeypatch):
+    docs = request.getfixturevalue(which)
+    monkeypatch.setattr(decontaminate, "PART_BYTES", part)
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    if which == "bad":
+        bench = spark.createDataFrame([(1, nasty()[11][1]), (2, "one two"), (3, None), (4, ""), (None, "one"), (1, nasty()[11][1]), (5, nasty()[12][1])], "item_id long, text string")
+    items = [(r.item_id, r.text) for r in bench.collect() if r.item_id is not None]
+    found = decontaminate.contamination(docs, bench)
+    got = []
+    for r in found.select("*", decontaminate.is_contaminated().alias("bad")).collect():
+        ids = sorted({m.item_id for m in r.matches})
+        got.append((r.doc_id, r.n_words, r.n_hit, len(ids), plain.sha(",".join(ids)), r.bad))
+    rows = pairs(docs)
+    same(got, [(i, *x) for (i, _), x in zip(rows, plain.contamination([t for _, t in rows], items), strict=True)])
+    assert decontaminate.remove_contaminated(docs, bench).count() == sum(not x[-1] for x in got)
+
+
+@pytest.mark.parametrize("which", ["bad", "good"])
+def test_pii(request, which):
+    docs = request.getfixturevalue(which)
+    want = [(i, plain.pii(t)) for i, t in pairs(docs)]
+    join = lambda s: ",".join(f"{k}:{a}:{b}" for k, a, b in s)
+    got = pii.find_pii(docs).collect()
+    same([(r.doc_id, r.base_sha256, r.n_email, r.n_ip, r.n_card, r.n_phone) for r in got], [(i, plain.sha(join(s)), *[sum(x[0] == k for x in s) for k in pii.BASE_KINDS]) for i, s in want])
+    every = {(r.doc_id, x) for r in got for x in r.spans.split(",")}
+    assert all((i, f"{k}:{a}:{b}") in every for i, s in want for k, a, b in s)
+    clean = pii.redact(docs)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+    assert not any(plain.pii(t) and "[" not in t for _, t in pairs(clean))
+
+
+def test_pii_patterns_are_linear_and_equal():
+    r = random.Random(1)
+    for _ in range(20000):
+        s = "".join(r.choice("a1.@-+ (%_2") for _ in range(r.randint(0, 30)))
+        assert plain.pii(s) == pii.base_spans(s), s
+    for s in ("a" * 200000 + "@", "1" * 200000, "+1" + "(" * 200000, "1." * 100000, "a@" * 100000):
+        pii.base_spans(s), pii.proposals(s)
+
+
+def test_boosted_trees_hold_out():
+    rows = pii.examples(seed=99, each=120)
+    m = pii.model()
+    import numpy as np
+
+    score = m.trees.predict(np.array([pii.features(t, k, a, b) for k, t, a, b, _ in rows]))
+    taken = np.array([s >= m.threshold[k] for s, (k, *_) in zip(score, rows, strict=True)])
+    y = np.array([label for *_, label in rows], bool)
+    assert (taken & y).sum() >= 0.9 * y.sum() and (taken & ~y).sum() <= 0.02 * taken.sum()
+
+
+@pytest.mark.parametrize("which", ["bad", "good"])
+def test_licenses(request, which):
+    docs = request.getfixturevalue(which)
+    got = licenses.license_scan(docs).collect()
+    same([(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got], [(i, *plain.phrases(t)) for i, t in pairs(docs)])
+    assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in got)
+
+
+def test_license_templates(spark):
+    rows = [("opt", "x This work is licensed under the GNU General Public License, version 3 y"), ("no opt", "licensed under the gnu general public license version 3"), ("other", "licensed under the gnu general public licence version 3"), ("var", "Copyright (c) 2020 Some One. All rights reserved."), ("far", "copyright a b c d e f g h i j all rights reserved"), ("cut", "licensed under the apache license")]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got["opt"] == ("gpl,gpl-3.0", 1.0) and got["no opt"] == ("gpl,gpl-3.0", 1.0) and got["var"] == ("copyright,reserved", 1.0)
+    assert got["other"][0] == "" and got["far"][0] == "reserved" and got["cut"][0] == "" and 0 < got["cut"][1] < 0.9
+
+
+@pytest.mark.parametrize("which", ["bad", "good"])
+def test_jaccard(request, which):
+    docs = request.getfixturevalue(which)
+    rows = pairs(docs)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect()]
+    if which == "good":
+        same(got, plain.near_duplicates(rows))
+    else:
+        same([x for x in got if x[0] is not None], [x for x in plain.near_duplicates([r for r in rows if r[0] is not None])])
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    same([r.doc_id for r in kept.collect()], [i for i, _, c in got if i is None or i == c])
+
+
+@pytest.mark.parametrize("block", [jaccard.BLOCK_ELEMENTS, 3000])
+def test_jaccard_large_group(spark, block, monkeypatch):
+    """Near copies around the threshold, in one block and in several."""
+    monkeypatch.setattr(jaccard, "BLOCK_ELEMENTS", block)
+    r = random.Random(3)
+    rows = []
+    for g, n in enumerate((8, 15, 30, 60, 200)):
+        base = [f"g{g}w{i}" for i in range(n)]
+        for _ in range(40):
+            w = list(base)
+            for _ in range(r.randint(0, max(1, n // 30))):
+                w[r.randrange(n)] = f"x{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    same([(x.doc_id, x.n_shingles, x.component_id) for x in jaccard.near_duplicates(docs).collect()], plain.near_duplicates(rows))
+
+
+def test_html():
+    page = "<html><head><title>T</title><script>var a='<p>no</p>'</script></head><body><header>Site</header><nav><a href='/'>Home</a></nav><div class='sidebar'>Side, bar, text that is long enough to score some points</div><article><h1>Head &amp; line</h1><p>First paragraph, with\n some <b>bold</b> text, long enough to count.<p>Second&nbsp;one<br>after break.</article><div id=comments><p>A reader comment, quite long, that should not be there at all.</p></div><form>Mail <input></form><footer>(c)</footer></body>"
+    assert html.extract(page) == "Head & line First paragraph, with some bold text, long enough to count. Second one after break."
+    plain_div = "<div id=menu><a href=1>one, long link text in a menu here</a></div><div id=content><p>This is the body of the page, and it has commas, and words.</p><p>More of it here, again with commas, and words.</p></div>"
+    assert html.extract(plain_div).startswith("This is the body") and "menu" not in html.extract(plain_div)
+    for odd in ("", "<", "a < b", "<!-- never ends", "<script>x", "<p", "<a href='x", "</p></div>", "<b><i>" * 300 + "deep"):
+        assert isinstance(html.extract(odd), str)
+    assert html.extract("a < b") == "a < b"
+
+
+def test_html_pages(spark):
+    df = spark.createDataFrame([(1, "u", None, 5), (2, None, "", 5), (None, "u", "<p>x</p>", 5), (2, "u", "<article><p>é è</p></article>", 5)], "page_id long, url string, html string, n_chars int")
+    same([(r.page_id, r.text, r.n_chars) for r in html.main_text(df).collect()], [(1, "", 0), (2, "", 0), (None, "x", 1), (2, "é è", 3)])
+
+
+@pytest.mark.parametrize("which", ["bad", "good"])
+def test_substrings(request, which):
+    docs = request.getfixturevalue(which)
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.dedup_substrings(docs).collect()]
+    want = plain.substrings([x for x in pairs(docs) if x[0] is not None])
+    same([x for x in got if x[0] is not None], want)
+    assert all(x[2] == 0 for x in got if x[0] is None)
+
+
+def test_fm_index_counts():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    for _ in range(30):
+        size = r.integers(13, 25, r.integers(1, 30))
+        flat = r.integers(0, 3, size.sum()).astype(np.uint64)
+        index = substring.FMIndex(flat, size)
+        begin = np.cumsum(size + 1) - (size + 1)
+        at = np.concatenate([np.arange(b, b + n - 4) for b, n in zip(begin, size, strict=True)])
+        lo, hi = index.search(at, 5)
+        want = {}
+        for a in at:
+            want[tuple(index.text[a : a + 5])] = want.get(tuple(index.text[a : a + 5]), 0) + 1
+        for a, x, y in zip(at, lo, hi, strict=True):
+            n = want[tuple(index.text[a : a + 5])]
+            assert y - x == n and (n == 1 or a in index.suffix[x:y])
+
+
+def test_language_model(spark, good):
+    docs = good.limit(120).unionByName(spark.createDataFrame([(10**6, None), (10**6 + 1, ""), (10**6 + 1, "")], "doc_id long, text string"), allowMissingColumns=True).select("doc_id", "text").cache()
+    rows = pairs(docs)
+    from pyspark.sql import functions as F
+
+    from sparkveil.llm.text import crc_mod
+
+    model = lm.train(docs.where(crc_mod(F.col("doc_id"), 7) != 2))
+    got = sorted([(r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in lm.score(docs, model).collect()])
+    want = sorted((i, n, known, base, s) for i, _, n, known, _, base, s in plain.language_model(rows))
+    assert len(got) == len(want)
+    for g, w in zip(got, want, strict=True):
+        assert g[:3] == w[:3] and g[3:] == pytest.approx(w[3:], abs=1e-6)
+
+
+def test_language_model_sums_to_one(spark):
+    import numpy as np
+
+    docs = spark.createDataFrame([(0, "a b a c a b b"), (1, "b c"), (2, "a a a d e f g h")], "doc_id long, text string")
+    model = lm.train(docs)
+    v = model.v
+    every = np.array([*range(v.size), -1])
+    for before in [*range(v.size), int(lm.START), -1]:
+        assert (10 ** model.log10(every, np.full(len(every), before))).sum() == pytest.approx(1.0)
+
+
+def test_mixing(spark, bad, good, duck):
+    rows_a = rows_of(QUERIES["op10_mixing"](spark, SF).toPandas())
+    assert rows_a == rows_of(duck.sql(SQL["op10_mixing"]).df())
+    assert rows_a == rows_of(QUERIES["op10_mixing"](spark, SF).toPandas())
+    for docs in (bad, good):
+        rows = mixing.mix(docs).collect()
+        assert len(rows) == docs.count() and all(0 <= r.taken <= 3 * r["size"] for r in rows)
+        by = {}
+        for r in rows:
+            x = by.setdefault(r.source, [r.target, 0, 0])
+            x[1] += r.taken
+            x[2] += r["size"]
+        assert all(abs(t - taken) <= 1 and t <= 3 * size + 1e-6 for t, taken, size in by.values())
+        assert sum(x[0] for x in by.values()) == pytest.approx(sum(x[2] for x in by.values()))
+
+
+def test_classifier_holds_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    scored = QUERIES["op2_quality_classifier"](spark, "/root/testdata/sf0.01").join(labels, "doc_id").where("held_out").toPandas()
+    assert docs.count() == 1000 and scored.score.between(0, 1).all()
+    rank = scored.score.rank()
+    pos = scored.quality == 1
+    auc = (rank[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
+    assert auc > 0.9 and (scored.predicted == (scored.score >= 0.3)).all()
+
+
+def test_classifier_odd_labels(spark, bad, empty):
+    for rows in ([], [(0, 1)], [(None, 0), (7, 2), (8, None), (10, 1)], [(7, 0), (8, 1), (9, 0), (10, 1), (12, 1), (12, 1)]):
+        labels = spark.createDataFrame(rows, "doc_id long, quality int")
+        model = classifier.fit(*classifier.labelled(bad, labels, "doc_id", "text", "quality", 5))
+        got = classifier.classify(bad, model).collect()
+        assert len(got) == bad.count() and all(0 <= r.score <= 1 for r in got)
+
+
+def test_empty_tables(spark, empty):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert quality.quality_rules(empty).count() == 0 and decontaminate.contamination(empty, bench).count() == 0
+    assert pii.find_pii(empty).count() == 0 and pii.redact(empty).count() == 0 and licenses.license_scan(empty).count() == 0
+    assert jaccard.near_duplicates(empty).count() == 0 and jaccard.keep_one(empty).count() == 0
+    assert substring.dedup_substrings(empty).count() == 0 and mixing.mix(empty).count() == 0
+    assert lm.score(empty, lm.train(empty)).count() == 0
+
+
+def test_empty_benchmark_and_training(spark, good, empty):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.contamination(good, bench).where("n_hit > 0").count() == 0
+    scored = lm.score(good.limit(5), lm.train(empty)).collect()
+    assert all(r.n_known == 0 and r.score == 0 and r.base_score == 0 for r in scored)
+
+
+def test_pipeline(spark, good):
+    import corpus_pipeline
+
+    docs = good
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SF).cache()
+        assert after.columns == good.columns and 0 < after.count() <= docs.count(), name
+        docs = after
+    assert corpus_pipeline.run(spark, SF).count() == docs.count()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_sql(spark, duck, name):
+    assert rows_of(QUERIES[name](spark, SF).toPandas()) == rows_of(duck.sql(SQL[name]).df())
