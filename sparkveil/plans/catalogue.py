@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lookups, textpii
-from ..operators import boxes, parsers, speech, summary, tracks
+from ..operators import boxes, parsers, pixels, speech, summary, tracks
+from ..sources.readers import shared_dir
+from ..streaming import streams
 from .inputs import CARRY, KIND_OF, MARGIN, TOTAL, boxed_tracks, event_kind, event_tracks, line_boxes, raw_events, table, words
 
 QUERIES: dict = {}
@@ -484,3 +485,68 @@ def targets_resolved(spark, sf):
 def track_length_histogram(spark, sf):
     k = event_tracks(spark, sf).groupBy(F.split("track_key", ":")[0].alias("kind"), "track_key").agg(F.count("*").alias("frames"))
     return k.groupBy("kind", F.floor(F.col("frames") / 2).cast("int").alias("bucket")).agg(F.count("*").alias("tracks"))
+
+
+# --- streams ----------------------------------------------------------------------------------
+
+
+def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    schema = table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf}/{name}.parquet*")
+
+
+def _finished(df: DataFrame) -> DataFrame:
+    """Runs a stream over all there is into the shared folder, and reads what came out."""
+    spark = df.sparkSession
+    base = shared_dir(spark, "stream")
+    df.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{base}/out")
+
+
+@query(SQL["pii_hits_all"])
+def stream_pii(spark, sf):
+    return _finished(streams.pii_stream(_stream(spark, sf, "documents"), "doc_id", "text"))
+
+
+@query("""WITH t AS (SELECT event_type, user_id, ts, lag(ts) OVER (PARTITION BY event_type, user_id ORDER BY ts) AS p FROM events),
+s AS (SELECT *, sum(CASE WHEN p IS NULL OR ts > p + INTERVAL 12 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY event_type, user_id ORDER BY ts) AS n FROM t),
+g AS (SELECT event_type, user_id, min(ts) AS a, max(ts) + INTERVAL 12 HOUR AS b, count(*) AS detections FROM s GROUP BY event_type, user_id, n)
+SELECT event_type, user_id, count(*) AS sessions, sum(detections)::BIGINT AS detections FROM g WHERE b <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2""")
+def stream_carry_sessions(spark, sf):
+    events = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    sessions = _finished(streams.carry_sessions(events, "ts", ["event_type", "user_id"], "12 hours"))
+    return sessions.groupBy("event_type", "user_id").agg(F.count("*").alias("sessions"), F.sum("detections").alias("detections"))
+
+
+@query()
+def stream_tracker(spark, sf):
+    l = _stream(spark, sf, "lineitem")  # noqa: E741
+    x, y = (F.col("l_partkey") % 40).cast("int"), (F.col("l_suppkey") % 40).cast("int")
+    d = l.select((F.col("l_orderkey") % 16).cast("string").alias("media_id"), F.lit("box").alias("phrase"), (F.col("l_orderkey") / 16).cast("int").alias("frame"), F.col("l_linenumber").alias("seq"), x.alias("x1"), y.alias("y1"), (x + 20).alias("x2"), (y + 20).alias("y2"))
+    return _finished(streams.tracker_stream(d))
+
+
+# --- pixels -----------------------------------------------------------------------------------
+
+
+@query("""SELECT p_partkey, o AS orientation, CASE WHEN o IN (2, 3) THEN 100 - x - 9 WHEN o IN (5, 8) THEN y WHEN o IN (6, 7) THEN 60 - y - 5 ELSE x END AS x1, CASE WHEN o IN (3, 4) THEN 60 - y - 5 WHEN o IN (5, 6) THEN x WHEN o IN (7, 8) THEN 100 - x - 9 ELSE y END AS y1
+FROM (SELECT p_partkey, CAST(1 + p_partkey % 8 AS INTEGER) AS o, CAST(p_partkey % 90 AS INTEGER) AS x, CAST(p_size AS INTEGER) AS y FROM part)""")
+def orient_boxes(spark, sf):
+    x, y = (F.col("p_partkey") % 90).cast("int"), F.col("p_size")
+    box = F.struct(x.alias("x1"), y.alias("y1"), (x + 9).alias("x2"), (y + 5).alias("y2"))
+    o = (1 + F.col("p_partkey") % 8).cast("int")
+    out = table(spark, sf, "part").select("p_partkey", o.alias("orientation"), pixels.orient_box(box, o, F.lit(100), F.lit(60)).alias("b"))
+    return out.select("p_partkey", "orientation", "b.x1", "b.y1")
+
+
+@query()
+def cover_pixels(spark, sf):
+    """A synthetic picture for each part, covered in its box: how much detail is left there."""
+    side = 48
+    p = table(spark, sf, "part").select("p_partkey", "p_size")
+    noise = F.concat(*[F.sha2(F.concat_ws(":", "p_partkey", F.lit(i)).cast("binary"), 512) for i in range(side * side * 3 // 128)])
+    box = F.array(F.struct(F.lit(8).alias("x1"), F.lit(8).alias("y1"), F.lit(40).alias("x2"), F.lit(40).alias("y2")))
+    frames = p.select("p_partkey", F.lit(side).alias("height"), F.lit(side).alias("width"), noise.cast("binary").alias("pixels"), box.alias("boxes"))
+    after = pixels.cover_frames(frames, "blur", 21)
+    size = F.lit(side), F.lit(side * 3)
+    return after.select("p_partkey", pixels.detail(*size, F.col("pixels")).alias("detail"))

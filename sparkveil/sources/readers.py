@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,12 @@ TRANSCRIPT = f"words array<{WORD}>, segments array<struct<words:array<{WORD}>>>"
 SUMMARY = "elements_found long, severity_counts struct<critical:long,high:long,medium:long,low:long>, frames_with_sensitive_elements long, kept_visible array<string>, exposure_score double"
 
 
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder under the one that spark.checkpoint.dir names; a temporary one where none is named."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def media_kind(path: Column) -> Column:
     suffix = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
     out = None
