@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,43 +33,55 @@ def points_box(points: Column) -> Column:
     return F.struct(F.array_min(xs).cast("int").alias("x1"), F.array_min(ys).cast("int").alias("y1"), F.array_max(xs).cast("int").alias("x2"), F.array_max(ys).cast("int").alias("y2"))
 
 
-def _iou(a, b) -> float:
-    inner = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
-    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inner
-    return inner / union if union > 0 else 0.0
-
-
 class Tracker:
     """Greedy overlap tracker: a box takes the unused track it overlaps most (ties: the newest)."""
 
-    def __init__(self, least: float = LEAST_IOU, last: dict | None = None):
-        self.least, self.last = least, dict(last or {})
-
-    def frame(self, boxes: list[tuple]) -> list[int]:
-        used, out = set(), []
-        for box in boxes:
-            found, best = None, self.least
-            for track, seen in self.last.items():
-                if track not in used and (o := _iou(seen, box)) >= best:
-                    found, best = track, o
-            if found is None:
-                found = len(self.last)
-            self.last[found] = box
-            used.add(found)
+    def __init__(self, least: float = LEAST_IOU, last: list[tuple] | None = None):
+        self.least, self.n = least, len(last or [])
+        self.last = np.zeros((max(16, 2 * self.n), 4), np.int64)
+        if self.n:
+            self.last[: self.n] = last
+
+    def frame(self, boxes: np.ndarray) -> list[int]:
+        """Track of each box of a frame. Tracks taken in this frame are out of reach for the rest of
+        it, so overlaps with the boxes before the frame are all that is needed."""
+        boxes = np.asarray(boxes, np.int64).reshape(-1, 4)
+        while len(self.last) < self.n + len(boxes):
+            self.last = np.concatenate([self.last, np.zeros_like(self.last)])
+        seen, known = self.last[: self.n].T[:, None, :], self.n
+        x1, y1, x2, y2 = boxes.T[:, :, None]
+        inner = np.maximum(0, np.minimum(seen[2], x2) - np.maximum(seen[0], x1)) * np.maximum(0, np.minimum(seen[3], y2) - np.maximum(seen[1], y1))
+        union = (seen[2] - seen[0]) * (seen[3] - seen[1]) + (x2 - x1) * (y2 - y1) - inner
+        overlap = np.where(union > 0, inner / np.maximum(union, 1), 0.0)
+        out = []
+        for i in range(len(boxes)):
+            found = known - 1 - int(overlap[i, ::-1].argmax()) if known else -1
+            if found < 0 or overlap[i, found] < self.least:
+                found = self.n
+                self.n += 1
+            else:
+                overlap[:, found] = -1.0
             out.append(found)
+        self.last[out] = boxes
         return out
 
+    def run(self, pdf: pd.DataFrame) -> list[str]:
+        """Tracks of the rows of a frame table that is sorted by frame and sequence."""
+        frames, boxes, ids = pdf["frame"].to_numpy(), pdf[["x1", "y1", "x2", "y2"]].to_numpy(np.int64), []
+        cut = [0, *(np.flatnonzero(np.diff(frames)) + 1).tolist(), len(frames)]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            if b > a:
+                ids += self.frame(boxes[a:b])
+        return [str(i) for i in ids]
+
 
 def track_boxes(detections: DataFrame, least: float = LEAST_IOU) -> DataFrame:
     """Track ids for detections, media by media and phrase by phrase. The state runs through all
     frames of a clip in order, so a clip is one group; clips are spread over tasks."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame", "seq"])
-        tracker, ids = Tracker(least), []
-        for _, part in pdf.groupby("frame", sort=True):
-            ids += tracker.frame(list(part[["x1", "y1", "x2", "y2"]].itertuples(index=False, name=None)))
-        return pdf[["media_id", "phrase", "frame", "seq"]].assign(track_id=[str(i) for i in ids])
+        pdf = pdf.sort_values(["frame", "seq"], kind="stable")
+        return pdf[["media_id", "phrase", "frame", "seq"]].assign(track_id=Tracker(least).run(pdf))
 
     return detections.groupBy("media_id", "phrase").applyInPandas(run, TRACKED)
 

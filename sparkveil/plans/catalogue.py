@@ -316,7 +316,7 @@ def eval_floors(spark, sf):
 def iou_tracker(spark, sf):
     l = table(spark, sf, "lineitem")  # noqa: E741
     x, y = (F.col("l_partkey") % 40).cast("int"), (F.col("l_suppkey") % 40).cast("int")
-    d = l.select((F.col("l_orderkey") % 16).cast("string").alias("media_id"), F.lit("box").alias("phrase"), (F.col("l_orderkey") / 16).cast("int").alias("frame"), F.col("l_linenumber").alias("seq"), x.alias("x1"), y.alias("y1"), (x + 20).alias("x2"), (y + 20).alias("y2"))
+    d = l.select((F.col("l_orderkey") % 64).cast("string").alias("media_id"), F.lit("box").alias("phrase"), (F.col("l_orderkey") / 64).cast("int").alias("frame"), F.col("l_linenumber").alias("seq"), x.alias("x1"), y.alias("y1"), (x + 20).alias("x2"), (y + 20).alias("y2"))
     return boxes.track_boxes(d)
 
 
@@ -522,7 +522,7 @@ def stream_carry_sessions(spark, sf):
 def stream_tracker(spark, sf):
     l = _stream(spark, sf, "lineitem")  # noqa: E741
     x, y = (F.col("l_partkey") % 40).cast("int"), (F.col("l_suppkey") % 40).cast("int")
-    d = l.select((F.col("l_orderkey") % 16).cast("string").alias("media_id"), F.lit("box").alias("phrase"), (F.col("l_orderkey") / 16).cast("int").alias("frame"), F.col("l_linenumber").alias("seq"), x.alias("x1"), y.alias("y1"), (x + 20).alias("x2"), (y + 20).alias("y2"))
+    d = l.select((F.col("l_orderkey") % 64).cast("string").alias("media_id"), F.lit("box").alias("phrase"), (F.col("l_orderkey") / 64).cast("int").alias("frame"), F.col("l_linenumber").alias("seq"), x.alias("x1"), y.alias("y1"), (x + 20).alias("x2"), (y + 20).alias("y2"))
     return _finished(streams.tracker_stream(d))
 
 

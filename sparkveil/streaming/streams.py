@@ -36,12 +36,10 @@ def tracker_stream(detections: DataFrame, least: float = LEAST_IOU) -> DataFrame
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         flat = list(state.get[0]) if state.exists else []
-        tracker = Tracker(least, {i: tuple(flat[4 * i : 4 * i + 4]) for i in range(len(flat) // 4)})
-        pdf = pd.concat(list(parts)).sort_values(["frame", "seq"])
-        ids = []
-        for _, part in pdf.groupby("frame", sort=True):
-            ids += tracker.frame(list(part[["x1", "y1", "x2", "y2"]].itertuples(index=False, name=None)))
-        state.update(([int(v) for i in range(len(tracker.last)) for v in tracker.last[i]],))
-        yield pdf[["media_id", "phrase", "frame", "seq"]].assign(track_id=[str(i) for i in ids])
+        tracker = Tracker(least, [tuple(flat[4 * i : 4 * i + 4]) for i in range(len(flat) // 4)])
+        pdf = pd.concat(list(parts)).sort_values(["frame", "seq"], kind="stable")
+        ids = tracker.run(pdf)
+        state.update((tracker.last[: tracker.n].reshape(-1).tolist(),))
+        yield pdf[["media_id", "phrase", "frame", "seq"]].assign(track_id=ids)
 
     return detections.groupBy("media_id", "phrase").applyInPandasWithState(run, TRACKED, "boxes array<int>", "append", GroupStateTimeout.NoTimeout)

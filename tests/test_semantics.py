@@ -204,3 +204,27 @@ def test_plans_push_down(spark):
 
     plan = catalogue.QUERIES["pii_counts_by_source"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string,source:string>" in plan and "Python" not in plan
+
+
+def test_tracker_like_a_plain_one():
+    r = random.Random(12)
+
+    def iou(a, b):
+        inner = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+        union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inner
+        return inner / union if union > 0 else 0.0
+
+    t, last = boxes.Tracker(), {}
+    for _ in range(300):
+        frame = [(x, y, x + 6, y + 6) for x, y in ((r.randint(0, 12), r.randint(0, 12)) for _ in range(r.randint(0, 4)))]
+        used, want = set(), []
+        for b in frame:
+            best, found = 0.3, None
+            for k, s in last.items():
+                if k not in used and iou(s, b) >= best:
+                    best, found = iou(s, b), k
+            found = len(last) if found is None else found
+            last[found] = b
+            used.add(found)
+            want.append(found)
+        assert t.frame(frame) == want
