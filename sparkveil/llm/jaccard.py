@@ -39,6 +39,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -390,10 +391,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         _, _, size, name = sets(block)
         return [size, name.view(np.int64)], None
 
-    rows = store.written(per_block(read, ["_id"], "_text", named, [("n_shingles", T.LongType()), ("name", T.LongType())], lower=True), f"{directory}-rows")
+    # kept on the executors' disks: what a lost executor held is made again from the input
+    rows = per_block(read, ["_id"], "_text", named, [("n_shingles", T.LongType()), ("name", T.LongType())], lower=True).persist(StorageLevel.DISK_ONLY)
     signed = read.select("_text").mapInArrow(_sign(bits), "shard int, keys binary, body binary")
     found = signed.groupBy("shard").applyInArrow(_buckets, "sign long, a long, b long")
-    found = store.written(found.coalesce(max(1, read.rdd.getNumPartitions())), f"{directory}-buckets")
+    found = found.persist(StorageLevel.DISK_ONLY)
     clusters, n = components(found.where("sign is null").select("a", "b").distinct(), f"{directory}-clusters")
     roots, _ = _components_of(spark, read, found, clusters, n, bits, directory)
     # classes of equal sets, and components of classes; empty sets stand for themselves
