@@ -9,6 +9,7 @@ from ..functions.lookups import WEIGHTS, kind_of, severity, weight
 
 LEVELS = list(WEIGHTS)
 LEAST_SHARE = 0.2
+# Labels and tag names of media containers.
 METADATA_ORDER = ["GPS location", "creation time", "device info", "title and description", "embedded text"]
 CREATION_TAGS = ["creation_time", "date", "recording_time"]
 DEVICE_TAGS = ["make", "model", "manufacturer", "com.apple.quicktime.make", "com.apple.quicktime.model"]

@@ -153,7 +153,7 @@ def track_elements(spark, sf):
     return summary.order_elements(summary.elements(event_tracks(spark, sf), TOTAL, event_kind()))
 
 
-SUMMARY_COLUMNS = """media_id, count(*) AS elements_found, count_if(severity = 'critical') AS critical, count_if(severity = 'high') AS high, count_if(severity = 'medium') AS medium, count_if(severity = 'low') AS low,
+SUMMARY_COLUMNS = """media_id, count(*) AS elements_found, count_if(severity = 'critical')::BIGINT AS critical, count_if(severity = 'high')::BIGINT AS high, count_if(severity = 'medium')::BIGINT AS medium, count_if(severity = 'low')::BIGINT AS low,
 round(sum(severity_weight * greatest(0.2::DOUBLE, share_of_clip)), 1) AS exposure_score"""
 
 
@@ -186,7 +186,7 @@ def coverage_gaps(spark, sf):
     return tracks.coverage_gaps(event_tracks(spark, sf), CARRY)
 
 
-REPORT = f"""{NEXT}, rp AS (SELECT media_id, track_key, count(*) AS detected, min(frame) AS first_frame, max(frame) AS last_frame, coalesce(max(nxt - frame - 1), 0) AS longest_gap, count_if(nxt - frame - 1 > {CARRY}) AS open_gaps FROM nx GROUP BY 1, 2)"""
+REPORT = f"""{NEXT}, rp AS (SELECT media_id, track_key, count(*) AS detected, min(frame) AS first_frame, max(frame) AS last_frame, coalesce(max(nxt - frame - 1), 0) AS longest_gap, count_if(nxt - frame - 1 > {CARRY})::BIGINT AS open_gaps FROM nx GROUP BY 1, 2)"""
 
 
 @query(f"WITH {REPORT} SELECT *, last_frame - first_frame + 1 AS span, greatest(0, last_frame - first_frame + 1 - detected) AS carried_est, CASE WHEN open_gaps > 0 THEN 'NEEDS REVIEW' ELSE 'OK' END AS status FROM rp")
@@ -260,7 +260,7 @@ def batch_rollup(spark, sf):
     return summary.rollup(summary.summaries(t, TOTAL, event_kind()))
 
 
-@query(f"WITH {ELEMENTS} SELECT CASE WHEN count_if(severity IN ('critical', 'high')) > 0 THEN 1 ELSE 0 END AS exit_code, count_if(severity IN ('critical', 'high')) AS findings FROM el")
+@query(f"WITH {ELEMENTS} SELECT CASE WHEN count_if(severity IN ('critical', 'high')) > 0 THEN 1 ELSE 0 END AS exit_code, count_if(severity IN ('critical', 'high'))::BIGINT AS findings FROM el")
 def audit_gate(spark, sf):
     return summary.gate(summary.elements(event_tracks(spark, sf), TOTAL, event_kind()).withColumn("error", F.lit(None).cast("string")), "high")
 
@@ -294,12 +294,12 @@ def iou_pairs(spark, sf):
     return side(truth, "t").join(side(found, "p"), "frame").select("frame", F.round(boxes.iou(F.col("t"), F.col("p")), 6).alias("iou"))
 
 
-@query(f"WITH {PAIRS} SELECT 'clip' AS media_id, count(*) AS gt_boxes, count_if(iou >= 0.5) AS hits, round(avg(CASE WHEN iou >= 0.5 THEN 1.0::DOUBLE ELSE 0 END), 4) AS recall, round(avg(iou), 4) AS mean_iou FROM io")
+@query(f"WITH {PAIRS} SELECT 'clip' AS media_id, count(*) AS gt_boxes, count_if(iou >= 0.5)::BIGINT AS hits, round(avg(CASE WHEN iou >= 0.5 THEN 1.0::DOUBLE ELSE 0 END), 4) AS recall, round(avg(iou), 4) AS mean_iou FROM io")
 def eval_recall(spark, sf):
     return boxes.recall(boxes.match_boxes(*line_boxes(spark, sf)))
 
 
-@query("SELECT * FROM (VALUES ('badge', 0.7667, 0.7667, 0.5, 'C'), ('form', 1.0, 1.0, 0.0671, 'A'), ('half', 0.5, 0.6, 2.0, 'F'), ('qr', 1.0, 1.0, 0.1237, 'A')) t(clip, recall, coverage, leakage, grade)".replace("1.0, 1.0, 0.0671", "1.0, 1.0, 0.0671"))
+@query("SELECT clip, recall::DOUBLE AS recall, coverage::DOUBLE AS coverage, leakage::DOUBLE AS leakage, grade FROM (VALUES ('badge', 0.7667, 0.7667, 0.5, 'C'), ('form', 1.0, 1.0, 0.0671, 'A'), ('half', 0.5, 0.6, 2.0, 'F'), ('qr', 1.0, 1.0, 0.1237, 'A')) t(clip, recall, coverage, leakage, grade)")
 def eval_grade(spark, sf):
     df = spark.createDataFrame([("badge", 0.7667, 0.7667, 0.5), ("form", 1.0, 1.0, 0.0671), ("half", 0.5, 0.6, 2.0), ("qr", 1.0, 1.0, 0.1237)], "clip string, recall double, coverage double, leakage double")
     return df.withColumn("grade", boxes.grade(F.col("recall"), F.col("coverage"), F.col("leakage")))
@@ -376,9 +376,9 @@ def speech_merge_intervals(spark, sf):
     return speech.merge_intervals(e.select(F.col("event_type").alias("media_id"), F.concat(F.lit("k"), (F.col("user_id") % 3).cast("string")).alias("kind"), s.alias("start"), (s + 1.0).alias("end"), F.col("event_id").cast("string").alias("text")), 2.5)
 
 
-@query("""SELECT * FROM (VALUES ('phone', 'phone number', '4155552671', 0.0, 3.6), ('card', 'credit card number', '4242424242424242', 0.0, 5.1), ('ssn', 'ssn', '078051123', 0.0, 3.0), ('email', 'email', 'alex.example@mail.com', 0.3, 3.0), ('glued', 'phone number', '415-555-2671', 0.0, 0.9)) t(media_id, kind, text, start, "end")""")
+@query("""SELECT media_id, kind, text, start::DOUBLE AS start, "end"::DOUBLE AS "end" FROM (VALUES ('phone', 'phone number', '4155552671', 0.0, 3.6), ('card', 'credit card number', '4242424242424242', 0.0, 5.1), ('ssn', 'ssn', '078051123', 0.0, 3.0), ('email', 'email', 'alex.example@mail.com', 0.25, 3.0), ('glued', 'phone number', '415-555-2671', 0.0, 0.9)) t(media_id, kind, text, start, "end")""")
 def spoken_pii(spark, sf):
-    return speech.find_speech_pii(words(spark)).select("media_id", "kind", "text", F.round("start", 2).cast("decimal(3,1)").alias("start"), F.round("end", 2).cast("decimal(3,1)").alias("end"))
+    return speech.find_speech_pii(words(spark)).select("media_id", "kind", "text", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"))
 
 
 @query()
@@ -427,12 +427,11 @@ def parse_sse(spark, sf):
     return parsers.parse_events(spark.createDataFrame(rows, "media_id string, pos int, data string"))
 
 
-@query("SELECT * FROM (VALUES (0, 'ok', 51.5072, -0.1275, 0.8, 'UK', 2), (1, 'failed', NULL, NULL, NULL, NULL, NULL), (2, 'failed', NULL, NULL, NULL, NULL, NULL)) t(id, status, lat, lon, confidence, country, n_cues)")
+@query("SELECT id, status, lat::DOUBLE AS lat, lon::DOUBLE AS lon, confidence::DOUBLE AS confidence, country, n_cues FROM (VALUES (0, 'ok', 51.5072, -0.1275, 0.8, 'UK', 2), (1, 'failed', NULL, NULL, NULL, NULL, NULL), (2, 'failed', NULL, NULL, NULL, NULL, NULL)) t(id, status, lat, lon, confidence, country, n_cues)")
 def parse_verdict(spark, sf):
     rows = [(0, 'sure: {"lat": 51.50722, "lon": -0.1275, "country": "UK", "city": "London", "confidence_25km": 80, "cues": ["sign", " ", "bus"]} bye'), (1, '{"lat": 95, "lon": 0, "confidence_25km": 10}'), (2, "no json")]
     v = spark.createDataFrame(rows, "id int, t string").select("id", parsers.parse_verdict(F.col("t")).alias("v"))
-    dec = lambda c, t: F.col(f"v.{c}").cast(t).alias(c)
-    return v.select("id", "v.status", dec("lat", "decimal(6,4)"), dec("lon", "decimal(6,4)"), dec("confidence", "decimal(2,1)"), "v.country", F.size("v.cues").alias("n_cues")).withColumn("n_cues", F.when(F.col("status") == "ok", F.col("n_cues")))
+    return v.select("id", "v.status", "v.lat", "v.lon", "v.confidence", "v.country", F.size("v.cues").alias("n_cues")).withColumn("n_cues", F.when(F.col("status") == "ok", F.col("n_cues")))
 
 
 @query("""SELECT * FROM (VALUES ('a', 'GPS location', 'high', 1), ('a', 'creation time', 'medium', 2), ('a', 'title and description', 'medium', 4), ('b', 'device info', 'medium', 3)) t(media_id, label, severity, pos)""")
