@@ -152,4 +152,4 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = fit(*labelled(docs, labels, "doc_id", "text", "quality", 5))
-    return classify(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "size_difference")
+    return classify(docs, model).select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted", "size_difference")
