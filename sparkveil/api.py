@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from .functions.lookups import check_options, severity
 from .functions.textpii import find_pii, mask
-from .operators import speech, summary, tracks
+from .operators import reports, speech, summary, tracks
 
-OPTIONS = ("total_frames", "fps", "carry_frames", "mask_margin", "width", "height", "keep", "exclude", "margin", "mode", "strength", "fail_on")
+OPTIONS = ("total_frames", "fps", "carry_frames", "mask_margin", "width", "height", "keep", "exclude", "margin", "mode", "strength", "fail_on", "audio", "pitch_factor", "provider", "backend", "local", "location_audit")
 
 
 def audit(detections: DataFrame | None = None, texts: DataFrame | None = None, transcript: DataFrame | None = None, tags: DataFrame | None = None, **options) -> dict[str, DataFrame]:
@@ -24,7 +24,7 @@ def audit(detections: DataFrame | None = None, texts: DataFrame | None = None, t
         hits = texts.select("media_id", F.explode(find_pii(F.col("text"))).alias("h")).select("media_id", "h.*")
         out["text_findings"] = hits.withColumn("severity", severity(F.col("kind")))
     if transcript is not None:
-        out["speech_findings"] = speech.find_speech_pii(transcript, o["margin"])
+        out["speech_findings"] = speech.find_speech_pii(transcript, o["margin"]).withColumn("severity", severity(F.col("kind")))
     if tags is not None:
         out["metadata_findings"] = summary.metadata_findings(tags)
     if detections is not None:
@@ -34,7 +34,9 @@ def audit(detections: DataFrame | None = None, texts: DataFrame | None = None, t
         out["elements"] = summary.elements(used, o["total_frames"])
         out["gaps"] = tracks.coverage_gaps(used, o["carry_frames"])
         out["coverage"] = tracks.coverage_report(used, o["carry_frames"])
+        out["coverage_lines"] = reports.coverage_lines(used, o["total_frames"], o["carry_frames"])
         out["summaries"] = summary.summaries(used, o["total_frames"], kept=visible)
+        out["audit_lines"] = reports.audit_lines(out["summaries"], out["elements"], o["total_frames"])
         out["rollup"] = summary.rollup(out["summaries"])
         if "fail_on" in o:
             out["gate"] = summary.gate(out["elements"].withColumn("error", F.lit(None).cast("string")), o["fail_on"])

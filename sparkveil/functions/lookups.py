@@ -24,6 +24,8 @@ PRESETS = [
     ("location", ["street sign", "house number", "license plate", "mailbox"], "blur", 35, 14, 6),
     ("screen-share", ["screen", "face"], "blur", 35, 8, 3),
 ]
+CHOICES = {"mode": ("blur", "pixelate", "replace"), "audio": ("keep", "mute", "pitch"), "backend": ("api", "hosted", "local"), "provider": ("sam", "grounding-sam", "yunet", "owlv2")}
+REMOTE_PROVIDER, LOCAL_PROVIDERS = "sam", ("grounding-sam", "yunet", "owlv2")
 OPTION_DEFAULTS = {"mode": "blur", "strength": 21, "mask_margin": 10, "carry_frames": 4}
 
 
@@ -80,10 +82,21 @@ def check_options(options: dict, known: Iterable[str]) -> dict:
     unknown = sorted(set(options) - set(known))
     if unknown:
         raise ValueError(f"unknown options: {', '.join(unknown)}")
-    for name, allowed in (("mode", ("blur", "pixelate", "replace")), ("audio", ("keep", "mute", "pitch"))):
-        if name in options and options[name] not in allowed:
+    for name, allowed in CHOICES.items():
+        if options.get(name) is not None and options[name] not in allowed:
             raise ValueError(f"{name} must be one of {', '.join(allowed)}")
-    for name in ("strength", "mask_margin", "carry_frames"):
+    for name in ("strength", "pitch_factor"):
+        if options.get(name, 1) <= 0:
+            raise ValueError(f"{name} must be positive")
+    for name in ("mask_margin", "carry_frames", "total_frames", "margin"):
         if options.get(name, 0) < 0:
             raise ValueError(f"{name} must not be negative")
+    provider, backend = options.get("provider"), options.get("backend")
+    here = bool(options.get("local")) or backend == "local" or provider in LOCAL_PROVIDERS
+    if backend not in (None, "local") and here:
+        raise ValueError(f"what runs locally takes no backend {backend}")
+    if provider == REMOTE_PROVIDER and backend == "local":
+        raise ValueError(f"provider {provider} is remote: name backend api or hosted, or a local provider")
+    if options.get("location_audit") and here:
+        raise ValueError("a location estimate needs a remote model, and these options promise a local run")
     return options

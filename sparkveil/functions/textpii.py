@@ -20,6 +20,9 @@ PHONE = r"(?<!\d)(?:\+?1[ .-]?)?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)"
 SEPARATOR = r"(?:(?:\s*[,;/|:\-]\s*|\s+)(?:(?:LAT(?:ITUDE)?|LON(?:GITUDE)?|GPS)\b\s*[:.\-]?\s*)?)"
 KINDS = ["email", "ssn", "gps coordinates", "credit card number", "phone number"]
 HIT = "array<struct<kind:string,text:string,start:int,end:int>>"
+#: Names inside track keys, in the order in which they decide, and the stand-in each takes.
+PATCH_OF = [("license plate", "license plate"), ("house number", "house number"), ("street sign", "house number"), ("credit card number", "credit card number"), ("phone number", "phone number"), ("email", "email"), ("ssn", "ssn")]
+PLATE_LETTERS = "ABCDEFGHJKLMNPRSTUVWXYZ"
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -121,8 +124,9 @@ def find_pii(text: Column, kinds: list[str] = KINDS) -> Column:
     so no pattern is evaluated twice.
     """
     by = candidates(F.coalesce(text, F.lit("")))
-    # a cheap test on the row first: most texts have neither an @ nor four digits in a row or two
-    likely = F.rlike(text, F.lit(r"@|\d{2,}[-. ,]?\d{2,}"))
+    # a cheap test on the row first, which every match of any kind passes: an @, nine digits a
+    # separator apart at most, the end of a phone number, or four decimals
+    likely = F.rlike(text, F.lit(r"@|(?:\d[ -]?){8}\d|\d{3}[ .-]\d{4}|\d[.,]\d{4}"))
     every = F.concat(*[by[k] for k in KINDS if k in kinds])
     claimed = F.aggregate(every, F.array().cast(HIT), lambda taken, h: F.when(F.exists(taken, lambda t: overlap(h, t)), taken).otherwise(F.concat(taken, F.array(h))))
     ordered = F.array_sort(claimed, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0))
@@ -148,7 +152,27 @@ def stand_in(kind: Column, key: Column) -> Column:
     card = F.concat(body, luhn_digit(body))
     spaced = F.concat_ws(" ", *[F.substring(card, i, 4) for i in (1, 5, 9, 13)])
     phone = F.concat(F.lit("555-01"), (F.lit(10) + digits_of(key, 6).cast("int") % 90).cast("string"))
-    return F.when(kind == "credit card number", spaced).when(kind == "phone number", phone).when(kind == "email", "person@example.com").when(kind == "ssn", "000-00-0000").otherwise(F.concat(F.lit("["), kind, F.lit("]")))
+    # every letter and digit takes part of the key's hash, so a stand-in is the same wherever it is made
+    letter = lambda i: F.substr(F.lit(PLATE_LETTERS), F.substr(digits_of(key, 9), F.lit(2 * i + 1), F.lit(2)).cast("int") % len(PLATE_LETTERS) + 1, F.lit(1))
+    plate = F.concat(letter(0), letter(1), letter(2), F.lit(" "), digits_of(key, 3))
+    house = (F.lit(12) + digits_of(key, 9).cast("int") % 9888).cast("string")
+    by_kind = [("credit card number", spaced), ("phone number", phone), ("email", F.lit("person@example.com")), ("ssn", F.lit("000-00-0000")), ("license plate", plate), ("house number", house)]
+    out = F.lit(None).cast("string")
+    for name, value in reversed(by_kind):
+        out = F.when(kind == name, value).otherwise(out)
+    return F.coalesce(out, F.concat(F.lit("["), kind, F.lit("]")))
+
+
+def replacement(track_key: Column) -> Column:
+    """What covers a track in replace mode: struct<action, text>. The action is avatar, patch (with
+    a stand-in as its text) or fill; the first name in order that stands inside the key decides."""
+    low = F.lower(track_key)
+    action, text = F.lit("fill"), F.lit(None).cast("string")
+    for name, kind in reversed(PATCH_OF):
+        action = F.when(F.contains(low, F.lit(name)), "patch").otherwise(action)
+        text = F.when(F.contains(low, F.lit(name)), stand_in(F.lit(kind), track_key)).otherwise(text)
+    person = F.contains(low, F.lit("face")) | F.contains(low, F.lit("person"))
+    return F.struct(F.when(person, "avatar").otherwise(action).alias("action"), F.when(~person, text).alias("text"))
 
 
 def mask(text: Column, found: Column) -> Column:

@@ -6,6 +6,8 @@ their pixels. Geometry (boxes, kernels, orientation) stays in column expressions
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -39,10 +41,63 @@ def pixelate(frame: np.ndarray, block: int) -> np.ndarray:
     return mean.repeat(block, 0)[:h].repeat(block, 1)[:, :w]
 
 
+def avatar(frame: np.ndarray, x1: int, y1: int, x2: int, y2: int, key: str) -> None:
+    """A head and shoulders in colours that the key picks, drawn into the frame over a flat ground."""
+    shade = np.frombuffer(hashlib.sha256(key.encode()).digest()[:6], np.uint8).astype(int) % 40
+    h, w = y2 - y1, x2 - x1
+    y, x = np.mgrid[0:h, 0:w] + 0.5
+    part = np.full((h, w, 3), 235, np.uint8)
+    part[((x - w / 2) / (0.46 * w)) ** 2 + ((y - 1.15 * h) / (0.45 * h)) ** 2 <= 1] = shade[:3] + 80
+    part[((x - w / 2) / (0.3 * w)) ** 2 + ((y - 0.42 * h) / (0.36 * h)) ** 2 <= 1] = shade[3:] + 170
+    frame[y1:y2, x1:x2] = part
+
+
+def surround(frame: np.ndarray, x1: int, y1: int, x2: int, y2: int) -> np.ndarray:
+    """Mean colour of the ring of pixels around a box; grey if the box is the whole picture."""
+    h, w = frame.shape[:2]
+    a, b, c, d = max(0, x1 - 1), max(0, y1 - 1), min(w, x2 + 1), min(h, y2 + 1)
+    ring = np.ones((d - b, c - a), bool)
+    ring[y1 - b : y2 - b, x1 - a : x2 - a] = False
+    return np.rint(frame[b:d, a:c][ring].mean(axis=0)).astype(np.uint8) if ring.any() else np.full(3, 128, np.uint8)
+
+
+def replace(frame: np.ndarray, boxes, actions, key: str = "") -> np.ndarray:
+    """Boxes replaced by their action: avatar, patch (a plain label; its text is drawn by whatever
+    encodes the frame) or fill with the colour around the box."""
+    out = frame.copy()
+    h, w = frame.shape[:2]
+    for i, (b, action) in enumerate(zip(boxes, actions, strict=True)):
+        x1, y1, x2, y2 = max(0, b["x1"]), max(0, b["y1"]), min(w, b["x2"]), min(h, b["y2"])
+        if x2 <= x1 or y2 <= y1:
+            continue
+        if action == "avatar":
+            avatar(out, x1, y1, x2, y2, f"{key}:{i}")
+        else:
+            out[y1:y2, x1:x2] = 245 if action == "patch" else surround(frame, x1, y1, x2, y2)
+    return out
+
+
+def contact_sheet(frames: list[np.ndarray], columns: int = 3, width: int = 320) -> np.ndarray:
+    """Thumbnails of one width in rows of three; the nearest pixel stands for each."""
+    if not frames:
+        return np.zeros((0, 0, 3), np.uint8)
+    h, w = frames[0].shape[:2]
+    height = max(1, round(h * width / w))
+    sheet = np.zeros((-(-len(frames) // columns) * height, columns * width, 3), np.uint8)
+    for i, f in enumerate(frames):
+        small = f[np.arange(height) * f.shape[0] // height][:, np.arange(width) * f.shape[1] // width]
+        y, x = i // columns * height, i % columns * width
+        sheet[y : y + height, x : x + width] = small
+    return sheet
+
+
 def cover(frame: np.ndarray, boxes, mode: str, strength: int) -> np.ndarray:
-    """The frame with its boxes blurred, pixelated or filled; nothing outside them changes."""
+    """The frame with its boxes blurred, pixelated, filled (black) or replaced by the colour around
+    them; nothing outside the boxes changes."""
     if not len(boxes):
         return frame
+    if mode == "replace":
+        return replace(frame, boxes, ["fill"] * len(boxes))
     changed = np.zeros_like(frame) if mode == "fill" else pixelate(frame, strength) if mode == "pixelate" else blur(frame, strength)
     out = frame.copy()
     for b in boxes:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lookups, textpii
-from ..operators import boxes, parsers, pixels, speech, summary, tracks
+from ..operators import boxes, parsers, pixels, reports, speech, summary, tracks
+from ..sources import adapters, readers
 from ..sources.readers import shared_dir
 from ..streaming import streams
 from .inputs import CARRY, KIND_OF, MARGIN, TOTAL, boxed_tracks, event_kind, event_tracks, line_boxes, raw_events, table, words
@@ -486,6 +487,124 @@ def track_length_histogram(spark, sf):
     return k.groupBy("kind", F.floor(F.col("frames") / 2).cast("int").alias("bucket")).agg(F.count("*").alias("tracks"))
 
 
+# --- reports ----------------------------------------------------------------------------------
+
+
+@query(f"""WITH {REPORT}, t AS (SELECT media_id, sum(detected)::BIGINT AS detected, max(longest_gap) AS longest_gap, sum(open_gaps)::BIGINT AS open_gaps FROM rp GROUP BY 1),
+gp AS (SELECT media_id, track_key, frame + 1 AS a, nxt - 1 AS b, nxt - frame - 1 AS n FROM nx WHERE nxt - frame - 1 > {CARRY})
+SELECT media_id, 0 AS section, 1 AS pos, 'Frames: {TOTAL}, carry window: {CARRY}' AS line FROM t
+UNION ALL SELECT media_id, 1, CAST(row_number() OVER (PARTITION BY media_id ORDER BY track_key) AS INTEGER), format('Track {{}}: {{}} frames detected, span {{}} to {{}}, about {{}} filled or carried', track_key, detected, first_frame, last_frame, greatest(0, last_frame - first_frame + 1 - detected)) FROM rp
+UNION ALL SELECT media_id, 2, 1, format('Detections: {{}}, longest gap: {{}}, open gaps: {{}}', detected, longest_gap, open_gaps) FROM t
+UNION ALL SELECT media_id, 3, CAST(row_number() OVER (PARTITION BY media_id ORDER BY track_key, a) AS INTEGER), format('{{}}: frames {{}} to {{}}, {{}} long, NEEDS REVIEW', track_key, a, b, n) FROM gp
+UNION ALL SELECT media_id, 4, 1, CASE WHEN open_gaps > 0 THEN 'Result: look at those frames before sharing' ELSE 'Result: covered throughout the tracks'' spans' END FROM t""")
+def coverage_text(spark, sf):
+    return reports.coverage_lines(event_tracks(spark, sf), TOTAL, CARRY)
+
+
+@query(f"""WITH {ELEMENTS}, fr AS (SELECT media_id, count(DISTINCT frame) AS n FROM et GROUP BY 1), x AS (SELECT {SUMMARY_COLUMNS} FROM el GROUP BY media_id), h AS (SELECT * FROM x JOIN fr USING (media_id))
+SELECT media_id, 0 AS section, 0 AS pos, format('Frames affected: {{}} of {TOTAL} ({{}}%)', n, CAST(round(100 * round(n / {TOTAL}::DOUBLE, 3)) AS INTEGER)) AS line FROM h
+UNION ALL SELECT media_id, 0, 1, format('Elements: {{}}, critical {{}}, high {{}}, medium {{}}, low {{}}', elements_found, critical, high, medium, low) FROM h
+UNION ALL SELECT media_id, 0, 2, format('Exposure: {{:.1f}}', exposure_score) FROM h
+UNION ALL SELECT media_id, 1, CAST(row_number() OVER (PARTITION BY media_id ORDER BY severity_weight DESC, frames_detected DESC, track_key) AS INTEGER), format('[{{}}] {{}}: {{}} frames, {{}} to {{}}', upper(severity), track_key, frames_detected, first_frame, last_frame) FROM el""")
+def audit_text(spark, sf):
+    t = event_tracks(spark, sf)
+    return reports.audit_lines(summary.summaries(t, TOTAL, event_kind()), summary.elements(t, TOTAL, event_kind()), TOTAL)
+
+
+@query("""SELECT * FROM (VALUES (0, 0, 'Location: near London, UK (80%)'), (0, 1, 'Cues: a; b; c; d; e; f'), (1, 0, 'Location: near unknown city, UK (5%)'), (1, 1, 'Cues: ' || repeat('x', 317) || '...'), (2, 0, 'Location: no estimate, not checked')) t(id, pos, line)""")
+def location_text(spark, sf):
+    rows = [(0, '{"lat": 51.5, "lon": -0.1, "country": "UK", "city": "London", "confidence_25km": 80, "cues": ["a","b","c","d","e","f","g"]}'), (1, '{"lat": 51.5, "lon": -0.1, "country": "UK", "confidence_25km": 5, "cues": ["%s"]}' % ("x" * 400)), (2, "no json")]
+    v = spark.createDataFrame(rows, "id int, t string").withColumn("v", parsers.parse_verdict(F.col("t")))
+    return v.select("id", F.posexplode(reports.location_lines(F.col("v"))).alias("pos", "line"))
+
+
+# --- readers, recognised text, boxes from providers -------------------------------------------
+
+
+@query("SELECT * FROM (VALUES ('a', 640, 480, round(30000 / 1001::DOUBLE, 6), 300, 10.01::DOUBLE, true), ('b', 10, 20, 30.0::DOUBLE, 60, 2.0::DOUBLE, false), ('c', NULL, NULL, 30.0::DOUBLE, 135, 4.5::DOUBLE, true)) t(media_id, width, height, fps, frame_count, duration, has_audio)")
+def probe_media(spark, sf):
+    rows = [
+        ("a", '{"streams": [{"codec_type": "video", "width": 640, "height": 480, "r_frame_rate": "30000/1001", "nb_frames": "300", "duration": "10.01"}, {"codec_type": "audio"}]}'),
+        ("b", '{"streams": [{"codec_type": "video", "width": 10, "height": 20, "r_frame_rate": "0/0", "nb_frames": "60"}]}'),
+        ("c", '{"streams": [{"codec_type": "audio"}], "format": {"duration": "4.5"}}'),
+    ]
+    out = readers.probe(spark.createDataFrame(rows, "media_id string, probe_json string"))
+    return out.select("media_id", "width", "height", F.round("fps", 6).alias("fps"), "frame_count", "duration", "has_audio")
+
+
+@query("SELECT * FROM (VALUES ('a', 0, 'one', 0.0::DOUBLE, 0.5::DOUBLE), ('a', 1, 'two', 0.5::DOUBLE, 1.0::DOUBLE), ('b', 0, 'x', 0.0::DOUBLE, 1.0::DOUBLE), ('b', 2, 'z', 3.0::DOUBLE, 4.0::DOUBLE)) t(media_id, pos, word, start, \"end\")")
+def transcript_table(spark, sf):
+    rows = [
+        ("a", '{"words": [{"word": " one, ", "start": 0.0, "end": 0.5}, {"word": "two.", "start": 0.5, "end": 1}, {"word": "...", "start": 1, "end": 2}], "segments": [{"words": [{"word": "no", "start": 0, "end": 1}]}]}'),
+        ("b", '{"segments": [{"words": [{"word": "x", "start": 0, "end": 1}, {"word": "y", "start": "?", "end": 2}]}, {}, {"words": [{"word": "\'z\'", "start": 3, "end": 4}]}]}'),
+    ]
+    return readers.transcript_words(spark.createDataFrame(rows, "media_id string, json string"))
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents c WHERE c.lang = 'en' AND c.text = d.text)")
+def cache_lookup(spark, sf):
+    """Documents whose key (content, phrase, model) a cache of the English ones does not hold."""
+    d = table(spark, sf, "documents").withColumn("cache_key", readers.cache_key(F.encode("text", "UTF-8"), F.lit("face"), "model-1"))
+    return readers.cache_misses(d.select("doc_id", "cache_key"), d.where("lang = 'en'").select("cache_key").distinct()).select("doc_id")
+
+
+@query("SELECT * FROM (VALUES ('a', 0, 'email', 'test@example.com', 5, 40, 0, 160, 12), ('a', 10, 'credit card number', '4242 4242 4242 4242', 0, 0, 20, 195, 33)) t(media_id, frame, kind, text, start, x1, y1, x2, y2)")
+def ocr_findings(spark, sf):
+    rows = [("a", 0, 1, 1, 1, i, w, 90.0, *b) for i, (w, b) in enumerate([("mail", (0, 2, 38, 11)), ("test@example.com", (40, 0, 160, 12)), (" ", (0, 0, 500, 500)), ("now", (162, 1, 180, 10))])]
+    rows += [("a", 10, 1, 1, 2, i, "4242", 88.0, 50 * i, 20 + i, 50 * i + 45, 30 + i) for i in range(4)] + [("a", 10, 1, 1, 2, 4, "x@y.org", -1.0, 0, 0, 9, 9)]
+    ocr = spark.createDataFrame(rows, "media_id string, frame int, block int, par int, line int, pos int, word string, conf double, x1 int, y1 int, x2 int, y2 int")
+    return readers.line_findings(readers.group_words(ocr)).select("media_id", "frame", "kind", "text", "start", "box.*")
+
+
+@query("""SELECT l_orderkey, l_linenumber, greatest(0, least(50, round_even(l_quantity / 2 - 5, 0)::INTEGER)) AS x1, greatest(0, least(30, round_even(l_suppkey % 40 - 4.5::DOUBLE, 0)::INTEGER)) AS y1, least(50, greatest(0, round_even(l_quantity / 2 - 5 + l_linenumber, 0)::INTEGER)) AS x2, least(30, greatest(0, round_even(l_suppkey % 40 + 2.5::DOUBLE, 0)::INTEGER)) AS y2
+FROM lineitem WHERE least(50, greatest(0, round_even(l_quantity / 2 - 5 + l_linenumber, 0)::INTEGER)) > greatest(0, least(50, round_even(l_quantity / 2 - 5, 0)::INTEGER)) AND least(30, greatest(0, round_even(l_suppkey % 40 + 2.5::DOUBLE, 0)::INTEGER)) > greatest(0, least(30, round_even(l_suppkey % 40 - 4.5::DOUBLE, 0)::INTEGER))""")
+def clean_boxes(spark, sf):
+    x, y = F.col("l_quantity") / 2 - 5, (F.col("l_suppkey") % 40).cast("double")
+    box = boxes.clean_box(x, y - 4.5, x + F.col("l_linenumber"), y + 2.5, F.lit(50), F.lit(30))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", box.alias("b")).where("b is not null").select("l_orderkey", "l_linenumber", "b.*")
+
+
+@query("SELECT p_partkey, CAST(trunc(p_size + 0.5::DOUBLE) AS INTEGER) AS x1, CAST(p_size AS INTEGER) AS y1, CAST(p_size + 9 AS INTEGER) AS x2, CAST(p_size + 7 AS INTEGER) AS y2 FROM part")
+def points_boxes(spark, sf):
+    at = lambda x, y: F.array((F.col("p_size") + x).cast("double"), (F.col("p_size") + y).cast("double"))
+    corners = F.array(at(0.5, 3.25), at(4.75, 0.0), at(9.5, 4.0), at(5.0, 7.75))
+    return table(spark, sf, "part").select("p_partkey", boxes.points_box(corners).alias("b")).select("p_partkey", "b.*")
+
+
+@query("SELECT * FROM (VALUES ('a', 'face', 0, 0, '1', 1, 2, 3, 4), ('a', 'face', 2, 1, NULL, 5, 6, 7, 8)) t(media_id, phrase, frame, seq, track_id, x1, y1, x2, y2)")
+def provider_boxes(spark, sf):
+    class Fixed:
+        def detect(self, path, phrase):
+            return [(0, 1, 1, 2, 3, 4), (2, None, 5, 6, 7, 8)] if (path, phrase) == ("a.mp4", "face") else []
+
+    media = spark.createDataFrame([("a", "a.mp4"), ("b", "b.mp4")], "media_id string, path string")
+    return adapters.detect(media, ["face", "screen"], Fixed()).unionByName(adapters.detect(media, ["face"], adapters.Nothing()))
+
+
+@query("SELECT * FROM (VALUES ('a', 'GPS location')) t(media_id, label)")
+def metadata_survivors(spark, sf):
+    tags = lambda rows: summary.metadata_findings(spark.createDataFrame(rows, "media_id string, tags map<string,string>"))
+    before, after = tags([("a", {"location": "x", "title": "t"}), ("b", {"make": "m"})]), tags([("a", {"location": "x", "date": "d"}), ("b", {"encoder": "e"})])
+    return summary.survivors(before, after).select("media_id", "label")
+
+
+@query("SELECT * FROM (VALUES (0, NULL), (1, ''), (2, 'rubberband=pitch=0.8')) t(id, filter)")
+def audio_filters(spark, sf):
+    df = spark.createDataFrame([(0, "keep", 0.8), (1, "mute", 0.8), (2, "pitch", 0.8)], "id int, mode string, pitch double")
+    return df.select("id", speech.audio_filter(F.col("mode"), F.col("pitch")).alias("filter"))
+
+
+ACTIONS = "CASE WHEN kind = 'face' THEN 'avatar' WHEN kind IN ('license plate', 'credit card number') THEN 'patch' ELSE 'fill' END"
+
+
+@query(f"WITH {ELEMENTS} SELECT track_key, {ACTIONS} AS action, {ACTIONS} = 'patch' AS has_text FROM el")
+def replacements(spark, sf):
+    """What covers each track in replace mode."""
+    tracks_ = event_tracks(spark, sf).select("track_key").distinct()
+    made = textpii.replacement(F.concat_ws(":", event_kind(), "track_key")).alias("r")
+    return tracks_.select("track_key", made).select("track_key", "r.action", F.col("r.text").isNotNull().alias("has_text"))
+
+
 # --- streams ----------------------------------------------------------------------------------
 
 

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.textpii import find_pii
+
 # File suffixes of each kind of media.
 SUFFIXES = {"video": ["mp4", "mov", "mkv", "webm", "avi", "m4v"], "photo": ["jpg", "jpeg", "png", "webp", "bmp", "heic", "heif"], "audio": ["mp3", "wav", "m4a"]}
 WORD = "struct<word:string,start:string,end:string>"
@@ -82,6 +84,24 @@ def cache_misses(requests: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def group_words(ocr: DataFrame) -> DataFrame:
-    """Recognised words to lines of text; words of negative confidence go."""
-    line = ocr.where("conf >= 0").groupBy("media_id", "frame", "block", "par", "line").agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("w"))
-    return line.select("media_id", "frame", "block", "par", "line", F.array_join(F.transform("w", lambda s: s["word"]), " ").alias("text"))
+    """Recognised words to lines of text; blank words and words of negative confidence go.
+
+    If the words have boxes (x1, y1, x2, y2), the line keeps its words with them.
+    """
+    boxed = [c for c in ("x1", "y1", "x2", "y2") if c in ocr.columns]
+    read = ocr.withColumn("word", F.trim("word")).where("conf >= 0 and word <> ''")
+    line = read.groupBy("media_id", "frame", "block", "par", "line").agg(F.sort_array(F.collect_list(F.struct("pos", "word", *boxed))).alias("words"))
+    line = line.withColumn("text", F.array_join(F.transform("words", lambda s: s["word"]), " "))
+    return line if len(boxed) == 4 else line.drop("words")
+
+
+def line_findings(lines: DataFrame) -> DataFrame:
+    """Findings in lines of words with boxes, each with the box around the words it touches.
+    A line is one row, so nothing is shuffled."""
+    ahead = lambda i: F.aggregate(F.slice("words", 1, i), F.lit(0), lambda n, s: n + F.char_length(s["word"]) + 1)
+    placed = F.transform("words", lambda s, i: F.struct(ahead(i).alias("a"), (ahead(i) + F.char_length(s["word"])).alias("b"), s.alias("s")))
+    found = lines.withColumn("_placed", placed).withColumn("_hit", F.explode(find_pii(F.col("text"))))
+    found = found.withColumn("_in", F.filter("_placed", lambda w: (w["b"] > F.col("_hit.start")) & (w["a"] < F.col("_hit.end"))))
+    side = lambda least, n: least(F.transform("_in", lambda w: w["s"][n])).alias(n)
+    box = F.struct(side(F.array_min, "x1"), side(F.array_min, "y1"), side(F.array_max, "x2"), side(F.array_max, "y2"))
+    return found.select("media_id", "frame", "block", "par", "line", F.col("_hit.kind").alias("kind"), F.col("_hit.text").alias("text"), F.col("_hit.start").alias("start"), box.alias("box"))

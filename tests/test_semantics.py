@@ -228,3 +228,67 @@ def test_tracker_like_a_plain_one():
             used.add(found)
             want.append(found)
         assert t.frame(frame) == want
+
+
+def test_spaced_digits_are_not_passed_over(spark):
+    texts = ["4 2 4 2 4 2 4 2 4 2 4 2 4 2 4 2", "4-2-4-2-4-2-4-2-4-2-4-2-4-2-4-2", "(415) 555-2671", "0.0001 0.0002", "a 1 b 2 c 3"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id int, text string")
+    got = {r.id: [h.kind for h in r.h] for r in df.select("id", textpii.find_pii(F.col("text")).alias("h")).collect()}
+    assert got == {0: ["credit card number"], 1: ["credit card number"], 2: ["phone number"], 3: ["gps coordinates"], 4: []}
+
+
+def test_stand_ins_keep_their_format(spark):
+    import re
+
+    keys = ["license plate:1", "house number:2", "pii:credit card number:3", "pii:phone number:4", "pii:ssn:5", "face:1", "screen:0", "street sign:9"]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    got = {r.k: (r.r.action, r.r.text) for r in df.select("k", textpii.replacement(F.col("k")).alias("r")).collect()}
+    assert re.fullmatch("[A-HJ-NPR-Z]{3} [0-9]{3}", got[keys[0]][1]) and re.fullmatch("4242( [0-9]{4}){3}", got[keys[2]][1]) and re.fullmatch("555-01[0-9]{2}", got[keys[3]][1])
+    assert 12 <= int(got[keys[1]][1]) <= 9899 and 12 <= int(got[keys[7]][1]) <= 9899
+    assert got[keys[4]] == ("patch", "000-00-0000") and got[keys[5]] == ("avatar", None) and got[keys[6]] == ("fill", None)
+
+
+def test_options_that_conflict():
+    import pytest
+
+    from sparkveil.functions.lookups import check_options
+
+    known = ["mode", "strength", "backend", "provider", "local", "location_audit", "carry_frames"]
+    for bad in ({"strength": 0}, {"provider": "sam", "backend": "local"}, {"provider": "yunet", "backend": "api"}, {"local": True, "backend": "hosted"}, {"location_audit": True, "local": True}, {"carry_frames": -1}, {"mode": "x"}, {"nope": 1}):
+        with pytest.raises(ValueError):
+            check_options(bad, known)
+    assert check_options({"provider": "sam", "backend": "api"}, known)
+
+
+def test_replaced_pixels_and_sheet():
+    import numpy as np
+
+    from sparkveil.operators import pixels
+
+    frame = np.full((40, 60, 3), 100, np.uint8)
+    frame[10:20, 10:30] = 7
+    box = {"x1": 10, "y1": 10, "x2": 30, "y2": 20}
+    assert (pixels.cover(frame, [box], "replace", 21) == 100).all()
+    for action in ("avatar", "patch"):
+        out = pixels.replace(frame, [box], [action], "face:1")
+        assert not (out[10:20, 10:30] == 7).any() and (out[:10] == 100).all() and (out[20:] == 100).all()
+    assert pixels.contact_sheet([frame] * 4, width=30).shape == (40, 90, 3)
+
+
+def test_command_line(spark, tmp_path):
+    from sparkveil.__main__ import main
+
+    spark.createDataFrame([("a", "card 4242 4242 4242 4242")], "media_id string, text string").write.parquet(f"{tmp_path}/texts")
+    run = lambda out, *more: main(["audit", "--texts", f"{tmp_path}/texts", "--out", f"{tmp_path}/{out}", *more], spark)
+    assert run("one") == 0 and run("two", "--fail-on", "high") == 1 and run("two") == 2
+    assert main(["redact", "--texts", f"{tmp_path}/texts", "--out", f"{tmp_path}/three"], spark) == 0
+    assert "4242 4242 4242 4242" not in spark.read.parquet(f"{tmp_path}/three/texts").first().text
+
+
+def test_report_files(spark, tmp_path):
+    from sparkveil.operators import reports
+
+    df = spark.createDataFrame([("a", "t:1", f) for f in (0, 1, 9)], "media_id string, track_key string, frame int")
+    reports.write_lines(reports.coverage_lines(df, 20, 4), f"{tmp_path}/r")
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/r/media_id=a").collect()]
+    assert lines[0].startswith("Frames: 20") and "t:1: frames 2 to 8, 7 long, NEEDS REVIEW" in lines and lines[-1].startswith("Result: look")
