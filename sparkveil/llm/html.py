@@ -6,8 +6,9 @@ density. The best container is kept, with siblings that score or read like it. I
 parts that are no article (menus, forms, notices, comments and so on) are left out.
 
 Defined results for odd input: null counts as the empty page and gives the empty text;
-unclosed tags, comments and scripts run to the end of what encloses them; markup that never
-ends is text up to the next tag; repeated rows are read on their own.
+unclosed tags, comments and scripts run to the end of what encloses them; a tag whose quotes
+don't pair ends at its first bracket, and one that never ends is text up to the next tag;
+repeated rows are read on their own.
 """
 
 from __future__ import annotations
@@ -38,25 +39,29 @@ UNLIKELY = re.compile(
 )
 LIKELY = re.compile(r"article|body|content|entry|main|page|post|story|text|blog", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: A tag whose quotes don't pair ends at its first bracket.
+LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|comment-?list|respond|reply|replies|disqus)(?:[\s_-]|$)", re.I)
 SPACES = re.compile(r"\s+")
 LEAST_PARAGRAPH, SIBLING_SHARE = 25, 0.2
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "name", "drop", "points", "chars", "links")
+    __slots__ = ("tag", "parent", "parts", "name", "drop", "unlikely", "points", "chars", "links")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.parts = tag, parent, []
         self.points, self.chars, self.links = 0.0, 0, 0
-        self.name, self.drop = "", tag in DROP
+        self.name, self.drop, self.unlikely = "", tag in DROP, False
         if attributes and not self.drop and parent is not None:
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
             self.name = f"{found.get('class', '')} {found.get('id', '')}"
             semantic = tag in ("html", "body", "article", "main")
-            self.drop = (
-                found.get("role", "").lower() in DROP_ROLE or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower() or bool(not semantic and UNLIKELY.search(self.name))
-            )
+            self.drop = found.get("role", "").lower() in DROP_ROLE or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+            # by its name alone; may be the wrapper of the article all the same
+            self.unlikely = not self.drop and not semantic and bool(UNLIKELY.search(self.name))
+            self.drop = self.drop or self.unlikely
 
 
 def tree(html: str) -> Node:
@@ -67,7 +72,7 @@ def tree(html: str) -> Node:
         if lt < 0:
             node.parts.append(html[at:])
             break
-        m = TOKEN.match(html, lt)
+        m = TOKEN.match(html, lt) or LOOSE.match(html, lt)
         if m is None:
             to = html.find("<", lt + 1)
             to = n if to < 0 else to
@@ -77,7 +82,7 @@ def tree(html: str) -> Node:
         if lt > at:
             node.parts.append(html[at:lt])
         at = m.end()
-        if m[2] is None:
+        if m[2] is None:  # a comment or a declaration
             continue
         tag = m[2].lower()
         if m[1]:
@@ -113,6 +118,27 @@ def _close(node: Node, tags: set[str], scope: set[str], root: Node) -> Node:
     return node
 
 
+def restore(root: Node) -> None:
+    """Takes back drops by name of what wraps the article (say "has-sidebar"): it holds an article
+    or main element and more than half of all text. Comments are never taken back."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo.extend(x for x in node.parts if isinstance(x, Node) and (not x.drop or x.unlikely))
+    if not any(x.unlikely for x in order):
+        return
+    size: dict[int, int] = {}
+    marked: dict[int, bool] = {}
+    for node in reversed(order):
+        parts = [x for x in node.parts if isinstance(x, Node) and id(x) in size]
+        size[id(node)] = sum(len(x.strip()) for x in node.parts if isinstance(x, str)) + sum(size[id(x)] for x in parts)
+        marked[id(node)] = node.tag in ("article", "main") and not UNLIKELY.search(node.name) or any(marked[id(x)] for x in parts)
+    for node in order:
+        if node.unlikely and marked[id(node)] and 2 * size[id(node)] > size[id(root)] and not COMMENTS.search(node.name):
+            node.drop = False
+
+
 def score(root: Node) -> list[Node]:
     """Gives points to containers; returns all kept elements in page order, parents first."""
     order, todo = [], [root]
@@ -151,6 +177,7 @@ def density(node: Node) -> float:
 
 def extract(html: str) -> str:
     root = tree(html)
+    restore(root)
     order = score(root)
     named = [x for x in order if x.tag in ("article", "main") and x.chars]
 

@@ -295,3 +295,12 @@ def test_pipeline(spark, good):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, duck, name):
     assert rows_of(QUERIES[name](spark, SF).toPandas()) == rows_of(duck.sql(SQL[name]).df())
+
+
+def test_html_wrappers_and_attributes():
+    long = "This is a sentence, long enough to count as a paragraph, with commas. " * 3
+    want = long.strip()
+    assert html.extract(f'<body><div class="layout has-sidebar"><nav>x</nav><article><p>{long}</p></article><div class="sidebar"><p>{long}</p></div></div></body>') == want
+    assert html.extract(f'<body><article><p title="this is hidden, a role">{long}</p></article></body>') == want
+    assert html.extract(f"<body><article><p title=it's>{long}</p></article></body>") == want
+    assert html.extract(f'<body><div id=a><p>{long}</p></div><div id="comments"><article><p>{long}</p><p>{long}</p></article></div></body>') == want
