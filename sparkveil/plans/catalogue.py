@@ -372,7 +372,16 @@ x AS (SELECT *, greatest(0::DOUBLE, s - 2.5::DOUBLE) AS a, s + 1.0::DOUBLE + 2.5
 n AS (SELECT *, CASE WHEN a <= reach THEN 0 ELSE 1 END AS nw FROM r), p AS (SELECT *, sum(nw) OVER (PARTITION BY media_id ORDER BY s) AS part, nw = 1 OR lag(k) OVER (PARTITION BY media_id ORDER BY s) <> k AS ch FROM n)
 SELECT media_id, 'k' || CAST(arg_max(k, s) AS VARCHAR) AS kind, min(a) AS start, max(b) AS "end", string_agg(CAST(event_id AS VARCHAR), ' / ' ORDER BY s) FILTER (ch) AS text FROM p GROUP BY media_id, part""")
 def speech_merge_intervals(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 4 = 0")
+    """A quarter of the events, as its SQL has it; speech_merge_intervals_all takes all."""
+    return merged_events(table(spark, sf, "events").where("event_id % 4 = 0"))
+
+
+@query(SQL["speech_merge_intervals"].replace(" WHERE event_id % 4 = 0", ""))
+def speech_merge_intervals_all(spark, sf):
+    return merged_events(table(spark, sf, "events"))
+
+
+def merged_events(e):
     s = F.col("event_id").cast("double")
     return speech.merge_intervals(e.select(F.col("event_type").alias("media_id"), F.concat(F.lit("k"), (F.col("user_id") % 3).cast("string")).alias("kind"), s.alias("start"), (s + 1.0).alias("end"), F.col("event_id").cast("string").alias("text")), 2.5)
 
@@ -390,7 +399,16 @@ def speech_mute_filters(spark, sf):
 @query("""WITH h AS (SELECT event_type AS media_id, event_id, value AS s, value + 0.5::DOUBLE AS e FROM events WHERE event_id % 50 = 0)
 SELECT media_id, 'speech:x:' || row_number() OVER (PARTITION BY media_id ORDER BY s, event_id) AS track, CAST(least(trunc(s * 29.97::DOUBLE), 99999) AS INTEGER) AS first_frame, CAST(greatest(least(trunc(s * 29.97::DOUBLE), 99999), least(trunc(e * 29.97::DOUBLE), 99999)) AS INTEGER) AS last_frame FROM h""")
 def speech_cover_frames(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 50 = 0")
+    """One event in 50, as its SQL has it; speech_cover_frames_all takes all."""
+    return covered_events(table(spark, sf, "events").where("event_id % 50 = 0"))
+
+
+@query(SQL["speech_cover_frames"].replace(" WHERE event_id % 50 = 0", ""))
+def speech_cover_frames_all(spark, sf):
+    return covered_events(table(spark, sf, "events"))
+
+
+def covered_events(e):
     hits = e.select(F.col("event_type").alias("media_id"), F.lit("x").alias("kind"), F.col("value").alias("start"), (F.col("value") + 0.5).alias("end"))
     return speech.cover_frames(hits, F.lit(29.97), F.lit(100000)).drop("kind")
 

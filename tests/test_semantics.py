@@ -292,3 +292,26 @@ def test_report_files(spark, tmp_path):
     reports.write_lines(reports.coverage_lines(df, 20, 4), f"{tmp_path}/r")
     lines = [r.value for r in spark.read.text(f"{tmp_path}/r/media_id=a").collect()]
     assert lines[0].startswith("Frames: 20") and "t:1: frames 2 to 8, 7 long, NEEDS REVIEW" in lines and lines[-1].startswith("Result: look")
+
+
+def test_speech_queries_take_all_events(spark):
+    """Against plain Python over every event of the table."""
+    from sparkveil.plans import catalogue
+    from tests.conftest import SF
+
+    events = [r.asDict() for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id", "event_type", "user_id", "value").collect()]
+    merged = []
+    for media in {e["event_type"] for e in events}:
+        end = None
+        for e in sorted((e for e in events if e["event_type"] == media), key=lambda e: e["event_id"]):
+            kind, start, text = f"k{e['user_id'] % 3}", max(0.0, e["event_id"] - 2.5), str(e["event_id"])
+            if end is None or start > end:
+                merged.append([media, kind, start, e["event_id"] + 3.5, text])
+            else:
+                merged[-1] = [media, kind, merged[-1][2], e["event_id"] + 3.5, merged[-1][4] + (f" / {text}" if kind != merged[-1][1] else "")]
+            end = merged[-1][3]
+    got = catalogue.QUERIES["speech_merge_intervals_all"](spark, SF).select("media_id", "kind", "start", "end", "text").collect()
+    assert sorted(map(list, got)) == sorted(merged)
+    cut = lambda v: min(int(v * 29.97), 99999)
+    got = catalogue.QUERIES["speech_cover_frames_all"](spark, SF).select("media_id", "first_frame", "last_frame").collect()
+    assert len(got) == len(events) and sorted(map(tuple, got)) == sorted((e["event_type"], cut(e["value"]), max(cut(e["value"]), cut(e["value"] + 0.5))) for e in events)
