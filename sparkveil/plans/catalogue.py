@@ -205,12 +205,35 @@ c AS (SELECT sp.frame, one.frame IS NOT NULL AS c FROM sp LEFT JOIN one ON sp.fr
 n AS (SELECT *, lag(c) OVER (ORDER BY frame) AS b, lead(c) OVER (ORDER BY frame) AS a FROM c)
 SELECT CAST(frame AS INTEGER) AS frame, c OR (CASE WHEN b IS NULL THEN coalesce(a, false) WHEN a IS NULL THEN b ELSE a AND b END) AS covered FROM n""")
 def frame_coverage_smoothed(spark, sf):
+    """Purchases alone, as its SQL has it; frame_coverage_smoothed_all takes all tracks."""
     one = event_tracks(spark, sf).where("track_key like 'purchase:%'").select("media_id", "frame").distinct()
+    media = spark.createDataFrame([("clip", TOTAL)], "media_id string, total_frames int")
+    return smoothed_coverage(one, media).drop("media_id")
+
+
+@query(f"""WITH {ET}, one AS (SELECT DISTINCT split_part(track_key, ':', 1) AS media_id, frame FROM et), sp AS (SELECT media_id, unnest(range(0, {TOTAL})) AS frame FROM (SELECT DISTINCT media_id FROM one)),
+c AS (SELECT sp.media_id, sp.frame, one.frame IS NOT NULL AS c FROM sp LEFT JOIN one ON sp.media_id = one.media_id AND sp.frame = one.frame),
+n AS (SELECT *, lag(c) OVER (PARTITION BY media_id ORDER BY frame) AS b, lead(c) OVER (PARTITION BY media_id ORDER BY frame) AS a FROM c)
+SELECT media_id, CAST(frame AS INTEGER) AS frame, c OR (CASE WHEN b IS NULL THEN coalesce(a, false) WHEN a IS NULL THEN b ELSE a AND b END) AS covered FROM n""")
+def frame_coverage_smoothed_all(spark, sf):
+    """All tracks; each event type is a clip of its own."""
+    every = by_type(event_tracks(spark, sf)).select("media_id", "frame").distinct()
+    return smoothed_coverage(every, clips(every))
+
+
+def by_type(rows):
+    return rows.withColumn("media_id", F.split("track_key", ":")[0])
+
+
+def clips(rows):
+    return rows.select("media_id").distinct().withColumn("total_frames", F.lit(TOTAL))
+
+
+def smoothed_coverage(covered, media):
     unit = F.array(F.struct(F.lit(0).alias("x1"), F.lit(0).alias("y1"), F.lit(1).alias("x2"), F.lit(1).alias("y2")))
     empty = F.array().cast("array<struct<x1:int,y1:int,x2:int,y2:int>>")
-    media = spark.createDataFrame([("clip", TOTAL)], "media_id string, total_frames int")
-    frames = tracks.spine(media).join(one.withColumn("boxes", unit), ["media_id", "frame"], "left").withColumn("boxes", F.coalesce("boxes", empty))
-    return tracks.smooth(frames).select("frame", (F.size("boxes") > 0).alias("covered"))
+    frames = tracks.spine(media).join(covered.withColumn("boxes", unit), ["media_id", "frame"], "left").withColumn("boxes", F.coalesce("boxes", empty))
+    return tracks.smooth(frames).select("media_id", "frame", (F.size("boxes") > 0).alias("covered"))
 
 
 BOXED = f"""bx AS (SELECT event_type || ':' || user_id AS track_key, CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 3600) AS INTEGER) AS frame, CAST(min(user_id) % 100 AS INTEGER) AS x, CAST(floor(min(value) % 100) AS INTEGER) AS y FROM events GROUP BY 1, 2),
@@ -226,9 +249,9 @@ def boxes_padded_merged(spark, sf):
 
 @query()
 def per_frame_masks(spark, sf):
-    media = spark.createDataFrame([("clip", TOTAL)], "media_id string, total_frames int")
-    some = boxed_tracks(spark, sf).where("track_key like 'purchase:%'")
-    return tracks.per_frame_masks(some, media, TOTAL, 2, MARGIN, 100, 100).select("frame", F.size("boxes").alias("n_boxes"))
+    """All tracks; each event type is a clip of its own."""
+    every = by_type(boxed_tracks(spark, sf))
+    return tracks.per_frame_masks(every, clips(every), TOTAL, 2, MARGIN, 100, 100).select("media_id", "frame", F.size("boxes").alias("n_boxes"))
 
 
 @query(f"""WITH t AS (SELECT DISTINCT user_id, CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 3600) AS INTEGER) AS frame, event_id FROM events),

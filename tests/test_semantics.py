@@ -315,3 +315,34 @@ def test_speech_queries_take_all_events(spark):
     cut = lambda v: min(int(v * 29.97), 99999)
     got = catalogue.QUERIES["speech_cover_frames_all"](spark, SF).select("media_id", "first_frame", "last_frame").collect()
     assert len(got) == len(events) and sorted(map(tuple, got)) == sorted((e["event_type"], cut(e["value"]), max(cut(e["value"]), cut(e["value"] + 0.5))) for e in events)
+
+
+def test_per_frame_masks_take_all_tracks(spark):
+    """Against plain Python over the tracks of every event type."""
+    from sparkveil.plans import catalogue, inputs
+    from tests.conftest import SF
+
+    total, margin = inputs.TOTAL, inputs.MARGIN
+    held: dict = {}
+    for r in inputs.boxed_tracks(spark, SF).collect():
+        held.setdefault(r.track_key, {})[r.frame] = tuple(r.boxes[0])
+    frames: dict = {}
+    for track, at in held.items():
+        for gap in (1, 2):  # filled, then carried
+            seen = sorted(at)
+            for a, b in zip(seen, [*seen[1:], None], strict=True):
+                to = b if b is not None and b - a - 1 <= gap else min(a + 3, total) if b is None and gap == 2 else a + 1
+                at.update({f: at[a] for f in range(a + 1, to)})
+        for f, (x1, y1, x2, y2) in at.items():
+            box = max(0, x1 - margin), max(0, y1 - margin), min(100, x2 + margin), min(100, y2 + margin)
+            if box[2] > box[0] and box[3] > box[1]:
+                frames.setdefault(track.split(":")[0], {}).setdefault(f, set()).add(box)
+    want = []
+    for media, at in frames.items():
+        for f in range(total):
+            before, after = at.get(f - 1, set()), at.get(f + 1, set())
+            cut = {(max(p[0], q[0]), max(p[1], q[1]), min(p[2], q[2]), min(p[3], q[3])) for p in before for q in after}
+            more = after if f == 0 else before if f == total - 1 else {c for c in cut if c[2] > c[0] and c[3] > c[1]}
+            want.append((media, f, len(at.get(f, set()) | more)))
+    got = catalogue.QUERIES["per_frame_masks"](spark, SF).collect()
+    assert {m for m, _, _ in want} == set(inputs.KIND_OF) and sorted(map(tuple, got)) == sorted(want)
