@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkveil.llm import store
 from sparkveil.llm.decontaminate import remove_contaminated
-from sparkveil.llm.jaccard import keep_one
+from sparkveil.llm.jaccard import NEAR, keep_one
 from sparkveil.llm.mixing import mix
 from sparkveil.llm.pii import redact
 from sparkveil.llm.quality import keep_good
@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
-    return keep_one(docs)
+    """Of each group of linked documents (five-word shingles, Jaccard 0.8) the one with the smallest id stays."""
+    return keep_one(docs, rule=NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,7 @@
-"""N-gram Jaccard join: which documents share at least THRESHOLD of their 3-word shingles.
+"""N-gram Jaccard join: which documents share at least a given part of their word shingles.
+
+A Rule names the words of a shingle and the least Jaccard similarity of a link: OP5 is three
+words and 0.9, NEAR, the rule of the pipeline's stage, five words and 0.8.
 
 Candidates by universe partition and pigeonhole. Sets are banded by size so that linked sets
 stand in one band or in neighbouring ones; a set signs in its own band and in the next. If
@@ -6,7 +9,7 @@ two sets meeting in a band are linked, they differ in at most H elements, H know
 The band hashes the universe of shingles into segments, and a set's part of each segment is
 signed by an order-free hash:
 
-* small sets (H up to SMALL_H): ceil((H + 1) / 2) segments, each signed whole and with any one
+* small sets (H up to small_h): ceil((H + 1) / 2) segments, each signed whole and with any one
   element deleted. Some segment differs by one element at most, so signatures meet.
 * larger sets: H + 1 + E segments signed whole, of which E + 1 at least are equal. The cost of
   signing a segment is how many unrelated sets share it, which is decided by how few
@@ -27,7 +30,7 @@ come from alternating large and small stars over DataFrames; only counts and one
 shard reach the driver.
 
 Defined results for odd input: null and empty texts have no shingles, 0 of them, and are
-their own component; texts of one or two words are one shingle; repeated rows with one
+their own component; texts shorter than a shingle are one shingle; repeated rows with one
 id form one component and give one row each; rows with a null id take part and have a null
 component if no other id is reached; an empty table gives an empty table; other columns
 are never read. Sets are named by 64-bit hashes of their elements.
@@ -36,6 +39,7 @@ are never read. Sets are named by 64-bit hashes of their elements.
 from __future__ import annotations
 
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -47,39 +51,51 @@ from pyspark.sql import types as T
 from . import store
 from .text import Block, U, blocks, mix, per_block, windows
 
-SHINGLE = 3
-#: A link: OF_INTERSECTION * intersection >= OF_UNION * union.
-OF_INTERSECTION, OF_UNION = 100, 90
-SMALL_H, TINY, EXTRA = 4, 2, 16
+
+class Rule(NamedTuple):
+    """What a link is: of_intersection * intersection >= of_union * union, over shingles of some
+    words. small_h and extra (E = 1 + H // extra) shape costs only; lower thresholds have smaller
+    segments, so more of them are worth leaving out."""
+
+    shingle: int
+    of_intersection: int
+    of_union: int
+    small_h: int
+    extra: int
+
+
+OP5 = Rule(3, 100, 90, 4, 16)
+NEAR = Rule(5, 100, 80, 12, 6)
+TINY = 2
 #: Elements of a block's sets, each set counted as LEAST_SET at least.
 BLOCK_ELEMENTS, LEAST_SET = 400_000, 800
 SALT = U(0x51ED270B9F1C2A6D)
 
 
 @cache
-def bands(upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def bands(upto: int, rule: Rule = OP5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First size of each band; per band its H, number of segments, and E (-1: deletions)."""
     first = [1]
     while first[-1] <= upto:
-        first.append(first[-1] * OF_INTERSECTION // OF_UNION + 1)
-    first.append(first[-1] * OF_INTERSECTION // OF_UNION + 1)
+        first.append(first[-1] * rule.of_intersection // rule.of_union + 1)
+    first.append(first[-1] * rule.of_intersection // rule.of_union + 1)
     lo = np.array(first, np.int64)
     top = lo[1:] - 1
     # |r - s| + |s - r| <= (1 - t) / (1 + t) * (|r| + |s|)
-    h = (OF_INTERSECTION - OF_UNION) * 2 * top // (OF_INTERSECTION + OF_UNION)
-    small = h <= SMALL_H
-    extra = np.where(small, -1, 1 + h // EXTRA)
+    h = (rule.of_intersection - rule.of_union) * 2 * top // (rule.of_intersection + rule.of_union)
+    small = h <= rule.small_h
+    extra = np.where(small, -1, 1 + h // rule.extra)
     segments = np.where(small, (h + 2) // 2, h + 1 + extra)
     return lo, h, segments, extra
 
 
-def sets(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def sets(block: Block, rule: Rule = OP5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each text, sorted; row of each, size and name of each set."""
-    w = block.words()
+    w, n = block.words(), rule.shingle
     h = w.hashes()
-    ok = np.flatnonzero(w.row[SHINGLE - 1 :] == w.row[: len(h) - SHINGLE + 1]) if len(h) >= SHINGLE else np.zeros(0, np.int64)
-    row, x = w.row[ok], windows(h, SHINGLE)[ok]
-    short = np.flatnonzero((w.count > 0) & (w.count < SHINGLE))
+    ok = np.flatnonzero(w.row[n - 1 :] == w.row[: len(h) - n + 1]) if len(h) >= n else np.zeros(0, np.int64)
+    row, x = w.row[ok], windows(h, n)[ok]
+    short = np.flatnonzero((w.count > 0) & (w.count < n))
     if len(short):
         at = w.first[short]
         whole = np.array([windows(h[a : a + c], int(c))[0] for a, c in zip(at, w.count[short], strict=True)], U)
@@ -99,11 +115,11 @@ def names(row: np.ndarray, x: np.ndarray, size: np.ndarray) -> np.ndarray:
     return mix(total + size.astype(U))
 
 
-def signatures(row: np.ndarray, x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(row: np.ndarray, x: np.ndarray, size: np.ndarray, rule: Rule = OP5) -> tuple[np.ndarray, np.ndarray]:
     """All signatures and the row of each."""
     if not len(x):
         return np.zeros(0, U), np.zeros(0, np.int64)
-    lo, h, segments, extra = bands(int(size.max()))
+    lo, h, segments, extra = bands(int(size.max()), rule)
     own = np.searchsorted(lo, size, "right") - 1
     element, place = mix(x + SALT), mix(x) >> U(32)
     out = []
@@ -111,7 +127,7 @@ def signatures(row: np.ndarray, x: np.ndarray, size: np.ndarray) -> tuple[np.nda
         band = own + step
         use = (size > 0) & (h[band] > 0)
         if step:
-            use &= size * OF_INTERSECTION // OF_UNION >= lo[band]
+            use &= size * rule.of_intersection // rule.of_union >= lo[band]
         m = np.where(use, segments[band], 0)
         base = np.cumsum(m) - m
         total = int(m.sum())
@@ -144,7 +160,7 @@ def signatures(row: np.ndarray, x: np.ndarray, size: np.ndarray) -> tuple[np.nda
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-def _sign(bits: int):
+def _sign(bits: int, rule: Rule):
     """Per task and shard: sorted signatures with the names of their sets; equal sets sign once."""
 
     def run(batches):
@@ -153,14 +169,14 @@ def _sign(bits: int):
         count = 0
         for batch in batches:
             for _, block in blocks(batch, "_text", lower=True):
-                row, x, size, name = sets(block)
+                row, x, size, name = sets(block, rule)
                 fresh = (size > 0) & ~np.isin(name, seen)
                 first = np.zeros(block.n, bool)
                 first[np.unique(name, return_index=True)[1]] = True
                 fresh &= first
                 seen = np.concatenate([seen, name[fresh]])
                 use = fresh[row]
-                sign, owner = signatures(row[use], x[use], np.where(fresh, size, 0))
+                sign, owner = signatures(row[use], x[use], np.where(fresh, size, 0), rule)
                 held.append((sign, name[owner]))
                 count += len(sign)
                 if count > 1 << 21:
@@ -250,14 +266,14 @@ def _members(directory: str):
     return run
 
 
-def _needed(directory: str, bits: int, there: frozenset[int]):
+def _needed(directory: str, bits: int, there: frozenset[int], rule: Rule):
     """Whole sets of the members of clusters, by shard of their name, once per task."""
 
     def run(batches):
         held, seen, size_held = [], np.zeros(0, U), 0
         for batch in batches:
             for _, block in blocks(batch, "_text", lower=True):
-                row, x, size, name = sets(block)
+                row, x, size, name = sets(block, rule)
                 some, first = np.unique(name, return_index=True)
                 ok = np.isin(store.shard_of(some, bits), list(there)) & ~np.isin(some, seen)
                 ok[ok] = store.find(directory, "member", bits, some[ok]) >= 0
@@ -323,11 +339,11 @@ class Sets:
         return np.asarray(store.load(self.directory, f"flat-{s}")[(int(end[at - 1]) if at else 0) : int(end[at])])
 
 
-def linked(inner: np.ndarray, a, b):
-    return OF_INTERSECTION * inner >= OF_UNION * (a + b - inner)
+def linked(inner: np.ndarray, a, b, rule: Rule = OP5):
+    return rule.of_intersection * inner >= rule.of_union * (a + b - inner)
 
 
-def compare(left: list[np.ndarray], right: list[np.ndarray] | None, label: np.ndarray) -> list[tuple[int, int]]:
+def compare(left: list[np.ndarray], right: list[np.ndarray] | None, label: np.ndarray, rule: Rule = OP5) -> list[tuple[int, int]]:
     """Links that join different labels, as a spanning forest. left and right (None: left with
     itself) are sets; label holds the labels of left, then of right. Exact: intersections are
     counted on bit vectors over the shingles that two or more of the sets have.
@@ -350,10 +366,10 @@ def compare(left: list[np.ndarray], right: list[np.ndarray] | None, label: np.nd
     for i in range(n):
         to = np.arange(n, len(every)) if right is not None else np.arange(i + 1, n)
         # sizes alone rule out most of what is left, labels the rest
-        to = to[(label[to] != label[i]) & (OF_INTERSECTION * np.minimum(size[to], size[i]) >= OF_UNION * np.maximum(size[to], size[i]))]
+        to = to[(label[to] != label[i]) & (rule.of_intersection * np.minimum(size[to], size[i]) >= rule.of_union * np.maximum(size[to], size[i]))]
         if len(to):
             inner = np.bitwise_count(bits[to] & bits[i]).sum(1, dtype=np.int64)
-            to = to[linked(inner, size[to], size[i])]
+            to = to[linked(inner, size[to], size[i], rule)]
             if len(to):
                 gone, first = np.unique(label[to], return_index=True)
                 out += [(i, int(j)) for j in to[first]]
@@ -361,7 +377,7 @@ def compare(left: list[np.ndarray], right: list[np.ndarray] | None, label: np.nd
     return out
 
 
-def _links(all_sets: Sets, pairs: bool):
+def _links(all_sets: Sets, pairs: bool, rule: Rule):
     """Links within blocks, or between the two blocks of a row; only the forest is returned."""
 
     def run(batches):
@@ -372,7 +388,7 @@ def _links(all_sets: Sets, pairs: bool):
                 label = np.unique(np.array(r["left_root"] + r["right_root"]) if pairs else np.arange(len(ids)), return_inverse=True)[1]
                 got = [all_sets.get(i) for i in ids]
                 cut = len(r["left"])
-                for i, j in compare(got[:cut], got[cut:] if pairs else None, label):
+                for i, j in compare(got[:cut], got[cut:] if pairs else None, label, rule):
                     a.append(ids[i])
                     b.append(ids[j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -380,7 +396,7 @@ def _links(all_sets: Sets, pairs: bool):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = OP5) -> DataFrame:
     """One row per input row: id, n_shingles and component_id (smallest id that links reach)."""
     spark = docs.sparkSession
     read = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -388,16 +404,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     directory = store.new_dir(spark, "jaccard")
 
     def named(block: Block, *_):
-        _, _, size, name = sets(block)
+        _, _, size, name = sets(block, rule)
         return [size, name.view(np.int64)], None
 
     # kept on the executors' disks: what a lost executor held is made again from the input
     rows = per_block(read, ["_id"], "_text", named, [("n_shingles", T.LongType()), ("name", T.LongType())], lower=True).persist(StorageLevel.DISK_ONLY)
-    signed = read.select("_text").mapInArrow(_sign(bits), "shard int, keys binary, body binary")
+    signed = read.select("_text").mapInArrow(_sign(bits, rule), "shard int, keys binary, body binary")
     found = signed.groupBy("shard").applyInArrow(_buckets, "sign long, a long, b long")
     found = found.persist(StorageLevel.DISK_ONLY)
     clusters, n = components(found.where("sign is null").select("a", "b").distinct(), f"{directory}-clusters")
-    roots, _ = _components_of(spark, read, found, clusters, n, bits, directory)
+    roots, _ = _components_of(spark, read, found, clusters, n, bits, directory, rule)
     # classes of equal sets, and components of classes; empty sets stand for themselves
     full = rows.where("n_shingles > 0")
     classes = full.groupBy("name").agg(F.min("_id").alias("rep"))
@@ -408,12 +424,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.unionByName(rows.where("n_shingles = 0").select(F.col("_id").alias(id_col), "n_shingles", F.col("_id").alias("component_id")))
 
 
-def _components_of(spark: SparkSession, read: DataFrame, found: DataFrame, clusters: DataFrame, n: int, bits: int, directory: str) -> tuple[DataFrame, int]:
+def _components_of(spark: SparkSession, read: DataFrame, found: DataFrame, clusters: DataFrame, n: int, bits: int, directory: str, rule: Rule) -> tuple[DataFrame, int]:
     """(id, root) of the exact components of all members of clusters that have a link."""
     kept = lambda df, name: store.written(df, f"{directory}-{name}", n)
     shard = F.shiftrightunsigned("id", 64 - bits).cast("int").alias("shard")
     there = frozenset(r.shard for r in clusters.select(shard, "id").groupBy("shard").applyInArrow(_members(directory), "shard int").collect())
-    shipped = read.select("_text").mapInArrow(_needed(directory, bits, there), "shard int, name binary, size binary, flat binary")
+    shipped = read.select("_text").mapInArrow(_needed(directory, bits, there, rule), "shard int, name binary, size binary, flat binary")
     sized = kept(shipped.groupBy("shard").applyInArrow(_keep_sets(directory), "id long, size long"), "sized")
     all_sets = Sets(directory, bits)
     # blocks: runs of a cluster's members up to a bound of elements
@@ -421,7 +437,7 @@ def _components_of(spark: SparkSession, read: DataFrame, found: DataFrame, clust
     placed = clusters.join(sized, "id").withColumn("block", F.floor((F.expr(run) - 1) / F.lit(BLOCK_ELEMENTS)).cast("long"))
     placed = kept(placed.select("id", "root", "block"), "placed")
     one = placed.groupBy("root", "block").agg(F.sort_array(F.collect_list("id")).alias("left"))
-    inside = kept(one.where(F.size("left") > 1).select("left").repartition(spread(spark)).mapInArrow(_links(all_sets, False), "a long, b long"), "inside")
+    inside = kept(one.where(F.size("left") > 1).select("left").repartition(spread(spark)).mapInArrow(_links(all_sets, False, rule), "a long, b long"), "inside")
     many = placed.where("block > 0").select("root").distinct()
     if many.isEmpty():
         return components(inside, f"{directory}-roots")
@@ -438,7 +454,7 @@ def _components_of(spark: SparkSession, read: DataFrame, found: DataFrame, clust
     members = within.groupBy("root", "block").agg(F.sort_array(F.collect_list(F.struct("id", "label"))).alias("m"))
     side = lambda block, name: members.select("root", F.col("block").alias(block), F.transform("m", lambda s: s["id"]).alias(name), F.transform("m", lambda s: s["label"]).alias(f"{name}_root"))
     rows = met.join(side("p", "left"), ["root", "p"]).join(side("q", "right"), ["root", "q"]).select("left", "left_root", "right", "right_root")
-    across = rows.repartition(spread(spark)).mapInArrow(_links(all_sets, True), "a long, b long")
+    across = rows.repartition(spread(spark)).mapInArrow(_links(all_sets, True, rule), "a long, b long")
     return components(kept(inside.unionByName(across), "links"), f"{directory}-roots")
 
 
@@ -446,7 +462,7 @@ def spread(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = OP5) -> DataFrame:
     """The rows, all columns as they came, whose id is the smallest of its component (or null).
 
     Ids to drop are looked up in stored arrays while the rows pass, so no text is shuffled.
@@ -455,7 +471,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = docs.sparkSession
     bits = store.shard_bits(docs)
     directory = store.new_dir(spark, "dropped")
-    gone = near_duplicates(docs.select(id_col, text_col), id_col, text_col).where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).cast("long").alias("id"))
+    gone = near_duplicates(docs.select(id_col, text_col), id_col, text_col, rule).where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).cast("long").alias("id"))
     there = frozenset(r.shard for r in gone.mapInArrow(_hashed(bits), "shard int, id long").groupBy("shard").applyInArrow(_members(directory), "shard int").collect())
 
     def choose(block: Block, at: int, batch):

@@ -304,3 +304,40 @@ def test_html_wrappers_and_attributes():
     assert html.extract(f'<body><article><p title="this is hidden, a role">{long}</p></article></body>') == want
     assert html.extract(f"<body><article><p title=it's>{long}</p></article></body>") == want
     assert html.extract(f'<body><div id=a><p>{long}</p></div><div id="comments"><article><p>{long}</p><p>{long}</p></article></div></body>') == want
+
+
+def near_copies(rows, words=5, percent=80):
+    """Component of each row by brute force: shingles of some words, linked from some Jaccard on."""
+    cut = lambda w: frozenset(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset()
+    made, root = [cut(plain.WORD.findall(plain.lower(t or ""))) for _, t in rows], list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            x, y = made[a], made[b]
+            if x and y and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and 100 * len(x & y) >= percent * len(x | y):
+                root = [root[b] if r == root[a] else r for r in root]
+    least = {}
+    for (i, _), r in zip(rows, root, strict=True):
+        least[r] = min(least.get(r, i), i)
+    return [(i, len(x), least[r]) for (i, _), x, r in zip(rows, made, root, strict=True)]
+
+
+@pytest.mark.parametrize("block", [jaccard.BLOCK_ELEMENTS, 3000])
+def test_pipeline_near_duplicates(spark, good, block, monkeypatch):
+    """The stage links from 0.8 of five-word shingles on; op5's own rule would keep some copies."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(jaccard, "BLOCK_ELEMENTS", block)
+    r, rows = random.Random(9), pairs(good)
+    for g, n in enumerate((4, 8, 15, 30, 60, 120, 300)):
+        base = [f"g{g}w{i}" for i in range(n)]
+        for _ in range(30):
+            w = list(base)
+            for _ in range(r.randint(0, max(1, n // 25))):
+                w[r.randrange(n)] = f"x{r.randrange(10**6)}"
+            rows.append((10**6 + len(rows), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = near_copies(rows)
+    same([(x.doc_id, x.n_shingles, x.component_id) for x in jaccard.near_duplicates(docs, rule=jaccard.NEAR).collect()], want)
+    kept = [x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    same(kept, [i for i, _, c in want if i == c])
+    assert len(kept) < sum(i == c for i, _, c in plain.near_duplicates(rows))
