@@ -19,6 +19,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 from functools import cache
 
 import numpy as np
@@ -31,6 +32,7 @@ from .text import Block, per_block
 
 KINDS = ["email", "ip", "card", "phone", "ssn", "iban", "secret"]
 BASE_KINDS = KINDS[:4]
+LONG = 200  # characters from which on a secret is cut at fixed spans inside it
 PRECISION = 0.99  # that a kind's threshold reaches on the calibration sentences
 
 #: Possessive and guarded forms of the fixed patterns: same matches, no backtracking.
@@ -47,8 +49,10 @@ GENERATORS = {
     "phone": re.compile(r"(?<![\w+.-])\(?[0-9]{2,4}\)?[ ./-]{1,2}[0-9]{3,4}(?:[ .-][0-9]{2,4}){1,3}(?![\w-])"),
     "ssn": re.compile(r"(?<![\w-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![\w-])"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
-    "secret": re.compile(r"(?i)(?:(?:api|access|secret|auth|private)[_ -]?key|token|secret|passwd|password|pwd)[\"']? ?[=:] ?[\"']?([^\s\"'*#&%$!]{8,200})"),
+    "secret": re.compile(r"(?i)(?:(?:api|access|secret|auth|private)[_ -]?key|token|secret|passwd|password|pwd)[\"']? ?[=:] ?[\"']?([^\s\"'*#&%$!]{8,}+)"),
 }
+#: Brackets around "at" and "dot" that the e-mail generator accepts.
+BRACKETED = re.compile(r"[\[({](?:at\b|dot\b|@)|(?:\bat|\bdot|@)[\])}]")
 CUES = {
     "phone": ("phone", "call", "tel", "mobile", "fax", "dial", "whatsapp", "number"), "email": ("mail", "contact", "write", "reach", "send"), "ssn": ("ssn", "social", "security", "tax"), "iban": ("iban", "account", "bank", "transfer"),
     "secret": ("token", "key", "secret", "password", "passwd", "credential", "auth"), "other": ("version", "order", "invoice", "date", "isbn", "page", "score", "price", "total", "chapter", "ref", "build", "lot", "part", "room", "from", "meet", "look"),
@@ -94,8 +98,9 @@ def base_spans(text: str, digits: bool = True) -> list[tuple[str, int, int]]:
 
 def proposals(text: str, digits: bool = True) -> list[tuple[str, int, int]]:
     out = []
-    if "@" in text or " at " in text or "[at]" in text or "(at)" in text:
-        if " dot " in text or "[dot]" in text or "(dot)" in text or "(at)" in text or "[at]" in text or " @ " in text:
+    if "@" in text or "at" in text:
+        bracketed = any(c in text for c in "[](){}") and BRACKETED.search(text)
+        if bracketed or ("@" in text or " at " in text) and (" dot " in text or " @ " in text):
             out += [("email", *m.span()) for m in GENERATORS["email"].finditer(text)]
     if digits:
         out += [(k, *m.span()) for k in ("phone", "ssn", "iban") for m in GENERATORS[k].finditer(text)]
@@ -109,7 +114,7 @@ def features(text: str, kind: str, a: int, b: int) -> list[float]:
     n = len(s)
     digits, letters = sum(c.isdigit() for c in s), sum(c.isalpha() for c in s)
     groups = [len(g) for g in re.findall(r"[0-9]+", s)] or [0]
-    counts = [s.count(c) for c in set(s)]
+    counts = list(Counter(s).values())
     entropy = -sum(c / n * math.log2(c / n) for c in counts)
     before, after = text[max(0, a - 40) : a].lower(), text[b : b + 24].lower()
     numbers = re.findall(r"[0-9]+", s)
@@ -167,6 +172,13 @@ def examples(seed: int = 7, each: int = 500) -> list[tuple[str, str, int, int, i
     return out
 
 
+def _pieces(used: bytearray, kind: str, a: int, b: int) -> list[tuple[str, int, int]]:
+    """What fixed spans leave of a long secret; a shorter one that holds such a span is none."""
+    if kind != "secret" or b - a <= LONG:
+        return []
+    return [(kind, a + m.start(), a + m.end()) for m in re.finditer(rb"\0{8,}+", used[a:b])]
+
+
 class Model:
     """Trees, calibration and one threshold for each kind."""
 
@@ -190,7 +202,7 @@ class Model:
         used = bytearray(len(text))
         for _, a, b in base:
             used[a:b] = b"\1" * (b - a)
-        free = [s for s in proposed if used.find(1, s[1], s[2]) < 0]
+        free = [x for s in proposed for x in ([s] if used.find(1, s[1], s[2]) < 0 else _pieces(used, *s))]
         if not free:
             return []
         score = self.trees.predict(np.array([features(text, *s) for s in free]))

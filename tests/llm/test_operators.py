@@ -306,6 +306,17 @@ def test_html_wrappers_and_attributes():
     assert html.extract(f'<body><div id=a><p>{long}</p></div><div id="comments"><article><p>{long}</p><p>{long}</p></article></div></body>') == want
 
 
+def test_long_secrets_and_braces(spark):
+    r = random.Random(11)
+    code = lambda n: "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789_-") for _ in range(n))
+    key, jwt = code(650), ".".join(code(n) for n in (36, 400, 43))
+    rows = [(1, f'token = "{key}" the rest'), (2, f"password: {jwt} and"), (3, "contact name{at}host{dot}org now"), (4, "mail name[@]host.org now"), (5, f"secret={code(250)}@b.co,{code(60)} x")]
+    out = {x.doc_id: x.text for x in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1] == 'token = "[SECRET]" the rest' and out[2] == "password: [SECRET] and"
+    assert "host" not in out[3] and ("email", 8, 28) in pii.proposals(rows[2][1]) and ("email", 5, 20) in pii.proposals(rows[3][1])
+    assert "[EMAIL]" in out[5]
+
+
 def near_copies(rows, words=5, percent=80):
     """Component of each row by brute force: shingles of some words, linked from some Jaccard on."""
     cut = lambda w: frozenset(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset()
