@@ -11,7 +11,9 @@ The benchmark is a stated query set. It is sent to the workers in parts of at mo
 each is searched over all documents and the matches of a document meet by its row key.
 
 Defined results for odd input: null and empty texts and items have no words and match
-nothing; an item shorter than the window is one window; repeated rows of documents are
+nothing; an item with a null id is passed over unless ``nameless`` is set, as op3 and the
+pipeline do: its words then count in n_hit, all such items as one in n_items, and their id is
+left out of items_sha256; an item shorter than the window is one window; repeated rows of documents are
 judged each on their own; repeated items (same id and text) count once; empty tables give
 no matches; columns other than id and text are never read.
 """
@@ -39,8 +41,8 @@ FIELDS = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("matches", MATCHE
 class Queries:
     """Windows of the benchmark items: word hashes in rows, padded behind the last word."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW, seed: int = SEED):
-        items = sorted(set(items))
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW, seed: int = SEED):
+        items = sorted(set(items), key=lambda x: (x[0] is None, x[0] or "", x[1]))
         body = [text.encode() for _, text in items]
         off = np.concatenate([[0], np.cumsum([len(x) for x in body])]).astype(np.int64)
         block = Block(np.frombuffer(b"".join(body), np.uint8), off, lower=True)
@@ -143,9 +145,10 @@ def _columns(block: Block, q: Queries):
     return w.count, np.bincount(w.row, mark, block.n).astype(np.int64), pa.ListArray.from_arrays(pa.array(offsets), match)
 
 
-def parts(bench: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, str]]]:
+def parts(bench: DataFrame, item_col: str, text_col: str, nameless: bool = False) -> Iterator[list[tuple[str | None, str]]]:
     """The benchmark in parts of bounded size; a part is read when the one before is done with."""
-    rows = bench.select(F.col(item_col).cast("string").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).where("i is not null").dropDuplicates()
+    rows = bench.select(F.col(item_col).cast("string").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    rows = (rows if nameless else rows.where("i is not null")).dropDuplicates()
     part, size = [], 0
     for r in rows.toLocalIterator():
         part.append((r.i, r.t))
@@ -156,11 +159,11 @@ def parts(bench: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple
     yield part
 
 
-def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", nameless: bool = False) -> DataFrame:
     """Per document row: id, n_words, n_hit (words inside a benchmark window) and ``matches``
     (item_id, first word in the document and in the item, number of words)."""
     spark = docs.sparkSession
-    sent = [spark.sparkContext.broadcast(Queries(p)) for p in parts(bench, item_col, item_text_col)]
+    sent = [spark.sparkContext.broadcast(Queries(p)) for p in parts(bench, item_col, item_text_col, nameless)]
     if len(sent) == 1:
         one = sent[0]
         return per_block(docs, [id_col], text_col, lambda block, *_: (_columns(block, one.value), None), FIELDS, lower=True)
@@ -190,9 +193,9 @@ def is_contaminated():
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
-def remove_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def remove_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", nameless: bool = False) -> DataFrame:
     """The documents, all columns as they came, without those that hold benchmark passages."""
-    sent = [docs.sparkSession.sparkContext.broadcast(Queries(p)) for p in parts(bench, item_col, item_text_col)]
+    sent = [docs.sparkSession.sparkContext.broadcast(Queries(p)) for p in parts(bench, item_col, item_text_col, nameless)]
 
     def keep(block, *_):
         mark, w = None, None
@@ -208,6 +211,6 @@ def remove_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
-    return contamination(docs, bench).select(
+    return contamination(docs, bench, nameless=True).select(
         "doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), is_contaminated().alias("contaminated"),
     )

@@ -306,6 +306,25 @@ def test_html_wrappers_and_attributes():
     assert html.extract(f'<body><div id=a><p>{long}</p></div><div id="comments"><article><p>{long}</p><p>{long}</p></article></div></body>') == want
 
 
+def test_nameless_items(spark, tmp_path):
+    """Items without an id are searched; op3 agrees with its SQL on them."""
+    import duckdb
+
+    import corpus_pipeline
+
+    docs = [(1, "a b c d e f g h i j k l m n"), (2, "x y z"), (3, "nothing of it"), (4, "q r x y z q r")]
+    bench = [(None, docs[0][1]), (None, "x y z"), (None, "q r"), (7, "x y z")]
+    for name, rows, schema in (("documents", docs, "doc_id long, text string"), ("benchmark", bench, "item_id long, text string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = QUERIES["op3_benchmark_decontamination"](spark, str(tmp_path))
+    assert rows_of(got.toPandas()) == rows_of(con.sql(SQL["op3_benchmark_decontamination"]).df())
+    assert {r.doc_id: (r.n_hit, r.n_items) for r in got.collect()} == {1: (14, 1), 2: (3, 2), 3: (0, 0), 4: (7, 2)}
+    assert [r.doc_id for r in corpus_pipeline.decontamination(spark, spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path)).collect()] == [3]
+
+
 def test_long_secrets_and_braces(spark):
     r = random.Random(11)
     code = lambda n: "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789_-") for _ in range(n))
