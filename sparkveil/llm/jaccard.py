@@ -398,6 +398,11 @@ def _links(all_sets: Sets, pairs: bool, rule: Rule):
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = OP5) -> DataFrame:
     """One row per input row: id, n_shingles and component_id (smallest id that links reach)."""
+    return _judged(docs, id_col, text_col, rule).drop("name")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFrame:
+    """near_duplicates, with the name of each row's set."""
     spark = docs.sparkSession
     read = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     bits = store.shard_bits(read)
@@ -420,8 +425,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = classes.join(roots.select(F.col("id").alias("name"), "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_name = rooted.join(least, "root").select("name", "component_id")
-    joined = full.join(of_name, "name").select(F.col("_id").alias(id_col), "n_shingles", "component_id")
-    return joined.unionByName(rows.where("n_shingles = 0").select(F.col("_id").alias(id_col), "n_shingles", F.col("_id").alias("component_id")))
+    joined = full.join(of_name, "name").select(F.col("_id").alias(id_col), "n_shingles", "component_id", "name")
+    return joined.unionByName(rows.where("n_shingles = 0").select(F.col("_id").alias(id_col), "n_shingles", F.col("_id").alias("component_id"), "name"))
 
 
 def _components_of(spark: SparkSession, read: DataFrame, found: DataFrame, clusters: DataFrame, n: int, bits: int, directory: str, rule: Rule) -> tuple[DataFrame, int]:
@@ -466,30 +471,49 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
     """The rows, all columns as they came, whose id is the smallest of its component (or null).
 
     Ids to drop are looked up in stored arrays while the rows pass, so no text is shuffled.
-    Rows that repeat a kept id all stay.
+    Rows that repeat a kept id all stay. Where an id stands on texts of which some go and some
+    stay, rows are told apart by the name of their set as well.
     """
     spark = docs.sparkSession
     bits = store.shard_bits(docs)
     directory = store.new_dir(spark, "dropped")
-    gone = near_duplicates(docs.select(id_col, text_col), id_col, text_col, rule).where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).cast("long").alias("id"))
-    there = frozenset(r.shard for r in gone.mapInArrow(_hashed(bits), "shard int, id long").groupBy("shard").applyInArrow(_members(directory), "shard int").collect())
+    pairs = store.new_dir(spark, "dropped-pairs")
+    judged = _judged(docs.select(id_col, text_col), id_col, text_col, rule).where(F.col(id_col).isNotNull())
+    goes = F.col("component_id") != F.col(id_col)
+    judged = store.written(judged.select(F.col(id_col).cast("long").alias("id"), "name", goes.alias("goes")), f"{directory}-judged")
+    by_id = judged.groupBy("id").agg(F.bool_or("goes").alias("some"), F.bool_and("goes").alias("every")).where("some")
+    stored = lambda rows, where: frozenset(r.shard for r in rows.mapInArrow(_hashed(bits), "shard int, id long").groupBy("shard").applyInArrow(_members(where), "shard int").collect())
+    there = stored(by_id.where("every").select("id"), directory)
+    parted = stored(judged.where("goes").join(by_id.where("not every").select("id"), "id").select("id", "name").distinct(), pairs)
 
     def choose(block: Block, at: int, batch):
         column = batch.column(id_col).slice(at, block.n)
-        some, back = np.unique(mix(np.asarray(column.fill_null(0)).astype(np.int64).view(U)), return_inverse=True)
-        drop = np.isin(store.shard_of(some, bits), list(there))
-        drop[drop] = store.find(directory, "member", bits, some[drop]) >= 0
-        return [], np.flatnonzero(~(drop[back] & np.asarray(column.is_valid())))
+        key = mix(np.asarray(column.fill_null(0)).astype(np.int64).view(U))
+        drop = _stored(directory, bits, there, key)
+        if parted:
+            drop |= _stored(pairs, bits, parted, mix(key + sets(block, rule)[3]))
+        return [], np.flatnonzero(~(drop & np.asarray(column.is_valid())))
+
+    # sets are named by lower-case words, the rows go out as they came
+    return per_block(docs, docs.columns, text_col, choose, [], lower=True)
+
 
-    return per_block(docs, docs.columns, text_col, choose, [])
+def _stored(directory: str, bits: int, there: frozenset[int], key: np.ndarray) -> np.ndarray:
+    """Which keys stand in the stored arrays."""
+    some, back = np.unique(key, return_inverse=True)
+    found = np.isin(store.shard_of(some, bits), list(there))
+    found[found] = store.find(directory, "member", bits, some[found]) >= 0
+    return found[back]
 
 
 def _hashed(bits: int):
-    """Ids spread over shards by a hash that no two ids share."""
+    """Ids spread over shards by a hash that no two ids share; with a name, the hash of both."""
 
     def run(batches):
         for batch in batches:
             key = mix(batch.column("id").to_numpy().astype(np.int64).view(U))
+            if "name" in batch.schema.names:
+                key = mix(key + batch.column("name").to_numpy().astype(np.int64).view(U))
             yield pa.RecordBatch.from_arrays([pa.array(store.shard_of(key, bits).astype(np.int32)), pa.array(key.view(np.int64))], names=["shard", "id"])
 
     return run

@@ -336,6 +336,14 @@ def test_long_secrets_and_braces(spark):
     assert "[EMAIL]" in out[5]
 
 
+def test_keep_one_by_row(spark):
+    """An id on a copy and on a text of its own loses the copy only."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "ABC")
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, "One " + a), (4, None), (5, c), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    same(pairs(jaccard.keep_one(docs)), [(1, a), (2, b), (4, None), (5, c), (None, a)])
+
+
 def near_copies(rows, words=5, percent=80):
     """Component of each row by brute force: shingles of some words, linked from some Jaccard on."""
     cut = lambda w: frozenset(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset()
