@@ -442,7 +442,8 @@ def _components_of(spark: SparkSession, read: DataFrame, found: DataFrame, clust
     placed = clusters.join(sized, "id").withColumn("block", F.floor((F.expr(run) - 1) / F.lit(BLOCK_ELEMENTS)).cast("long"))
     placed = kept(placed.select("id", "root", "block"), "placed")
     one = placed.groupBy("root", "block").agg(F.sort_array(F.collect_list("id")).alias("left"))
-    inside = kept(one.where(F.size("left") > 1).select("left").repartition(spread(spark)).mapInArrow(_links(all_sets, False, rule), "a long, b long"), "inside")
+    # few links come out of much work: their tables aren't gathered into few tasks
+    inside = store.written(one.where(F.size("left") > 1).select("left").repartition(spread(spark)).mapInArrow(_links(all_sets, False, rule), "a long, b long"), f"{directory}-inside")
     many = placed.where("block > 0").select("root").distinct()
     if many.isEmpty():
         return components(inside, f"{directory}-roots")
@@ -460,7 +461,7 @@ def _components_of(spark: SparkSession, read: DataFrame, found: DataFrame, clust
     side = lambda block, name: members.select("root", F.col("block").alias(block), F.transform("m", lambda s: s["id"]).alias(name), F.transform("m", lambda s: s["label"]).alias(f"{name}_root"))
     rows = met.join(side("p", "left"), ["root", "p"]).join(side("q", "right"), ["root", "q"]).select("left", "left_root", "right", "right_root")
     across = rows.repartition(spread(spark)).mapInArrow(_links(all_sets, True, rule), "a long, b long")
-    return components(kept(inside.unionByName(across), "links"), f"{directory}-roots")
+    return components(store.written(inside.unionByName(across), f"{directory}-links"), f"{directory}-roots")
 
 
 def spread(spark: SparkSession) -> int:
