@@ -8,12 +8,15 @@ parts that are no article (menus, forms, notices, comments and so on) are left o
 Defined results for odd input: null counts as the empty page and gives the empty text;
 unclosed tags, comments and scripts run to the end of what encloses them; a tag whose quotes
 don't pair ends at its first bracket, and one that never ends is text up to the next tag;
-repeated rows are read on their own.
+repeated rows are read on their own. Time is linear in the page, whatever its tags and quotes:
+open elements stand on a stack with the depths of each tag, and a text that no bracket follows
+is not searched for tags.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from html import unescape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +33,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+P_SCOPE = ("table", "td", "th", "button")
+RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 #: Parts that are never article text.
 DROP = frozenset("nav header footer aside form button input dialog menu".split()) | RAW | {"head"}
 DROP_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
@@ -38,12 +43,16 @@ UNLIKELY = re.compile(
     re.I,
 )
 LIKELY = re.compile(r"article|body|content|entry|main|page|post|story|text|blog", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
-#: A tag whose quotes don't pair ends at its first bracket.
-LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
+NAME = re.compile(r"</?([A-Za-z][^\s/>]*+)")
+#: What follows a tag's name: quoted values may hold brackets.
+REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+#: The same where quotes don't pair in the page: a value holds no tag, so what is scanned once isn't scanned again.
+STRICT_REST = re.compile(r"((?:[^<>\"']++|\"[^<\"]*+\"|'[^<']*+')*+)>")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|comment-?list|respond|reply|replies|disqus)(?:[\s_-]|$)", re.I)
 SPACES = re.compile(r"\s+")
+#: Character references whose number is written with leading zeros, and those past the last code point.
+ZEROS, PAST = re.compile(r"&#([xX]?)0+(?=[0-9a-fA-F])"), re.compile(r"&#(?:[1-9][0-9]{7,}+|[xX][1-9a-fA-F][0-9a-fA-F]{6,}+);?")
 LEAST_PARAGRAPH, SIBLING_SHARE = 25, 0.2
 
 
@@ -64,58 +73,100 @@ class Node:
             self.drop = self.drop or self.unlikely
 
 
+class Reader:
+    """Tags of a page, each byte looked at a bounded number of times."""
+
+    def __init__(self, html: str):
+        self.html, self.rest, self.last = html, REST, html.rfind(">")
+
+    def tag(self, lt: int) -> tuple[int, str, bool, str] | None:
+        """(end, name, whether it closes, attributes) of what starts here; no name: a comment or
+        declaration. None: no tag."""
+        html, n = self.html, len(self.html)
+        mark = html[lt + 1 : lt + 2]
+        if mark in ("!", "?") and mark:
+            comment = html.startswith("<!--", lt)
+            end = html.find("-->", lt + 4) if comment else html.find(">", lt)
+            return (n if end < 0 else end + (3 if comment else 1)), "", False, ""
+        name = NAME.match(html, lt) if lt < self.last else None
+        if name is None:
+            return None
+        m = self.rest.match(html, name.end())
+        if m is None:
+            # quotes don't pair: the tag ends at its first bracket
+            self.rest = STRICT_REST
+            m = self.rest.match(html, name.end())
+        end = m.end() if m else html.find(">", name.end()) + 1
+        return end, name[1].lower(), mark == "/", html[name.end() : end - 1]
+
+
+class Opened:
+    """The elements that are open, and the depths at which those of each tag stand."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at = [root], defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.at[node.tag].append(len(self.stack))
+        self.stack.append(node)
+
+    def depth(self, tags) -> int:
+        """Depth of the innermost open element of these tags; 0: none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def close(self, depth: int) -> None:
+        """Closes the element at this depth and all inside it."""
+        while depth and len(self.stack) > depth:
+            self.at[self.stack.pop().tag].pop()
+
+
 def tree(html: str) -> Node:
-    root = node = Node("root", None)
+    root = Node("root", None)
+    opened, read = Opened(root), Reader(html)
     at, n = 0, len(html)
     while at < n:
+        node = opened.stack[-1]
         lt = html.find("<", at)
         if lt < 0:
             node.parts.append(html[at:])
             break
-        m = TOKEN.match(html, lt) or LOOSE.match(html, lt)
-        if m is None:
-            to = html.find("<", lt + 1)
+        found = read.tag(lt)
+        if found is None:
+            to = html.find("<", lt + 1) if lt < read.last else n
             to = n if to < 0 else to
             node.parts.append(html[at:to])
             at = to
             continue
         if lt > at:
             node.parts.append(html[at:lt])
-        at = m.end()
-        if m[2] is None:  # a comment or a declaration
+        at, tag, closes, attributes = found
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+        if closes:
+            opened.close(opened.depth((tag,)))
             continue
         if tag in CLOSES_P:
-            node = _close(node, {"p"}, {"table", "td", "th", "button"}, root)
+            _close(opened, ("p",), P_SCOPE)
         elif tag in SAME:
-            node = _close(node, SAME[tag], SCOPE[tag], root)
-        child = Node(tag, node, m[3])
+            _close(opened, SAME[tag], SCOPE[tag])
+        node = opened.stack[-1]
+        child = Node(tag, node, attributes)
         node.parts.append(child)
-        if tag in VOID or m[3].endswith("/") and tag not in INLINE and tag not in CLOSES_P:
+        if tag in VOID or attributes.endswith("/") and tag not in INLINE and tag not in CLOSES_P:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            end = RAW_END[tag].search(html, at)
             at = end.end() if end else n
             continue
-        node = child
+        opened.push(child)
     return root
 
 
-def _close(node: Node, tags: set[str], scope: set[str], root: Node) -> Node:
-    """Closes the nearest open element of these tags unless a scope element comes first."""
-    up = node
-    while up is not root and up.tag not in scope:
-        if up.tag in tags:
-            return up.parent
-        up = up.parent
-    return node
+def _close(opened: Opened, tags, scope) -> None:
+    """Closes the innermost open element of these tags unless a scope element stands inside it."""
+    depth = opened.depth(tags)
+    if depth > opened.depth(scope):
+        opened.close(depth)
 
 
 def restore(root: Node) -> None:
@@ -175,6 +226,11 @@ def density(node: Node) -> float:
     return node.links / node.chars if node.chars else 0.0
 
 
+def decode(text: str) -> str:
+    """Character references decoded, however long their numbers are."""
+    return unescape(PAST.sub("\ufffd", ZEROS.sub(r"&#\1", text)) if "&#" in text else text)
+
+
 def extract(html: str) -> str:
     root = tree(html)
     restore(root)
@@ -202,7 +258,7 @@ def extract(html: str) -> str:
     piece: list[str] = []
 
     def flush() -> None:
-        line = SPACES.sub(" ", unescape("".join(piece))).strip()
+        line = SPACES.sub(" ", decode("".join(piece))).strip()
         piece.clear()
         if line:
             blocks.append(line)
