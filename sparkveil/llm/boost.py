@@ -62,13 +62,22 @@ class Boosted:
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> Boosted:
         """Platt scaling on rows that the trees have not seen."""
         m = self.margin(x)
-        a, b = 1.0, 0.0
+        at = np.array([1.0, 0.0])
+
+        def loss(v: np.ndarray) -> float:
+            z = v[0] * m + v[1]
+            return float(np.logaddexp(0, z).sum() - (y * z).sum() + ((v[0] - 1) ** 2 + v[1] ** 2) / 2)
+
         for _ in range(100):
-            p = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
+            p = 1 / (1 + np.exp(-np.clip(at[0] * m + at[1], -30, 30)))
             w = p * (1 - p)
             hessian = np.array([[(w * m * m).sum() + 1, (w * m).sum()], [(w * m).sum(), w.sum() + 1]])
-            step = np.linalg.solve(hessian, [((p - y) * m).sum() + (a - 1), (p - y).sum() + b])
-            a, b = a - step[0], b - step[1]
+            step = np.linalg.solve(hessian, [((p - y) * m).sum() + at[0] - 1, (p - y).sum() + at[1]])
+            # a Newton step is halved until it lowers the loss
+            while loss(at - step) > loss(at) and np.abs(step).max() > 1e-9:
+                step = step / 2
+            at = at - step
+        a, b = at
         self.platt = (float(a), float(b))
         return self
 
