@@ -2,7 +2,11 @@
 
 Rolling hashes of several n-gram lengths are taken over each block of texts in numpy; a
 text's repetition is the share of its word characters inside n-grams (and lines) that the
-same text holds more than once. All windows of all texts are measured.
+same text holds more than once; characters under several occurrences count once, so no share
+passes 1. All windows of all texts are measured.
+
+A share is too high if it passes its limit by more than two n-grams (two lines) are of the text:
+what a few chance repeats make up in a short text fades as texts grow, without a switch.
 
 Defined results for odd input: null and empty texts have no words and fail the base rule;
 texts shorter than a window have no window of that length; repeated rows are judged each
@@ -27,8 +31,8 @@ LINE_END = _table([(0x0A, 0x0A)])
 TOP_SHARE = {2: 0.20, 3: 0.18, 4: 0.16}
 DUP_SHARE = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 LINE_SHARE = {"lines": 0.30, "chars": 0.20}
-#: Shares of short texts jump with a single repeat: below these counts a share never rejects.
-LEAST_REPEATED_WORDS, LEAST_WORDS_TOP, LEAST_DUP_LINES = 30, 100, 4
+#: N-grams or lines by which a share may pass its limit.
+CHANCE = 2
 BASE_WINDOW, BASE_WORDS, BASE_REPEAT = 8, 20, 30
 
 FIELDS = [
@@ -57,14 +61,19 @@ def _lines(block: Block, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return each(np.ones(len(row))), each(later), each(size), each(size * later)
 
 
-def _top(key: np.ndarray, row: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
-    """Most characters that occurrences of one n-gram take, per text: count times length."""
+def _top(key: np.ndarray, at: np.ndarray, row: np.ndarray, upto: np.ndarray, k: int, n: int) -> np.ndarray:
+    """Most characters that the occurrences of one n-gram cover, per text; overlaps count once."""
     out = np.zeros(n, np.int64)
     twice = np.flatnonzero(repeated(key))
     if len(twice):
-        _, at, count = np.unique(key[twice], return_index=True, return_counts=True)
-        at = twice[at]
-        np.maximum.at(out, row[at], count * length[at])
+        order = twice[np.argsort(key[twice], kind="stable")]
+        new = np.ones(len(order), bool)
+        new[1:] = key[order[1:]] != key[order[:-1]]
+        place = at[order]
+        free = place.copy()  # first word that the occurrence before leaves uncovered
+        free[1:] = np.where(new[1:], place[1:], np.maximum(place[1:], place[:-1] + k))
+        head = np.flatnonzero(new)
+        np.maximum.at(out, row[order[head]], np.add.reduceat(upto[place + k] - upto[free], head))
     return out
 
 
@@ -85,24 +94,23 @@ def measure(block: Block, *_):
         ok = np.flatnonzero(inside(row, k))
         return ok, windows(h, k)[ok] + salt[ok]
 
-    top, dup, words = [], [], {}
+    top, dup, repeat = [], [], np.zeros(n, np.int64)
     for k in TOP_SHARE:
         ok, key = keys(k)
-        top.append(_top(key, row[ok], upto[ok + k] - upto[ok], n) / whole)
+        top.append(_top(key, ok, row[ok], upto, k, n) / whole)
     for k in DUP_SHARE:
         ok, key = keys(k)
         mark = covered(len(h), ok[repeated(key)], k)
         dup.append(_per_row(row, n, mark * chars) / whole)
-        words[k] = _per_row(row, n, mark)
-    repeat = words[BASE_WINDOW]
+        if k == BASE_WINDOW:
+            repeat = _per_row(row, n, mark)
     failed = (n_words < BASE_WORDS) | (100 * repeat > BASE_REPEAT * n_words)
     line_share, char_share = dup_lines / np.maximum(lines, 1), dup_size / np.maximum(line_size, 1)
     bad = np.zeros(n, bool)
-    for share, most in zip(top, TOP_SHARE.values(), strict=True):
-        bad |= (share > most) & (n_words >= LEAST_WORDS_TOP)
-    for share, (k, most) in zip(dup, DUP_SHARE.items(), strict=True):
-        bad |= (share > most) & (words[k] >= LEAST_REPEATED_WORDS)
-    bad |= ((line_share > LINE_SHARE["lines"]) | (char_share > LINE_SHARE["chars"])) & (dup_lines >= LEAST_DUP_LINES)
+    for share, (k, most) in zip([*top, *dup], [*TOP_SHARE.items(), *DUP_SHARE.items()], strict=True):
+        bad |= share > most + CHANCE * k / np.maximum(n_words, 1)
+    for share, most in ((line_share, LINE_SHARE["lines"]), (char_share, LINE_SHARE["chars"])):
+        bad |= share > most + CHANCE / np.maximum(lines, 1)
     kept = ~failed & ~bad
     return [n_words, word_chars, block.per_text(SYMBOL[block.data]), dup_lines, repeat, pa.array(failed), pa.array(kept), line_share, char_share, *top, *dup], None
 
