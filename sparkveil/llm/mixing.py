@@ -3,8 +3,9 @@
 Every source gets a target (its share of all words, at most ``max_repeats`` times its size)
 and a weight that changes linearly over training time t from ``1 + tilt`` to ``1 - tilt`` of
 its mean, or the other way round. Integrated, that is the words demanded up to t; inverted, it
-gives each document the time at which its words are due. Documents are then range-sorted by
-that position.
+gives each document the time at which its words are due, once for each pass that takes words
+of it: a source that is taken three times has positions all along the schedule. Documents are
+range-sorted by their first position; ``schedule`` gives one row for each document and pass.
 
 A source's documents stand in the order of a hash of their id. Each is taken as often as
 whole passes over the source fit its target; the rest of the target takes the first
@@ -13,8 +14,10 @@ its target to the word.
 
 Running sums within a source need no task that holds the source: words are summed by
 (source, hash bucket) first, the sums of buckets are run through, and documents are run
-through within their bucket only. The number of buckets follows the number of rows. Only
-(id, source, size) leaves the scan; that narrow table is written to the shared folder.
+through within their bucket only. There are as many buckets as the root of the number of rows,
+so neither a bucket nor a source's list of buckets holds more than about that root. The plan of
+targets is one row for each source. Only (id, source, size) leaves the scan; that narrow table
+is written to the shared folder.
 
 Defined results for odd input: null and empty texts have size 0, take 0 and stand where
 their order puts them; null is a source of its own, after all others; repeated rows count
@@ -24,6 +27,7 @@ columns are never read, whatever their names.
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -31,19 +35,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET, LEAST_BUCKETS = 5_000, 128
+LEAST_BUCKETS = 128
 MAX_REPEATS = 3
 TILT = 0.5
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is named."""
+    """The shared folder that the cluster names; a temporary one only where none is named and the
+    workers are this machine's own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all workers share")
         named = tempfile.mkdtemp(prefix="checkpoints-")
     spark.sparkContext.setCheckpointDir(named)
     return named
@@ -81,8 +88,9 @@ def position(weight_index, share, tilt: float = TILT):
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """Per document row: id, size, source, source_size, target, taken and position (of its first
-    word among the training positions; null if nothing is taken), range-sorted by position."""
+    """Per document row: id, size, source, source_size, target, taken, position (of its first word
+    among the training positions; null if nothing is taken) and positions (one for each pass that
+    takes words of it, as [position, words]), range-sorted by position."""
     spark = docs.sparkSession
     key = F.md5(F.col(id_col).cast("string").cast("binary"))
     rows = docs.select(F.col(id_col), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
@@ -90,7 +98,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     path = f"{checkpoint_dir(spark).rstrip('/')}/mix-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     rows = spark.read.schema(rows.schema).parquet(path)
-    buckets = max(LEAST_BUCKETS, rows.count() // ROWS_PER_BUCKET)
+    buckets = max(LEAST_BUCKETS, math.isqrt(rows.count()))
     bucket = F.floor(F.conv(F.substring("key", 1, 12), 16, 10).cast("double") / F.lit(float(16**12)) * buckets).cast("long")
     rows = rows.withColumn("bucket", F.coalesce(bucket, F.lit(0).cast("long")))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
@@ -109,14 +117,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         at.select(F.col(f"r.{id_col}").alias(id_col), "size", F.col("r.source").alias("source"), "source_size", "target", F.col("weight").cast("int").alias("weight"), start.alias("start"), passes.alias("passes"))
         .withColumn("rest", rest)
         .withColumn("taken", F.col("passes") * F.col("size") + part)
-        .withColumn("position", F.when(F.col("taken") > 0, position(F.col("weight"), F.least(F.lit(1.0), F.col("start") / F.col("target")))))
     )
-    ordered = out.select(id_col, "size", "source", "source_size", "target", "taken", "position")
+    due = lambda p: position(F.col("weight"), F.least(F.lit(1.0), (p * F.col("source_size") + F.col("start")) / F.col("target")))
+    whole = F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes")), lambda p: F.struct(due(p).alias("position"), F.when(p < F.col("passes"), F.col("size")).otherwise(F.col("taken") - F.col("passes") * F.col("size")).alias("words")))
+    out = out.withColumn("positions", F.filter(whole, lambda x: x["words"] > 0)).withColumn("position", F.get("positions", 0)["position"])
+    ordered = out.select(id_col, "size", "source", "source_size", "target", "taken", "position", "positions")
     return ordered.repartitionByRange("position", id_col).sortWithinPartitions("position", id_col)
 
 
+def schedule(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row for each pass over a document, range-sorted by training position: id, source, pass
+    (from 0), position and the words to take, whole passes first."""
+    rows = mixed.select(id_col, "source", F.posexplode("positions").alias("pass", "at")).select(id_col, "source", "pass", F.col("at.position").alias("position"), F.col("at.words").alias("words"))
+    return rows.repartitionByRange("position", id_col).sortWithinPartitions("position", id_col)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken", F.round("position", 9).alias("position"))
+    at = [F.round(F.get("positions", i)["position"], 9).alias(f"position_{i + 1}") for i in range(MAX_REPEATS)]
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken", *at)
 
 
 OP10_SQL = r"""
@@ -145,8 +163,16 @@ p AS (
 q AS (
   SELECT *, CAST(passes * size + least(size, greatest(0, CAST(round(target) AS BIGINT) - passes * source_size - start)) AS BIGINT) AS taken,
          CASE WHEN weight = 1 THEN 0.5::DOUBLE WHEN weight = 2 THEN 0::DOUBLE ELSE -0.5::DOUBLE END AS sl FROM p)
-SELECT doc_id, size, source_size, round(target, 4) AS target, taken,
-       CASE WHEN taken > 0 THEN round(CASE WHEN sl = 0 THEN least(1.0::DOUBLE, start / target)
-            ELSE (1 + sl - sqrt(greatest(0::DOUBLE, (1 + sl) * (1 + sl) - 4 * sl * least(1.0::DOUBLE, start / target)))) / (2 * sl) END, 9) END AS position
+SELECT doc_id, size, source_size, round(target, 4) AS target, taken, @1, @2, @3
 FROM q
 """
+
+#: Time by which the words of pass @p are due; a pass takes words if those before it don't hold all that is taken.
+_DUE = "least(1.0::DOUBLE, (@p * source_size + start) / target)"
+for _p in range(MAX_REPEATS):
+    _share = _DUE.replace("@p", str(_p))
+    OP10_SQL = OP10_SQL.replace(
+        f"@{_p + 1}",
+        f"""CASE WHEN taken > {_p} * size THEN round(CASE WHEN sl = 0 THEN {_share}
+            ELSE (1 + sl - sqrt(greatest(0::DOUBLE, (1 + sl) * (1 + sl) - 4 * sl * {_share}))) / (2 * sl) END, 9) END AS position_{_p + 1}""",
+    )
