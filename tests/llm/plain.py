@@ -35,6 +35,28 @@ def quality(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, n, len(w) < 20 or 100 * n > 30 * len(w)
 
 
+def shares(text):
+    """Top n-gram, duplicate n-gram and line shares, character by character."""
+    text = text or ""
+    w = WORD.findall(text)
+    total = max(1, sum(map(len, w)))
+    out = []
+    for k in (2, 3, 4):
+        at = defaultdict(list)
+        for i in range(len(w) - k + 1):
+            at[tuple(w[i : i + k])].append(i)
+        best = 0
+        for places in at.values():
+            if len(places) > 1:
+                best = max(best, sum(len(w[j]) for j in {i + d for i in places for d in range(k)}))
+        out.append(best / total)
+    for k in range(5, 11):
+        count = Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+        mark = {i + d for i in range(len(w) - k + 1) if count[tuple(w[i : i + k])] > 1 for d in range(k)}
+        out.append(sum(len(w[j]) for j in mark) / total)
+    return out
+
+
 def contamination(docs, bench):
     wins = defaultdict(set)
     for item, text in bench:
