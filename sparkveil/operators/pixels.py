@@ -106,16 +106,19 @@ def cover(frame: np.ndarray, boxes, mode: str, strength: int) -> np.ndarray:
 
 
 def cover_frames(frames: DataFrame, mode: str, strength: int) -> DataFrame:
-    """(height, width, pixels, boxes) -> pixels covered inside the boxes."""
+    """(height, width, pixels, boxes) -> pixels covered inside the boxes. Boxes in a column
+    ``secure`` are filled first, so that blurring them gives no pattern to read."""
 
     @F.pandas_udf("binary")
-    def run(height: pd.Series, width: pd.Series, pixels: pd.Series, boxes: pd.Series) -> pd.Series:
+    def run(height: pd.Series, width: pd.Series, pixels: pd.Series, boxes: pd.Series, secure: pd.Series) -> pd.Series:
         out = []
-        for h, w, p, b in zip(height, width, pixels, boxes, strict=True):
-            out.append(cover(np.frombuffer(p, np.uint8).reshape(h, w, 3), b, mode, strength).tobytes())
+        for h, w, p, b, s in zip(height, width, pixels, boxes, secure, strict=True):
+            frame = cover(np.frombuffer(p, np.uint8).reshape(h, w, 3), s if s is not None else [], "fill", strength)
+            out.append(cover(frame, b, mode, strength).tobytes())
         return pd.Series(out)
 
-    return frames.withColumn("pixels", run("height", "width", "pixels", "boxes"))
+    secure = F.col("secure") if "secure" in frames.columns else F.slice("boxes", 1, 0)
+    return frames.withColumn("pixels", run("height", "width", "pixels", "boxes", secure))
 
 
 def sharpness(gray: np.ndarray) -> float:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.lookups import severity, weight
 from ..functions.textpii import EMAIL, find_pii, luhn_ok, ssn_ok
 
 # Spoken digits.
@@ -32,10 +33,13 @@ def word_digits(word: Column) -> Column:
 
 
 def digit_runs(words: DataFrame) -> DataFrame:
-    """Maximal runs of neighbouring digit words: media_id, digits, first and last position, times."""
+    """Maximal runs of neighbouring digit words: media_id, digits, first and last position, times.
+
+    Words that are no digits leave before anything is shuffled; positions number the words of a
+    media without a hole, so a run is where position and rank among the digit words keep step."""
     w = W.partitionBy("media_id").orderBy("pos")
-    marked = words.withColumn("d", word_digits(F.col("word"))).withColumn("island", F.sum(F.when(F.col("d").isNull(), 1).otherwise(0)).over(w))
-    runs = marked.where("d is not null").groupBy("media_id", "island").agg(
+    marked = words.withColumn("d", word_digits(F.col("word"))).where("d is not null").withColumn("island", F.col("pos") - F.row_number().over(w))
+    runs = marked.groupBy("media_id", "island").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "d"))), lambda s: s["d"]), "").alias("digits"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.min("start").alias("start"), F.max("end").alias("end")
     )
     return runs.drop("island")
@@ -74,8 +78,9 @@ def find_speech_pii(words: DataFrame, margin: float = 0.35) -> DataFrame:
     """Text patterns over the joined words, then digit runs, then spoken addresses; a later find
     that overlaps an earlier one in time is dropped; what is left is widened and merged."""
     clean = words.withColumn("word", clean_word(F.col("word"))).where("word <> ''")
-    runs = digit_runs(clean).withColumn("kind", digits_kind(F.col("digits"))).where("kind is not null").groupBy("media_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind", "digits"))).alias("runs"))
     spoken = clean.groupBy("media_id").agg(F.sort_array(F.collect_list(F.struct("pos", "word", "start", "end"))).alias("w"))
+    numbered = spoken.select("media_id", F.posexplode("w").alias("n", "s")).select("media_id", F.col("n").alias("pos"), "s.word", "s.start", "s.end")
+    runs = digit_runs(numbered).withColumn("kind", digits_kind(F.col("digits"))).where("kind is not null").groupBy("media_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind", "digits"))).alias("runs"))
     text = F.array_join(F.transform("w", lambda s: s["word"]), " ")
     rows = spoken.join(runs, "media_id", "left").withColumn("text", text)
     at = lambda start: F.char_length(F.regexp_replace(F.substr(F.col("text"), F.lit(1), start), "[^ ]", ""))  # noqa: E731  number of the word there
@@ -104,9 +109,16 @@ def audio_filter(mode: Column, pitch: Column) -> Column:
     return F.when(mode == "mute", "").when(mode == "pitch", F.format_string("rubberband=pitch=%s", pitch))
 
 
-def cover_frames(hits: DataFrame, fps: Column, total: Column) -> DataFrame:
-    """Seconds to frames: truncated, at least one frame long, within the clip."""
-    first = F.least((F.col("start") * fps).cast("int"), total - 1)
-    last = F.greatest(first, F.least((F.col("end") * fps).cast("int"), total - 1))
+def cover_frames(hits: DataFrame, fps: Column) -> DataFrame:
+    """Seconds to frames: both ends truncated, wherever the clip ends."""
     n = F.row_number().over(W.partitionBy("media_id").orderBy("start", "end", "kind"))
-    return hits.select("media_id", F.concat_ws(":", F.lit("speech"), "kind", n).alias("track"), "kind", first.alias("first_frame"), last.alias("last_frame"))
+    frame = lambda t: F.when(fps > 0, (F.col(t) * fps).cast("int")).otherwise(F.lit(0))
+    return hits.select("media_id", F.concat_ws(":", F.lit("speech"), "kind", n).alias("track"), "kind", frame("start").alias("first_frame"), frame("end").alias("last_frame"))
+
+
+def elements(hits: DataFrame, fps: Column, total_frames: int) -> DataFrame:
+    """Hits as elements of a summary: at least one frame long; their share may pass 1."""
+    level = severity(F.col("kind"))
+    n = F.greatest(F.lit(1), F.col("last_frame") - F.col("first_frame")).cast("long")
+    share = F.round(n / total_frames, 3) if total_frames else F.lit(0.0)
+    return cover_frames(hits, fps).select("media_id", "track", "kind", level.alias("severity"), weight(level).alias("severity_weight"), n.alias("frames_detected"), "first_frame", "last_frame", share.alias("share_of_clip"))

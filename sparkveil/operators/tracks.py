@@ -125,6 +125,20 @@ def select_tracks(keys: DataFrame, keep: list[str], exclude: list[str]) -> DataF
     return keys.withColumn("decision", F.when(hit(keep), "kept").when(hit(exclude), "excluded").otherwise("redacted"))
 
 
+def secure_tracks(tracks: DataFrame) -> DataFrame:
+    """The tracks whose pattern could be read again from under a blur: codes. They take an opaque fill."""
+    return tracks.where(F.col("track_key").startswith("code:"))
+
+
+def scan_boxes(found: DataFrame, prefix: str, every: int, total_frames: int) -> DataFrame:
+    """Boxes found on sampled frames (media_id, frame, seq, box) as tracks: each is a track of its
+    own, held until the next sampled frame. Numbers run through a media in the order of frames."""
+    sampled = found.where((F.col("frame") % every == 0) & (F.col("frame") < total_frames))
+    n = F.row_number().over(W.partitionBy("media_id").orderBy("frame", "seq"))
+    held = F.explode(F.sequence(F.col("frame"), F.least(F.col("frame") + every, F.lit(total_frames)) - 1))
+    return sampled.withColumn("n", n).select("media_id", F.concat_ws(":", F.lit(prefix), "n").alias("track_key"), held.alias("frame"), F.array("box").alias("boxes"))
+
+
 def unmatched_patterns(keys: DataFrame, keep: list[str], exclude: list[str]) -> DataFrame:
     """Patterns that no key matches, in the order given. The pattern list comes from the caller."""
     spark = keys.sparkSession

@@ -10,7 +10,7 @@ from ..operators import boxes, parsers, pixels, reports, speech, summary, tracks
 from ..sources import adapters, readers
 from ..sources.readers import shared_dir
 from ..streaming import streams
-from .inputs import CARRY, KIND_OF, MARGIN, TOTAL, boxed_tracks, event_kind, event_tracks, line_boxes, raw_events, table, words
+from .inputs import CARRY, KIND_OF, MARGIN, TOTAL, boxed_tracks, event_kind, event_tracks, line_boxes, raw_events, spoken_numbers, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -85,8 +85,15 @@ def one_kind(pattern: str, ok=None):
 for _name, _run, _cte in (("pii_email", one_kind(textpii.EMAIL), "f_e"), ("pii_card", one_kind(textpii.CARD, textpii.luhn_ok), "f_c"), ("pii_phone", one_kind(textpii.PHONE), "f_p")):
     QUERIES[_name] = _run
     SQL[_name] = f"WITH {DOCS} SELECT doc_id, CAST(start AS INTEGER) AS start, m AS text FROM {_cte}"
-QUERIES["pii_ssn"] = one_kind(textpii.SSN, textpii.ssn_ok)
-SQL["pii_ssn"] = "SELECT doc_id, CAST(strpos(text, s) - 1 AS INTEGER) AS start, s AS text FROM (SELECT doc_id, text, unnest(regexp_extract_all(text, '\\b[0-9]{3}-[0-9]{2}-[0-9]{4}\\b')) AS s FROM documents)"
+SSN_SPARK = "concat('no ', lpad(o_orderkey * 7919 % 1000, 3, '0'), '-', lpad(o_orderkey * 31 % 100, 2, '0'), '-', lpad(o_orderkey * 37 % 10000, 4, '0'), if(o_orderkey % 7 = 0, '5 x', ', x'))"
+
+
+@query("""WITH n AS (SELECT o_orderkey, o_orderkey * 7919 % 1000 AS a, o_orderkey * 31 % 100 AS g, o_orderkey * 37 % 10000 AS s FROM orders)
+SELECT o_orderkey, 3 AS start, lpad(CAST(a AS VARCHAR), 3, '0') || '-' || lpad(CAST(g AS VARCHAR), 2, '0') || '-' || lpad(CAST(s AS VARCHAR), 4, '0') AS text FROM n WHERE o_orderkey % 7 <> 0 AND a NOT IN (0, 666) AND a < 900 AND g <> 0 AND s <> 0""")
+def pii_ssn(spark, sf):
+    """A number for each order, some out of range, some run into by another digit."""
+    found = F.filter(textpii.matches(F.expr(SSN_SPARK), textpii.SSN), lambda s: textpii.ssn_ok(s["text"]))
+    return table(spark, sf, "orders").select("o_orderkey", F.explode(found).alias("h")).select("o_orderkey", "h.start", "h.text")
 
 
 @query(f"WITH {DOCS} SELECT doc_id, kind, start, CAST(start + length(text) AS INTEGER) AS \"end\", text FROM f")
@@ -105,7 +112,15 @@ def pii_counts_pages(spark, sf):
     return rows.groupBy(F.col("h.kind").alias("kind")).agg(F.count("*").alias("hits"), F.countDistinct("page_id").alias("pages"))
 
 
-@query()
+DIGITS_SQL = "right(lpad(CAST(('0x' || substr(sha256(k), 1, 15))::UBIGINT AS VARCHAR), 20, '0'), {n})"
+STAND_IN = f"""r AS (SELECT doc_id, kind, start, text, kind || ':' || text AS k FROM f), q AS (SELECT *, '4242' || {DIGITS_SQL.format(n=11)} AS b, {DIGITS_SQL.format(n=6)} AS six FROM r),
+u AS (SELECT *, b || CAST((10 - list_sum(list_transform(range(15), lambda i: CASE WHEN i % 2 = 1 THEN CAST(b[15 - i] AS INTEGER) ELSE (CASE WHEN 2 * CAST(b[15 - i] AS INTEGER) > 9 THEN 2 * CAST(b[15 - i] AS INTEGER) - 9 ELSE 2 * CAST(b[15 - i] AS INTEGER) END) END)) % 10) % 10 AS VARCHAR) AS c FROM q),
+st AS (SELECT doc_id, start, start + length(text) AS stop, CASE kind WHEN 'email' THEN 'person@example.com' WHEN 'phone number' THEN '555-01' || CAST(10 + CAST(six AS INTEGER) % 90 AS VARCHAR) ELSE c[1:4] || ' ' || c[5:8] || ' ' || c[9:12] || ' ' || c[13:16] END AS made FROM u)"""
+
+
+@query(f"""WITH {DOCS}, {STAND_IN}, pc AS (SELECT st.*, d.text AS t, coalesce(lag(stop) OVER (PARTITION BY st.doc_id ORDER BY start), 0) AS back FROM st JOIN documents d USING (doc_id)),
+j AS (SELECT doc_id, count(*) AS hits, string_agg(substr(t, back + 1, start - back) || made, '' ORDER BY start) || substr(any_value(t), max(stop) + 1) AS masked FROM pc GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(hits, 0) AS INTEGER) AS hits, md5(coalesce(masked, d.text)) AS masked_md5 FROM documents d LEFT JOIN j USING (doc_id)""")
 def pii_mask_documents(spark, sf):
     docs = table(spark, sf, "documents")
     found = docs.withColumn("found", textpii.find_pii(F.col("text")))
@@ -127,17 +142,18 @@ def luhn_complete_numbers(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.concat(body, textpii.luhn_digit(body)).alias("number"))
 
 
-GPS_TEXTS = [
-    "2026-08-26 -30.920099 146.96307E speed 42", "N 51.50722 W 0.12750", "146.963070 -30.920099", "LAT: 37.774929, LON: -122.419418", "37.774929° -122.419418°", "52,520008, 13,404954", "999.1234 37.774929 -122.419418",
-    "total 12.99 and 45.00 due", "GPS 0.0000 0.0000 no fix", "value 91.12345 and 200.12345", "version 1.2.3456 build 7.8.9012", "at 37.774929 -122.419418 now", "1.2345 37.774929 -122.419418",
-    "Card 4242 4242 4242 4242, SSN 078-05-1120, mail test@example.com, call 415-555-2671", "Order 1234567890123456 shipped on 2026-10-05", "666-05-1120",
-]
+GPS_A, GPS_B = "(o_orderkey * 7919 % 2400000 - 1200000)", "(o_orderkey * 104729 % 4400000 - 2200000)"
+GPS_TEXT = "if({0} < 0, '-', '') || cast(floor(abs({0}) / 10000) as bigint) || '.' || lpad(abs({0}) % 10000, 4, '0')"
 
 
-@query()
-def pii_literals(spark, sf):
-    df = spark.createDataFrame(list(enumerate(GPS_TEXTS)), "id int, text string")
-    return df.select("id", F.explode(textpii.find_pii(F.col("text"))).alias("h")).select("id", "h.*")
+@query(f"""WITH n AS (SELECT o_orderkey, {GPS_A} AS a, {GPS_B} AS b FROM orders),
+w AS (SELECT *, CASE WHEN a < 0 THEN '-' ELSE '' END || CAST(abs(a) // 10000 AS VARCHAR) || '.' || lpad(CAST(abs(a) % 10000 AS VARCHAR), 4, '0') AS x, CASE WHEN b < 0 THEN '-' ELSE '' END || CAST(abs(b) // 10000 AS VARCHAR) || '.' || lpad(CAST(abs(b) % 10000 AS VARCHAR), 4, '0') AS y FROM n)
+SELECT o_orderkey, 'gps coordinates' AS kind, x || ', ' || y AS text, 3 AS start, CAST(3 + length(x || ', ' || y) AS INTEGER) AS "end" FROM w WHERE ((abs(a) <= 900000 AND abs(b) <= 1800000) OR (abs(a) <= 1800000 AND abs(b) <= 900000)) AND NOT (a = 0 AND b = 0)""")
+def pii_gps(spark, sf):
+    """A pair of numbers for each order, some of which are no coordinates."""
+    text = F.expr(f"'at ' || {GPS_TEXT.format(GPS_A)} || ', ' || {GPS_TEXT.format(GPS_B)} || ' now'")
+    rows = table(spark, sf, "orders").select("o_orderkey", F.explode(textpii.find_pii(text)).alias("h"))
+    return rows.select("o_orderkey", "h.kind", "h.text", "h.start", "h.end")
 
 
 # --- tracks -----------------------------------------------------------------------------------
@@ -160,7 +176,7 @@ round(sum(severity_weight * greatest(0.2::DOUBLE, share_of_clip)), 1) AS exposur
 
 @query(f"WITH {ELEMENTS}, fr AS (SELECT media_id, count(DISTINCT frame) AS frames_with_elements FROM et GROUP BY 1), x AS (SELECT {SUMMARY_COLUMNS} FROM el GROUP BY media_id) SELECT x.*, frames_with_elements, round(frames_with_elements / {TOTAL}::DOUBLE, 3) AS share_of_frames, 0::BIGINT AS kept_visible FROM x JOIN fr USING (media_id)")
 def run_summary(spark, sf):
-    return summary.summaries(event_tracks(spark, sf), TOTAL, event_kind()).drop("elements")
+    return summary.summaries(event_tracks(spark, sf), TOTAL, event_kind()).drop("elements", "mode", "audio_note", "mask_source")
 
 
 @query(f"WITH {ELEMENTS} SELECT kind, round(sum(severity_weight * greatest(0.2::DOUBLE, share_of_clip)), 1) AS exposure FROM el GROUP BY 1")
@@ -200,22 +216,11 @@ def longest_gap(spark, sf):
     return tracks.coverage_report(event_tracks(spark, sf), CARRY).groupBy("media_id").agg(F.max("longest_gap").alias("longest_gap"), F.sum("detected").alias("detected"), F.sum("open_gaps").alias("open_gaps"))
 
 
-@query(f"""WITH {ET}, one AS (SELECT DISTINCT frame FROM et WHERE track_key LIKE 'purchase:%'), sp AS (SELECT unnest(range(0, {TOTAL})) AS frame),
-c AS (SELECT sp.frame, one.frame IS NOT NULL AS c FROM sp LEFT JOIN one ON sp.frame = one.frame),
-n AS (SELECT *, lag(c) OVER (ORDER BY frame) AS b, lead(c) OVER (ORDER BY frame) AS a FROM c)
-SELECT CAST(frame AS INTEGER) AS frame, c OR (CASE WHEN b IS NULL THEN coalesce(a, false) WHEN a IS NULL THEN b ELSE a AND b END) AS covered FROM n""")
-def frame_coverage_smoothed(spark, sf):
-    """Purchases alone, as its SQL has it; frame_coverage_smoothed_all takes all tracks."""
-    one = event_tracks(spark, sf).where("track_key like 'purchase:%'").select("media_id", "frame").distinct()
-    media = spark.createDataFrame([("clip", TOTAL)], "media_id string, total_frames int")
-    return smoothed_coverage(one, media).drop("media_id")
-
-
 @query(f"""WITH {ET}, one AS (SELECT DISTINCT split_part(track_key, ':', 1) AS media_id, frame FROM et), sp AS (SELECT media_id, unnest(range(0, {TOTAL})) AS frame FROM (SELECT DISTINCT media_id FROM one)),
 c AS (SELECT sp.media_id, sp.frame, one.frame IS NOT NULL AS c FROM sp LEFT JOIN one ON sp.media_id = one.media_id AND sp.frame = one.frame),
 n AS (SELECT *, lag(c) OVER (PARTITION BY media_id ORDER BY frame) AS b, lead(c) OVER (PARTITION BY media_id ORDER BY frame) AS a FROM c)
 SELECT media_id, CAST(frame AS INTEGER) AS frame, c OR (CASE WHEN b IS NULL THEN coalesce(a, false) WHEN a IS NULL THEN b ELSE a AND b END) AS covered FROM n""")
-def frame_coverage_smoothed_all(spark, sf):
+def frame_coverage_smoothed(spark, sf):
     """All tracks; each event type is a clip of its own."""
     every = by_type(event_tracks(spark, sf)).select("media_id", "frame").distinct()
     return smoothed_coverage(every, clips(every))
@@ -247,7 +252,19 @@ def boxes_padded_merged(spark, sf):
     return rows.groupBy("frame").agg(F.count("*").alias("n_boxes"), F.sum((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
 
 
-@query()
+MASKS = f"""WITH b0 AS (SELECT event_type AS media_id, event_type || ':' || user_id AS track_key, CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 3600) AS INTEGER) AS frame, CAST(min(user_id) % 100 AS INTEGER) AS x, CAST(floor(min(value) % 100) AS INTEGER) AS y FROM events GROUP BY 1, 2, 3),
+n0 AS (SELECT *, lead(frame) OVER (PARTITION BY track_key ORDER BY frame) AS nxt FROM b0),
+b1 AS (SELECT media_id, track_key, x, y, unnest(generate_series(frame, CASE WHEN nxt - frame - 1 = 1 THEN nxt - 1 ELSE frame END)) AS frame FROM n0),
+n1 AS (SELECT *, lead(frame) OVER (PARTITION BY track_key ORDER BY frame) AS nxt FROM b1),
+b2 AS (SELECT media_id, x, y, unnest(generate_series(frame, CASE WHEN nxt IS NULL THEN least(frame + 2, {TOTAL - 1}) WHEN nxt - frame - 1 BETWEEN 1 AND 2 THEN nxt - 1 ELSE frame END)) AS frame FROM n1),
+b AS (SELECT DISTINCT media_id, frame, greatest(0, x - {MARGIN}) AS x1, greatest(0, y - {MARGIN}) AS y1, least(100, x + 10 + {MARGIN}) AS x2, least(100, y + 10 + {MARGIN}) AS y2 FROM b2),
+c AS (SELECT * FROM b WHERE x2 > x1 AND y2 > y1),
+m AS (SELECT * FROM c UNION SELECT media_id, 0, x1, y1, x2, y2 FROM c WHERE frame = 1 UNION SELECT media_id, {TOTAL - 1}, x1, y1, x2, y2 FROM c WHERE frame = {TOTAL - 2}
+  UNION SELECT p.media_id, p.frame + 1, greatest(p.x1, q.x1), greatest(p.y1, q.y1), least(p.x2, q.x2), least(p.y2, q.y2) FROM c p JOIN c q ON p.media_id = q.media_id AND q.frame = p.frame + 2 WHERE p.x1 < q.x2 AND q.x1 < p.x2 AND p.y1 < q.y2 AND q.y1 < p.y2)
+SELECT s.media_id, CAST(s.frame AS INTEGER) AS frame, CAST(count(m.x1) AS INTEGER) AS n_boxes FROM (SELECT DISTINCT media_id, unnest(range(0, {TOTAL})) AS frame FROM b0) s LEFT JOIN m ON m.media_id = s.media_id AND m.frame = s.frame GROUP BY 1, 2"""
+
+
+@query(MASKS)
 def per_frame_masks(spark, sf):
     """All tracks; each event type is a clip of its own."""
     every = by_type(boxed_tracks(spark, sf))
@@ -303,37 +320,66 @@ def run_mask_source(spark, sf):
     return summary.mask_source(e.withColumn("mask_source", kind))
 
 
+@query(f"""WITH {BY_MEDIA}, fr AS (SELECT media_id, count(DISTINCT frame) AS n FROM et GROUP BY 1), x AS (SELECT {SUMMARY_COLUMNS} FROM el GROUP BY media_id), a AS (SELECT CAST(i AS VARCHAR) AS media_id FROM range(8) t(i))
+SELECT a.media_id, coalesce(elements_found, 0) AS elements_found, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(exposure_score, 0) AS exposure_score, coalesce(n, 0) AS frames_with_elements, round(coalesce(n, 0) / {TOTAL}::DOUBLE, 3) AS share_of_frames, 0::BIGINT AS kept_visible
+FROM a LEFT JOIN x USING (media_id) LEFT JOIN fr USING (media_id)""")
+def summaries_without_finds(spark, sf):
+    """Five media with tracks, and three in which nothing was found."""
+    media = spark.range(8).select(F.col("id").cast("string").alias("media_id"))
+    t = event_tracks(spark, sf, (F.col("user_id") % 5).cast("string"))
+    return summary.summaries(t, TOTAL, event_kind(), media=media).drop("elements", "mode", "audio_note", "mask_source")
+
+
+@query(f"""WITH {BY_MEDIA}
+SELECT 2 AS exit_code, CAST((SELECT count(*) FROM el WHERE severity IN ('critical', 'high')) AS BIGINT) AS findings""")
+def gate_with_errors(spark, sf):
+    """A media that could not be read decides over all findings."""
+    t = event_tracks(spark, sf, (F.col("user_id") % 5).cast("string"))
+    errors = spark.createDataFrame([("9", "no such file")], "media_id string, error string")
+    return summary.gate_summaries(summary.summaries(t, TOTAL, event_kind()), "high", errors)
+
+
 # --- boxes ------------------------------------------------------------------------------------
 
-PAIRS = """l AS (SELECT l_orderkey AS frame, l_linenumber AS n, CAST(l_partkey % 50 AS INTEGER) AS x1, CAST(l_suppkey % 50 AS INTEGER) AS y1, CAST(trunc(l_quantity + 10) AS INTEGER) AS s FROM lineitem),
-b AS (SELECT DISTINCT ON (frame, n) frame, n, x1, y1, x1 + s AS x2, y1 + s AS y2 FROM l),
-pr AS (SELECT t.frame, t.x1, greatest(0, least(t.x2, p.x2) - greatest(t.x1, p.x1)) * greatest(0, least(t.y2, p.y2) - greatest(t.y1, p.y1)) AS i, (t.x2 - t.x1) * (t.y2 - t.y1) AS ta, (p.x2 - p.x1) * (p.y2 - p.y1) AS pa FROM (SELECT * FROM b WHERE n = 1) t LEFT JOIN (SELECT * FROM b WHERE n = 2) p USING (frame)),
-io AS (SELECT frame, coalesce(CASE WHEN ta + pa - i > 0 THEN i / (ta + pa - i)::DOUBLE ELSE 0 END, 0) AS iou, pa FROM pr)"""
+PAIRS = """l AS (SELECT l_orderkey AS frame, l_linenumber % 2 AS side, CAST(l_partkey % 50 AS INTEGER) AS x1, CAST(l_suppkey % 50 AS INTEGER) AS y1, CAST(trunc(l_quantity + 10) AS INTEGER) AS s,
+  CAST(row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 2 ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS INTEGER) AS seq FROM lineitem),
+b AS (SELECT frame, side, seq, x1, y1, x1 + s AS x2, y1 + s AS y2 FROM l),
+pr AS (SELECT t.frame, t.seq AS i, p.seq AS j, greatest(0, least(t.x2, p.x2) - greatest(t.x1, p.x1)) * greatest(0, least(t.y2, p.y2) - greatest(t.y1, p.y1)) AS c, (t.x2 - t.x1) * (t.y2 - t.y1) AS ta, (p.x2 - p.x1) * (p.y2 - p.y1) AS pa FROM (SELECT * FROM b WHERE side = 1) t JOIN (SELECT * FROM b WHERE side = 0) p USING (frame)),
+io AS (SELECT frame, i, j, CASE WHEN ta + pa - c > 0 THEN c / (ta + pa - c)::DOUBLE ELSE 0 END AS iou FROM pr)"""
 
 
-@query(f"WITH {PAIRS} SELECT frame, round(iou, 6) AS iou FROM io WHERE pa IS NOT NULL")
+@query(f"WITH {PAIRS} SELECT frame, i AS truth, j AS found, round(iou, 6) AS iou FROM io")
 def iou_pairs(spark, sf):
+    """All lines: odd ones are true boxes, even ones predictions of the same frame."""
     truth, found = line_boxes(spark, sf)
-    side = lambda df, name: df.select("frame", F.struct("x1", "y1", "x2", "y2").alias(name))
-    return side(truth, "t").join(side(found, "p"), "frame").select("frame", F.round(boxes.iou(F.col("t"), F.col("p")), 6).alias("iou"))
+    side = lambda df, seq, name: df.select("frame", F.col("seq").alias(seq), F.struct("x1", "y1", "x2", "y2").alias(name))
+    return side(truth, "truth", "t").join(side(found, "found", "p"), "frame").select("frame", "truth", "found", F.round(boxes.iou(F.col("t"), F.col("p")), 6).alias("iou"))
 
 
-@query(f"WITH {PAIRS} SELECT 'clip' AS media_id, count(*) AS gt_boxes, count_if(iou >= 0.5)::BIGINT AS hits, round(avg(CASE WHEN iou >= 0.5 THEN 1.0::DOUBLE ELSE 0 END), 4) AS recall, round(avg(iou), 4) AS mean_iou FROM io")
+@query(f"""WITH RECURSIVE {PAIRS}, cand AS (SELECT frame, i, list({{'j': j, 'iou': iou}} ORDER BY iou DESC, j) FILTER (iou > 0) AS cs FROM io GROUP BY 1, 2),
+tr AS (SELECT b.frame, b.seq AS i, coalesce(cs, []) AS cs FROM b LEFT JOIN cand ON b.frame = cand.frame AND b.seq = cand.i WHERE side = 1),
+g AS (SELECT frame, i, CASE WHEN len(cs) > 0 AND cs[1].iou >= 0.5 THEN [cs[1].j] ELSE []::INTEGER[] END AS used, CASE WHEN len(cs) > 0 THEN cs[1].iou ELSE 0 END AS best FROM tr WHERE i = 0
+  UNION ALL SELECT frame, i, CASE WHEN top.iou >= 0.5 THEN list_append(used, top.j) ELSE used END, coalesce(top.iou, 0) FROM (SELECT tr.frame, tr.i, g.used, list_filter(tr.cs, lambda x: NOT list_contains(g.used, x.j))[1] AS top FROM g JOIN tr ON tr.frame = g.frame AND tr.i = g.i + 1))
+SELECT 'clip' AS media_id, count(*) AS gt_boxes, count_if(best >= 0.5)::BIGINT AS hits, round(avg(CASE WHEN best >= 0.5 THEN 1.0::DOUBLE ELSE 0 END), 4) AS recall, round(avg(best), 4) AS mean_iou FROM g""")
 def eval_recall(spark, sf):
     return boxes.recall(boxes.match_boxes(*line_boxes(spark, sf)))
 
 
-@query("SELECT clip, recall::DOUBLE AS recall, coverage::DOUBLE AS coverage, leakage::DOUBLE AS leakage, grade FROM (VALUES ('badge', 0.7667, 0.7667, 0.5, 'C'), ('form', 1.0, 1.0, 0.0671, 'A'), ('half', 0.5, 0.6, 2.0, 'F'), ('qr', 1.0, 1.0, 0.1237, 'A')) t(clip, recall, coverage, leakage, grade)")
+SCORED = "CAST(p_partkey * 37 % 101 AS DOUBLE) / 100 AS recall, CAST(p_partkey * 53 % 101 AS DOUBLE) / 100 AS coverage, CAST(p_partkey % 250 AS DOUBLE) / 100 AS leakage"
+
+
+@query(f"""SELECT p_partkey, recall, coverage, leakage, CASE WHEN g >= 0.9::DOUBLE THEN 'A' WHEN g >= 0.8::DOUBLE THEN 'B' WHEN g >= 0.65::DOUBLE THEN 'C' WHEN g >= 0.5::DOUBLE THEN 'D' ELSE 'F' END AS grade
+FROM (SELECT *, 0.45::DOUBLE * recall + 0.35::DOUBLE * coverage + 0.2::DOUBLE * (1 - least(1.0::DOUBLE, leakage)) AS g FROM (SELECT p_partkey, {SCORED} FROM part))""")
 def eval_grade(spark, sf):
-    df = spark.createDataFrame([("badge", 0.7667, 0.7667, 0.5), ("form", 1.0, 1.0, 0.0671), ("half", 0.5, 0.6, 2.0), ("qr", 1.0, 1.0, 0.1237)], "clip string, recall double, coverage double, leakage double")
+    df = table(spark, sf, "part").selectExpr("p_partkey", *SCORED.split(", "))
     return df.withColumn("grade", boxes.grade(F.col("recall"), F.col("coverage"), F.col("leakage")))
 
 
-@query("SELECT * FROM (VALUES ('form'), ('lost')) t(clip)")
+@query(f"SELECT CAST(p_partkey AS VARCHAR) AS clip FROM (SELECT p_partkey, p_size, {SCORED} FROM part) WHERE p_partkey % 3 = 0 OR recall < p_size / 50::DOUBLE OR coverage < 0.3::DOUBLE")
 def eval_floors(spark, sf):
-    scores = spark.createDataFrame([("qr", 1.0, 0.7511), ("form", 1.0, 0.63), ("badge", 0.7667, 0.7455)], "clip string, recall double, mean_iou double")
-    floors = spark.createDataFrame([("qr", 0.99, 0.70), ("form", 0.99, 0.64), ("badge", 0.70, 0.70), ("lost", 0.5, 0.5)], "clip string, floor_recall double, floor_iou double")
-    return boxes.below_floors(scores, floors)
+    """A third of the clips were never scored."""
+    p = table(spark, sf, "part").selectExpr("cast(p_partkey as string) AS clip", "p_partkey", "p_size", *SCORED.split(", "))
+    return boxes.below_floors(p.where("p_partkey % 3 <> 0").select("clip", "recall", F.col("coverage").alias("mean_iou")), p.select("clip", (F.col("p_size") / 50.0).alias("floor_recall"), F.lit(0.3).alias("floor_iou")))
 
 
 @query()
@@ -390,17 +436,11 @@ def speech_digit_runs(spark, sf):
     return speech.digit_runs(document_words(spark, sf)).select("media_id", "digits", "first", "last")
 
 
-@query("""WITH h AS (SELECT event_type AS media_id, event_id, CAST(event_id AS DOUBLE) AS s, user_id % 3 AS k FROM events WHERE event_id % 4 = 0),
+@query("""WITH h AS (SELECT event_type AS media_id, event_id, CAST(event_id AS DOUBLE) AS s, user_id % 3 AS k FROM events),
 x AS (SELECT *, greatest(0::DOUBLE, s - 2.5::DOUBLE) AS a, s + 1.0::DOUBLE + 2.5::DOUBLE AS b FROM h), r AS (SELECT *, max(b) OVER (PARTITION BY media_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x),
 n AS (SELECT *, CASE WHEN a <= reach THEN 0 ELSE 1 END AS nw FROM r), p AS (SELECT *, sum(nw) OVER (PARTITION BY media_id ORDER BY s) AS part, nw = 1 OR lag(k) OVER (PARTITION BY media_id ORDER BY s) <> k AS ch FROM n)
 SELECT media_id, 'k' || CAST(arg_max(k, s) AS VARCHAR) AS kind, min(a) AS start, max(b) AS "end", string_agg(CAST(event_id AS VARCHAR), ' / ' ORDER BY s) FILTER (ch) AS text FROM p GROUP BY media_id, part""")
 def speech_merge_intervals(spark, sf):
-    """A quarter of the events, as its SQL has it; speech_merge_intervals_all takes all."""
-    return merged_events(table(spark, sf, "events").where("event_id % 4 = 0"))
-
-
-@query(SQL["speech_merge_intervals"].replace(" WHERE event_id % 4 = 0", ""))
-def speech_merge_intervals_all(spark, sf):
     return merged_events(table(spark, sf, "events"))
 
 
@@ -409,31 +449,37 @@ def merged_events(e):
     return speech.merge_intervals(e.select(F.col("event_type").alias("media_id"), F.concat(F.lit("k"), (F.col("user_id") % 3).cast("string")).alias("kind"), s.alias("start"), (s + 1.0).alias("end"), F.col("event_id").cast("string").alias("text")), 2.5)
 
 
-@query("""SELECT media_id, kind, text, start::DOUBLE AS start, "end"::DOUBLE AS "end" FROM (VALUES ('phone', 'phone number', '4155552671', 0.0, 3.6), ('card', 'credit card number', '4242424242424242', 0.0, 5.1), ('ssn', 'ssn', '078051123', 0.0, 3.0), ('email', 'email', 'alex.example@mail.com', 0.25, 3.0), ('glued', 'phone number', '415-555-2671', 0.0, 0.9)) t(media_id, kind, text, start, "end")""")
+SPOKEN = """sp AS (SELECT c_custkey, lpad(CAST(c_custkey * 7919 + 1000003 AS VARCHAR), [9, 10, 11, 16, 13][c_custkey % 5 + 1], '42') AS d FROM customer),
+sk AS (SELECT *, length(d) AS n FROM sp),
+hit AS (SELECT CAST(c_custkey AS VARCHAR) AS media_id, d AS text, n, CASE WHEN n BETWEEN 13 AND 19 THEN CASE WHEN @LUHN THEN 'credit card number' END WHEN n = 9 THEN CASE WHEN d[1:3] NOT IN ('000', '666') AND d[1:3] < '900' AND d[4:5] <> '00' AND d[6:9] <> '0000' THEN 'ssn' END ELSE 'phone number' END AS kind,
+  greatest(0::DOUBLE, round(0.3 - 0.35, 2)::DOUBLE) AS start, round(n * 0.3 + 0.25 + 0.35, 2)::DOUBLE AS "end" FROM sk)""".replace("@LUHN", LUHN)
+
+
+@query(f'WITH {SPOKEN} SELECT media_id, kind, text, start, "end" FROM hit WHERE kind IS NOT NULL')
 def spoken_pii(spark, sf):
-    return speech.find_speech_pii(words(spark)).select("media_id", "kind", "text", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"))
+    """A number of each customer, spoken digit by digit; some are a number of no kind."""
+    return speech.find_speech_pii(spoken_numbers(spark, sf)).select("media_id", "kind", "text", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"))
 
 
-@query()
+@query(f"""WITH {SPOKEN} SELECT media_id, printf('volume=enable=''between(t,%.2f,%.2f)'':volume=0', start, "end") AS filter FROM hit WHERE kind IS NOT NULL""")
 def speech_mute_filters(spark, sf):
-    return speech.mute_filter(speech.find_speech_pii(words(spark)))
+    return speech.mute_filter(speech.find_speech_pii(spoken_numbers(spark, sf)))
 
 
-@query("""WITH h AS (SELECT event_type AS media_id, event_id, value AS s, value + 0.5::DOUBLE AS e FROM events WHERE event_id % 50 = 0)
-SELECT media_id, 'speech:x:' || row_number() OVER (PARTITION BY media_id ORDER BY s, event_id) AS track, CAST(least(trunc(s * 29.97::DOUBLE), 99999) AS INTEGER) AS first_frame, CAST(greatest(least(trunc(s * 29.97::DOUBLE), 99999), least(trunc(e * 29.97::DOUBLE), 99999)) AS INTEGER) AS last_frame FROM h""")
+@query("""WITH h AS (SELECT event_type AS media_id, event_id, value AS s, value + 0.5::DOUBLE AS e FROM events)
+SELECT media_id, 'speech:x:' || row_number() OVER (PARTITION BY media_id ORDER BY s, event_id) AS track, CAST(trunc(s * 29.97::DOUBLE) AS INTEGER) AS first_frame, CAST(trunc(e * 29.97::DOUBLE) AS INTEGER) AS last_frame FROM h""")
 def speech_cover_frames(spark, sf):
-    """One event in 50, as its SQL has it; speech_cover_frames_all takes all."""
-    return covered_events(table(spark, sf, "events").where("event_id % 50 = 0"))
-
-
-@query(SQL["speech_cover_frames"].replace(" WHERE event_id % 50 = 0", ""))
-def speech_cover_frames_all(spark, sf):
-    return covered_events(table(spark, sf, "events"))
+    hits = table(spark, sf, "events").select(F.col("event_type").alias("media_id"), F.lit("x").alias("kind"), F.col("value").alias("start"), (F.col("value") + 0.5).alias("end"))
+    return speech.cover_frames(hits, F.lit(29.97)).drop("kind")
 
 
-def covered_events(e):
-    hits = e.select(F.col("event_type").alias("media_id"), F.lit("x").alias("kind"), F.col("value").alias("start"), (F.col("value") + 0.5).alias("end"))
-    return speech.cover_frames(hits, F.lit(29.97), F.lit(100000)).drop("kind")
+@query("""WITH h AS (SELECT event_type AS media_id, event_id, CAST(trunc(value * 25) AS BIGINT) AS a, CAST(trunc((value + 0.5::DOUBLE) * 25) AS BIGINT) AS b FROM events)
+SELECT media_id, count(*) AS n, sum(greatest(1, b - a))::BIGINT AS frames_detected, round(sum(round(greatest(1, b - a) / 20::DOUBLE, 3)), 3) AS share FROM h GROUP BY 1""")
+def speech_elements(spark, sf):
+    """Speech in a clip of 20 frames: it runs past the end, and so do the shares."""
+    hits = table(spark, sf, "events").select(F.col("event_type").alias("media_id"), F.lit("ssn").alias("kind"), F.col("value").alias("start"), (F.col("value") + 0.5).alias("end"))
+    e = speech.elements(hits, F.lit(25.0), 20)
+    return e.groupBy("media_id").agg(F.count("*").alias("n"), F.sum("frames_detected").alias("frames_detected"), F.round(F.sum("share_of_clip"), 3).alias("share"))
 
 
 # --- parsers ----------------------------------------------------------------------------------
@@ -455,31 +501,87 @@ def parse_tokens(spark, sf):
     return parsers.parse_tokens(token_text(spark, sf)).drop("mask_h", "mask_w", "mask_payload")
 
 
-@query("""SELECT * FROM (VALUES ('a', 0, 3, '7', 1, 2, 3, 4), ('a', 2, 0, '0', 0, 0, 64, 48), ('b', 1, 5, 'x', 9, 9, 12, 12)) t(media_id, seq, frame, track_id, x1, y1, x2, y2)""")
+JSON_LINE = """case l_linenumber % 6 when 0 then concat('{"frame": ', l_suppkey, ', "track_id": "', l_partkey, '", "box": [', l_suppkey, ',', l_partkey, ',', l_suppkey + 7, ',', l_partkey + 9, ']}')
+ when 1 then concat('{"frame_index": "', l_suppkey, '", "id": ', l_partkey, ', "box": [', l_suppkey, '.7, "', l_partkey, '", ', l_suppkey + 7, '.2, ', l_partkey + 9, ']}')
+ when 2 then concat('{"frame": ', l_suppkey, '.9, "box": [1, 2]}') when 3 then concat('not json ', l_partkey) when 4 then concat('{"id": "x', l_partkey, '", "box": "none"}') else '{"broken": ' end"""
+
+
+def by_order(spark, sf, line: str):
+    """One text per order, a line for each of its items in a total order."""
+    l = table(spark, sf, "lineitem")  # noqa: E741
+    rows = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.expr(line).alias("t"))))
+    return l.groupBy(F.col("l_orderkey").alias("media_id")).agg(F.transform(rows, lambda s: s["t"]).alias("lines"))
+
+
+ITEMS = "o AS (SELECT l_orderkey AS media_id, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS INTEGER) AS seq FROM lineitem)"
+
+
+@query(f"""WITH {ITEMS} SELECT media_id, seq, CAST(CASE WHEN n % 6 = 4 THEN 0 ELSE s END AS INTEGER) AS frame, CASE n % 6 WHEN 2 THEN '0' WHEN 4 THEN 'x' || p ELSE CAST(p AS VARCHAR) END AS track_id,
+CAST(CASE WHEN n % 6 < 2 THEN s ELSE 0 END AS INTEGER) AS x1, CAST(CASE WHEN n % 6 < 2 THEN p ELSE 0 END AS INTEGER) AS y1, CAST(CASE WHEN n % 6 < 2 THEN s + 7 ELSE 64 END AS INTEGER) AS x2, CAST(CASE WHEN n % 6 < 2 THEN p + 9 ELSE 48 END AS INTEGER) AS y2 FROM o WHERE n % 6 NOT IN (3, 5)""")
 def parse_jsonl(spark, sf):
-    rows = [("a", '{"frame": 3, "track_id": "7", "box": [1,2,3,4]}\nnot json\n{"box": [1,2]}'), ("b", 'text\n{"frame_index": 5, "id": "x", "box": [9,9,12,12]}'), ("c", '<0f>0<|box;x1=1;y1=1;x2=2;y2=2;w=1;h=1|>\n{"frame": 1}')]
-    return parsers.parse_json_lines(spark.createDataFrame(rows, "media_id string, text string"), width=64, height=48)
+    """Fields as numbers, strings or with fractions; boxes that are none; lines that are no JSON."""
+    return parsers.parse_json_lines(by_order(spark, sf, JSON_LINE).select("media_id", F.array_join("lines", "\n").alias("text")), width=64, height=48)
 
 
-@query("SELECT * FROM (VALUES ('a', 'one two'), ('b', 'whole'), ('c', 'rawx')) t(media_id, text)")
+EVENT_LINE = """case l_linenumber when 1 then concat('data: {"type": "response.output_text.delta", "delta": "d', l_partkey, '"}') when 2 then concat('data: {"type": "response.completed", "response": {"output": [{}, {"content": [{"text": ""}, {"text": "c', l_partkey, '"}, {"text": "no"}]}]}}')
+ when 3 then concat('data: raw', l_partkey) when 4 then concat('data: {"type": "other", "text": "t', l_partkey, '"}') when 5 then concat('{"output": [{"content": [{"text": "o', l_partkey, '"}, {"text": "p"}]}]}') when 6 then concat('plain', l_partkey) else 'data: [DONE]' end"""
+
+
+@query(f"""WITH {ITEMS}, d AS (SELECT media_id, min(seq) FILTER (n > 6) AS done FROM o GROUP BY 1), v AS (SELECT o.*, row_number() OVER (PARTITION BY media_id ORDER BY seq) AS r FROM o JOIN d USING (media_id) WHERE done IS NULL OR seq < done)
+SELECT media_id, coalesce(string_agg(CASE n WHEN 1 THEN 'd' || p WHEN 2 THEN CASE WHEN r = 1 THEN 'c' || p ELSE '' END WHEN 3 THEN 'raw' || p WHEN 4 THEN 't' || p WHEN 5 THEN 'o' || p || 'p' ELSE 'plain' || p END, '' ORDER BY seq), '') AS text FROM v GROUP BY 1""")
 def parse_sse(spark, sf):
-    d = lambda t: '{"type": "response.output_text.delta", "delta": "%s"}' % t
-    c = '{"type": "response.completed", "response": {"output_text": "whole"}}'
-    rows = [("a", 0, d("one ")), ("a", 1, d("two")), ("a", 2, c), ("a", 3, "[DONE]"), ("a", 4, d("late")), ("b", 0, '{"type": "ping"}'), ("b", 1, c), ("c", 0, "raw"), ("c", 1, d("x"))]
-    return parsers.parse_events(spark.createDataFrame(rows, "media_id string, pos int, data string"))
+    """An order's items as the lines of an event stream; a seventh item ends it."""
+    lines = by_order(spark, sf, EVENT_LINE).select("media_id", F.posexplode("lines").alias("pos", "line"))
+    return parsers.parse_events(lines)
+
+
+VERDICT = """case c_custkey % 8 when 0 then concat('sure: {"lat": ', c_custkey % 210 - 105, '.12345, "lon": ', c_custkey % 400 - 200, ', "country": "C', c_nationkey, '", "city": "', c_mktsegment, '", "confidence_25km": ', c_custkey % 120, ', "cues": ["sign", " ", " bus "]} bye')
+ when 1 then concat('{"lat": "', c_custkey % 90, '.5", "lon": "-7.25", "cues": "one cue"}') when 2 then '{"lat": 1, "lon": 2, "city": 5}' when 3 then '{"lon": 2}' when 4 then '{"lat": 1, "lon": 2, "cues": [1]}' when 5 then 'no json'
+ when 6 then concat('{"lat": 1.00005, "lon": 2, "cues": [', array_join(transform(sequence(1, c_nationkey + 1), i -> concat('"q', i, '"')), ','), ']}') else '{"lat": "x", "lon": 2}' end"""
+VERDICTS = """c AS (SELECT c_custkey, c_custkey % 8 AS k, c_nationkey, c_mktsegment, c_custkey % 210 - 105 AS la, c_custkey % 400 - 200 AS lo, c_custkey % 120 AS sure FROM customer),
+v AS (SELECT *, CASE k WHEN 0 THEN abs(la) < 90 AND abs(lo) <= 180 AND sure <= 100 ELSE k IN (1, 6) END AS ok FROM c),
+e AS (SELECT *, CASE WHEN ok THEN 'ok' ELSE 'failed' END AS status, CASE WHEN ok THEN CASE k WHEN 0 THEN CASE WHEN la < 0 THEN la - 0.1235::DOUBLE ELSE la + 0.1235::DOUBLE END WHEN 1 THEN c_custkey % 90 + 0.5::DOUBLE ELSE 1.0001::DOUBLE END END AS lat, CASE WHEN ok THEN CASE k WHEN 0 THEN lo::DOUBLE WHEN 1 THEN -7.25::DOUBLE ELSE 2::DOUBLE END END AS lon,
+  CASE WHEN ok THEN CASE k WHEN 0 THEN round(sure / 100::DOUBLE, 2) ELSE 0::DOUBLE END END AS confidence, CASE WHEN ok THEN CASE k WHEN 0 THEN 'C' || c_nationkey ELSE '' END END AS country, CASE WHEN ok THEN CASE k WHEN 0 THEN c_mktsegment ELSE '' END END AS city,
+  CASE WHEN ok THEN CASE k WHEN 0 THEN ['sign', 'bus'] WHEN 1 THEN ['one cue'] ELSE list_transform(range(1, least(c_nationkey + 1, 12) + 1), lambda i: 'q' || i) END END AS cues FROM v)"""
 
 
-@query("SELECT id, status, lat::DOUBLE AS lat, lon::DOUBLE AS lon, confidence::DOUBLE AS confidence, country, n_cues FROM (VALUES (0, 'ok', 51.5072, -0.1275, 0.8, 'UK', 2), (1, 'failed', NULL, NULL, NULL, NULL, NULL), (2, 'failed', NULL, NULL, NULL, NULL, NULL)) t(id, status, lat, lon, confidence, country, n_cues)")
+def verdicts(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", parsers.parse_verdict(F.expr(VERDICT)).alias("v"))
+
+
+@query(f"WITH {VERDICTS} SELECT c_custkey, status, round(lat, 4) AS lat, lon, confidence, country, city, array_to_string(cues, '|') AS cues FROM e")
 def parse_verdict(spark, sf):
-    rows = [(0, 'sure: {"lat": 51.50722, "lon": -0.1275, "country": "UK", "city": "London", "confidence_25km": 80, "cues": ["sign", " ", "bus"]} bye'), (1, '{"lat": 95, "lon": 0, "confidence_25km": 10}'), (2, "no json")]
-    v = spark.createDataFrame(rows, "id int, t string").select("id", parsers.parse_verdict(F.col("t")).alias("v"))
-    return v.select("id", "v.status", "v.lat", "v.lon", "v.confidence", "v.country", F.size("v.cues").alias("n_cues")).withColumn("n_cues", F.when(F.col("status") == "ok", F.col("n_cues")))
+    """Estimates in and out of range, with fields as strings, missing or of the wrong kind."""
+    return verdicts(spark, sf).select("c_custkey", "v.status", "v.lat", "v.lon", "v.confidence", "v.country", "v.city", F.array_join("v.cues", "|").alias("cues"))
+
 
+TAG_NAMES = ["location-eng", "creation_time", "Make", "title", "encoder", "com.apple.quicktime.model", "DATE", "album"]
+TAGGED = f"tg AS (SELECT CAST(p_partkey AS VARCHAR) AS media_id, p_size, unnest({TAG_NAMES}) AS name, unnest(range(0, 8)) AS i FROM part), has AS (SELECT media_id, p_size, CASE WHEN i = 0 THEN 1 WHEN i IN (1, 6) THEN 2 WHEN i IN (2, 5) THEN 3 WHEN i IN (3, 7) THEN 4 END AS pos, i FROM tg WHERE (p_size >> (i % 5)) % 2 = 1)"
+LABELS = "[" + ", ".join(f"'{x}'" for x in summary.METADATA_ORDER) + "]"
 
-@query("""SELECT * FROM (VALUES ('a', 'GPS location', 'high', 1), ('a', 'creation time', 'medium', 2), ('a', 'title and description', 'medium', 4), ('b', 'device info', 'medium', 3)) t(media_id, label, severity, pos)""")
+
+def part_tags(spark, sf, probe: bool = False):
+    """Tags of a container by the bits of the part's size; in a probe's JSON the odd ones are a stream's."""
+    each = ", ".join(f"if(shiftright(p_size, {i % 5}) % 2 = 1, named_struct('key', '{n}', 'value', '{i}'), null)" for i, n in enumerate(TAG_NAMES))
+    some = f"filter(array({each}), x -> x is not null)"
+    p = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("media_id"), F.expr(f"map_from_entries({some})").alias("tags"), "p_size")
+    if not probe:
+        return p
+    half = lambda n: F.map_filter("tags", lambda _, v: v.cast("int") % 2 == n)
+    stream = F.array(F.struct(F.lit("video").alias("codec_type"), half(1).alias("tags")), F.struct(F.lit("audio").alias("codec_type"), F.lit(None).cast("map<string,string>").alias("tags")))
+    return p.select("media_id", F.to_json(F.struct(F.struct(half(0).alias("tags")).alias("format"), stream.alias("streams"))).alias("probe_json"))
+
+
+@query(f"WITH {TAGGED} SELECT DISTINCT media_id, {LABELS}[pos] AS label, CASE WHEN pos = 1 THEN 'high' ELSE 'medium' END AS severity, CAST(pos AS INTEGER) AS pos FROM has WHERE pos IS NOT NULL")
 def metadata_classify(spark, sf):
-    rows = [("a", {"location-eng": "x", "location": "y", "creation_time": "z", "Title": "t", "encoder": "e"}), ("b", {"make": "m", "model": "n"}), ("c", {"encoder": "e"})]
-    return summary.metadata_findings(spark.createDataFrame(rows, "media_id string, tags map<string,string>"))
+    return summary.metadata_findings(part_tags(spark, sf))
+
+
+@query(f"WITH {TAGGED} SELECT media_id, count(*) AS tags, min(lower({TAG_NAMES}[i + 1])) AS first FROM has GROUP BY 1")
+def container_tag_union(spark, sf):
+    """Tags of the container and of its streams as one map, names in lower case."""
+    tags = summary.container_tags(part_tags(spark, sf, probe=True))
+    return tags.select("media_id", F.size("tags").cast("long").alias("tags"), F.array_min(F.map_keys("tags")).alias("first")).where("tags > 0")
 
 
 # --- sampling and options ---------------------------------------------------------------------
@@ -508,18 +610,26 @@ def middle_frame(spark, sf):
     return event_tracks(spark, sf).where(F.col("frame") == TOTAL // 2).select("track_key")
 
 
-@query("SELECT * FROM (VALUES ('family', 'blur', 31, 14, 6, 4), ('street', 'pixelate', 18, 16, 6, 3), ('documents', 'blur', 99, 12, 6, 7), ('nope', 'blur', 21, 10, 4, NULL)) t(preset, mode, strength, mask_margin, carry_frames, n_targets)")
+PRESET_ROWS = ", ".join(f"('{n}', '{m}', {a}, {b}, {c}, {len(t)})" for n, t, m, a, b, c in lookups.PRESETS)
+PRESET_NAMES = [n for n, *_ in lookups.PRESETS] + ["nope"]
+
+
+@query(f"""WITH o AS (SELECT p_partkey, {PRESET_NAMES}[p_partkey % 6 + 1] AS preset, CASE WHEN p_size % 2 = 0 THEN 'blur' ELSE 'pixelate' END AS mode, CASE WHEN p_size % 3 = 0 THEN 21 ELSE p_size END AS strength, CASE WHEN p_size % 5 = 0 THEN 10 ELSE p_size END AS margin, 4 AS carry FROM part),
+s AS (SELECT * FROM (VALUES {PRESET_ROWS}) t(preset, m, a, b, c, n))
+SELECT p_partkey, o.preset, CASE WHEN mode = 'blur' THEN coalesce(m, mode) ELSE mode END AS mode, CAST(CASE WHEN strength = 21 THEN coalesce(a, strength) ELSE strength END AS INTEGER) AS strength, CAST(CASE WHEN margin = 10 THEN coalesce(b, margin) ELSE margin END AS INTEGER) AS mask_margin, CAST(coalesce(c, carry) AS INTEGER) AS carry_frames, n AS n_targets FROM o LEFT JOIN s USING (preset)""")
 def presets_resolved(spark, sf):
-    rows = [("family", "blur", 21, 10, 4), ("street", "blur", 21, 10, 4), ("documents", "blur", 99, 10, 4), ("nope", "blur", 21, 10, 4)]
-    out = lookups.apply_preset(spark.createDataFrame(rows, "preset string, mode string, strength int, mask_margin int, carry_frames int"))
-    return out.select("preset", "mode", "strength", "mask_margin", "carry_frames", F.when(F.col("targets").isNotNull(), F.size("targets")).alias("n_targets"))
+    names = "array(" + ", ".join(f"'{n}'" for n in PRESET_NAMES) + ")"
+    rows = table(spark, sf, "part").selectExpr("p_partkey", f"element_at({names}, cast(p_partkey % 6 + 1 as int)) AS preset", "if(p_size % 2 = 0, 'blur', 'pixelate') AS mode", "if(p_size % 3 = 0, 21, p_size) AS strength", "if(p_size % 5 = 0, 10, p_size) AS mask_margin", "4 AS carry_frames")
+    out = lookups.apply_preset(rows)
+    return out.select("p_partkey", "preset", "mode", "strength", "mask_margin", "carry_frames", F.when(F.col("targets").isNotNull(), F.size("targets")).alias("n_targets"))
 
 
-@query("SELECT * FROM (VALUES (0, 'person,face,license plate,screen'), (1, 'dog,cat,dog'), (2, 'person,face,license plate,screen,dog'), (3, 'person,face,license plate,screen,bag,dog')) t(id, targets)")
+@query(f"""WITH c AS (SELECT c_custkey, c_custkey % 4 AS k, c_mktsegment AS m, {lookups.DEFAULT_TARGETS} AS df FROM customer)
+SELECT c_custkey, array_to_string(CASE WHEN k = 0 THEN df WHEN k = 1 THEN ['dog', m, 'dog'] WHEN k = 2 THEN list_concat(df, CASE WHEN m = 'face' THEN [] ELSE [m] END) ELSE list_concat(df, ['bag', m]) END, ',') AS targets FROM c""")
 def targets_resolved(spark, sf):
-    rows = [(0, " ; ", None, False), (1, "dog; cat,dog", None, False), (2, "dog,face", None, True), (3, "dog", "bag,face", False)]
-    df = spark.createDataFrame(rows, "id int, t string, a string, d boolean")
-    return df.select("id", F.array_join(lookups.resolve_targets(lookups.split_targets(F.col("t")), lookups.split_targets(F.col("a")), F.col("d")), ",").alias("targets"))
+    t = F.expr("case c_custkey % 4 when 0 then ' ; ' when 1 then concat('dog; ', c_mktsegment, ',dog') when 2 then concat(c_mktsegment, ',face') else c_mktsegment end")
+    a = F.expr("if(c_custkey % 4 = 3, 'bag,face', null)")
+    return table(spark, sf, "customer").select("c_custkey", F.array_join(lookups.resolve_targets(lookups.split_targets(t), lookups.split_targets(a), F.col("c_custkey") % 4 == 2), ",").alias("targets"))
 
 
 @query(f"WITH {ET}, k AS (SELECT split_part(track_key, ':', 1) AS kind, track_key, count(*) AS frames FROM et GROUP BY 1, 2) SELECT kind, CAST(bucket AS INTEGER) AS bucket, count(*) AS tracks FROM (SELECT *, frames // 2 AS bucket FROM k) GROUP BY ALL")
@@ -552,34 +662,35 @@ def audit_text(spark, sf):
     return reports.audit_lines(summary.summaries(t, TOTAL, event_kind()), summary.elements(t, TOTAL, event_kind()), TOTAL)
 
 
-@query("""SELECT * FROM (VALUES (0, 0, 'Location: near London, UK (80%)'), (0, 1, 'Cues: a; b; c; d; e; f'), (1, 0, 'Location: near unknown city, UK (5%)'), (1, 1, 'Cues: ' || repeat('x', 317) || '...'), (2, 0, 'Location: no estimate, not checked')) t(id, pos, line)""")
+@query(f"""WITH {VERDICTS}, l AS (SELECT c_custkey, status, 'Location: near ' || city || ', ' || country || ' (' || CAST(CAST(round(confidence * 100) AS INTEGER) AS VARCHAR) || '%)' AS a, array_to_string(cues[1:6], '; ') AS q FROM e)
+SELECT c_custkey, 0 AS pos, CASE WHEN status = 'ok' THEN a ELSE 'Location: no estimate, not checked' END AS line FROM l UNION ALL SELECT c_custkey, 1, 'Cues: ' || q FROM l WHERE status = 'ok' AND q <> ''""")
 def location_text(spark, sf):
-    rows = [(0, '{"lat": 51.5, "lon": -0.1, "country": "UK", "city": "London", "confidence_25km": 80, "cues": ["a","b","c","d","e","f","g"]}'), (1, '{"lat": 51.5, "lon": -0.1, "country": "UK", "confidence_25km": 5, "cues": ["%s"]}' % ("x" * 400)), (2, "no json")]
-    v = spark.createDataFrame(rows, "id int, t string").withColumn("v", parsers.parse_verdict(F.col("t")))
-    return v.select("id", F.posexplode(reports.location_lines(F.col("v"))).alias("pos", "line"))
+    return verdicts(spark, sf).select("c_custkey", F.posexplode(reports.location_lines(F.col("v"))).alias("pos", "line"))
 
 
 # --- readers, recognised text, boxes from providers -------------------------------------------
 
 
-@query("SELECT * FROM (VALUES ('a', 640, 480, round(30000 / 1001::DOUBLE, 6), 300, 10.01::DOUBLE, true), ('b', 10, 20, 30.0::DOUBLE, 60, 2.0::DOUBLE, false), ('c', NULL, NULL, 30.0::DOUBLE, 135, 4.5::DOUBLE, true)) t(media_id, width, height, fps, frame_count, duration, has_audio)")
+PROBE = """case p_partkey % 3 when 0 then concat('{"streams": [{"codec_type": "video", "width": ', p_size, ', "height": 480, "r_frame_rate": "', 1000 * p_size, '/1001", "nb_frames": "', p_partkey, '", "duration": "', p_size, '.5"}, {"codec_type": "audio"}]}')
+ when 1 then concat('{"streams": [{"codec_type": "video", "width": 10, "height": ', p_size, ', "r_frame_rate": "0/0", "nb_frames": "', p_size, '"}]}') else concat('{"streams": [{"codec_type": "audio"}], "format": {"duration": "', p_size, '.5"}}') end"""
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size, p_partkey % 3 AS k FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN p_size WHEN 1 THEN 10 END AS width, CASE k WHEN 0 THEN 480 WHEN 1 THEN p_size END AS height, round(CASE k WHEN 0 THEN 1000 * p_size / 1001::DOUBLE ELSE 30 END, 6) AS fps, CAST(CASE k WHEN 0 THEN p_partkey WHEN 1 THEN p_size ELSE trunc((p_size + 0.5::DOUBLE) * 30) END AS INTEGER) AS frame_count,
+round(CASE k WHEN 1 THEN p_size / 30::DOUBLE ELSE p_size + 0.5::DOUBLE END, 6) AS duration, k <> 1 AS has_audio FROM p""")
 def probe_media(spark, sf):
-    rows = [
-        ("a", '{"streams": [{"codec_type": "video", "width": 640, "height": 480, "r_frame_rate": "30000/1001", "nb_frames": "300", "duration": "10.01"}, {"codec_type": "audio"}]}'),
-        ("b", '{"streams": [{"codec_type": "video", "width": 10, "height": 20, "r_frame_rate": "0/0", "nb_frames": "60"}]}'),
-        ("c", '{"streams": [{"codec_type": "audio"}], "format": {"duration": "4.5"}}'),
-    ]
-    out = readers.probe(spark.createDataFrame(rows, "media_id string, probe_json string"))
-    return out.select("media_id", "width", "height", F.round("fps", 6).alias("fps"), "frame_count", "duration", "has_audio")
+    out = readers.probe(table(spark, sf, "part").select("p_partkey", F.expr(PROBE).alias("probe_json")))
+    return out.select("p_partkey", "width", "height", F.round("fps", 6).alias("fps"), "frame_count", F.round("duration", 6).alias("duration"), "has_audio")
 
 
-@query("SELECT * FROM (VALUES ('a', 0, 'one', 0.0::DOUBLE, 0.5::DOUBLE), ('a', 1, 'two', 0.5::DOUBLE, 1.0::DOUBLE), ('b', 0, 'x', 0.0::DOUBLE, 1.0::DOUBLE), ('b', 2, 'z', 3.0::DOUBLE, 4.0::DOUBLE)) t(media_id, pos, word, start, \"end\")")
+@query("""WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS media_id, p_name AS w, p_size AS s FROM part)
+SELECT media_id, 0 AS pos, w AS word, s::DOUBLE AS start, s + 1::DOUBLE AS "end" FROM p UNION ALL SELECT media_id, 2, 'w' || s, s + 2::DOUBLE, s + 2.5::DOUBLE FROM p WHERE s % 2 = 0""")
 def transcript_table(spark, sf):
-    rows = [
-        ("a", '{"words": [{"word": " one, ", "start": 0.0, "end": 0.5}, {"word": "two.", "start": 0.5, "end": 1}, {"word": "...", "start": 1, "end": 2}], "segments": [{"words": [{"word": "no", "start": 0, "end": 1}]}]}'),
-        ("b", '{"segments": [{"words": [{"word": "x", "start": 0, "end": 1}, {"word": "y", "start": "?", "end": 2}]}, {}, {"words": [{"word": "\'z\'", "start": 3, "end": 4}]}]}'),
-    ]
-    return readers.transcript_words(spark.createDataFrame(rows, "media_id string, json string"))
+    """Words at the top or in segments; blank and malformed ones go."""
+    word = lambda w, a, b: f"""'{{"word": "', {w}, '", "start": ', {a}, ', "end": ', {b}, '}}'"""
+    words = f"""concat('[', {word("concat(' ', p_name, ', ')", "p_size", "p_size + 1")}, ',', {word("'...'", "1", "2")}, ',', {word("concat('w', p_size, '.')", "if(p_size % 2 = 0, cast(p_size + 2 as string), '\"?\"')", "concat(p_size + 2, '.5')")}, ']')"""
+    both = F.expr(f"""if(p_partkey % 2 = 0, concat('{{"words": ', {words}, ', "segments": [{{"words": [{{"word": "no", "start": 0, "end": 1}}]}}]}}'), concat('{{"segments": [{{"words": ', {words}, '}}, {{}}]}}'))""")
+    return readers.transcript_words(table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("media_id"), both.alias("json")))
 
 
 @query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents c WHERE c.lang = 'en' AND c.text = d.text)")
@@ -589,12 +700,17 @@ def cache_lookup(spark, sf):
     return readers.cache_misses(d.select("doc_id", "cache_key"), d.where("lang = 'en'").select("cache_key").distinct()).select("doc_id")
 
 
-@query("SELECT * FROM (VALUES ('a', 0, 'email', 'test@example.com', 5, 40, 0, 160, 12), ('a', 10, 'credit card number', '4242 4242 4242 4242', 0, 0, 20, 195, 33)) t(media_id, frame, kind, text, start, x1, y1, x2, y2)")
+@query("""WITH o AS (SELECT o_orderkey AS k, CAST(o_orderkey % 90 AS INTEGER) AS x, 'u' || o_orderkey || '@example.com' AS mail FROM orders)
+SELECT CAST(k AS VARCHAR) AS media_id, 0 AS frame, 'email' AS kind, mail AS text, 5 AS start, x + 40 AS x1, 0 AS y1, x + 160 AS x2, 12 AS y2 FROM o
+UNION ALL SELECT CAST(k AS VARCHAR), 10, 'credit card number', '4242 4242 4242 4242', 0, x, 20, x + 195, 33 FROM o WHERE k % 3 = 0""")
 def ocr_findings(spark, sf):
-    rows = [("a", 0, 1, 1, 1, i, w, 90.0, *b) for i, (w, b) in enumerate([("mail", (0, 2, 38, 11)), ("test@example.com", (40, 0, 160, 12)), (" ", (0, 0, 500, 500)), ("now", (162, 1, 180, 10))])]
-    rows += [("a", 10, 1, 1, 2, i, "4242", 88.0, 50 * i, 20 + i, 50 * i + 45, 30 + i) for i in range(4)] + [("a", 10, 1, 1, 2, 4, "x@y.org", -1.0, 0, 0, 9, 9)]
-    ocr = spark.createDataFrame(rows, "media_id string, frame int, block int, par int, line int, pos int, word string, conf double, x1 int, y1 int, x2 int, y2 int")
-    return readers.line_findings(readers.group_words(ocr)).select("media_id", "frame", "kind", "text", "start", "box.*")
+    """Recognised words of two frames for each order; blank words and words of no confidence go."""
+    at = "cast(o_orderkey % 90 as int)"
+    word = lambda frame, pos, text, conf, x1, y1, x2, y2: f"named_struct('frame', {frame}, 'block', 1, 'par', 1, 'line', 1, 'pos', {pos}, 'word', {text}, 'conf', {conf}D, 'x1', {at} + {x1}, 'y1', {y1}, 'x2', {at} + {x2}, 'y2', {y2})"
+    mail = [word(0, 0, "'mail'", 90, 0, 2, 38, 11), word(0, 1, "concat('u', o_orderkey, '@example.com')", 90, 40, 0, 160, 12), word(0, 2, "' '", 90, 0, 0, 500, 500), word(0, 3, "'now'", 90, 162, 1, 180, 10)]
+    card = [word(10, i, "if(i_ok, '4242', '4243')".replace("i_ok", "o_orderkey % 3 = 0"), 88, 50 * i, 20 + i, 50 * i + 45, 30 + i) for i in range(4)] + [word(10, 4, "'x@y.org'", -1, 0, 0, 9, 9)]
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("media_id"), F.explode(F.expr(f"array({', '.join(mail + card)})")).alias("w")).select("media_id", "w.*")
+    return readers.line_findings(readers.group_words(rows)).select("media_id", "frame", "kind", "text", "start", "box.*")
 
 
 @query("""SELECT l_orderkey, l_linenumber, greatest(0, least(50, round_even(l_quantity / 2 - 5, 0)::INTEGER)) AS x1, greatest(0, least(30, round_even(l_suppkey % 40 - 4.5::DOUBLE, 0)::INTEGER)) AS y1, least(50, greatest(0, round_even(l_quantity / 2 - 5 + l_linenumber, 0)::INTEGER)) AS x2, least(30, greatest(0, round_even(l_suppkey % 40 + 2.5::DOUBLE, 0)::INTEGER)) AS y2
@@ -612,27 +728,52 @@ def points_boxes(spark, sf):
     return table(spark, sf, "part").select("p_partkey", boxes.points_box(corners).alias("b")).select("p_partkey", "b.*")
 
 
-@query("SELECT * FROM (VALUES ('a', 'face', 0, 0, '1', 1, 2, 3, 4), ('a', 'face', 2, 1, NULL, 5, 6, 7, 8)) t(media_id, phrase, frame, seq, track_id, x1, y1, x2, y2)")
+@query("""WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS media_id, p_partkey AS k, CAST(p_size AS INTEGER) AS s FROM part)
+SELECT media_id, 'face' AS phrase, 2 * CAST(i AS INTEGER) AS frame, CAST(i AS INTEGER) AS seq, CASE WHEN i = 0 THEN CAST(s AS VARCHAR) END AS track_id, s AS x1, 2 AS y1, s + 3 AS x2, 9 AS y2 FROM p, range(3) t(i) WHERE i < k % 4""")
 def provider_boxes(spark, sf):
-    class Fixed:
+    class BySize:
         def detect(self, path, phrase):
-            return [(0, 1, 1, 2, 3, 4), (2, None, 5, 6, 7, 8)] if (path, phrase) == ("a.mp4", "face") else []
+            key, size = map(int, path.split("/"))
+            return [(2 * i, size if i == 0 else None, size, 2, size + 3, 9) for i in range(min(3, key % 4))] if phrase == "face" else []
 
-    media = spark.createDataFrame([("a", "a.mp4"), ("b", "b.mp4")], "media_id string, path string")
-    return adapters.detect(media, ["face", "screen"], Fixed()).unionByName(adapters.detect(media, ["face"], adapters.Nothing()))
+    media = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("media_id"), F.concat_ws("/", F.col("p_partkey").cast("string"), F.col("p_size").cast("string")).alias("path"))
+    return adapters.detect(media, ["face", "screen"], BySize()).unionByName(adapters.detect(media, ["face"], adapters.Nothing()))
 
 
-@query("SELECT * FROM (VALUES ('a', 'GPS location')) t(media_id, label)")
+@query(f"WITH {TAGGED} SELECT DISTINCT media_id, {LABELS}[pos] AS label FROM has WHERE pos < 3")
 def metadata_survivors(spark, sf):
-    tags = lambda rows: summary.metadata_findings(spark.createDataFrame(rows, "media_id string, tags map<string,string>"))
-    before, after = tags([("a", {"location": "x", "title": "t"}), ("b", {"make": "m"})]), tags([("a", {"location": "x", "date": "d"}), ("b", {"encoder": "e"})])
-    return summary.survivors(before, after).select("media_id", "label")
+    """Outputs that lost all tags but places and times."""
+    tags = part_tags(spark, sf)
+    after = tags.withColumn("tags", F.map_filter("tags", lambda k, _: F.lower(k).startswith("location") | F.lower(k).isin("creation_time", "date")))
+    return summary.survivors(summary.metadata_findings(tags), summary.metadata_findings(after)).select("media_id", "label")
 
 
-@query("SELECT * FROM (VALUES (0, NULL), (1, ''), (2, 'rubberband=pitch=0.8')) t(id, filter)")
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 1 THEN '' WHEN 2 THEN 'rubberband=pitch=' || CAST((p_size % 7 + 1) / 4::DOUBLE AS VARCHAR) END AS filter FROM part")
 def audio_filters(spark, sf):
-    df = spark.createDataFrame([(0, "keep", 0.8), (1, "mute", 0.8), (2, "pitch", 0.8)], "id int, mode string, pitch double")
-    return df.select("id", speech.audio_filter(F.col("mode"), F.col("pitch")).alias("filter"))
+    mode = F.expr("element_at(array('keep', 'mute', 'pitch'), cast(p_partkey % 3 + 1 as int))")
+    return table(spark, sf, "part").select("p_partkey", speech.audio_filter(mode, (F.col("p_size") % 7 + 1) / F.lit(4.0)).alias("filter"))
+
+
+@query("""WITH w AS (SELECT p_partkey AS k, 'out/' || p_name || '-' || p_partkey || '.mp4' AS path, p_size % 4 AS n FROM part)
+SELECT path, CASE WHEN n = 0 THEN path ELSE 'out/' || p_name || '-' || p_partkey || '-' || n || '.mp4' END AS unique_path FROM w JOIN part ON p_partkey = k""")
+def unique_output_paths(spark, sf):
+    """Paths of which the first few by number are taken."""
+    p = table(spark, sf, "part").select(F.concat(F.lit("out/"), "p_name", F.lit("-"), F.col("p_partkey").cast("string")).alias("stem"), "p_size")
+    taken = p.where("p_size % 4 > 0").select("stem", F.explode(F.sequence(F.lit(0), F.col("p_size") % 4 - 1)).alias("i")).select(F.concat("stem", F.when(F.col("i") > 0, F.concat(F.lit("-"), F.col("i").cast("string"))).otherwise(F.lit("")), F.lit(".mp4")).alias("path"))
+    return readers.unique_paths(p.select(F.concat("stem", F.lit(".mp4")).alias("path")), taken).select("path", "unique_path")
+
+
+@query(f"""WITH f AS (SELECT CAST(l_suppkey % 5 AS VARCHAR) AS media_id, CAST(l_orderkey % {TOTAL} AS INTEGER) AS frame, CAST(l_partkey % 50 AS INTEGER) AS x1, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS seq FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY frame, seq) AS n FROM f WHERE frame % 10 = 0), h AS (SELECT media_id, n, x1, unnest(range(frame, least(frame + 10, {TOTAL}))) AS frame FROM n)
+SELECT media_id, frame::INTEGER AS frame, count(*) AS codes, min(n) AS first, sum(x1)::BIGINT AS x FROM h GROUP BY 1, 2""")
+def code_tracks(spark, sf):
+    """Codes found on every tenth frame, held until the next one that is looked at."""
+    l = table(spark, sf, "lineitem")  # noqa: E741
+    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    x1 = (F.col("l_partkey") % 50).cast("int")
+    found = l.select((F.col("l_suppkey") % 5).cast("string").alias("media_id"), (F.col("l_orderkey") % TOTAL).cast("int").alias("frame"), order.alias("seq"), F.struct(x1.alias("x1"), F.lit(0).alias("y1"), (x1 + 5).alias("x2"), F.lit(5).alias("y2")).alias("box"))
+    held = tracks.secure_tracks(tracks.scan_boxes(found, "code", 10, TOTAL))
+    return held.groupBy("media_id", "frame").agg(F.count("*").alias("codes"), F.min(F.split("track_key", ":")[1].cast("long")).alias("first"), F.sum(F.col("boxes")[0]["x1"]).alias("x"))
 
 
 ACTIONS = "CASE WHEN kind = 'face' THEN 'avatar' WHEN kind IN ('license plate', 'credit card number') THEN 'patch' ELSE 'fill' END"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TOTAL, CARRY, MARGIN = 720, 12, 4
@@ -39,23 +40,20 @@ def boxed_tracks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def line_boxes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """First lines of orders as true boxes, second lines as predictions."""
+    """All lines: those of odd number as true boxes, the others as predictions; a frame is an order."""
     l = table(spark, sf, "lineitem")  # noqa: E741
     x, y = (F.col("l_partkey") % 50).cast("int"), (F.col("l_suppkey") % 50).cast("int")
-    side = (F.col("l_quantity") + 10).cast("int")
-    df = l.select(F.lit("clip").alias("media_id"), F.col("l_orderkey").alias("frame"), "l_linenumber", x.alias("x1"), y.alias("y1"), (x + side).alias("x2"), (y + side).alias("y2"))
-    one = lambda n: df.where(F.col("l_linenumber") == n).dropDuplicates(["frame"]).withColumn("seq", F.lit(0)).drop("l_linenumber")
-    return one(1), one(2)
-
-
-TRANSCRIPTS = [
-    ("phone", "call four one five five five five two six seven one now"), ("card", " ".join(["four two"] * 8)), ("not-a-card", " ".join(["four two"] * 7 + ["four three"])), ("ssn", "zero seven eight zero five one one two three"),
-    ("not-ssn", "six six six zero five one one two three"), ("email", "write to alex dot example at mail dot com soon"), ("glued", "reach 415-555-2671 today"), ("none", "nothing to see at all here"),
-]
-
-
-def words(spark: SparkSession, sf: str | None = None) -> DataFrame:
-    """Literal transcripts, a word every 0.3 s lasting 0.25 s."""
-    df = spark.createDataFrame(TRANSCRIPTS, "media_id string, line string")
-    rows = df.select("media_id", F.posexplode(F.split("line", " ")).alias("pos", "word"))
-    return rows.withColumn("start", F.col("pos") * 0.3).withColumn("end", F.col("pos") * 0.3 + 0.25)
+    length, side = (F.col("l_quantity") + 10).cast("int"), F.col("l_linenumber") % 2
+    seq = F.row_number().over(W.partitionBy("l_orderkey", side).orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")) - 1
+    df = l.select(F.lit("clip").alias("media_id"), F.col("l_orderkey").alias("frame"), side.alias("side"), seq.alias("seq"), x.alias("x1"), y.alias("y1"), (x + length).alias("x2"), (y + length).alias("y2"))
+    return df.where("side = 1").drop("side"), df.where("side = 0").drop("side")
+
+
+def spoken_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """A number of each customer, spoken digit by digit: a word every 0.3 s lasting 0.25 s."""
+    names = F.array(*[F.lit(x) for x in ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")])
+    number = F.expr("lpad(c_custkey * 7919 + 1000003, element_at(array(9, 10, 11, 16, 13), cast(c_custkey % 5 + 1 as int)), '42')")
+    digits = F.transform(F.filter(F.split(number, ""), lambda d: d != ""), lambda d: F.get(names, d.cast("int")))
+    line = F.concat(F.array(F.lit("call")), digits, F.array(F.lit("now")))
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("media_id"), F.posexplode(line).alias("pos", "word"))
+    return rows.withColumn("start", F.round(F.col("pos") * 0.3, 2)).withColumn("end", F.round(F.col("pos") * 0.3 + 0.25, 2))

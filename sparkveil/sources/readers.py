@@ -18,8 +18,13 @@ SUMMARY = "elements_found long, severity_counts struct<critical:long,high:long,m
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the one that spark.checkpoint.dir names; a temporary one where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
+    """A new folder under the one that spark.checkpoint.dir names; a temporary one where none is
+    named and the workers are this machine's own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all workers share")
+        base = tempfile.mkdtemp(prefix="shared-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -74,6 +79,19 @@ def write_summaries(summaries: DataFrame, path: str) -> None:
     summaries.write.mode("overwrite").json(path)
 
 
+def unique_paths(wanted: DataFrame, existing: DataFrame, path: str = "path") -> DataFrame:
+    """Paths that overwrite nothing: a wanted path, or with -1, -2 and so on before its suffix the
+    first that does not exist. The wanted path itself if 999 are taken."""
+    stem, suffix = F.regexp_extract(path, r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract(path, r"^(.*?)(\.[^./]*)?$", 2)
+    # only names of the form stem-n.suffix can be in the way
+    named = existing.select(F.col(path).alias("_there")).distinct()
+    parts = named.select("_there", F.regexp_replace("_there", r"-[0-9]{1,3}(\.[^./]*)?$", "$1").alias("_base"))
+    near = parts.unionByName(named.select("_there", F.col("_there").alias("_base"))).groupBy("_base").agg(F.collect_set("_there").alias("_taken"))
+    out = wanted.join(near, F.col(path) == F.col("_base"), "left").withColumn("_taken", F.coalesce("_taken", F.array().cast("array<string>")))
+    tries = F.concat(F.array(F.col(path)), F.transform(F.sequence(F.lit(1), F.lit(999)), lambda i: F.concat(stem, F.lit("-"), i.cast("string"), suffix)))
+    return out.withColumn("unique_path", F.coalesce(F.get(F.array_except(tries, "_taken"), 0), F.col(path))).drop("_base", "_taken")
+
+
 def cache_key(content: Column, phrase: Column, model: str) -> Column:
     return F.sha2(F.concat(content, F.encode(phrase, "UTF-8"), F.encode(F.lit(model), "UTF-8")), 256)
 

@@ -310,10 +310,10 @@ def test_speech_queries_take_all_events(spark):
             else:
                 merged[-1] = [media, kind, merged[-1][2], e["event_id"] + 3.5, merged[-1][4] + (f" / {text}" if kind != merged[-1][1] else "")]
             end = merged[-1][3]
-    got = catalogue.QUERIES["speech_merge_intervals_all"](spark, SF).select("media_id", "kind", "start", "end", "text").collect()
+    got = catalogue.QUERIES["speech_merge_intervals"](spark, SF).select("media_id", "kind", "start", "end", "text").collect()
     assert sorted(map(list, got)) == sorted(merged)
-    cut = lambda v: min(int(v * 29.97), 99999)
-    got = catalogue.QUERIES["speech_cover_frames_all"](spark, SF).select("media_id", "first_frame", "last_frame").collect()
+    cut = lambda v: int(v * 29.97)
+    got = catalogue.QUERIES["speech_cover_frames"](spark, SF).select("media_id", "first_frame", "last_frame").collect()
     assert len(got) == len(events) and sorted(map(tuple, got)) == sorted((e["event_type"], cut(e["value"]), max(cut(e["value"]), cut(e["value"] + 0.5))) for e in events)
 
 
@@ -346,3 +346,99 @@ def test_per_frame_masks_take_all_tracks(spark):
             want.append((media, f, len(at.get(f, set()) | more)))
     got = catalogue.QUERIES["per_frame_masks"](spark, SF).collect()
     assert {m for m, _, _ in want} == set(inputs.KIND_OF) and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_audit_sums_up_every_layer(spark):
+    """Finds of all layers reach summaries and gate; media without any have a row; errors give 2."""
+    tracks_ = spark.createDataFrame([("m", "software:0", 0)], "media_id string, track_key string, frame int")
+    texts = spark.createDataFrame([("m", "mail a@b.co")], "media_id string, text string")
+    tags = spark.createDataFrame([("m", {"location": "x"}), ("n", {"encoder": "y"})], "media_id string, tags map<string,string>")
+    words = spark.createDataFrame([("m", i, w, 0.3 * i, 0.3 * i + 0.25) for i, w in enumerate("call 415-555-2671 now".split())], "media_id string, pos int, word string, start double, end double")
+    none = spark.createDataFrame([("quiet",)], "media_id string")
+    out = api.audit(detections=tracks_, texts=texts, transcript=words, tags=tags, media=none, total_frames=20, fps=10.0, fail_on="high")
+    got = {r.media_id: r for r in out["summaries"].collect()}
+    assert set(got) == {"m", "n", "quiet"} and got["m"].elements_found == 4 and (got["m"].high, got["m"].low) == (3, 1) and got["quiet"].elements_found == 0 and got["quiet"].elements == []
+    assert got["m"].frames_with_elements == 20 and out["gate"].first().exit_code == 1 and out["rollup"].first().files_processed == 3
+    assert api.audit(texts=texts, fail_on="critical")["gate"].first().exit_code == 0 and api.audit(texts=texts, fail_on="high")["gate"].first().exit_code == 1
+    bad = spark.createDataFrame([("broken", "no such file")], "media_id string, error string")
+    out = api.audit(texts=texts, errors=bad, fail_on="critical")
+    assert out["gate"].first().exit_code == 2 and out["rollup"].first().files_failed == 1 and {r.media_id for r in out["files"].collect()} == {"m", "broken"}
+    assert api.audit() == {}
+
+
+def test_audit_of_photos_recordings_and_codes(spark):
+    ocr = spark.createDataFrame([("m", 0, 1, 1, 1, 0, "a@b.co", 90.0, 1, 1, 9, 9)], "media_id string, frame int, block int, par int, line int, pos int, word string, conf double, x1 int, y1 int, x2 int, y2 int")
+    lines = readers.group_words(ocr)
+    codes = spark.createDataFrame([("m", 0, 0, (2, 2, 6, 6))], "media_id string, frame int, seq int, box struct<x1:int,y1:int,x2:int,y2:int>")
+    photo = api.audit(ocr=lines, codes=codes, kind="photo", fail_on="high")
+    assert sorted(e.track for e in photo["summaries"].first().elements) == ["code:1", "pii:email:1"] and photo["summaries"].first().share_of_frames == 1.0
+    words = spark.createDataFrame([("r", 0, "415-555-2671", 0.0, 1.0)], "media_id string, pos int, word string, start double, end double")
+    heard = api.audit(transcript=words, kind="audio", fail_on="high")
+    assert "gaps" not in heard and heard["summaries"].first().high == 1 and heard["summaries"].first().share_of_frames == 0.0
+    red = api.redact(ocr=lines, codes=codes, total_frames=12, width=20, height=20, mask_margin=0)
+    secure = {r.frame: r.boxes for r in red["secure_masks"].collect()}
+    assert len(secure) == 12 and [tuple(b) for b in secure[0]] == [(2, 2, 6, 6)] and len({r.frame: r.boxes for r in red["masks"].collect()}[0]) == 2
+
+
+def test_secure_boxes_are_filled_first(spark):
+    frame = np.random.default_rng(3).integers(0, 255, (30, 30, 3)).astype(np.uint8)
+    df = spark.createDataFrame([(30, 30, bytearray(frame.tobytes()), [(5, 5, 20, 20)], [(5, 5, 20, 20)])], "height int, width int, pixels binary, boxes array<struct<x1:int,y1:int,x2:int,y2:int>>, secure array<struct<x1:int,y1:int,x2:int,y2:int>>")
+    out = np.frombuffer(pixels.cover_frames(df, "pixelate", 4).first().pixels, np.uint8).reshape(30, 30, 3)
+    assert (out[8:16, 8:16] == 0).all() and (out[:5] == frame[:5]).all()
+
+
+def test_parsers_read_fields_one_by_one(spark):
+    rows = [("a", '{"box": [1.7, "2", 3, 4], "frame": "3"}\n{"frame": 2.9, "box": [1, null, 3, 4]}\n{"frame": null}\n[1]'), ("b", "")]
+    got = [tuple(r)[1:] for r in parsers.parse_json_lines(spark.createDataFrame(rows, "media_id string, text string"), width=64, height=48).orderBy("seq").collect()]
+    assert got == [(0, 3, "0", 1, 2, 3, 4), (1, 2, "0", 0, 0, 64, 48), (2, 0, "0", 0, 0, 64, 48)]
+    verdicts = {
+        '{"lat": 1, "lon": 2}': ("ok", 0.0, []), '{"lat": "1.5", "lon": "-2", "confidence_25km": 80, "cues": "one"}': ("ok", 0.8, ["one"]), '{"lat": 1, "lon": 2, "city": 5}': ("failed", None, None), '{"lat": 1, "lon": 2, "cues": {"a": 1}}': ("failed", None, None),
+        '{"lat": 1, "lon": 2, "confidence_25km": 101}': ("failed", None, None), '{"lat": "NaN", "lon": 2}': ("failed", None, None), '{"lat": 1}': ("failed", None, None), "{": ("failed", None, None), "": ("failed", None, None), '{"lat": 1, "lon": 2, "country": null}': ("failed", None, None),
+    }
+    df = spark.createDataFrame([(t,) for t in verdicts], "t string").select("t", parsers.parse_verdict(F.col("t")).alias("v"))
+    assert {r.t: (r.v.status, r.v.confidence, r.v.cues) for r in df.collect()} == verdicts
+    reply = '{"output": [{"content": [{"text": "a"}, {}]}, {"content": [{"text": "b"}]}]}'
+    assert [r.x for r in spark.createDataFrame([(reply,), ('{"output_text": "c"}',)], "t string").select(parsers.verdict_text(F.col("t")).alias("x")).collect()] == ["a\nb", "c"]
+
+
+def test_event_streams(spark):
+    streams_ = {
+        "a": ['data: {"type": "response.output_text.delta", "delta": "one "}', "", 'data: {"type": "other", "delta": "two"}', 'data: {"type": "response.completed", "response": {"output": [{"content": [{"text": "late"}]}]}}', "data: [DONE]", "data: no"],
+        "b": ['data: {"type": "ping"}', 'data: {"type": "response.completed", "response": {"output": [{"content": [{"text": "whole"}, {"text": "not"}]}]}}', 'data: {"type": "x", "text": "!"}'],
+        "c": ["raw", 'data: {"type": "response.output_text.delta", "delta": 5}', '{"output": [{"content": [{"text": "x"}, {"text": "y"}]}]}'], "d": ["data: [DONE]"],
+    }
+    rows = [(k, i, x) for k, v in streams_.items() for i, x in enumerate(v)]
+    got = {r.media_id: r.text for r in parsers.parse_events(spark.createDataFrame(rows, "media_id string, pos int, line string")).collect()}
+    assert got["a"] == "one two" and got["b"] == "whole!" and got["c"] == "rawxy" and got.get("d", "") == ""
+
+
+def test_long_texts_without_addresses_take_linear_time(spark):
+    """A megabyte of address characters without an @, and thousands of addresses in one text."""
+    import time
+
+    df = spark.createDataFrame([(0, "a" * (1 << 20)), (1, " ".join(f"u{i}@example.com" for i in range(3000))), (2, "a@b.com.x@y.org q@r.st@u.vw")], "id int, text string")
+    began = time.perf_counter()
+    got = {r.id: r.h for r in df.select("id", textpii.find_pii(F.col("text")).alias("h")).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[0] == [] and len(got[1]) == 3000 and [h.text for h in got[2]] == [m[0] for m in re.finditer(textpii.EMAIL, "a@b.com.x@y.org q@r.st@u.vw")]
+
+
+def test_command_line_options(spark, tmp_path):
+    from sparkveil.__main__ import main, options
+
+    spark.createDataFrame([("a", "face:0", 0), ("a", "dog:0", 1)], "media_id string, track_key string, frame int").write.parquet(f"{tmp_path}/d")
+    spark.createDataFrame([("z", "gone")], "media_id string, error string").write.parquet(f"{tmp_path}/e")
+    run = lambda out, *more: main(["audit", "--detections", f"{tmp_path}/d", "--total-frames", "4", "--out", f"{tmp_path}/{out}", *more], spark)
+    assert run("one", "--fail-on", "high") == 1 and run("two", "--fail-on", "high", "--target", "dog") == 0 and run("three", "--fail-on", "high", "--errors", f"{tmp_path}/e") == 2
+    assert run("four", "--fail-on", "high", "--exclude", "face:*") == 0 and main(["doctor"], spark) == 0 and main(["audit", "--detections", f"{tmp_path}/d"], spark) == 2
+    got = options({"preset": "street", "mode": "blur", "strength": 50, "target": None, "add_target": None, "targets_default": None}, spark)
+    assert (got["mode"], got["strength"], got["mask_margin"]) == ("pixelate", 50, 16) and got["targets"] == ["person", "face", "license plate"]
+
+
+def test_a_folder_that_workers_share_is_needed(monkeypatch):
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("S", (), {"master": "yarn"})
+
+    with pytest.raises(ValueError, match="share"):
+        readers.shared_dir(Session(), "x")
