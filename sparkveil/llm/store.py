@@ -77,6 +77,27 @@ def save(directory: str, name: str, values: np.ndarray) -> None:
     fs.move(temporary, f"{path}/{name}.npy")
 
 
+def save_all(directory: str, name: str, arrays: list[np.ndarray]) -> None:
+    """Several arrays as one file: a head of kinds and sizes, then each, from a multiple of 8 on."""
+    head, body = [len(arrays)], []
+    for a in arrays:
+        head += [ord(a.dtype.kind) * 256 + a.itemsize, a.size]
+        raw = np.ascontiguousarray(a).view(np.uint8).reshape(-1)
+        body += [raw, np.zeros(-len(raw) % 8, np.uint8)]
+    save(directory, name, np.concatenate([np.array(head, np.int64).view(np.uint8), *body]))
+
+
+def load_all(directory: str, name: str) -> list[np.ndarray]:
+    raw = load(directory, name)
+    n = int(raw[:8].view(np.int64)[0])
+    head, at, out = raw[8 : 8 + 16 * n].view(np.int64).reshape(n, 2), 8 + 16 * n, []
+    for kind, size in head.tolist():
+        width = kind % 256
+        out.append(raw[at : at + size * width].view(np.dtype(f"{chr(kind // 256)}{width}")))
+        at += size * width + -(size * width) % 8
+    return out
+
+
 _open: OrderedDict[str, dict[str, np.ndarray]] = OrderedDict()
 
 

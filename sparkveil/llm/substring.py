@@ -4,20 +4,28 @@ A window is ``WINDOW`` consecutive words of one document. Windows that share the
 share their minimizer (the least hash among the word 5-grams inside), so minimizers route
 windows to shards:
 
-1. Documents per minimizer are counted; a minimizer of one document only can't be shared.
-2. Runs of windows with a shared minimizer travel to its shard as passages, each distinct
-   passage of a task once, with the smallest id that holds it. A shard builds a compressed
-   FM-index (suffix array, wavelet matrix over the transform) of its distinct passages and
-   searches the windows backwards, all at once; a window's interval of the index names all
-   passages that hold it, and their smallest id. Windows of two or more documents are stored
-   as sorted arrays in the shared folder.
-3. Documents are read again; words under a window whose smallest id is less than their own
-   are removed. No text is shuffled and no group of copies meets in one task: a passage in a
-   third of all documents costs its shard one row for each task that read it.
-
-Defined results for odd input: null and empty texts have no words; documents shorter than
-a window lose nothing; of rows that repeat an id, none removes the other's words, as no id
-is smaller; rows with a null id lose and remove nothing; an empty table gives an empty table.
+1. Documents per minimizer are counted; a minimizer of one document only can't be shared. One
+   that stands in very many different passages is hot: its windows are routed by the hash of
+   their own words instead, so no minimizer's passages meet in one task.
+2. Runs of windows with a shared minimizer travel to their shard as passages (their words), each
+   distinct passage of a task once, with the smallest and the largest id that hold it. A shard
+   writes a compressed FM-index of its passages to the shared folder: the Burrows-Wheeler
+   transform as a wavelet matrix of packed bits, its alphabet of words, and, for the runs of rows
+   that begin with one shared window, the smallest id. Passages none of whose windows can be
+   shared are left out; text and suffix array are not stored.
+3. Documents are streamed through the indexes: backward search over the wavelet matrix gives, for
+   each word, whether the longest match that begins there reaches a window (matching statistics
+   up to the threshold). Where it does, and the smallest id there is less than the document's
+   own, the window's words go; neighbouring windows make up the intervals that are reported.
+
+Words are compared byte by byte when symbols are given out and looked up; hashes choose shards
+and candidates only. No text is shuffled but shared passages, and no group of copies meets in one
+task: a passage in a third of all documents costs its shard one row for each task that read it.
+
+Ids are whole numbers. Defined results for odd input: null and empty texts have no words;
+documents shorter than a window lose nothing; of rows that repeat an id, none removes the other's
+words, as no id is smaller; rows with a null id lose and remove nothing; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -26,18 +34,22 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import store
-from .text import Block, U, Words, blocks, covered, inside, mix, per_block, windows
+from .text import Block, U, Words, blocks, covered, inside, mix, per_block, repeated, windows
 
 WINDOW, GRAM = 13, 5
-#: Bounds of a task's memory: words held before they are sent, and windows searched at once.
-SHIP_BYTES, SEARCHED = 16 << 20, 1 << 17
-#: Shards are smaller than the store's by this many bits, for the index takes many arrays.
-MORE_BITS = 2
+#: Different passages of a minimizer, summed over blocks, from which on it is hot.
+HOT = 4096
+#: Windows of a passage at most, so that a search takes a bounded number of steps.
+MOST_WINDOWS = 32
+#: Bounds of a task's memory: bytes of passages held before they are sent, and of texts searched at once.
+SHIP_BYTES, SEARCH_BYTES = 16 << 20, 8 << 20
+MOST, LEAST = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 FIELDS = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("removed", T.ArrayType(T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())])))]
 
 
@@ -56,24 +68,24 @@ def minimizers(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, least[at]
 
 
-def runs(at: np.ndarray, least: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of neighbouring windows of a document with one minimizer: first and number."""
+def runs(at: np.ndarray, key: np.ndarray, row: np.ndarray, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of neighbouring windows of a document with one key: first and number; with ``most``,
+    longer runs are cut."""
     if not len(at):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     new = np.ones(len(at), bool)
-    new[1:] = (least[1:] != least[:-1]) | (row[at[1:]] != row[at[:-1]])
+    new[1:] = (key[1:] != key[:-1]) | (row[at[1:]] != row[at[:-1]]) | (at[1:] != at[:-1] + 1)
+    if most:
+        head = np.flatnonzero(new)
+        place = np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))
+        new |= place % most == 0
     head = np.flatnonzero(new)
     return head, np.diff(np.append(head, len(at)))
 
 
-def _ids(batch, at: int, n: int) -> np.ndarray:
-    """The ids of a block; null ids are largest and so remove nothing."""
-    column = batch.column("_id").slice(at, n)
-    return np.asarray(column.fill_null(np.iinfo(np.int64).max)).astype(np.int64)
-
-
 def _count(bits: int):
-    """First pass: per task and shard, minimizers with 1, or 2 where two documents have them."""
+    """First pass: per task and shard, minimizers with 1 if one document has them, else with the
+    number of different passages around them (2 at least)."""
 
     def run(batches):
         held = store.Counter()
@@ -82,18 +94,24 @@ def _count(bits: int):
                 w = block.words()
                 h = w.hashes()
                 at, least = minimizers(h, w.row)
-                head, _ = runs(at, least, w.row)
+                head, n = runs(at, least, w.row)
+                if not len(head):
+                    continue
                 key, row = least[head], w.row[at[head]]
-                # once for each document
-                _, first = np.unique(key + mix(row.astype(U)), return_index=True)
-                k, c = np.unique(key[first], return_counts=True)
-                held.add(k, np.minimum(c, 2).astype(np.int64))
-        keys, counts = held.result()
-        yield from _ship(keys, np.minimum(counts, 2).astype(np.uint8), bits)
+                whole = windows(h, WINDOW)
+                passage = mix(whole[at[head]] + mix(whole[at[head + n - 1]] + n.astype(U)))
+                docs, times = np.unique(key[_firsts(key + mix(row.astype(U)))], return_counts=True)
+                same, contexts = np.unique(key[_firsts(key + passage)], return_counts=True)
+                held.add(docs, np.where(times > 1, np.maximum(contexts[np.searchsorted(same, docs)], 2), 1).astype(np.int64))
+        yield from _ship(*held.result(), bits)
 
     return run
 
 
+def _firsts(key: np.ndarray) -> np.ndarray:
+    return np.unique(key, return_index=True)[1]
+
+
 def _ship(keys: np.ndarray, counts: np.ndarray, bits: int):
     shard = store.shard_of(keys, bits)
     cut = np.searchsorted(shard, np.arange((1 << bits) + 1))
@@ -102,260 +120,398 @@ def _ship(keys: np.ndarray, counts: np.ndarray, bits: int):
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "keys", "body"])
 
 
-def _shared(directory: str):
-    """Second half of the first pass: writes a shard's minimizers of two documents or more."""
+def _shared(directory: str, hot: int):
+    """Second half of the first pass: writes a shard's shared minimizers, and which are hot."""
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        keys, counts = store.total([store.unpack(x.as_py()) for x in table.column("keys")], [store.from_planes(x.as_py(), np.uint8).astype(np.int64) for x in table.column("body")])
-        shared = keys[counts > 1]
-        store.save(directory, f"shared-{shard}", shared)
-        return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(shared)], pa.int64())})
+        keys, counts = store.total([store.unpack(x.as_py()) for x in table.column("keys")], [store.from_planes(x.as_py(), np.int64) for x in table.column("body")])
+        store.save(directory, f"shared-{shard}", keys[counts > 1])
+        store.save(directory, f"hot-{shard}", keys[counts > hot])
+        return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([int((counts > 1).sum())], pa.int64())})
 
     return run
 
 
-def _marked(directory: str, bits: int, key: np.ndarray, there: frozenset[int]) -> np.ndarray:
-    """Which minimizers are shared by documents, by the stored arrays."""
-    some, back = np.unique(key, return_inverse=True)
-    out = np.zeros(len(some), bool)
-    ok = np.isin(store.shard_of(some, bits), list(there)) if len(there) < 1 << bits else np.ones(len(some), bool)
-    out[ok] = store.find(directory, "shared", bits, some[ok]) >= 0
-    return out[back]
+class Router:
+    """Which windows can be shared, and to which shard each goes."""
+
+    def __init__(self, directory: str, bits: int, there: frozenset[int]):
+        self.directory, self.bits, self.there = directory, bits, there
+
+    def _stored(self, name: str, key: np.ndarray) -> np.ndarray:
+        some, back = np.unique(key, return_inverse=True)
+        ok = np.isin(store.shard_of(some, self.bits), list(self.there)) if len(self.there) < 1 << self.bits else np.ones(len(some), bool)
+        ok[ok] = store.find(self.directory, name, self.bits, some[ok]) >= 0
+        return ok[back]
 
+    def passages(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word, number of windows and shard of each run of windows that can be shared."""
+        at, key = minimizers(h, row)
+        head, n = runs(at, key, row)
+        ok = self._stored("shared", key[head])
+        head, n = head[ok], n[ok]
+        use = np.repeat(head - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        at, key = at[use], key[use]
+        hot = np.repeat(self._stored("hot", key[np.cumsum(n) - n]), n) if len(n) else np.zeros(0, bool)
+        if hot.any():
+            key = np.where(hot, mix(windows(h, WINDOW)[at]), key)
+        head, n = runs(at, key, row, MOST_WINDOWS)
+        return at[head], n, store.shard_of(key[head], self.bits)
 
-def _passages(directory: str, bits: int, there: frozenset[int]):
-    """Second pass: distinct passages of this task by shard, with the smallest id of each."""
+
+def texts(w: Words, start: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """The passages' words, joined by one space."""
+    size = w.end - w.start
+    begin = np.cumsum(size + 1) - (size + 1)
+    body = np.full(int((size + 1).sum()), 32, np.uint8)
+    body[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = w.block.data[w.ok]
+    raw = body.tobytes()
+    last = start + n + WINDOW - 2
+    return [raw[a:b] for a, b in zip(begin[start].tolist(), (begin[last] + size[last]).tolist(), strict=True)]
+
+
+def _passages(router: Router):
+    """Second pass: distinct passages of this task by shard, with the smallest and largest id of each."""
 
     def run(batches):
-        held, size = [], 0
+        held: dict[bytes, list[int]] = {}
+        size = 0
         for batch in batches:
             for first, block in blocks(batch, "_text"):
-                ids = _ids(batch, first, block.n)
+                # null ids are largest and so remove nothing
+                ids = np.asarray(batch.column("_id").slice(first, block.n).fill_null(MOST)).astype(np.int64)
                 w = block.words()
-                h = w.hashes()
-                at, least = minimizers(h, w.row)
-                head, n = runs(at, least, w.row)
-                ok = _marked(directory, bits, least[head], there)
-                head, n = head[ok], n[ok]
-                start, words = at[head], n + WINDOW - 1
-                flat = np.repeat(start - (np.cumsum(words) - words), words) + np.arange(int(words.sum()))
-                own = ids[w.row[start]]
-                held.append(_merge([(least[head], words, h[flat], np.stack([own, own], 1))]))
-                size += 8 * len(held[-1][2])
+                start, n, shard = router.passages(w.hashes(), w.row)
+                if not len(start):
+                    continue
+                for text, i, s in zip(texts(w, start, n), ids[w.row[start]].tolist(), shard.tolist(), strict=True):
+                    got = held.get(text)
+                    if got is None:
+                        held[text] = [s, i, i]
+                        size += len(text) + 64
+                    elif i < got[1]:
+                        got[1] = i
+                    elif i > got[2]:
+                        got[2] = i
                 if size > SHIP_BYTES:
-                    yield from _send(held, bits)
-                    held, size = [], 0
-        yield from _send(held, bits)
+                    yield from _send(held)
+                    held, size = {}, 0
+        yield from _send(held)
 
     return run
 
 
-def _fingerprint(words: np.ndarray, flat: np.ndarray) -> np.ndarray:
-    """Hash of each passage from its words and their places."""
-    begin = np.cumsum(words) - words
-    place = np.arange(len(flat)) - np.repeat(begin, words)
-    each = mix(flat + mix(place.astype(U) + U(17)))
-    return np.add.reduceat(each, begin) if len(words) else np.zeros(0, U)
-
-
-def _merge(held: list):
-    """Each passage once, with the smallest and the largest of its ids."""
-    key, words, flat, ids = (np.concatenate([x[i] for x in held]) for i in range(4))
-    if not len(key):
-        return key, words, flat, ids
-    _, first, back = np.unique(_fingerprint(words, flat), return_index=True, return_inverse=True)
-    least, most = np.full(len(first), np.iinfo(np.int64).max), np.full(len(first), np.iinfo(np.int64).min)
-    np.minimum.at(least, back, ids[:, 0])
-    np.maximum.at(most, back, ids[:, 1])
-    begin, size = (np.cumsum(words) - words)[first], words[first]
-    at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    return key[first], size, flat[at], np.stack([least, most], 1)
-
-
-def _send(held: list, bits: int):
-    held = [x for x in held if len(x[0])]
+def _send(held: dict[bytes, list[int]]):
+    """One row for each shard: its passages, a line each, and their ids."""
     if not held:
         return
-    key, words, flat, ids = _merge(held)
-    order = np.argsort(key, kind="stable")
-    shard = store.shard_of(key[order], bits)
-    begin = np.cumsum(words) - words
-    cut = np.searchsorted(shard, np.arange((1 << bits) + 1))
-    for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-        if b > a:
-            mine = order[a:b]
-            size = words[mine]
-            at = np.repeat(begin[mine] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            body = [store.planes(size.astype(np.uint32)), store.planes(flat[at]), store.planes(ids[mine].reshape(-1))]
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *[pa.array([x], pa.binary()) for x in body]], names=["shard", "size", "words", "ids"])
+    words, about = list(held), np.array(list(held.values()), np.int64)
+    order = np.argsort(about[:, 0], kind="stable")
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(about[order, 0])) + 1, [len(order)]])
+    packer = zstd.ZstdCompressor(level=1)
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        mine = order[a:b]
+        body = [packer.compress(b"\n".join([words[i] for i in mine.tolist()])), store.planes(np.ascontiguousarray(about[mine, 1:]).reshape(-1))]
+        yield pa.RecordBatch.from_arrays([pa.array([int(about[mine[0], 0])], pa.int32()), *[pa.array([x], pa.binary()) for x in body]], names=["shard", "words", "ids"])
+
+
+def _merged(table: pa.Table) -> tuple[list[bytes], np.ndarray]:
+    """Each passage of a shard once, with the smallest and the largest of its ids."""
+    place: dict[bytes, int] = {}
+    at, ids = [], []
+    for words, some in zip(table.column("words"), table.column("ids"), strict=True):
+        for text in zstd.ZstdDecompressor().decompress(words.as_py()).split(b"\n"):
+            at.append(place.setdefault(text, len(place)))
+        ids.append(store.from_planes(some.as_py(), np.int64).reshape(-1, 2))
+    at, ids = np.array(at, np.int64), np.concatenate(ids)
+    out = np.stack([np.full(len(place), MOST), np.full(len(place), LEAST)], 1)
+    np.minimum.at(out[:, 0], at, ids[:, 0])
+    np.maximum.at(out[:, 1], at, ids[:, 1])
+    return list(place), out
+
+
+def as_block(lines: list[bytes]) -> Block:
+    """The lines as texts of a block."""
+    data = np.frombuffer(b"\n".join(lines), np.uint8)
+    size = np.array([len(x) + 1 for x in lines], np.int64)
+    off = np.concatenate([[0], np.cumsum(size)])
+    off[-1] = len(data)
+    return Block(data, off)
+
+
+def useful(block: Block, ids: np.ndarray) -> np.ndarray:
+    """Which passages hold a window that stands in two documents or passages, as far as hashes tell."""
+    w = block.words()
+    at = np.flatnonzero(inside(w.row, WINDOW))
+    twice = repeated(windows(w.hashes(), WINDOW)[at])
+    out = ids[:, 0] < ids[:, 1]
+    out[w.row[at[twice]]] = True
+    return out
+
+
+def same_bytes(data: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.ndarray, other_start: np.ndarray, other_size: np.ndarray) -> np.ndarray:
+    """Which words equal the words beside them, byte by byte."""
+    out = size == other_size
+    use = np.flatnonzero(out)
+    n = size[use]
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    differ = data[np.repeat(start[use], n) + step] != other[np.repeat(other_start[use], n) + step]
+    if differ.any():
+        out[use[np.repeat(np.arange(len(use)), n)[differ]]] = False
+    return out
+
+
+def distinct(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of a block by their bytes: a place of each, its hash (ascending), and which of
+    them every word is."""
+    h, data = w.hashes(), w.block.data
+    size = w.end - w.start
+    hashes, first, which = np.unique(h, return_index=True, return_inverse=True)
+    like = first[which]
+    bad = np.flatnonzero(~same_bytes(data, w.start, size, data, w.start[like], size[like]))
+    if len(bad):  # different words of one hash: told apart one by one
+        names = [data[a:b].tobytes() for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)]
+        place = {x: i for i, x in reversed(list(enumerate(names)))}
+        order = sorted(place, key=lambda x: (int(h[place[x]]), x))
+        number = {x: i for i, x in enumerate(order)}
+        first = np.array([place[x] for x in order], np.int64)
+        hashes, which = h[first], np.array([number[x] for x in names], np.int64)
+    return first, hashes, which
 
 
 class FMIndex:
-    """Suffix array order of passages over dense symbols; the transform as a wavelet matrix.
+    """Compressed index of passages: word alphabet, wavelet matrix of the transform, and the rows that
+    begin with a window of two or more documents.
 
     Symbol 0 ends each passage. Ends count as distinct when suffixes are sorted, so passages
     never run into each other. Bit vectors are packed 64 to a word with running counts.
     """
 
-    def __init__(self, flat: np.ndarray, size: np.ndarray):
-        self.alphabet, symbol = np.unique(flat, return_inverse=True)
-        n = len(flat) + len(size)
-        ends = np.cumsum(size + 1) - 1
-        self.text = np.zeros(n, np.int64)
+    ARRAYS = ("hashes", "letters", "ends", "wave", "ones", "zeros", "offset", "group", "group_end", "group_least")
+
+    def __init__(self, arrays: list[np.ndarray]):
+        for name, a in zip(self.ARRAYS, arrays, strict=True):
+            setattr(self, name, a)
+        self.levels = len(self.zeros) - 1
+        self.n = int(self.zeros[-1])
+        self.wave, self.ones = self.wave.reshape(self.levels, -1), self.ones.reshape(self.levels, -1)
+
+    @staticmethod
+    def build(block: Block, ids: np.ndarray) -> list[np.ndarray]:
+        """The index's arrays. ids: smallest and largest id of each passage."""
+        w = block.words()
+        first, hashes, symbol = distinct(w)
+        data, size = block.data, w.end - w.start
+        take = size[first]
+        letters = data[np.repeat(w.start[first] - (np.cumsum(take) - take), take) + np.arange(int(take.sum()))]
+        n, count = len(w) + block.n, w.count
+        ends = np.cumsum(count + 1) - 1
+        text = np.zeros(n, np.int64)
         body = np.ones(n, bool)
         body[ends] = False
-        self.text[body] = symbol + 1
-        self.passage = np.repeat(np.arange(len(size)), size + 1)
-        rank = self.text + len(size) - 1
-        rank[ends] = np.arange(len(size))
-        k, longest = 1, int(size.max(initial=0)) + 1
-        while True:
-            behind = np.zeros(n, np.int64)
-            behind[: n - k] = rank[k:] + 1 if k < n else 0
-            behind += rank * (int(rank.max(initial=0)) + int(behind.max(initial=0)) + 2)
-            order = np.argsort(behind)
-            behind = behind[order]
-            new = np.concatenate([[0], np.cumsum(behind[1:] != behind[:-1])]) if n else np.zeros(0, np.int64)
-            rank = np.empty(n, np.int64)
-            rank[order] = new
-            k *= 2
-            if not n or new[-1] == n - 1 or k > 2 * longest:
-                break
-        self.suffix = order
-        last = self.text[order - 1]
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.text, minlength=len(self.alphabet) + 1))])
-        self.levels = []
-        bits = max(1, int(len(self.alphabet)).bit_length())
-        for b in range(bits - 1, -1, -1):
+        text[body] = symbol + 1
+        suffix = suffixes(text, ends, int(count.max(initial=0)) + 1)
+        last = text[suffix - 1]
+        symbols = len(hashes) + 1
+        begin = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])[:-1]
+        levels = max(1, int(symbols - 1).bit_length())
+        wave, ones, zeros = [], [], []
+        for b in range(levels - 1, -1, -1):
             bit = (last >> b & 1).astype(bool)
             padded = np.zeros((n // 64 + 1) * 64, np.uint8)
             padded[:n] = bit
-            words = np.packbits(padded, bitorder="little").view(U)
-            ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words))]).astype(np.int64)
-            zeros = n - int(ones[-1])
-            self.levels.append((b, words, ones, zeros))
+            packed = np.packbits(padded, bitorder="little").view(U)
+            wave.append(packed)
+            ones.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed))])[:-1].astype(np.uint32))
+            zeros.append(n - int(bit.sum()))
             last = np.concatenate([last[~bit], last[bit]])
-
-    @staticmethod
-    def _ones(words: np.ndarray, ones: np.ndarray, i: np.ndarray) -> np.ndarray:
-        at = i >> 6
-        return ones[at] + np.bitwise_count(words[at] & ((U(1) << (i & 63).astype(U)) - U(1)))
-
-    def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """How often each symbol stands in the first i places of the transform."""
-        start = np.zeros(len(i), np.int64)
-        for b, words, ones, zeros in self.levels:
-            up = (symbol >> b & 1).astype(bool)
-            one, base = self._ones(words, ones, i), self._ones(words, ones, start)
-            i = np.where(up, zeros + one, i - one)
-            start = np.where(up, zeros + base, start - base)
-        return i - start
-
-    def search(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Intervals of the windows that start at these places of the text, found backwards."""
-        symbol = self.text[at + length - 1]
-        lo, hi = self.first[symbol].copy(), self.first[symbol + 1].copy()
-        live = np.arange(len(at))
-        for d in range(length - 2, -1, -1):
-            # a window whose end stands once in the index is matched by itself alone
-            live = live[hi[live] - lo[live] > 1]
-            if not len(live):
-                break
-            symbol = self.text[at[live] + d]
-            both = self.rank(np.concatenate([symbol, symbol]), np.concatenate([lo[live], hi[live]]))
-            lo[live] = self.first[symbol] + both[: len(live)]
-            hi[live] = self.first[symbol] + both[len(live) :]
-        return lo, hi
+        out = [hashes, letters, np.cumsum(take).astype(np.uint32), np.concatenate(wave), np.concatenate(ones), np.array([*zeros, n], np.int64), begin.astype(np.int64)]
+        group, group_end, least = shared_rows(text, suffix, np.repeat(np.arange(block.n), count + 1), ids)
+        index = FMIndex([*out, group, group_end, least])
+        # where each symbol's part of the last level begins is known beforehand: rank and first row in one
+        index.offset = np.zeros(symbols, np.int64)
+        out[6] = begin - index.step(np.arange(symbols), np.zeros(symbols, np.int64))
+        return [*out, group, group_end, least]
+
+    def step(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """Row of the first suffix that begins with the symbol, behind the first i rows' such symbols."""
+        i = i.copy()
+        for k in range(self.levels):
+            at = i >> 6
+            one = self.ones[k][at] + np.bitwise_count(self.wave[k][at] & ((U(1) << (i & 63).astype(U)) - U(1)))
+            i = np.where(symbol >> (self.levels - 1 - k) & 1, int(self.zeros[k]) + one.astype(np.int64), i - one)
+        return i + self.offset[symbol]
+
+    def symbols(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Symbols of words by their hashes and bytes; 0 where the alphabet lacks them."""
+        out = np.zeros(len(h), np.int64)
+        at = np.searchsorted(self.hashes, h)
+        ends = self.ends.astype(np.int64)
+        todo = np.flatnonzero(at < len(self.hashes))
+        while len(todo):  # a second time only for different words of one hash
+            todo = todo[self.hashes[at[todo]] == h[todo]]
+            a = at[todo]
+            begin = np.where(a > 0, ends[a - 1], 0)
+            same = same_bytes(data, start[todo], size[todo], self.letters, begin, ends[a] - begin)
+            out[todo[same]] = a[same] + 1
+            todo = todo[~same]
+            at[todo] += 1
+            todo = todo[at[todo] < len(self.hashes)]
+        return out
+
+    def matches(self, flat: np.ndarray, begin: np.ndarray, length: np.ndarray, window: int = WINDOW) -> np.ndarray:
+        """For each place of the passages (symbols in ``flat``): a row of the index that begins with
+        the window that starts there, -1 if none does. Searched backwards from each passage's end;
+        where a match can't be made longer, the search goes on from the next end that it allows."""
+        out = np.full(len(flat), -1, np.int64)
+        live = np.flatnonzero(length >= window)
+        e, lo, hi = length.copy(), np.zeros(len(length), np.int64), np.full(len(length), self.n, np.int64)
+        j = length - 1
+        while len(live):
+            at = begin[live] + j[live]
+            c = flat[at]
+            both = self.step(np.concatenate([c, c]), np.concatenate([lo[live], hi[live]]))
+            a, b = both[: len(live)], both[len(live) :]
+            ok = (c > 0) & (a < b)
+            good, bad = live[ok], live[~ok]
+            lo[good], hi[good] = a[ok], b[ok]
+            full = e[good] - j[good] >= window
+            out[at[ok][full]] = lo[good[full]]
+            j[good] -= 1
+            if len(bad):
+                e[bad] = np.where(c[~ok] > 0, np.minimum(e[bad] - 1, j[bad] + window), j[bad])
+                lo[bad], hi[bad], j[bad] = 0, self.n, e[bad] - 1
+            live = live[(j[live] >= 0) & (e[live] >= window)]
+        return out
+
+    def least(self, row: np.ndarray) -> np.ndarray:
+        """Smallest id that holds the window a row begins with; the largest number if only one has it."""
+        out = np.full(len(row), MOST, np.int64)
+        if len(self.group):
+            at = np.searchsorted(self.group, row, "right") - 1
+            ok = (at >= 0) & (row >= 0)
+            ok[ok] = row[ok] < self.group_end[at[ok]]
+            out[ok] = self.group_least[at[ok]]
+        return out
+
+
+def suffixes(text: np.ndarray, ends: np.ndarray, longest: int) -> np.ndarray:
+    """Suffix array by doubling; the i-th end of a passage counts as less than the next."""
+    n = len(text)
+    rank = text + len(ends) - 1
+    rank[ends] = np.arange(len(ends))
+    k = 1
+    while True:
+        behind = np.zeros(n, np.int64)
+        behind[: n - k] = rank[k:] + 1 if k < n else 0
+        behind += rank * (int(rank.max(initial=0)) + int(behind.max(initial=0)) + 2)
+        order = np.argsort(behind)
+        behind = behind[order]
+        new = np.concatenate([[0], np.cumsum(behind[1:] != behind[:-1])]) if n else np.zeros(0, np.int64)
+        rank = np.empty(n, np.int64)
+        rank[order] = new
+        k *= 2
+        if not n or new[-1] == n - 1 or k > 2 * longest:
+            return order
+
+
+def shared_rows(text: np.ndarray, suffix: np.ndarray, passage: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of rows that begin with one window of two or more documents: first row, end, smallest id."""
+    n = len(suffix)
+    live = np.arange(1, n)
+    full = np.arange(n)
+    for d in range(WINDOW):
+        full = full[text[np.minimum(suffix[full] + d, n - 1)] > 0]
+        live = live[text[np.minimum(suffix[live] + d, n - 1)] == text[np.minimum(suffix[live - 1] + d, n - 1)]]
+        live = live[text[np.minimum(suffix[live] + d, n - 1)] > 0]
+    new = np.ones(n, bool)
+    new[live] = False
+    head = np.flatnonzero(new)
+    whole = np.zeros(n, bool)
+    whole[full] = True
+    owner = passage[suffix]
+    least = np.minimum.reduceat(ids[owner, 0], head) if n else np.zeros(0, np.int64)
+    most = np.maximum.reduceat(ids[owner, 1], head) if n else np.zeros(0, np.int64)
+    keep = whole[head] & (least < most)
+    return head[keep].astype(np.uint32), np.append(head[1:], n)[keep].astype(np.uint32), least[keep]
 
 
 def _index(directory: str):
-    """A shard: FM-index of its passages, backward search of its windows, stored minima."""
+    """A shard: the FM-index of its passages, written to the shared folder."""
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        held = []
-        for size, words, ids in zip(*(table.column(c) for c in ("size", "words", "ids")), strict=True):
-            n = store.from_planes(size.as_py(), np.uint32).astype(np.int64)
-            held.append((np.zeros(len(n), U), n, store.from_planes(words.as_py(), U), store.from_planes(ids.as_py(), np.int64).reshape(-1, 2)))
-        _, size, flat, ids = _merge(held)
-        index = FMIndex(flat, size)
-        # distinct windows by hash; each is searched once
-        begin = np.cumsum(size + 1) - (size + 1)
-        n = size - WINDOW + 1
-        at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        flat_begin = np.cumsum(size) - size
-        flat_at = np.repeat(flat_begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        key, first = np.unique(windows(flat, WINDOW)[flat_at], return_index=True)
-        found = [index.search(at[first[i : i + SEARCHED]], WINDOW) for i in range(0, len(first), SEARCHED)]
-        lo, hi = (np.concatenate([x[i] for x in found]) for i in (0, 1))
-        owner = index.passage[index.suffix]
-        order = np.argsort(lo)
-        edge = np.stack([lo[order], hi[order]], 1).reshape(-1)
-        pad = lambda x, fill: np.append(x[owner], fill)
-        least, most = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
-        least[order] = np.minimum.reduceat(pad(ids[:, 0], np.iinfo(np.int64).max), edge)[::2]
-        most[order] = np.maximum.reduceat(pad(ids[:, 1], np.iinfo(np.int64).min), edge)[::2]
-        # a window left early stands in one passage only: that passage's own ids decide
-        alone = hi - lo == 1
-        own = index.passage[at[first]]
-        least[alone], most[alone] = ids[own[alone], 0], ids[own[alone], 1]
-        keep = least < most
-        store.save(directory, f"window-{shard}", key[keep])
-        store.save(directory, f"least-{shard}", least[keep])
-        return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([int(keep.sum())], pa.int64())})
+        lines, ids = _merged(table)
+        ok = useful(as_block(lines), ids)
+        groups = 0
+        if ok.any():
+            arrays = FMIndex.build(as_block([x for x, keep in zip(lines, ok.tolist(), strict=True) if keep]), ids[ok])
+            groups = len(arrays[-1])
+            if groups:
+                store.save_all(directory, f"index-{shard}", arrays)
+        return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([groups], pa.int64())})
 
     return run
 
 
 class Found:
-    """The stored windows of two or more documents, looked up block by block."""
+    """The stored indexes, through which documents are streamed block by block."""
 
-    def __init__(self, directory: str, bits: int, shared: frozenset[int], stored: frozenset[int]):
-        self.directory, self.bits, self.shared, self.stored = directory, bits, shared, stored
+    def __init__(self, router: Router, stored: frozenset[int]):
+        self.router, self.stored = router, stored
 
     def removed(self, w: Words, ids: np.ndarray) -> np.ndarray:
         """Marks the words under a window that a smaller id holds too."""
-        h = w.hashes()
-        at, least = minimizers(h, w.row)
-        head, n = runs(at, least, w.row)
-        ok = _marked(self.directory, self.bits, least[head], self.shared)
-        use = np.repeat(ok, n)
-        at, least = at[use], least[use]
+        h, data = w.hashes(), w.block.data
         out = np.zeros(len(h), bool)
-        if not len(at):
+        start, n, shard = self.router.passages(h, w.row)
+        ok = np.isin(shard, list(self.stored))
+        start, n, shard = start[ok], n[ok], shard[ok]
+        if not len(start):
             return out
-        key = windows(h, WINDOW)[at]
-        shard = store.shard_of(least, self.bits)
-        order = np.lexsort((key, shard))
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(shard[order])) + 1, [len(order)]])
-        hit = np.zeros(len(at), bool)
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            s = int(shard[order[a]])
-            if s not in self.stored:
-                continue
+        first, hashes, which = distinct(w)
+        size = w.end - w.start
+        # a passage that the block repeats is searched once
+        place: dict[bytes, int] = {}
+        alike = np.array([place.setdefault(t, len(place)) for t in texts(w, start, n)], np.int64)
+        one = np.unique(alike, return_index=True)[1]
+        length = n[one] + WINDOW - 1
+        begin = np.cumsum(length) - length
+        least = np.full(int(length.sum()), MOST, np.int64)
+        order = np.argsort(shard[one], kind="stable")
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(shard[one][order])) + 1, [len(order)]])
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             mine = order[a:b]
-            values = store.load(self.directory, f"window-{s}")
-            if len(values):
-                place = np.searchsorted(values, key[mine])
-                place[place == len(values)] = 0
-                same = values[place] == key[mine]
-                hit[mine] = same & (store.load(self.directory, f"least-{s}")[place] < ids[w.row[at[mine]]])
-        return covered(len(h), at[hit], WINDOW)
+            index = FMIndex(store.load_all(self.router.directory, f"index-{int(shard[one[mine[0]]])}"))
+            m = length[mine]
+            inner = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+            word = which[np.repeat(start[one[mine]], m) + inner]
+            some, back = np.unique(word, return_inverse=True)
+            symbol = index.symbols(data, w.start[first[some]], size[first[some]], hashes[some])
+            row = index.matches(symbol[back], np.cumsum(m) - m, m)
+            least[np.repeat(begin[mine], m) + inner] = index.least(row)
+        # back to all windows of all passages
+        window = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        found = least[np.repeat(begin[alike] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        return covered(len(h), window[found < ids[w.row[window]]], WINDOW)
 
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Found:
-    """Finds all windows that two or more documents share, and stores them in the shared folder."""
+    """Indexes all passages that two or more documents can share, in the shared folder."""
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} holds no whole numbers, so documents have no order")
     spark = docs.sparkSession
     read = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    bits = store.shard_bits(read) + MORE_BITS
+    bits = store.shard_bits(read)
     directory = store.new_dir(spark, "substring")
     counted = read.select("_text").mapInArrow(_count(bits), "shard int, keys binary, body binary")
     meta = "shard int, n long"
-    shared = frozenset(r.shard for r in counted.groupBy("shard").applyInArrow(_shared(directory), meta).collect())
-    shipped = read.mapInArrow(_passages(directory, bits, shared), "shard int, size binary, words binary, ids binary")
-    stored = frozenset(r.shard for r in shipped.groupBy("shard").applyInArrow(_index(directory), meta).collect())
-    return Found(directory, bits, shared, stored)
+    shared = frozenset(r.shard for r in counted.groupBy("shard").applyInArrow(_shared(directory, HOT), meta).collect())
+    router = Router(directory, bits, shared)
+    shipped = read.mapInArrow(_passages(router), "shard int, words binary, ids binary")
+    stored = frozenset(r.shard for r in shipped.groupBy("shard").applyInArrow(_index(directory), meta).collect() if r.n)
+    return Found(router, stored)
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -389,12 +545,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             digest.append(kept.hexdigest())
         return [w.count, n_removed, digest, cut], None
 
-    return per_block(read, [id_col, "_id"], "_text", columns, FIELDS).drop("_id")
+    return per_block(read, [id_col, "_id"], "_text", columns, FIELDS, limit=SEARCH_BYTES).drop("_id")
 
 
 def _own_ids(batch, at: int, n: int) -> np.ndarray:
     """Ids for the comparison: null ids are smaller than all, so they lose nothing."""
-    return np.asarray(batch.column("_id").slice(at, n).fill_null(np.iinfo(np.int64).min)).astype(np.int64)
+    return np.asarray(batch.column("_id").slice(at, n).fill_null(LEAST)).astype(np.int64)
 
 
 def _joined(data: np.ndarray, w: Words, a: int, b: int) -> bytes:
