@@ -272,23 +272,83 @@ def test_substrings(request, which):
     assert all(x[2] == 0 for x in got if x[0] is None)
 
 
-def test_fm_index_counts():
+def fm_index(lines, ids=None):
     import numpy as np
 
-    r = np.random.default_rng(2)
-    for _ in range(30):
-        size = r.integers(13, 25, r.integers(1, 30))
-        flat = r.integers(0, 3, size.sum()).astype(np.uint64)
-        index = substring.FMIndex(flat, size)
-        begin = np.cumsum(size + 1) - (size + 1)
-        at = np.concatenate([np.arange(b, b + n - 4) for b, n in zip(begin, size, strict=True)])
-        lo, hi = index.search(at, 5)
-        want = {}
-        for a in at:
-            want[tuple(index.text[a : a + 5])] = want.get(tuple(index.text[a : a + 5]), 0) + 1
-        for a, x, y in zip(at, lo, hi, strict=True):
-            n = want[tuple(index.text[a : a + 5])]
-            assert y - x == n and (n == 1 or a in index.suffix[x:y])
+    ids = np.array([(i, i) for i in range(len(lines))]) if ids is None else np.array(ids)
+    return substring.FMIndex(substring.FMIndex.build(substring.as_block([x.encode() for x in lines]), ids))
+
+
+def test_fm_index_matches():
+    """Matching statistics of streamed documents against plain search, words in and out of the index."""
+    import numpy as np
+
+    from sparkveil.llm.text import Block
+
+    r = random.Random(2)
+    for _ in range(60):
+        say = lambda n: " ".join(r.choice(["aa", "b", "ccc", "dé"]) for _ in range(n))
+        lines = list({say(r.randint(13, 30)) for _ in range(r.randint(1, 12))})
+        index = fm_index(lines)
+        held = {tuple(x.split()[i : i + 13]): set() for x in lines for i in range(len(x.split()) - 12)}
+        for k, x in enumerate(lines):
+            for i in range(len(x.split()) - 12):
+                held[tuple(x.split()[i : i + 13])].add(k)
+        docs = [r.choice(lines), say(40), "zz " + r.choice(lines) + " zz " + say(20), say(12), " ".join(r.sample(lines, min(3, len(lines))))]
+        w = substring.as_block([x.encode() for x in docs]).words()
+        first, hashes, which = substring.distinct(w)
+        symbol = index.symbols(w.block.data, w.start[first], (w.end - w.start)[first], hashes)[which]
+        row = index.matches(symbol, w.first[:-1], w.count)
+        least = index.least(row)
+        for d, x in enumerate(docs):
+            words = x.split()
+            for i in range(len(words)):
+                who = held.get(tuple(words[i : i + 13]), set())
+                at = w.first[d] + i
+                assert (row[at] >= 0) == bool(who)
+                assert least[at] == (min(who) if len(who) > 1 else substring.MOST)
+    assert isinstance(w.block, Block) and index.wave.dtype == np.uint64 and index.ones.dtype == np.uint32
+
+
+def test_fm_index_tells_words_of_one_hash_apart(monkeypatch):
+    """Words whose hashes collide are different words."""
+    import numpy as np
+
+    from sparkveil.llm import text
+
+    monkeypatch.setattr(text, "spans", lambda data, start, end: np.zeros(len(start), np.uint64) + (end - start).astype(np.uint64))
+    a, b = " ".join("abcdefghijklm"), " ".join("nopqrstuvwxyz")
+    index = fm_index([a, b], [(1, 2), (3, 4)])
+    w = substring.as_block([a.encode(), b.encode(), a.replace("m", "n").encode()]).words()
+    first, hashes, which = substring.distinct(w)
+    row = index.matches(index.symbols(w.block.data, w.start[first], (w.end - w.start)[first], hashes)[which], w.first[:-1], w.count)
+    assert index.least(row[[0, 13, 26]]).tolist() == [1, 3, substring.MOST]
+
+
+@pytest.mark.parametrize("hot", [0, 3])
+def test_substrings_hot_minimizers(spark, bad, hot, monkeypatch):
+    monkeypatch.setattr(substring, "HOT", hot)
+    docs = bad.where("doc_id is not null")
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.dedup_substrings(docs).collect()]
+    same(got, plain.substrings(pairs(docs)))
+
+
+def test_substrings_need_the_index(spark, good, monkeypatch):
+    """What is removed comes out of the search: without its answers nothing is."""
+    from pyspark.sql import functions as F
+
+    assert substring.dedup_substrings(good).agg(F.sum("n_removed")).first()[0] > 0
+    found = substring.build(good)
+    assert found.stored
+    block = substring.as_block([(r.text or "").replace("\n", " ").encode() for r in good.select("text").limit(50).collect()])
+    import numpy as np
+
+    ids = np.full(block.n, substring.MOST - 1)
+    assert found.removed(block.words(), ids).any()
+    monkeypatch.setattr(substring.FMIndex, "matches", lambda self, flat, *_: np.full(len(flat), -1))
+    assert not found.removed(block.words(), ids).any()
+    with pytest.raises(TypeError):
+        substring.build(good.withColumn("doc_id", F.col("doc_id").cast("string")))
 
 
 def test_language_model(spark, good):
