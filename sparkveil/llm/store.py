@@ -25,8 +25,30 @@ MOST_SHARDS = 8192
 ROWS_PER_FILE = 200_000
 
 
+_made: list[str] = []
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A name for a new folder, or for new ones that begin like it, under the shared one."""
+    _made.append(f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def made() -> int:
+    """How many folders this process has named so far."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the folders named from then on, once what reads them has been written elsewhere."""
+    jvm = spark.sparkContext._jvm
+    for path in _made[since:]:
+        if path not in keep:
+            pattern = jvm.org.apache.hadoop.fs.Path(path + "*")
+            fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            for status in fs.globStatus(pattern) or []:
+                fs.delete(status.getPath(), True)
+    _made[since:] = [p for p in _made[since:] if p in keep]
 
 
 def written(df: DataFrame, path: str, rows: int | None = None) -> DataFrame:
@@ -88,7 +110,7 @@ def save_all(directory: str, name: str, arrays: list[np.ndarray]) -> None:
 
 
 def load_all(directory: str, name: str) -> list[np.ndarray]:
-    raw = load(directory, name)
+    raw = load(directory, name).view(np.ndarray)  # plain views: slicing a memmap is slow
     n = int(raw[:8].view(np.int64)[0])
     head, at, out = raw[8 : 8 + 16 * n].view(np.int64).reshape(n, 2), 8 + 16 * n, []
     for kind, size in head.tolist():

@@ -48,7 +48,8 @@ HOT = 4096
 #: Windows of a passage at most, so that a search takes a bounded number of steps.
 MOST_WINDOWS = 32
 #: Bounds of a task's memory: bytes of passages held before they are sent, and of texts searched at once.
-SHIP_BYTES, SEARCH_BYTES = 16 << 20, 8 << 20
+SHIP_BYTES, SEARCH_BYTES, PART_BYTES = 16 << 20, 16 << 20, 2 << 20
+BELOW = (U(1) << np.arange(64, dtype=U)) - U(1)
 MOST, LEAST = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 FIELDS = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("removed", T.ArrayType(T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())])))]
 
@@ -134,14 +135,15 @@ def _shared(directory: str, hot: int):
 
 
 class Router:
-    """Which windows can be shared, and to which shard each goes."""
+    """Which windows can be shared, and to which shard each goes; once the indexes stand, only those
+    whose minimizer has a passage there (``kept``)."""
 
-    def __init__(self, directory: str, bits: int, there: frozenset[int]):
-        self.directory, self.bits, self.there = directory, bits, there
+    def __init__(self, directory: str, bits: int, there: frozenset[int], kept: frozenset[int] | None = None):
+        self.directory, self.bits, self.there, self.kept = directory, bits, there, kept
 
-    def _stored(self, name: str, key: np.ndarray) -> np.ndarray:
+    def _stored(self, name: str, key: np.ndarray, there: frozenset[int]) -> np.ndarray:
         some, back = np.unique(key, return_inverse=True)
-        ok = np.isin(store.shard_of(some, self.bits), list(self.there)) if len(self.there) < 1 << self.bits else np.ones(len(some), bool)
+        ok = np.isin(store.shard_of(some, self.bits), list(there)) if len(there) < 1 << self.bits else np.ones(len(some), bool)
         ok[ok] = store.find(self.directory, name, self.bits, some[ok]) >= 0
         return ok[back]
 
@@ -149,11 +151,11 @@ class Router:
         """First word, number of windows and shard of each run of windows that can be shared."""
         at, key = minimizers(h, row)
         head, n = runs(at, key, row)
-        ok = self._stored("shared", key[head])
+        ok = self._stored("shared", key[head], self.there) if self.kept is None else self._stored("kept", key[head], self.kept) | self._stored("hot", key[head], self.there)
         head, n = head[ok], n[ok]
         use = np.repeat(head - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         at, key = at[use], key[use]
-        hot = np.repeat(self._stored("hot", key[np.cumsum(n) - n]), n) if len(n) else np.zeros(0, bool)
+        hot = np.repeat(self._stored("hot", key[np.cumsum(n) - n], self.there), n) if len(n) else np.zeros(0, bool)
         if hot.any():
             key = np.where(hot, mix(windows(h, WINDOW)[at]), key)
         head, n = runs(at, key, row, MOST_WINDOWS)
@@ -240,14 +242,26 @@ def as_block(lines: list[bytes]) -> Block:
     return Block(data, off)
 
 
-def useful(block: Block, ids: np.ndarray) -> np.ndarray:
-    """Which passages hold a window that stands in two documents or passages, as far as hashes tell."""
-    w = block.words()
-    at = np.flatnonzero(inside(w.row, WINDOW))
-    twice = repeated(windows(w.hashes(), WINDOW)[at])
+def useful(lines: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which passages hold a window that stands in two documents or passages, as far as hashes tell;
+    and each passage's minimizer. Words are cut and hashed part by part."""
+    keys, rows, least = [], [], np.zeros(len(lines), U)
+    size = np.cumsum([len(x) for x in lines])
+    cut = [0, *np.searchsorted(size, np.arange(PART_BYTES, int(size[-1]) + PART_BYTES, PART_BYTES), "left").tolist()]
+    for a, b in zip(cut[:-1], [min(x + 1, len(lines)) for x in cut[1:]], strict=True):
+        a = min(a + (a > 0), len(lines))
+        if a < b:
+            w = as_block(lines[a:b]).words()
+            h = w.hashes()
+            at, key = minimizers(h, w.row)
+            keys.append(windows(h, WINDOW)[at])
+            rows.append((w.row[at] + a).astype(np.uint32))
+            first = np.unique(w.row[at], return_index=True)
+            least[first[0] + a] = key[first[1]]
+    row = np.concatenate(rows)
     out = ids[:, 0] < ids[:, 1]
-    out[w.row[at[twice]]] = True
-    return out
+    out[row[repeated(np.concatenate(keys))]] = True
+    return out, least
 
 
 def same_bytes(data: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.ndarray, other_start: np.ndarray, other_size: np.ndarray) -> np.ndarray:
@@ -262,10 +276,10 @@ def same_bytes(data: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.
     return out
 
 
-def distinct(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def distinct(w: Words, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words of a block by their bytes: a place of each, its hash (ascending), and which of
     them every word is."""
-    h, data = w.hashes(), w.block.data
+    h, data = w.hashes() if h is None else h, w.block.data
     size = w.end - w.start
     hashes, first, which = np.unique(h, return_index=True, return_inverse=True)
     like = first[which]
@@ -335,12 +349,12 @@ class FMIndex:
         return [*out, group, group_end, least]
 
     def step(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """Row of the first suffix that begins with the symbol, behind the first i rows' such symbols."""
-        i = i.copy()
+        """Row of the first suffix that begins with the symbol, behind the first i rows' such symbols.
+        i may hold several rows of numbers, one number for each symbol."""
         for k in range(self.levels):
             at = i >> 6
-            one = self.ones[k][at] + np.bitwise_count(self.wave[k][at] & ((U(1) << (i & 63).astype(U)) - U(1)))
-            i = np.where(symbol >> (self.levels - 1 - k) & 1, int(self.zeros[k]) + one.astype(np.int64), i - one)
+            one = np.bitwise_count(self.wave[k][at] & BELOW[i & 63]) + self.ones[k][at]
+            i = np.where((symbol >> (self.levels - 1 - k) & 1).astype(bool), one + self.zeros[k], i - one)
         return i + self.offset[symbol]
 
     def symbols(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -371,8 +385,7 @@ class FMIndex:
         while len(live):
             at = begin[live] + j[live]
             c = flat[at]
-            both = self.step(np.concatenate([c, c]), np.concatenate([lo[live], hi[live]]))
-            a, b = both[: len(live)], both[len(live) :]
+            a, b = self.step(c, np.stack([lo[live], hi[live]]))
             ok = (c > 0) & (a < b)
             good, bad = live[ok], live[~ok]
             lo[good], hi[good] = a[ok], b[ok]
@@ -443,13 +456,14 @@ def _index(directory: str):
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         lines, ids = _merged(table)
-        ok = useful(as_block(lines), ids)
+        ok, least = useful(lines, ids)
         groups = 0
         if ok.any():
             arrays = FMIndex.build(as_block([x for x, keep in zip(lines, ok.tolist(), strict=True) if keep]), ids[ok])
             groups = len(arrays[-1])
             if groups:
                 store.save_all(directory, f"index-{shard}", arrays)
+                store.save(directory, f"kept-{shard}", np.unique(least[ok]))
         return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([groups], pa.int64())})
 
     return run
@@ -470,7 +484,7 @@ class Found:
         start, n, shard = start[ok], n[ok], shard[ok]
         if not len(start):
             return out
-        first, hashes, which = distinct(w)
+        first, hashes, which = distinct(w, h)
         size = w.end - w.start
         # a passage that the block repeats is searched once
         place: dict[bytes, int] = {}
@@ -511,7 +525,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Fo
     router = Router(directory, bits, shared)
     shipped = read.mapInArrow(_passages(router), "shard int, words binary, ids binary")
     stored = frozenset(r.shard for r in shipped.groupBy("shard").applyInArrow(_index(directory), meta).collect() if r.n)
-    return Found(router, stored)
+    return Found(Router(directory, bits, shared, stored), stored)
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
