@@ -153,7 +153,7 @@ class Router:
         head, n = runs(at, key, row)
         ok = self._stored("shared", key[head], self.there) if self.kept is None else self._stored("kept", key[head], self.kept) | self._stored("hot", key[head], self.there)
         head, n = head[ok], n[ok]
-        use = np.repeat(head - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        use = spread(head, n)
         at, key = at[use], key[use]
         hot = np.repeat(self._stored("hot", key[np.cumsum(n) - n], self.there), n) if len(n) else np.zeros(0, bool)
         if hot.any():
@@ -276,16 +276,14 @@ def same_bytes(data: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.
     return out
 
 
-def distinct(w: Words, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of a block by their bytes: a place of each, its hash (ascending), and which of
-    them every word is."""
-    h, data = w.hashes() if h is None else h, w.block.data
-    size = w.end - w.start
+def distinct(data: np.ndarray, start: np.ndarray, size: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words by their bytes: a place of each among those given, its hash (ascending), and
+    which of them every word is."""
     hashes, first, which = np.unique(h, return_index=True, return_inverse=True)
     like = first[which]
-    bad = np.flatnonzero(~same_bytes(data, w.start, size, data, w.start[like], size[like]))
+    bad = np.flatnonzero(~same_bytes(data, start, size, data, start[like], size[like]))
     if len(bad):  # different words of one hash: told apart one by one
-        names = [data[a:b].tobytes() for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)]
+        names = [data[a : a + n].tobytes() for a, n in zip(start.tolist(), size.tolist(), strict=True)]
         place = {x: i for i, x in reversed(list(enumerate(names)))}
         order = sorted(place, key=lambda x: (int(h[place[x]]), x))
         number = {x: i for i, x in enumerate(order)}
@@ -294,6 +292,26 @@ def distinct(w: Words, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndar
     return first, hashes, which
 
 
+def spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each begin on, n of them."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def alike(h: np.ndarray, word: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each run of words the first run of the same words; hashes propose, words decide."""
+    whole = windows(h, WINDOW)
+    key = mix(whole[start] + mix(whole[start + n - 1] + n.astype(U)))
+    _, first, back = np.unique(key, return_index=True, return_inverse=True)
+    out = first[back]
+    same = n == n[out]
+    use = np.flatnonzero(same)
+    length = n[use] + WINDOW - 1
+    differ = word[spread(start[use], length)] != word[spread(start[out[use]], length)]
+    if differ.any():
+        same[use[np.repeat(np.arange(len(use)), length)[differ]]] = False
+    return np.where(same, out, np.arange(len(n)))
+
+
 class FMIndex:
     """Compressed index of passages: word alphabet, wavelet matrix of the transform, and the rows that
     begin with a window of two or more documents.
@@ -315,8 +333,8 @@ class FMIndex:
     def build(block: Block, ids: np.ndarray) -> list[np.ndarray]:
         """The index's arrays. ids: smallest and largest id of each passage."""
         w = block.words()
-        first, hashes, symbol = distinct(w)
         data, size = block.data, w.end - w.start
+        first, hashes, symbol = distinct(data, w.start, size, w.hashes())
         take = size[first]
         letters = data[np.repeat(w.start[first] - (np.cumsum(take) - take), take) + np.arange(int(take.sum()))]
         n, count = len(w) + block.n, w.count
@@ -484,30 +502,33 @@ class Found:
         start, n, shard = start[ok], n[ok], shard[ok]
         if not len(start):
             return out
-        first, hashes, which = distinct(w, h)
-        size = w.end - w.start
+        # words of the passages, each known by its bytes
+        inside_ = covered(len(h), start, n + WINDOW - 1)
+        some = np.flatnonzero(inside_)
+        begin_of, size = w.start[some], (w.end - w.start)[some]
+        first, hashes, which = distinct(data, begin_of, size, h[some])
+        word = np.full(len(h), -1, np.int32)
+        word[some] = which
         # a passage that the block repeats is searched once
-        place: dict[bytes, int] = {}
-        alike = np.array([place.setdefault(t, len(place)) for t in texts(w, start, n)], np.int64)
-        one = np.unique(alike, return_index=True)[1]
+        like = alike(h, word, start, n)
+        one = np.flatnonzero(like == np.arange(len(like)))
         length = n[one] + WINDOW - 1
-        begin = np.cumsum(length) - length
+        begin = np.zeros(len(n), np.int64)
+        begin[one] = np.cumsum(length) - length
         least = np.full(int(length.sum()), MOST, np.int64)
-        order = np.argsort(shard[one], kind="stable")
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(shard[one][order])) + 1, [len(order)]])
+        order = one[np.argsort(shard[one], kind="stable")]
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(shard[order])) + 1, [len(order)]])
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             mine = order[a:b]
-            index = FMIndex(store.load_all(self.router.directory, f"index-{int(shard[one[mine[0]]])}"))
-            m = length[mine]
-            inner = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-            word = which[np.repeat(start[one[mine]], m) + inner]
-            some, back = np.unique(word, return_inverse=True)
-            symbol = index.symbols(data, w.start[first[some]], size[first[some]], hashes[some])
+            index = FMIndex(store.load_all(self.router.directory, f"index-{int(shard[mine[0]])}"))
+            m = n[mine] + WINDOW - 1
+            known, back = np.unique(word[spread(start[mine], m)], return_inverse=True)
+            symbol = index.symbols(data, begin_of[first[known]], size[first[known]], hashes[known])
             row = index.matches(symbol[back], np.cumsum(m) - m, m)
-            least[np.repeat(begin[mine], m) + inner] = index.least(row)
+            least[spread(begin[mine], m)] = index.least(row)
         # back to all windows of all passages
-        window = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        found = least[np.repeat(begin[alike] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        window = spread(start, n)
+        found = least[spread(begin[like], n)]
         return covered(len(h), window[found < ids[w.row[window]]], WINDOW)
 
 

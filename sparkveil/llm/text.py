@@ -109,14 +109,27 @@ class Words:
         return spans(self.block.data, self.start, self.end)
 
 
+PART = 1 << 19
+
+
 def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges; equal bytes give equal hashes wherever they stand."""
-    power, inverse = _pow(len(data) + 1)
-    total = np.zeros(len(data) + 1, U)
-    x = _BYTE[data]
-    x *= power[: len(data)]
-    np.cumsum(x, out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U))
+    """64-bit hashes of the byte ranges (ascending, apart from each other); equal bytes give equal
+    hashes wherever they stand. Taken part by part, so prefix sums stay small and in cache."""
+    out = np.empty(len(start), U)
+    at = 0
+    while at < len(start):
+        base = int(start[at])
+        to = max(at + 1, int(np.searchsorted(end, base + PART, "right")))
+        size = int(end[to - 1]) - base
+        power, inverse = _pow(size + 1)
+        total = np.zeros(size + 1, U)
+        x = _BYTE[data[base : base + size]]
+        x *= power[:size]
+        np.cumsum(x, out=total[1:])
+        a, b = start[at:to] - base, end[at:to] - base
+        out[at:to] = mix((total[b] - total[a]) * inverse[a] + (b - a).astype(U))
+        at = to
+    return out
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:
