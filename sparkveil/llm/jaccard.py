@@ -412,13 +412,14 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFram
         _, _, size, name = sets(block, rule)
         return [size, name.view(np.int64)], None
 
-    # kept on the executors' disks: what a lost executor held is made again from the input
-    rows = per_block(read, ["_id"], "_text", named, [("n_shingles", T.LongType()), ("name", T.LongType())], lower=True).persist(StorageLevel.DISK_ONLY)
+    rows = store.written(per_block(read, ["_id"], "_text", named, [("n_shingles", T.LongType()), ("name", T.LongType())], lower=True), f"{directory}-rows")
     signed = read.select("_text").mapInArrow(_sign(bits, rule), "shard int, keys binary, body binary")
     found = signed.groupBy("shard").applyInArrow(_buckets, "sign long, a long, b long")
+    # kept on the executors' disks: what a lost executor held is made again from the input
     found = found.persist(StorageLevel.DISK_ONLY)
     clusters, n = components(found.where("sign is null").select("a", "b").distinct(), f"{directory}-clusters")
     roots, _ = _components_of(spark, read, found, clusters, n, bits, directory, rule)
+    found.unpersist()
     # classes of equal sets, and components of classes; empty sets stand for themselves
     full = rows.where("n_shingles > 0")
     classes = full.groupBy("name").agg(F.min("_id").alias("rep"))
@@ -437,10 +438,16 @@ def _components_of(spark: SparkSession, read: DataFrame, found: DataFrame, clust
     shipped = read.select("_text").mapInArrow(_needed(directory, bits, there, rule), "shard int, name binary, size binary, flat binary")
     sized = kept(shipped.groupBy("shard").applyInArrow(_keep_sets(directory), "id long, size long"), "sized")
     all_sets = Sets(directory, bits)
-    # blocks: runs of a cluster's members up to a bound of elements
-    run = "sum(greatest(size, %d)) over (partition by root order by size, id rows between unbounded preceding and current row)" % LEAST_SET
-    placed = clusters.join(sized, "id").withColumn("block", F.floor((F.expr(run) - 1) / F.lit(BLOCK_ELEMENTS)).cast("long"))
-    placed = kept(placed.select("id", "root", "block"), "placed")
+    # blocks: a cluster within the bound is one; of a larger one, members of like size are dealt by
+    # hash to as many as their elements need, so no task holds a cluster
+    weight = F.sum(F.greatest("size", F.lit(LEAST_SET)))
+    sized_clusters = clusters.join(sized, "id").withColumn("band", F.floor(F.log("size") * 10).cast("long"))
+    in_band = kept(sized_clusters.groupBy("root", "band").agg(weight.alias("in_band")), "bands")
+    large = in_band.groupBy("root").agg(F.sum("in_band").alias("all")).where(F.col("all") > BLOCK_ELEMENTS)
+    ways = in_band.join(large.select("root"), "root").select("root", "band", F.ceil(F.col("in_band") / BLOCK_ELEMENTS).alias("ways"))
+    dealt = F.col("band") * F.lit(1 << 40) + F.pmod(F.xxhash64("id"), F.col("ways")) + 1
+    placed = sized_clusters.join(ways, ["root", "band"], "left").select("id", "root", F.coalesce(dealt, F.lit(0).cast("long")).alias("block"))
+    placed = kept(placed, "placed")
     one = placed.groupBy("root", "block").agg(F.sort_array(F.collect_list("id")).alias("left"))
     # few links come out of much work: their tables aren't gathered into few tasks
     inside = store.written(one.where(F.size("left") > 1).select("left").repartition(spread(spark)).mapInArrow(_links(all_sets, False, rule), "a long, b long"), f"{directory}-inside")
