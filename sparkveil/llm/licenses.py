@@ -1,7 +1,7 @@
 """License scans: template markup compiled to token automata.
 
-A template is a notice with markup: ``[[...]]`` is an optional region (may nest), and
-``{{a-b}}`` a replaceable region of a to b free words. The template compiles to an automaton
+A template is a whole licence text or a short notice with markup: ``[[...]]`` is an optional
+region (may nest), and ``{{a-b}}`` a replaceable region of a to b free words. The template compiles to an automaton
 over word hashes whose plain steps are the mandatory wording; a text is accepted where a
 path spells all of it. Automata start only where the template's first mandatory words
 stand, found for all texts of a block at once by rolling hashes.
@@ -25,7 +25,46 @@ from .text import NOT_ALNUM, Block, U, inside, member, per_block, windows
 #: Fixed phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Notices in template markup, by label. A label may have several.
+#: Wording of public licences in template markup, by label. What authors fill in is
+#: a replaceable region, what some copies leave out an optional one.
+AS_IS = "provided [[by]] [[the]] {{0-9}} as is and [[without]] any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{1-10}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+BSD_HEAD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+BSD_NAMES = "[[3]] neither [[the name]] [[the names]] of {{1-10}} nor the names of {{1-4}} contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+NO_WARRANTY = "[[but]] without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {{0-2}} general public license for more details"
+WHOLE = [
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice [[s]] and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall {{1-10}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    ("bsd-2-clause", f"{BSD_HEAD} this software is {AS_IS}"),
+    ("bsd-3-clause", f"{BSD_HEAD} {BSD_NAMES} this software is {AS_IS}"),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and {{1-6}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+        "in no event shall {{1-6}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions "
+        "[[1]] the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required [[2]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software [[3]] this notice may not be removed or altered from any source distribution",
+    ),
+    (
+        "apache-2.0",
+        "licensed under the apache license version 2 0 [[the license]] you may not use this file except in compliance with the license you may obtain a copy of the license at [[http]] [[https]] www apache org licenses license 2 0 [[txt]] [[html]] unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
+    ("gpl-3.0-or-later", f"is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or [[at your option]] any later version {{{{0-8}}}} is distributed in the hope that it will be useful {NO_WARRANTY}"),
+    ("gpl-2.0-or-later", f"is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or [[at your option]] any later version {{{{0-8}}}} is distributed in the hope that it will be useful {NO_WARRANTY}"),
+    ("agpl-3.0-or-later", f"is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or [[at your option]] any later version {{{{0-8}}}} is distributed in the hope that it will be useful {NO_WARRANTY}"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at [[http]] [[https]] mozilla org mpl 2 0"),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain",
+    ),
+]
+
+#: Short notices, by label. A label may have several.
 TEMPLATES = [
     ("mit", "[[this work is]] released under the [[terms of the]] mit license"),
     ("mit", "[[this work is]] licensed under the [[terms of the]] mit license"),
@@ -140,7 +179,7 @@ class Automaton:
 
 @cache
 def automata() -> list[Automaton]:
-    return [Automaton(*t) for t in TEMPLATES]
+    return [Automaton(*t) for t in [*TEMPLATES, *WHOLE]]
 
 
 def scan(block: Block, *_):
