@@ -332,7 +332,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs.where(F.coalesce(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT, F.lit(True))))
-    return score(docs, model).select(
+    scored = score(docs, model).withColumn("score", F.round("score", 4))
+    return scored.select(
         "doc_id", F.coalesce(crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(model.v.total).cast("long").alias("train_tokens"), F.round("base_score", 6).alias("base_score"), "score",
-        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
+        F.round(F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")), 4).alias("perplexity"),
     )
