@@ -93,7 +93,7 @@ def test_decontamination(request, spark, which, part, monkeypatch):
     found = decontaminate.contamination(docs, bench)
     got = []
     for r in found.select("*", decontaminate.is_contaminated().alias("bad")).collect():
-        ids = sorted({m.item_id for m in r.matches})
+        ids = sorted({m.item_id for m in r.matches if m.hit})
         got.append((r.doc_id, r.n_words, r.n_hit, len(ids), plain.sha(",".join(ids)), r.bad))
     rows = pairs(docs)
     same(got, [(i, *x) for (i, _), x in zip(rows, plain.contamination([t for _, t in rows], items), strict=True)])
@@ -279,6 +279,11 @@ def fm_index(lines, ids=None):
     return substring.FMIndex(substring.FMIndex.build(substring.as_block([x.encode() for x in lines]), ids))
 
 
+def symbols(index, w):
+    first, hashes, which = substring.distinct(w.block.data, w.start, w.end - w.start, w.hashes())
+    return index.symbols(w.block.data, w.start[first], (w.end - w.start)[first], hashes)[which]
+
+
 def test_fm_index_matches():
     """Matching statistics of streamed documents against plain search, words in and out of the index."""
     import numpy as np
@@ -296,8 +301,7 @@ def test_fm_index_matches():
                 held[tuple(x.split()[i : i + 13])].add(k)
         docs = [r.choice(lines), say(40), "zz " + r.choice(lines) + " zz " + say(20), say(12), " ".join(r.sample(lines, min(3, len(lines))))]
         w = substring.as_block([x.encode() for x in docs]).words()
-        first, hashes, which = substring.distinct(w)
-        symbol = index.symbols(w.block.data, w.start[first], (w.end - w.start)[first], hashes)[which]
+        symbol = symbols(index, w)
         row = index.matches(symbol, w.first[:-1], w.count)
         least = index.least(row)
         for d, x in enumerate(docs):
@@ -320,8 +324,7 @@ def test_fm_index_tells_words_of_one_hash_apart(monkeypatch):
     a, b = " ".join("abcdefghijklm"), " ".join("nopqrstuvwxyz")
     index = fm_index([a, b], [(1, 2), (3, 4)])
     w = substring.as_block([a.encode(), b.encode(), a.replace("m", "n").encode()]).words()
-    first, hashes, which = substring.distinct(w)
-    row = index.matches(index.symbols(w.block.data, w.start[first], (w.end - w.start)[first], hashes)[which], w.first[:-1], w.count)
+    row = index.matches(symbols(index, w), w.first[:-1], w.count)
     assert index.least(row[[0, 13, 26]]).tolist() == [1, 3, substring.MOST]
 
 
@@ -333,6 +336,22 @@ def test_substrings_hot_minimizers(spark, bad, hot, monkeypatch):
     same(got, plain.substrings(pairs(docs)))
 
 
+def test_hashes_by_part(monkeypatch):
+    """Word hashes don't depend on where parts are cut."""
+    import numpy as np
+
+    from sparkveil.llm import text
+
+    r = random.Random(1)
+    lines = [" ".join("x" * r.randint(1, 40) + str(r.randint(0, 99)) for _ in range(50)).encode() for _ in range(20)]
+    w = substring.as_block(lines).words()
+    want = w.hashes()
+    for part in (1, 17, 300):
+        monkeypatch.setattr(text, "PART", part)
+        assert (w.hashes() == want).all()
+    assert len(np.unique(want)) == len({x for line in lines for x in line.split()})
+
+
 def test_substrings_need_the_index(spark, good, monkeypatch):
     """What is removed comes out of the search: without its answers nothing is."""
     from pyspark.sql import functions as F
@@ -474,6 +493,171 @@ def test_sql(spark, duck, name):
     assert rows_of(QUERIES[name](spark, SF).toPandas()) == rows_of(duck.sql(SQL[name]).df())
 
 
+def test_pipeline_on_odd_and_empty_tables(spark, bad, empty, tmp_path):
+    """Stage by stage and as a whole: every column passes, nulls and repeats have their defined result."""
+    import corpus_pipeline
+
+    for name, docs in (("odd", bad), ("empty", empty)):
+        folder = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        left = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage_name, stage in corpus_pipeline.STAGES[:-1]:
+            alone = stage(spark, docs, folder)
+            assert alone.columns == docs.columns and alone.count() <= docs.count(), stage_name
+            left.count()
+            after = stage(spark, left, folder).cache()
+            assert {r.doc_id for r in after.collect()} <= {r.doc_id for r in left.collect()}
+            left = after
+        got = corpus_pipeline.run(spark, folder)
+        same([r.doc_id for r in got.collect()], [r.doc_id for r in left.collect()])
+        assert all((t or "").strip() for _, t in pairs(left))
+
+
+def test_pipeline_deletes_what_stages_kept(spark):
+    import glob
+
+    import corpus_pipeline
+    from sparkveil.llm import store
+
+    before = store.made()
+    base = mixing.checkpoint_dir(spark).removeprefix("file:")
+    there = set(glob.glob(f"{base}/*"))
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    new = {x.rsplit("/", 1)[1].rsplit("-", 1)[0] for x in set(glob.glob(f"{base}/*")) - there}
+    assert new <= {*(f"pipeline-{n}" for n, _ in corpus_pipeline.STAGES), "mix"} and store.made() - before == len(corpus_pipeline.STAGES) - 1
+
+
+def brute_ends(template, words):
+    """Places behind which a template may end, by trying every reading of its markup."""
+    import re
+
+    tokens = re.findall(r"\[\[|\]\]|\{\{\d+-\d+\}\}|[^\s\[\]{}]+", template)
+
+    def parse(k):
+        out = []
+        while k < len(tokens):
+            if tokens[k] == "[[":
+                inner, k = parse(k + 1)
+                out.append(inner)
+            elif tokens[k] == "]]":
+                return out, k + 1
+            else:
+                out.append(tokens[k])
+                k += 1
+        return out, k
+
+    tree = parse(0)[0]
+    while not isinstance(tree[0], str) or tree[0][0] == "{":
+        tree = tree[1:]
+
+    def ends(parts, at):
+        for x in parts:
+            if isinstance(x, list):
+                at = at | ends(x, at)
+            elif x[0] == "{":
+                a, b = map(int, x[2:-2].split("-"))
+                at = {i + n for i in at for n in range(a, b + 1) if i + n <= len(words)}
+            else:
+                at = {i + 1 for i in at if i < len(words) and words[i] == x}
+        return at
+
+    return ends(tree, {0})
+
+
+def test_license_automata_against_every_reading():
+    """Random templates and texts, and the licences themselves with words changed."""
+    r = random.Random(31)
+
+    def template(depth=0):
+        parts = []
+        for _ in range(r.randint(2, 5)):
+            x = r.random()
+            parts.append(f"[[{template(depth + 1)}]]" if x < 0.2 and depth < 2 else f"{{{{{(a := r.randint(0, 2))}-{a + r.randint(0, 2)}}}}}" if x < 0.35 else r.choice("abc"))
+        return " ".join(parts)
+
+    def check(t, words):
+        a = licenses.Automaton("x", t)
+        h = licenses.word_hashes(tuple(words)).tolist() if words else []
+        length, best = a.run(h)
+        want = brute_ends(t, words) - {0}
+        assert length == (min(want) if want else 0), (t, words)
+        assert best <= a.mandatory and (not length or best == a.mandatory)
+
+    for _ in range(3000):
+        t = f"{r.choice('abc')} {template()} {r.choice('abc')}"
+        check(t, [r.choice("abc") for _ in range(r.randint(0, 12))])
+    import re
+
+    for _, t in licenses.WHOLE:
+        for _ in range(20):
+            said = re.sub(r"\[\[([^\[\]]*)\]\]", lambda m: m[1] if r.random() < 0.5 else "", t)
+            said = re.sub(r"\{\{(\d+)-(\d+)\}\}", lambda m: " ".join(r.choice(["acme", "inc", "the"]) for _ in range(r.randint(int(m[1]), int(m[2])))), said).split()
+            check(t, said)
+            said[r.randrange(len(said))] = "changed"
+            check(t, said)
+
+
+def test_whole_licences(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL ACME INC OR ITS FRIENDS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    docs = spark.createDataFrame([(1, mit), (2, mit.replace("CONTRACT", "COMBAT")), (3, "x " + mit + " y")], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score, max(n.n_words for n in r.notices)) for r in licenses.license_scan(docs).collect()}
+    assert got[1][0] == got[3][0] == "mit" and got[1][2] > 150 and got[3][1] == 1.0 and got[2][2] < 40
+
+
+def test_classifier_against_plain_compression(spark):
+    """Scores from plain zstandard calls, piece by piece, over whole texts."""
+    import math
+
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = classifier.fit(*classifier.labelled(docs, labels, "doc_id", "text", "quality", 5))
+
+    def size(text, raw):
+        c = zstandard.ZstdCompressor(level=classifier.LEVEL, dict_data=zstandard.ZstdCompressionDict(raw) if raw else None, write_content_size=False, write_checksum=False)
+        return sum(len(c.compress(text[i : i + classifier.PIECE])) - 9 for i in range(0, len(text), classifier.PIECE))
+
+    got = {r.doc_id: r.score for r in classifier.classify(docs, model).collect()}
+    for i, t in pairs(docs)[:60]:
+        x = (t or "").encode()
+        g, b, none = size(x, model.good), size(x, model.bad), size(x, None)
+        f = [(b - g) / (len(x) + 48), (b - g) / max(none + 48, 1), none / (len(x) + 48), 48 / (len(x) + 48), 1.0] if x else [0, 0, 0, 0, 1.0]
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-sum(p * q for p, q in zip(f, model.weights, strict=True)))), abs=0.02)
+
+
+def test_longest_benchmark_matches(spark):
+    """Matches of eight words on, maximal and with their places, by comparing word by word."""
+    r = random.Random(5)
+    say = lambda n: [r.choice(["a", "b", "c"]) + str(r.randint(0, 12)) for _ in range(n)]
+    items = [say(40), say(25), say(9), say(5)]
+    docs = []
+    for _ in range(30):
+        words = say(10)
+        for _ in range(r.randint(0, 3)):
+            item = r.choice(items)
+            at, n = r.randrange(len(item)), r.randint(3, 30)
+            words += item[at : at + n] + say(r.randint(0, 5))
+        docs.append(words)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    got = {(x.doc_id, m.item_id, m.doc_start, m.item_start, m.length): m.hit for x in decontaminate.contamination(table, bench).collect() for m in x.matches}
+    want = {}
+    for d, words in enumerate(docs):
+        for i, item in enumerate(items):
+            for a in range(len(words)):
+                for b in range(len(item)):
+                    if words[a] == item[b] and not (a and b and words[a - 1] == item[b - 1]):
+                        n = 0
+                        while a + n < len(words) and b + n < len(item) and words[a + n] == item[b + n]:
+                            n += 1
+                        if n >= 13 or n == len(item):
+                            want[d, str(i), a, b, n] = True
+    assert {k for k, hit in got.items() if hit} == set(want) and want
+    for (d, i, a, b, n), hit in got.items():
+        assert docs[d][a : a + n] == items[int(i)][b : b + n] and (n >= 8 or n == len(items[int(i)])) and hit == (n >= 13 or n == len(items[int(i)]))
+
+
 def test_html_wrappers_and_attributes():
     long = "This is a sentence, long enough to count as a paragraph, with commas. " * 3
     want = long.strip()
