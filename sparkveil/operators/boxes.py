@@ -34,35 +34,47 @@ def points_box(points: Column) -> Column:
 
 
 class Tracker:
-    """Greedy overlap tracker: a box takes the unused track it overlaps most (ties: the newest)."""
+    """Greedy overlap tracker: a box takes the unused track it overlaps most (ties: the newest).
 
-    def __init__(self, least: float = LEAST_IOU, last: list[tuple] | None = None):
-        self.least, self.n = least, len(last or [])
-        self.last = np.zeros((max(16, 2 * self.n), 4), np.int64)
-        if self.n:
-            self.last[: self.n] = last
+    With ``expire`` a track that no box has taken for more than that many frames is forgotten, so
+    the state of an endless stream is bounded; without it every track may come back.
+    """
 
-    def frame(self, boxes: np.ndarray) -> list[int]:
+    def __init__(self, least: float = LEAST_IOU, last: list[tuple] | None = None, ids: list[int] | None = None, seen: list[int] | None = None, made: int | None = None, expire: int | None = None):
+        self.least, self.expire = least, expire
+        self.last = np.array(last or [], np.int64).reshape(-1, 4)
+        self.ids = np.arange(len(self.last)) if ids is None else np.array(ids, np.int64)
+        self.seen = np.zeros(len(self.last), np.int64) if seen is None else np.array(seen, np.int64)
+        self.made = len(self.last) if made is None else made
+
+    def frame(self, boxes: np.ndarray, number: int = 0) -> list[int]:
         """Track of each box of a frame. Tracks taken in this frame are out of reach for the rest of
         it, so overlaps with the boxes before the frame are all that is needed."""
         boxes = np.asarray(boxes, np.int64).reshape(-1, 4)
-        while len(self.last) < self.n + len(boxes):
-            self.last = np.concatenate([self.last, np.zeros_like(self.last)])
-        seen, known = self.last[: self.n].T[:, None, :], self.n
+        if self.expire is not None:
+            live = self.seen >= number - self.expire
+            self.last, self.ids, self.seen = self.last[live], self.ids[live], self.seen[live]
+        known = len(self.last)
+        before = self.last.T[:, None, :]
         x1, y1, x2, y2 = boxes.T[:, :, None]
-        inner = np.maximum(0, np.minimum(seen[2], x2) - np.maximum(seen[0], x1)) * np.maximum(0, np.minimum(seen[3], y2) - np.maximum(seen[1], y1))
-        union = (seen[2] - seen[0]) * (seen[3] - seen[1]) + (x2 - x1) * (y2 - y1) - inner
+        inner = np.maximum(0, np.minimum(before[2], x2) - np.maximum(before[0], x1)) * np.maximum(0, np.minimum(before[3], y2) - np.maximum(before[1], y1))
+        union = (before[2] - before[0]) * (before[3] - before[1]) + (x2 - x1) * (y2 - y1) - inner
         overlap = np.where(union > 0, inner / np.maximum(union, 1), 0.0)
-        out = []
+        out, fresh = [], []
         for i in range(len(boxes)):
             found = known - 1 - int(overlap[i, ::-1].argmax()) if known else -1
             if found < 0 or overlap[i, found] < self.least:
-                found = self.n
-                self.n += 1
+                out.append(self.made)
+                fresh.append(i)
+                self.made += 1
             else:
                 overlap[:, found] = -1.0
-            out.append(found)
-        self.last[out] = boxes
+                out.append(int(self.ids[found]))
+                self.last[found], self.seen[found] = boxes[i], number
+        if fresh:
+            self.last = np.concatenate([self.last, boxes[fresh]])
+            self.ids = np.append(self.ids, [out[i] for i in fresh])
+            self.seen = np.append(self.seen, np.full(len(fresh), number))
         return out
 
     def run(self, pdf: pd.DataFrame) -> list[str]:
@@ -71,7 +83,7 @@ class Tracker:
         cut = [0, *(np.flatnonzero(np.diff(frames)) + 1).tolist(), len(frames)]
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             if b > a:
-                ids += self.frame(boxes[a:b])
+                ids += self.frame(boxes[a:b], int(frames[a]))
         return [str(i) for i in ids]
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Fixed format of detection tokens: optional header, box, optional mask.
@@ -81,7 +80,8 @@ def parse_events(lines: DataFrame, key: str = "media_id", pos: str = "pos", line
 
     A data line that is not JSON is text as it is; a delta event gives its delta; a completed event
     gives the first text of its output if no text came before; any other event its delta, else its
-    text. A line without ``data:`` gives the texts of its output, or itself if it is no JSON.
+    text. A line without ``data:`` gives the texts of its output, or itself if it is no JSON. One
+    aggregate per key, so it runs over streams as well (update or complete output).
     """
     raw = F.col(line)
     is_data = raw.startswith("data:")
@@ -90,16 +90,17 @@ def parse_events(lines: DataFrame, key: str = "media_id", pos: str = "pos", line
     parsed = F.try_parse_json(data)
     # strings only: a number or an object is no text
     field = lambda n: F.when(F.schema_of_variant(F.try_variant_get(parsed, f"$.{n}", "variant")) == "STRING", F.nullif(F.try_variant_get(parsed, f"$.{n}", "string"), F.lit("")))
-    done = F.col("_done").isNull() | (F.col(pos) < F.col("_done"))
-    stop = F.min(F.when(is_data & (data == "[DONE]"), F.col(pos))).over(W.partitionBy(key))
     piece = (
         F.when(~is_json, data).when(~is_data, F.array_join(_output_texts(data, "$.output"), "")).when(kind == "response.output_text.delta", field("delta"))
         .when(kind == "response.completed", F.get(_output_texts(data, "$.response.output"), 0)).otherwise(F.coalesce(field("delta"), field("text")))
     )
-    live = lines.where(F.coalesce(raw != "", F.lit(False))).withColumn("_done", stop).where(done)
-    part = F.struct(F.col(pos).alias("p"), (is_data & is_json & F.coalesce(kind == "response.completed", F.lit(False))).alias("whole"), F.coalesce(piece, F.lit("")).alias("t"))
-    join = lambda parts: F.aggregate(parts, F.lit(""), lambda acc, x: F.when(x["whole"] & (acc != ""), acc).otherwise(F.concat(acc, x["t"])))
-    return live.groupBy(key).agg(join(F.sort_array(F.collect_list(part))).alias("text"))
+    ended = is_data & (data == "[DONE]")
+    whole = is_data & is_json & F.coalesce(kind == "response.completed", F.lit(False))
+    part = F.struct(F.col(pos).alias("p"), ended.alias("ended"), whole.alias("whole"), F.coalesce(piece, F.lit("")).alias("t"))
+    start = F.struct(F.lit("").alias("text"), F.lit(False).alias("ended"))
+    step = lambda acc, x: F.struct(F.when(acc["ended"] | x["ended"] | (x["whole"] & (acc["text"] != "")), acc["text"]).otherwise(F.concat(acc["text"], x["t"])).alias("text"), (acc["ended"] | x["ended"]).alias("ended"))
+    join = lambda parts: F.aggregate(parts, start, step, lambda acc: acc["text"])
+    return lines.where(F.coalesce(raw != "", F.lit(False))).groupBy(key).agg(join(F.sort_array(F.collect_list(part))).alias("text"))
 
 
 def verdict_text(payload: Column) -> Column:

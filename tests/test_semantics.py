@@ -442,3 +442,11 @@ def test_a_folder_that_workers_share_is_needed(monkeypatch):
 
     with pytest.raises(ValueError, match="share"):
         readers.shared_dir(Session(), "x")
+
+
+def test_tracks_expire():
+    t = boxes.Tracker(expire=3)
+    assert t.frame([(0, 0, 10, 10)], 0) == [0] and t.frame([(0, 0, 10, 10)], 3) == [0]
+    assert t.frame([(0, 0, 10, 10)], 7) == [1] and len(t.last) == 1
+    kept = boxes.Tracker()
+    assert kept.frame([(0, 0, 10, 10)], 0) == [0] and kept.frame([(0, 0, 10, 10)], 900) == [0]
