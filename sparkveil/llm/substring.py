@@ -47,8 +47,9 @@ WINDOW, GRAM = 13, 5
 HOT = 4096
 #: Windows of a passage at most, so that a search takes a bounded number of steps.
 MOST_WINDOWS = 32
-#: Bounds of a task's memory: bytes of passages held before they are sent, and of texts searched at once.
-SHIP_BYTES, SEARCH_BYTES, PART_BYTES = 16 << 20, 16 << 20, 2 << 20
+#: Bounds of a task's memory: bytes of passages held before they are sent, of texts searched at once,
+#: of passages hashed at once, and words compared at once.
+SHIP_BYTES, SEARCH_BYTES, PART_BYTES, PART_WORDS = 16 << 20, 16 << 20, 2 << 20, 1 << 16
 BELOW = (U(1) << np.arange(64, dtype=U)) - U(1)
 MOST, LEAST = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 FIELDS = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("removed", T.ArrayType(T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())])))]
@@ -268,11 +269,13 @@ def same_bytes(data: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.
     """Which words equal the words beside them, byte by byte."""
     out = size == other_size
     use = np.flatnonzero(out)
-    n = size[use]
-    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    differ = data[np.repeat(start[use], n) + step] != other[np.repeat(other_start[use], n) + step]
-    if differ.any():
-        out[use[np.repeat(np.arange(len(use)), n)[differ]]] = False
+    for i in range(0, len(use), PART_WORDS):
+        some = use[i : i + PART_WORDS]
+        n = size[some]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        differ = data[np.repeat(start[some], n) + step] != other[np.repeat(other_start[some], n) + step]
+        if differ.any():
+            out[some[np.repeat(np.arange(len(some)), n)[differ]]] = False
     return out
 
 
@@ -305,10 +308,12 @@ def alike(h: np.ndarray, word: np.ndarray, start: np.ndarray, n: np.ndarray) ->
     out = first[back]
     same = n == n[out]
     use = np.flatnonzero(same)
-    length = n[use] + WINDOW - 1
-    differ = word[spread(start[use], length)] != word[spread(start[out[use]], length)]
-    if differ.any():
-        same[use[np.repeat(np.arange(len(use)), length)[differ]]] = False
+    for i in range(0, len(use), PART_WORDS // WINDOW):
+        some = use[i : i + PART_WORDS // WINDOW]
+        length = n[some] + WINDOW - 1
+        differ = word[spread(start[some], length)] != word[spread(start[out[some]], length)]
+        if differ.any():
+            same[some[np.repeat(np.arange(len(some)), length)[differ]]] = False
     return np.where(same, out, np.arange(len(n)))
 
 
