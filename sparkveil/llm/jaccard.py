@@ -22,9 +22,9 @@ nearly empty; the second costs about a tenth of that. Nothing is lost in either.
 Equal sets collapse into classes first. Signatures that several classes share are buckets.
 A bucket is not expanded into pairs: a star from its smallest member connects it, and the
 components of all stars are clusters, outside of which no link can be. Clusters are cut into
-blocks of bounded size. Blocks are compared within themselves first, then pairs of blocks
-that share a bucket, and there only members that are not connected yet; a task compares its
-members as bit vectors over their common shingles and returns a spanning forest of the links.
+blocks of bounded size. Blocks are compared within themselves first, then each bucket's blocks
+with its first one, then those blocks of a bucket whose members are still not connected; a
+task compares its members as bit vectors over their common shingles and returns a spanning forest of the links.
 Every comparison is exact, on whole sets that workers map from the shared folder. Components
 come from alternating large and small stars over DataFrames; only counts and one row per
 shard reach the driver.
@@ -45,6 +45,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -438,15 +439,14 @@ def _components_of(spark: SparkSession, read: DataFrame, found: DataFrame, clust
     shipped = read.select("_text").mapInArrow(_needed(directory, bits, there, rule), "shard int, name binary, size binary, flat binary")
     sized = kept(shipped.groupBy("shard").applyInArrow(_keep_sets(directory), "id long, size long"), "sized")
     all_sets = Sets(directory, bits)
-    # blocks: a cluster within the bound is one; of a larger one, members of like size are dealt by
-    # hash to as many as their elements need, so no task holds a cluster
-    weight = F.sum(F.greatest("size", F.lit(LEAST_SET)))
-    sized_clusters = clusters.join(sized, "id").withColumn("band", F.floor(F.log("size") * 10).cast("long"))
-    in_band = kept(sized_clusters.groupBy("root", "band").agg(weight.alias("in_band")), "bands")
-    large = in_band.groupBy("root").agg(F.sum("in_band").alias("all")).where(F.col("all") > BLOCK_ELEMENTS)
-    ways = in_band.join(large.select("root"), "root").select("root", "band", F.ceil(F.col("in_band") / BLOCK_ELEMENTS).alias("ways"))
-    dealt = F.col("band") * F.lit(1 << 40) + F.pmod(F.xxhash64("id"), F.col("ways")) + 1
-    placed = sized_clusters.join(ways, ["root", "band"], "left").select("id", "root", F.coalesce(dealt, F.lit(0).cast("long")).alias("block"))
+    # blocks: a cluster's elements in the order of its sets' sizes, cut at the bound; sets of one size
+    # stand there in the order of a hash, so only the sums by size are run through
+    sized_clusters = clusters.join(sized, "id")
+    by_size = sized_clusters.groupBy("root", "size").agg(F.sum(F.greatest("size", F.lit(LEAST_SET))).alias("span"))
+    before = W.partitionBy("root").orderBy("size").rowsBetween(W.unboundedPreceding, -1)
+    by_size = kept(by_size.withColumn("ahead", F.coalesce(F.sum("span").over(before), F.lit(0).cast("long"))), "sizes")
+    share = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    placed = sized_clusters.join(by_size, ["root", "size"]).select("id", "root", F.floor((F.col("ahead") + share * F.col("span")) / F.lit(BLOCK_ELEMENTS)).cast("long").alias("block"))
     placed = kept(placed, "placed")
     one = placed.groupBy("root", "block").agg(F.sort_array(F.collect_list("id")).alias("left"))
     # few links come out of much work: their tables aren't gathered into few tasks
@@ -454,21 +454,41 @@ def _components_of(spark: SparkSession, read: DataFrame, found: DataFrame, clust
     many = placed.where("block > 0").select("root").distinct()
     if many.isEmpty():
         return components(inside, f"{directory}-roots")
-    # clusters of several blocks: pairs of blocks that share a bucket, connected members as one
+    # clusters of several blocks: each bucket's blocks meet its first one, and stars their pivots;
+    # then blocks meet that still hold members of one bucket that are not connected
     half, _ = components(inside, f"{directory}-half")
-    within = placed.join(many, "root").join(half.select("id", F.col("root").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    within = kept(within, "within")
+    within = kept(_labelled(placed.join(many, "root"), half), "within")
     at = within.select("id", "root", "block")
-    bucket = found.where("sign is not null").select("sign", F.col("a").alias("id")).join(at, "id").select("sign", "root", "block").distinct()
-    x, y = bucket.alias("x"), bucket.alias("y")
-    met = x.join(y, (F.col("x.sign") == F.col("y.sign")) & (F.col("x.root") == F.col("y.root")) & (F.col("x.block") < F.col("y.block"))).select(F.col("x.root").alias("root"), F.col("x.block").alias("p"), F.col("y.block").alias("q"))
+    buckets = found.where("sign is not null").select("sign", F.col("a").alias("id"))
+    blocks_of = buckets.join(at, "id").select("sign", "root", "block").distinct()
+    first = blocks_of.groupBy("sign", "root").agg(F.min("block").alias("p"))
+    met = blocks_of.join(first, ["sign", "root"]).where("block > p").select("root", "p", F.col("block").alias("q"))
     star = found.where("sign is null").join(at.select(F.col("id").alias("a"), "root", F.col("block").alias("p")), "a").join(at.select(F.col("id").alias("b"), F.col("block").alias("q")), "b").where("p <> q")
-    met = met.unionByName(star.select("root", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))).distinct()
+    met = store.written(met.unionByName(star.select("root", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))).distinct(), f"{directory}-met")
+    links = store.written(inside.unionByName(_between(met, within, all_sets, rule)), f"{directory}-links")
+    joined, n_joined = components(links, f"{directory}-joined")
+    within = kept(_labelled(at, joined), "rejoined")
+    apart = buckets.join(within, "id").select("sign", "root", "block", "label").distinct()
+    apart = kept(apart.join(apart.groupBy("sign", "root").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sign", "root"), ["sign", "root"]), "apart")
+    x, y = apart.alias("x"), apart.alias("y")
+    rest = x.join(y, (F.col("x.sign") == F.col("y.sign")) & (F.col("x.root") == F.col("y.root")) & (F.col("x.block") < F.col("y.block")) & (F.col("x.label") != F.col("y.label")))
+    rest = store.written(rest.select(F.col("x.root").alias("root"), F.col("x.block").alias("p"), F.col("y.block").alias("q")).distinct().join(met, ["root", "p", "q"], "left_anti"), f"{directory}-rest")
+    if rest.isEmpty():
+        return joined, n_joined
+    return components(store.written(links.unionByName(_between(rest, within, all_sets, rule)), f"{directory}-all"), f"{directory}-roots")
+
+
+def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members with the component that they are in so far; those in none stand for themselves."""
+    return members.join(roots.select("id", F.col("root").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
+def _between(met: DataFrame, within: DataFrame, all_sets: Sets, rule: Rule) -> DataFrame:
+    """Links between the blocks of each row of ``met``."""
     members = within.groupBy("root", "block").agg(F.sort_array(F.collect_list(F.struct("id", "label"))).alias("m"))
     side = lambda block, name: members.select("root", F.col("block").alias(block), F.transform("m", lambda s: s["id"]).alias(name), F.transform("m", lambda s: s["label"]).alias(f"{name}_root"))
     rows = met.join(side("p", "left"), ["root", "p"]).join(side("q", "right"), ["root", "q"]).select("left", "left_root", "right", "right_root")
-    across = rows.repartition(spread(spark)).mapInArrow(_links(all_sets, True, rule), "a long, b long")
-    return components(store.written(inside.unionByName(across), f"{directory}-links"), f"{directory}-roots")
+    return rows.repartition(spread(met.sparkSession)).mapInArrow(_links(all_sets, True, rule), "a long, b long")
 
 
 def spread(spark: SparkSession) -> int:
