@@ -59,7 +59,7 @@ SQL["op1_quality_rules"] = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 w AS (SELECT doc_id, length(word) AS n, i FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d)),
 size AS (SELECT doc_id, sum(n)::BIGINT AS chars FROM w GROUP BY 1),
-g AS (SELECT doc_id, k, i, array_to_string(ws[i:i + k - 1], ' ') AS gram FROM (SELECT doc_id, ws, k, unnest(range(1, greatest(1, len(ws) - k + 2))) AS i FROM d, range(2, 11) r(k))),
+g AS (SELECT doc_id, k, i, hash(array_to_string(ws[i:i + k - 1], ' ')) AS gram FROM (SELECT doc_id, ws, k, unnest(range(1, greatest(1, len(ws) - k + 2))) AS i FROM d, range(2, 11) r(k))),
 o AS (SELECT doc_id, k, i, gram FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k, gram) AS m FROM g) WHERE m > 1),
 top AS (SELECT doc_id, k, max(s) AS s, 0::BIGINT AS words FROM (SELECT doc_id, k, gram, sum(n) AS s FROM (SELECT DISTINCT doc_id, k, gram, unnest(range(i, i + k)) AS i FROM o WHERE k < 5) JOIN w USING (doc_id, i) GROUP BY 1, 2, 3) GROUP BY 1, 2),
 dup AS (SELECT doc_id, k, sum(n) AS s, count(*) AS words FROM (SELECT DISTINCT doc_id, k, unnest(range(i, i + k)) AS i FROM o WHERE k >= 5) JOIN w USING (doc_id, i) GROUP BY 1, 2),
