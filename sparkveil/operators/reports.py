@@ -48,6 +48,23 @@ def audit_lines(summaries: DataFrame, elements: DataFrame, total_frames: int) ->
     return heads.unionByName(_numbered(elements, 1, each, F.desc("severity_weight"), F.desc("frames_detected"), "track"))
 
 
+def report_card(scores: DataFrame, floors: DataFrame | None = None) -> DataFrame:
+    """Lines of an evaluation: for each clip its scores, or why it has none; with floors (clip,
+    floor_recall, floor_iou) what falls below them. scores: clip, recall, gt_boxes, mean_iou,
+    coverage, longest_gap; a clip that was not scored has nulls and a status."""
+    shown = F.array(
+        F.format_string("Recall at IoU 0.5: %.2f over %d boxes", "recall", "gt_boxes"), F.format_string("Mean best IoU: %.2f", "mean_iou"), F.format_string("Frames covered in the span: %.2f, longest gap %d", "coverage", "longest_gap")
+    )
+    body = F.when(F.col("recall").isNull(), F.array(F.concat(F.lit("Not scored: "), F.coalesce("status", F.lit("no result"))))).otherwise(shown)
+    lines = scores.select("clip", F.lit(0).alias("section"), F.posexplode(body).alias("pos", "line"))
+    if floors is None:
+        return lines
+    known = floors.join(scores.select("clip", "recall", "mean_iou"), "clip", "left")
+    low = lambda c, name: F.when(F.col(c) < F.col(f"floor_{name}"), F.format_string(f"{c.replace('_', ' ')} %.2f is below its floor %.2f", c, f"floor_{name}"))
+    failed = F.when(F.col("recall").isNull(), F.array(F.lit("not scored"))).otherwise(F.array_compact(F.array(low("recall", "recall"), low("mean_iou", "iou"))))
+    return lines.unionByName(known.select("clip", F.lit(1).alias("section"), F.posexplode(failed).alias("pos", "line")))
+
+
 def location_lines(verdict: Column) -> Column:
     """Lines for a parsed location verdict: place and chance, then its first cues, cut to length."""
     cues = F.array_join(F.slice(verdict["cues"], 1, CUES_SHOWN), "; ")

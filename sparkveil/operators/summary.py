@@ -16,6 +16,8 @@ AUDIO_NOTES = {"keep": "Audio kept: voices still identify people.", "mute": "Aud
 METADATA_ORDER = ["GPS location", "creation time", "device info", "title and description", "embedded text"]
 CREATION_TAGS = ["creation_time", "date", "recording_time"]
 DEVICE_TAGS = ["make", "model", "manufacturer", "com.apple.quicktime.make", "com.apple.quicktime.model"]
+#: Numbers of the tags of photos that say where, when and with what they were taken.
+PHOTO_TAGS = {0x8825: 0, 306: 1, 36867: 1, 36868: 1, 271: 2, 272: 2}
 TEXT_TAGS = ["title", "description", "comment", "synopsis", "artist", "album", "composer"]
 
 
@@ -121,9 +123,26 @@ def classify_tag(key: Column) -> Column:
     return F.when(key.startswith("location"), METADATA_ORDER[0]).when(key.isin(*CREATION_TAGS), METADATA_ORDER[1]).when(key.isin(*DEVICE_TAGS), METADATA_ORDER[2]).when(key.isin(*TEXT_TAGS), METADATA_ORDER[3])
 
 
+def classify_photo_tag(number: Column, embedded: Column) -> Column:
+    """Label of a photo's tag by its number; a text chunk of the file is embedded text."""
+    out = F.when(embedded, METADATA_ORDER[4])
+    for tag, place in PHOTO_TAGS.items():
+        out = out.when(number == tag, METADATA_ORDER[place])
+    return out
+
+
+def photo_findings(tags: DataFrame) -> DataFrame:
+    """(media_id, tag number, embedded) -> one row per label found, as ``metadata_findings``."""
+    return _ordered(tags.select("media_id", classify_photo_tag(F.col("tag"), F.coalesce("embedded", F.lit(False))).alias("label")))
+
+
 def metadata_findings(tags: DataFrame) -> DataFrame:
     """(media_id, tags map) -> one row per label found, with severity and fixed order."""
-    labels = tags.select("media_id", F.explode(F.map_keys("tags")).alias("key")).select("media_id", classify_tag(F.col("key")).alias("label")).where("label is not null").distinct()
+    return _ordered(tags.select("media_id", F.explode(F.map_keys("tags")).alias("key")).select("media_id", classify_tag(F.col("key")).alias("label")))
+
+
+def _ordered(found: DataFrame) -> DataFrame:
+    labels = found.where("label is not null").distinct()
     order = F.array_position(F.array(*[F.lit(x) for x in METADATA_ORDER]), F.col("label")).cast("int")
     return labels.select("media_id", "label", severity(F.col("label")).alias("severity"), order.alias("pos"))
 

@@ -179,6 +179,14 @@ def run_summary(spark, sf):
     return summary.summaries(event_tracks(spark, sf), TOTAL, event_kind()).drop("elements", "mode", "audio_note", "mask_source")
 
 
+@query(f"WITH {ELEMENTS}, fr AS (SELECT media_id, count(DISTINCT frame) AS frames_with_sensitive_elements FROM et GROUP BY 1), x AS (SELECT {SUMMARY_COLUMNS} FROM el GROUP BY media_id) SELECT elements_found, critical, high, medium, low, frames_with_sensitive_elements, exposure_score FROM x JOIN fr USING (media_id)")
+def summary_round_trip(spark, sf):
+    """Summaries written as documents and read again."""
+    path = shared_dir(spark, "summaries")
+    readers.write_summaries(readers.summary_documents(summary.summaries(event_tracks(spark, sf), TOTAL, event_kind())), path)
+    return readers.read_summaries(spark, f"{path}/*.json").select("elements_found", "severity_counts.*", "frames_with_sensitive_elements", "exposure_score")
+
+
 @query(f"WITH {ELEMENTS} SELECT kind, round(sum(severity_weight * greatest(0.2::DOUBLE, share_of_clip)), 1) AS exposure FROM el GROUP BY 1")
 def exposure_score(spark, sf):
     return summary.elements(event_tracks(spark, sf), TOTAL, event_kind()).groupBy("kind").agg(summary.exposure().alias("exposure"))
@@ -365,6 +373,22 @@ def eval_recall(spark, sf):
     return boxes.recall(boxes.match_boxes(*line_boxes(spark, sf)))
 
 
+CARD = "CAST(p_partkey * 37 % 101 AS DOUBLE) / 100 AS recall, CAST(p_size AS BIGINT) AS gt_boxes, CAST(p_partkey * 53 % 101 AS DOUBLE) / 100 AS mean_iou, CAST(p_partkey % 101 AS DOUBLE) / 100 AS coverage, CAST(p_size % 7 AS BIGINT) AS longest_gap"
+
+
+@query(f"""WITH s AS (SELECT CAST(p_partkey AS VARCHAR) AS clip, p_partkey % 4 = 0 AS none, {CARD} FROM part)
+SELECT clip, 0 AS section, 0 AS pos, CASE WHEN none THEN 'Not scored: no frames' ELSE printf('Recall at IoU 0.5: %.2f over %d boxes', recall, gt_boxes) END AS line FROM s
+UNION ALL SELECT clip, 0, 1, printf('Mean best IoU: %.2f', mean_iou) FROM s WHERE NOT none UNION ALL SELECT clip, 0, 2, printf('Frames covered in the span: %.2f, longest gap %d', coverage, longest_gap) FROM s WHERE NOT none
+UNION ALL SELECT clip, 1, 0, CASE WHEN none THEN 'not scored' ELSE printf('recall %.2f is below its floor 0.50', recall) END FROM s WHERE none OR recall < 0.5::DOUBLE
+UNION ALL SELECT clip, 1, CASE WHEN recall < 0.5::DOUBLE THEN 1 ELSE 0 END, printf('mean iou %.2f is below its floor 0.25', mean_iou) FROM s WHERE NOT none AND mean_iou < 0.25::DOUBLE""")
+def eval_report(spark, sf):
+    """Report card of a clip for each part; a quarter were never scored."""
+    p = table(spark, sf, "part").selectExpr("cast(p_partkey as string) AS clip", "p_partkey", *CARD.split(", "))
+    none = F.col("p_partkey") % 4 == 0
+    scores = p.select("clip", *[F.when(~none, F.col(c)).alias(c) for c in ("recall", "gt_boxes", "mean_iou", "coverage", "longest_gap")], F.when(none, "no frames").alias("status"))
+    return reports.report_card(scores, p.select("clip", F.lit(0.5).alias("floor_recall"), F.lit(0.25).alias("floor_iou")))
+
+
 SCORED = "CAST(p_partkey * 37 % 101 AS DOUBLE) / 100 AS recall, CAST(p_partkey * 53 % 101 AS DOUBLE) / 100 AS coverage, CAST(p_partkey % 250 AS DOUBLE) / 100 AS leakage"
 
 
@@ -527,8 +551,8 @@ EVENT_LINE = """case l_linenumber when 1 then concat('data: {"type": "response.o
  when 3 then concat('data: raw', l_partkey) when 4 then concat('data: {"type": "other", "text": "t', l_partkey, '"}') when 5 then concat('{"output": [{"content": [{"text": "o', l_partkey, '"}, {"text": "p"}]}]}') when 6 then concat('plain', l_partkey) else 'data: [DONE]' end"""
 
 
-@query(f"""WITH {ITEMS}, d AS (SELECT media_id, min(seq) FILTER (n > 6) AS done FROM o GROUP BY 1), v AS (SELECT o.*, row_number() OVER (PARTITION BY media_id ORDER BY seq) AS r FROM o JOIN d USING (media_id) WHERE done IS NULL OR seq < done)
-SELECT media_id, coalesce(string_agg(CASE n WHEN 1 THEN 'd' || p WHEN 2 THEN CASE WHEN r = 1 THEN 'c' || p ELSE '' END WHEN 3 THEN 'raw' || p WHEN 4 THEN 't' || p WHEN 5 THEN 'o' || p || 'p' ELSE 'plain' || p END, '' ORDER BY seq), '') AS text FROM v GROUP BY 1""")
+@query(f"""WITH {ITEMS}, d AS (SELECT media_id, min(seq) FILTER (n > 6) AS done FROM o GROUP BY 1), v AS (SELECT o.*, row_number() OVER (PARTITION BY media_id ORDER BY seq) AS r, done IS NULL OR seq < done AS live FROM o JOIN d USING (media_id))
+SELECT media_id, coalesce(string_agg(CASE WHEN NOT live THEN '' ELSE CASE n WHEN 1 THEN 'd' || p WHEN 2 THEN CASE WHEN r = 1 THEN 'c' || p ELSE '' END WHEN 3 THEN 'raw' || p WHEN 4 THEN 't' || p WHEN 5 THEN 'o' || p || 'p' ELSE 'plain' || p END END, '' ORDER BY seq), '') AS text FROM v GROUP BY 1""")
 def parse_sse(spark, sf):
     """An order's items as the lines of an event stream; a seventh item ends it."""
     lines = by_order(spark, sf, EVENT_LINE).select("media_id", F.posexplode("lines").alias("pos", "line"))
@@ -577,6 +601,16 @@ def metadata_classify(spark, sf):
     return summary.metadata_findings(part_tags(spark, sf))
 
 
+@query("""WITH t AS (SELECT CAST(p_partkey AS VARCHAR) AS media_id, [34853, 306, 271, 272, 36867, 999][p_size % 6 + 1] AS a, p_size % 5 = 0 AS b FROM part),
+l AS (SELECT media_id, CASE WHEN a = 34853 THEN 1 WHEN a IN (306, 36867) THEN 2 WHEN a IN (271, 272) THEN 3 END AS pos FROM t UNION SELECT media_id, 5 FROM t WHERE b)
+SELECT media_id, ['GPS location', 'creation time', 'device info', 'title and description', 'embedded text'][pos] AS label, CASE WHEN pos = 1 THEN 'high' ELSE 'medium' END AS severity, CAST(pos AS INTEGER) AS pos FROM l WHERE pos IS NOT NULL""")
+def photo_tags(spark, sf):
+    """Photos by the numbers of their tags, some with a text chunk."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("media_id"), "p_size")
+    numbered = p.select("media_id", F.expr("element_at(array(34853, 306, 271, 272, 36867, 999), p_size % 6 + 1)").alias("tag"), F.lit(False).alias("embedded"))
+    return summary.photo_findings(numbered.unionByName(p.where("p_size % 5 = 0").select("media_id", F.lit(None).cast("int").alias("tag"), F.lit(True).alias("embedded"))))
+
+
 @query(f"WITH {TAGGED} SELECT media_id, count(*) AS tags, min(lower({TAG_NAMES}[i + 1])) AS first FROM has GROUP BY 1")
 def container_tag_union(spark, sf):
     """Tags of the container and of its streams as one map, names in lower case."""
@@ -740,6 +774,29 @@ def provider_boxes(spark, sf):
     return adapters.detect(media, ["face", "screen"], BySize()).unionByName(adapters.detect(media, ["face"], adapters.Nothing()))
 
 
+@query("SELECT CAST(p_partkey AS VARCHAR) AS media_id, 'face' AS phrase, CASE WHEN p_size % 4 = 3 THEN NULL WHEN p_size % 4 = 2 THEN 'cached ' || p_size ELSE 'seen ' || p_size || ' face' END AS text, p_size % 4 = 3 AS failed FROM part")
+def remote_answers(spark, sf):
+    """Replies of a client, line by line; some come from the cache, some requests fail."""
+
+    class Client:
+        def send(self, phrase, content):
+            size = int(bytes(content).decode())
+            if size % 4 != 1 and size % 4 != 0:
+                raise OSError("no answer")
+            yield 'data: {"type": "response.output_text.delta", "delta": "seen %d "}' % size
+            yield 'data: {"type": "response.output_text.delta", "delta": "%s"}' % phrase
+            yield "data: [DONE]"
+
+    p = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("media_id"), F.lit("face").alias("phrase"), F.encode(F.col("p_size").cast("string"), "UTF-8").alias("content"), "p_size")
+    cache = p.where("p_size % 4 = 2").select(readers.cache_key(F.col("content"), F.col("phrase"), "m").alias("cache_key"), F.lit(0).alias("pos"), F.concat(F.lit("data: cached "), F.col("p_size").cast("string")).alias("line")).distinct()
+    some = p.select("content", "phrase").distinct().withColumn("media_id", F.lit("x"))
+    replies = adapters.answers(some, Client(), cache, "m")
+    texts = parsers.parse_events(replies, key="cache_key")
+    failed = replies.where("error is not null").select("cache_key").distinct().withColumn("failed", F.lit(True))
+    keyed = p.withColumn("cache_key", readers.cache_key(F.col("content"), F.col("phrase"), "m"))
+    return keyed.join(texts, "cache_key", "left").join(failed, "cache_key", "left").select("media_id", "phrase", "text", F.coalesce("failed", F.lit(False)).alias("failed"))
+
+
 @query(f"WITH {TAGGED} SELECT DISTINCT media_id, {LABELS}[pos] AS label FROM has WHERE pos < 3")
 def metadata_survivors(spark, sf):
     """Outputs that lost all tags but places and times."""

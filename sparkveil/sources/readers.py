@@ -60,6 +60,12 @@ def probe(df: DataFrame, json_col: str = "probe_json") -> DataFrame:
     return df.withColumns({"width": video["width"], "height": video["height"], "fps": rate, "frame_count": frames, "duration": duration, "has_audio": F.exists(d["streams"], lambda s: s["codec_type"] == "audio")})
 
 
+def probe_sound(df: DataFrame, json_col: str = "probe_json") -> DataFrame:
+    """Duration and whether there is sound; what can't be read lasts 0 seconds and has none."""
+    known = probe(df, json_col)
+    return known.withColumns({"duration": F.coalesce("duration", F.lit(0.0)), "has_audio": F.coalesce("has_audio", F.lit(False))}).select(*df.columns, "duration", "has_audio")
+
+
 def transcript_words(documents: DataFrame, key: str = "media_id", body: str = "json") -> DataFrame:
     """Words of a transcript JSON: top-level words, else those of all segments; malformed ones go."""
     d = F.from_json(body, TRANSCRIPT)
@@ -79,6 +85,12 @@ def write_summaries(summaries: DataFrame, path: str) -> None:
     summaries.write.mode("overwrite").json(path)
 
 
+def summary_documents(summaries: DataFrame) -> DataFrame:
+    """Summaries in the layout in which they are exchanged."""
+    counts = F.struct("critical", "high", "medium", "low").alias("severity_counts")
+    return summaries.select("media_id", "elements_found", counts, F.col("frames_with_elements").alias("frames_with_sensitive_elements"), "exposure_score")
+
+
 def unique_paths(wanted: DataFrame, existing: DataFrame, path: str = "path") -> DataFrame:
     """Paths that overwrite nothing: a wanted path, or with -1, -2 and so on before its suffix the
     first that does not exist. The wanted path itself if 999 are taken."""
@@ -88,7 +100,7 @@ def unique_paths(wanted: DataFrame, existing: DataFrame, path: str = "path") ->
     parts = named.select("_there", F.regexp_replace("_there", r"-[0-9]{1,3}(\.[^./]*)?$", "$1").alias("_base"))
     near = parts.unionByName(named.select("_there", F.col("_there").alias("_base"))).groupBy("_base").agg(F.collect_set("_there").alias("_taken"))
     out = wanted.join(near, F.col(path) == F.col("_base"), "left").withColumn("_taken", F.coalesce("_taken", F.array().cast("array<string>")))
-    tries = F.concat(F.array(F.col(path)), F.transform(F.sequence(F.lit(1), F.lit(999)), lambda i: F.concat(stem, F.lit("-"), i.cast("string"), suffix)))
+    tries = F.concat(F.array(F.col(path)), F.transform(F.sequence(F.lit(1), F.least(F.lit(999), F.size("_taken") + 1)), lambda i: F.concat(stem, F.lit("-"), i.cast("string"), suffix)))
     return out.withColumn("unique_path", F.coalesce(F.get(F.array_except(tries, "_taken"), 0), F.col(path))).drop("_base", "_taken")
 
 

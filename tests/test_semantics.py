@@ -450,3 +450,30 @@ def test_tracks_expire():
     assert t.frame([(0, 0, 10, 10)], 7) == [1] and len(t.last) == 1
     kept = boxes.Tracker()
     assert kept.frame([(0, 0, 10, 10)], 0) == [0] and kept.frame([(0, 0, 10, 10)], 900) == [0]
+
+
+def test_engines_as_table_functions(spark):
+    from sparkveil.sources import adapters
+
+    class Engine:
+        def frames(self, path):
+            if path == "bad":
+                raise OSError("unreadable")
+            return [(1, 2, b"abcdef")] * 3
+
+        def words(self, path):
+            return [("hi", 0.0, 0.5)]
+
+    media = spark.createDataFrame([("a", "x.mp4"), ("b", "bad")], "media_id string, path string")
+    got = adapters.frames(media, Engine()).collect()
+    assert [(r.media_id, r.frame, r.width) for r in got if r.error is None] == [("a", i, 2) for i in range(3)] and [r.media_id for r in got if r.error] == ["b"]
+    out = api.audit(errors=adapters.frames(media, Engine()).where("error is not null").select("media_id", "error"), media=media, fail_on="low")
+    assert out["gate"].first().exit_code == 2 and out["rollup"].first().files_processed == 1
+    assert adapters.transcripts(media, Engine()).count() == 2
+    body = spark.range(1).select(adapters.request_body(F.lit("face"), F.encode(F.lit("xyz"), "UTF-8"), "m").alias("b")).first().b
+    import json
+
+    sent = json.loads(body)
+    assert sent["model"] == "m" and sent["input"][0]["content"][1] == {"type": "input_video", "video_url": "data:video/mp4;base64,eHl6"} and sent["input"][0]["content"][0] == {"type": "input_text", "text": "face"}
+    sound = readers.probe_sound(spark.createDataFrame([("x", "broken"), ("y", '{"streams": [{"codec_type": "audio"}], "format": {"duration": "2.5"}}')], "media_id string, probe_json string"))
+    assert {r.media_id: (r.duration, r.has_audio) for r in sound.collect()} == {"x": (0.0, False), "y": (2.5, True)}
