@@ -45,8 +45,9 @@ from .text import Block, U, Words, blocks, covered, inside, mix, per_block, repe
 WINDOW, GRAM = 13, 5
 #: Different passages of a minimizer, summed over blocks, from which on it is hot.
 HOT = 4096
-#: Windows of a passage at most, so that a search takes a bounded number of steps.
-MOST_WINDOWS = 32
+#: Windows of a passage at most, so that a search takes a bounded number of steps: as many as hold one
+#: place of a minimizer.
+MOST_WINDOWS = WINDOW - GRAM + 1
 #: Bounds of a task's memory: bytes of passages held before they are sent, of texts searched at once,
 #: of passages hashed at once, and words compared at once.
 SHIP_BYTES, SEARCH_BYTES, PART_BYTES, PART_WORDS = 16 << 20, 16 << 20, 2 << 20, 1 << 16
@@ -374,10 +375,11 @@ class FMIndex:
     def step(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         """Row of the first suffix that begins with the symbol, behind the first i rows' such symbols.
         i may hold several rows of numbers, one number for each symbol."""
+        up = (symbol >> np.arange(self.levels - 1, -1, -1)[:, None] & 1).astype(bool)
         for k in range(self.levels):
             at = i >> 6
             one = np.bitwise_count(self.wave[k][at] & BELOW[i & 63]) + self.ones[k][at]
-            i = np.where((symbol >> (self.levels - 1 - k) & 1).astype(bool), one + self.zeros[k], i - one)
+            i = np.where(up[k], one + self.zeros[k], i - one)
         return i + self.offset[symbol]
 
     def symbols(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, h: np.ndarray) -> np.ndarray:
