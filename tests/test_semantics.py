@@ -317,6 +317,24 @@ def test_speech_queries_take_all_events(spark):
     assert len(got) == len(events) and sorted(map(tuple, got)) == sorted((e["event_type"], cut(e["value"]), max(cut(e["value"]), cut(e["value"] + 0.5))) for e in events)
 
 
+def test_coverage_report_on_odd_events(spark, tmp_path):
+    """Hours before 2024 are rounded down, tracks without type or user have no key: as the SQL says."""
+    import duckdb
+
+    from sparkveil.plans import catalogue
+
+    con = duckdb.connect()
+    con.sql("SET TimeZone = 'UTC'")
+    rows = "(0, TIMESTAMP '2023-12-31 23:20:00', 1, 'view', 1.0), (1, TIMESTAMP '2024-01-01 00:20:00', 1, 'view', 1.0), (2, TIMESTAMP '2023-12-30 01:00:00', 1, 'view', 1.0), (3, TIMESTAMP '2024-01-02', NULL, 'view', 1.0), (4, TIMESTAMP '2024-01-03', 2, NULL, 1.0), (5, NULL, 1, 'view', 1.0)"
+    for kind in ("TIMESTAMP", "TIMESTAMPTZ"):
+        con.sql(f"CREATE OR REPLACE TABLE events AS SELECT event_id, CAST(ts AS {kind}) AS ts, user_id, event_type, value FROM (VALUES {rows}) t(event_id, ts, user_id, event_type, value)")
+        (tmp_path / kind).mkdir()
+        con.sql(f"COPY events TO '{tmp_path}/{kind}/events.parquet'")
+        got = catalogue.QUERIES["coverage_report_rows"](spark, str(tmp_path / kind))
+        want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({catalogue.SQL['coverage_report_rows']})").fetchall()
+        assert len(want) == 2 and set(map(tuple, got.collect())) == set(want)
+
+
 def test_per_frame_masks_take_all_tracks(spark):
     """Against plain Python over the tracks of every event type."""
     from sparkveil.plans import catalogue, inputs
