@@ -19,15 +19,15 @@ signed by an order-free hash:
 The first scheme costs a signature per element but keeps segments of small sets from being
 nearly empty; the second costs about a tenth of that. Nothing is lost in either.
 
-Equal sets collapse into classes first. Signatures that several classes share are buckets.
-A bucket is not expanded into pairs: a star from its smallest member connects it, and the
-components of all stars are clusters, outside of which no link can be. Clusters are cut into
-blocks of bounded size. Blocks are compared within themselves first, then pairs of blocks
-that share a bucket, and there only members that are not connected yet; a task compares its
-members as bit vectors over their common shingles and returns a spanning forest of the links.
-Every comparison is exact, on whole sets that workers map from the shared folder. Components
-come from alternating large and small stars over DataFrames; only counts and one row per
-shard reach the driver.
+Equal sets collapse into classes first. Signatures that several classes share are buckets, one
+row each with its members, dealt by the least of them. A bucket's members are compared with
+each other unless links connect them already: sizes first, then sketches of parities (BITS
+bits, each the parity of the shingles hashed to it; two sets differ in as many shingles at
+least as their sketches in bits, so no link is lost), then whole sets, which alone decide; of large
+ones the lowest sixth may rule a link out.
+Sketches and sets are mapped by workers from the shared folder; a task returns a spanning forest
+of the links it finds. Components come from alternating large and small stars over
+DataFrames; only counts and one row per shard reach the driver.
 
 Defined results for odd input: null and empty texts have no shingles, 0 of them, and are
 their own component; texts shorter than a shingle are one shingle; repeated rows with one
@@ -67,8 +67,8 @@ class Rule(NamedTuple):
 OP5 = Rule(3, 100, 90, 4, 16)
 NEAR = Rule(5, 100, 80, 12, 6)
 TINY = 2
-#: Elements of a block's sets, each set counted as LEAST_SET at least.
-BLOCK_ELEMENTS, LEAST_SET = 400_000, 800
+#: Members of buckets that a task holds sketches of at once (one bucket at least), and bits of a sketch.
+BLOCK_ELEMENTS, BITS = 400_000, 2048
 SALT = U(0x51ED270B9F1C2A6D)
 
 
@@ -200,7 +200,7 @@ def _ship(held: list, bits: int):
 
 
 def _buckets(table: pa.Table) -> pa.Table:
-    """Stars (sign null) of the buckets of a shard, and members of buckets of three or more."""
+    """Members of each bucket of a shard, ascending, and the least; buckets of equal members are one."""
     sign = np.concatenate([store.unpack(x.as_py()) for x in table.column("keys")])
     name = np.concatenate([store.from_planes(x.as_py(), U) for x in table.column("body")])
     order = np.argsort(sign)
@@ -217,11 +217,26 @@ def _buckets(table: pa.Table) -> pa.Table:
     sign, name = sign[new], name[new]
     head = np.flatnonzero(np.concatenate([[True], sign[1:] != sign[:-1]])) if len(sign) else np.zeros(0, np.int64)
     n = np.diff(np.append(head, len(sign)))
-    pivot = np.repeat(name[head], n)
-    star = np.unique(np.stack([pivot, name], 1)[pivot != name], axis=0)
-    large = np.repeat(n > 2, n)
-    nothing = pa.nulls(len(star), pa.int64())
-    return pa.table({"sign": pa.concat_arrays([nothing, pa.array(sign[large].view(np.int64))]), "a": pa.array(np.concatenate([star[:, 0], name[large]])), "b": pa.concat_arrays([pa.array(star[:, 1]), pa.nulls(int(large.sum()), pa.int64())])})
+    if len(head):
+        whole = mix(np.add.reduceat(mix(name.view(U) ^ SALT), head) + n.astype(U))
+        first = np.unique(np.stack([whole, name[head].view(U), n.astype(U)], 1), axis=0, return_index=True)[1]
+        first = np.sort(first[n[first] > 1])
+        head, n = head[first], n[first]
+    ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+    return pa.table({"least": pa.array(name[head]), "members": pa.ListArray.from_arrays(pa.array(ends), pa.array(name[_pick(head, n)]))})
+
+
+def _named(bits: int):
+    """Distinct members of buckets, by shard of their name."""
+
+    def run(batches):
+        for batch in batches:
+            name = np.unique(batch.column("members").flatten().to_numpy().view(U))
+            cut = np.searchsorted(store.shard_of(name, bits), np.arange((1 << bits) + 1))
+            rows = [(s, store.pack(name[a:b])) for s, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["shard", "ids"])
+
+    return run
 
 
 def components(edges: DataFrame, path: str) -> tuple[DataFrame, int]:
@@ -259,7 +274,8 @@ def components(edges: DataFrame, path: str) -> tuple[DataFrame, int]:
 def _members(directory: str):
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        save = np.unique(table.column("id").to_numpy().view(U))
+        ids = [store.unpack(x.as_py()) for x in table.column("ids")] if "ids" in table.schema.names else [table.column("id").to_numpy().view(U)]
+        save = np.unique(np.concatenate(ids))
         store.save(directory, f"member-{shard}", save)
         return pa.table({"shard": pa.array([shard], pa.int32())})
 
@@ -267,7 +283,7 @@ def _members(directory: str):
 
 
 def _needed(directory: str, bits: int, there: frozenset[int], rule: Rule):
-    """Whole sets of the members of clusters, by shard of their name, once per task."""
+    """Whole sets of the members of buckets, by shard of their name, once per task."""
 
     def run(batches):
         held, seen, size_held = [], np.zeros(0, U), 0
@@ -319,79 +335,146 @@ def _keep_sets(directory: str):
         size, begin = size[first], begin[first]
         store.save(directory, f"set-{shard}", some)
         store.save(directory, f"end-{shard}", np.cumsum(size))
-        store.save(directory, f"flat-{shard}", flat[_pick(begin, size)])
-        return pa.table({"id": pa.array(some.view(np.int64)), "size": pa.array(size)})
+        flat = flat[_pick(begin, size)]
+        store.save(directory, f"flat-{shard}", flat)
+        store.save(directory, f"sketch-{shard}", sketches(flat, size))
+        return pa.table({"shard": pa.array([shard], pa.int32())})
 
     return run
 
 
+def sketches(flat: np.ndarray, size: np.ndarray, step: int = 1024) -> np.ndarray:
+    """BITS bits a set: the parity of its elements that are hashed to each."""
+    out = np.zeros((len(size), BITS // 64), U)
+    end = np.concatenate([[0], np.cumsum(size)])
+    for a in range(0, len(size), step):
+        b = min(a + step, len(size))
+        place = (mix(flat[end[a] : end[b]] ^ SALT) % U(BITS)).astype(np.int64)
+        odd = np.bincount(np.repeat(np.arange(b - a), size[a:b]) * BITS + place, minlength=(b - a) * BITS).reshape(b - a, BITS) & 1
+        out[a:b] = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(U)
+    return out
+
+
 class Sets:
-    """Whole sets by name, mapped from the shared folder."""
+    """Sizes, sketches and whole sets of some names, ascending, mapped from the shared folder."""
 
-    def __init__(self, directory: str, bits: int):
-        self.directory, self.bits = directory, bits
+    def __init__(self, directory: str, bits: int, name: np.ndarray):
+        self.directory, key = directory, name.view(U)
+        self.shard = store.shard_of(key, bits)
+        self.size, self.begin, self.sketch = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64), np.zeros((len(key), BITS // 64), U)
+        for s in np.unique(self.shard):
+            mine = np.flatnonzero(self.shard == s)
+            at = np.searchsorted(store.load(directory, f"set-{s}"), key[mine])
+            end = np.concatenate([[0], store.load(directory, f"end-{s}")])
+            self.begin[mine], self.size[mine] = end[at], end[at + 1] - end[at]
+            self.sketch[mine] = store.load(directory, f"sketch-{s}")[at]
 
-    def get(self, name: int) -> np.ndarray:
-        key = np.array([name], np.int64).view(U)
-        s = int(store.shard_of(key, self.bits)[0])
-        at = int(np.searchsorted(store.load(self.directory, f"set-{s}"), key[0]))
-        end = store.load(self.directory, f"end-{s}")
-        return np.asarray(store.load(self.directory, f"flat-{s}")[(int(end[at - 1]) if at else 0) : int(end[at])])
+    def get(self, i: int) -> np.ndarray:
+        flat = store.load(self.directory, f"flat-{self.shard[i]}").view(np.ndarray)
+        return flat[self.begin[i] : self.begin[i] + self.size[i]]
 
 
 def linked(inner: np.ndarray, a, b, rule: Rule = OP5):
     return rule.of_intersection * inner >= rule.of_union * (a + b - inner)
 
 
-def compare(left: list[np.ndarray], right: list[np.ndarray] | None, label: np.ndarray, rule: Rule = OP5) -> list[tuple[int, int]]:
-    """Links that join different labels, as a spanning forest. left and right (None: left with
-    itself) are sets; label holds the labels of left, then of right. Exact: intersections are
-    counted on bit vectors over the shingles that two or more of the sets have.
-    """
-    every = left + (right or [])
-    size = np.array([len(x) for x in every])
-    value, count = np.unique(np.concatenate(every), return_counts=True)
-    shared = value[count > 1]
-    width = len(shared) // 64 + 1
-    bits = np.zeros((len(every), width * 8), np.uint8)
-    for i, x in enumerate(every):
-        at = np.searchsorted(shared, x)
-        at = at[(at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == x)] if len(shared) else at[:0]
-        mark = np.zeros(width * 64, np.uint8)
-        mark[at] = 1
-        bits[i] = np.packbits(mark, bitorder="little")
-    bits = bits.view(U)
-    label, out = label.copy(), []
-    n = len(left)
-    for i in range(n):
-        to = np.arange(n, len(every)) if right is not None else np.arange(i + 1, n)
-        # sizes alone rule out most of what is left, labels the rest
-        to = to[(label[to] != label[i]) & (rule.of_intersection * np.minimum(size[to], size[i]) >= rule.of_union * np.maximum(size[to], size[i]))]
-        if len(to):
-            inner = np.bitwise_count(bits[to] & bits[i]).sum(1, dtype=np.int64)
-            to = to[linked(inner, size[to], size[i], rule)]
-            if len(to):
-                gone, first = np.unique(label[to], return_index=True)
-                out += [(i, int(j)) for j in to[first]]
-                label[np.isin(label, gone)] = label[i]
-    return out
-
-
-def _links(all_sets: Sets, pairs: bool, rule: Rule):
-    """Links within blocks, or between the two blocks of a row; only the forest is returned."""
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """Elements of both of two sorted sets."""
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
+
+
+def alike(some: Sets, i, j, rule: Rule) -> np.ndarray:
+    """Which pairs sizes and sketches leave open."""
+    a, b = some.size[i], some.size[j]
+    ok = rule.of_intersection * np.minimum(a, b) >= rule.of_union * np.maximum(a, b)
+    least = np.bitwise_count(some.sketch[i] ^ some.sketch[j]).sum(-1, dtype=np.int64)
+    return ok & ((rule.of_intersection + rule.of_union) * least <= (rule.of_intersection - rule.of_union) * (a + b))
+
+
+class Links:
+    """Links between some sets, as a forest: pairs that it connects already are not compared."""
+
+    def __init__(self, some: Sets, rule: Rule):
+        self.some, self.rule, self.parent, self.found, self.apart = some, rule, np.arange(len(some.size)), [], set()
+
+    def root(self, of: np.ndarray) -> np.ndarray:
+        top = self.parent[of]
+        while (up := self.parent[top]).tolist() != top.tolist():
+            top = up
+        self.parent[of] = top
+        return top
+
+    def link(self, i: int, j: int, x: np.ndarray | None = None) -> bool:
+        """Whether whole sets link; the same pair may meet in many buckets and is compared in one."""
+        pair = (min(i, j), max(i, j))
+        if pair in self.apart:
+            return False
+        if not self._linked(i, j, x):
+            self.apart.add(pair)
+            return False
+        a, b = self.root(np.array([i, j]))
+        self.parent[max(a, b)] = min(a, b)
+        self.found.append((i, j))
+        return True
+
+    def _linked(self, i: int, j: int, x: np.ndarray | None) -> bool:
+        x, y = self.some.get(i) if x is None else x, self.some.get(j)
+        if (part := len(x) // 6) > 100:
+            # the lowest sixth of two large sets mostly differs in too many already
+            low = y[: int(np.searchsorted(y, x[part]))]
+            apart = part + len(low) - 2 * common(x[:part], low)
+            if (self.rule.of_intersection + self.rule.of_union) * apart > (self.rule.of_intersection - self.rule.of_union) * (len(x) + len(y)):
+                return False
+        return bool(linked(common(x, y), len(x), len(y), self.rule))
+
+    def pairs(self, i: np.ndarray, j: np.ndarray) -> None:
+        for a in range(0, len(i), 1 << 15):
+            x, y = i[a : a + (1 << 15)], j[a : a + (1 << 15)]
+            ok = alike(self.some, x, y, self.rule)
+            for p, q in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+                if (r := self.root(np.array([p, q])))[0] != r[1]:
+                    self.link(p, q)
+
+    def bucket(self, m: np.ndarray) -> None:
+        """Members by size: those that may link with one stand close behind it."""
+        m = m[np.argsort(self.some.size[m], kind="stable")]
+        size, label = self.some.size[m], self.root(m)
+        upto = np.searchsorted(size * self.rule.of_union, size * self.rule.of_intersection, "right")
+        for i in range(len(m) - 1):
+            if i % 64 == 0 and (label == label[0]).all():
+                break
+            to = np.arange(i + 1, upto[i])
+            to = to[label[to] != label[i]]
+            if not len(to):
+                continue
+            to = to[alike(self.some, m[i], m[to], self.rule)]
+            x = self.some.get(m[i]) if len(to) else None
+            for j in to.tolist():
+                if label[j] != label[i] and self.link(int(m[i]), int(m[j]), x):
+                    label[label == label[j]] = label[i]
+
+
+def _links(directory: str, bits: int, rule: Rule):
+    """Links between members of the same bucket; only the forest is returned."""
 
     def run(batches):
         for batch in batches:
-            a, b = [], []
-            for r in batch.to_pylist():
-                ids = r["left"] + (r["right"] if pairs else [])
-                label = np.unique(np.array(r["left_root"] + r["right_root"]) if pairs else np.arange(len(ids)), return_inverse=True)[1]
-                got = [all_sets.get(i) for i in ids]
-                cut = len(r["left"])
-                for i, j in compare(got[:cut], got[cut:] if pairs else None, label, rule):
-                    a.append(ids[i])
-                    b.append(ids[j])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            n = np.asarray(batch.column("members").value_lengths(), np.int64)
+            flat, end = batch.column("members").flatten().to_numpy(), np.concatenate([[0], np.cumsum(n)])
+            at = 0
+            while at < len(n):
+                to = max(at + 1, int(np.searchsorted(end, end[at] + BLOCK_ELEMENTS, "right")) - 1)
+                name, member = np.unique(flat[end[at] : end[to]], return_inverse=True)
+                links, begin, size = Links(Sets(directory, bits, name), rule), end[at:to] - end[at], n[at:to]
+                # the largest first: what they connect spares the small ones
+                for k in np.argsort(-size, kind="stable")[: int((size > 2).sum())].tolist():
+                    links.bucket(member[begin[k] : begin[k] + size[k]])
+                two = begin[size == 2]
+                pair = np.unique(np.stack([member[two], member[two + 1]], 1), axis=0)
+                links.pairs(pair[:, 0], pair[:, 1])
+                a, b = np.array(links.found, np.int64).reshape(-1, 2).T
+                yield pa.RecordBatch.from_arrays([pa.array(name[a]), pa.array(name[b])], names=["a", "b"])
+                at = to
 
     return run
 
@@ -415,10 +498,8 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFram
     # kept on the executors' disks: what a lost executor held is made again from the input
     rows = per_block(read, ["_id"], "_text", named, [("n_shingles", T.LongType()), ("name", T.LongType())], lower=True).persist(StorageLevel.DISK_ONLY)
     signed = read.select("_text").mapInArrow(_sign(bits, rule), "shard int, keys binary, body binary")
-    found = signed.groupBy("shard").applyInArrow(_buckets, "sign long, a long, b long")
-    found = found.persist(StorageLevel.DISK_ONLY)
-    clusters, n = components(found.where("sign is null").select("a", "b").distinct(), f"{directory}-clusters")
-    roots, _ = _components_of(spark, read, found, clusters, n, bits, directory, rule)
+    found = signed.groupBy("shard").applyInArrow(_buckets, "least long, members array<long>").persist(StorageLevel.DISK_ONLY)
+    roots = _components_of(spark, read, found, bits, directory, rule)
     # classes of equal sets, and components of classes; empty sets stand for themselves
     full = rows.where("n_shingles > 0")
     classes = full.groupBy("name").agg(F.min("_id").alias("rep"))
@@ -429,39 +510,15 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFram
     return joined.unionByName(rows.where("n_shingles = 0").select(F.col("_id").alias(id_col), "n_shingles", F.col("_id").alias("component_id"), "name"))
 
 
-def _components_of(spark: SparkSession, read: DataFrame, found: DataFrame, clusters: DataFrame, n: int, bits: int, directory: str, rule: Rule) -> tuple[DataFrame, int]:
-    """(id, root) of the exact components of all members of clusters that have a link."""
-    kept = lambda df, name: store.written(df, f"{directory}-{name}", n)
-    shard = F.shiftrightunsigned("id", 64 - bits).cast("int").alias("shard")
-    there = frozenset(r.shard for r in clusters.select(shard, "id").groupBy("shard").applyInArrow(_members(directory), "shard int").collect())
+def _components_of(spark: SparkSession, read: DataFrame, found: DataFrame, bits: int, directory: str, rule: Rule) -> DataFrame:
+    """(id, root) of the exact components of all members of buckets that have a link."""
+    shards = lambda rows: frozenset(r.shard for r in rows.collect())
+    there = shards(found.mapInArrow(_named(bits), "shard int, ids binary").groupBy("shard").applyInArrow(_members(directory), "shard int"))
     shipped = read.select("_text").mapInArrow(_needed(directory, bits, there, rule), "shard int, name binary, size binary, flat binary")
-    sized = kept(shipped.groupBy("shard").applyInArrow(_keep_sets(directory), "id long, size long"), "sized")
-    all_sets = Sets(directory, bits)
-    # blocks: runs of a cluster's members up to a bound of elements
-    run = "sum(greatest(size, %d)) over (partition by root order by size, id rows between unbounded preceding and current row)" % LEAST_SET
-    placed = clusters.join(sized, "id").withColumn("block", F.floor((F.expr(run) - 1) / F.lit(BLOCK_ELEMENTS)).cast("long"))
-    placed = kept(placed.select("id", "root", "block"), "placed")
-    one = placed.groupBy("root", "block").agg(F.sort_array(F.collect_list("id")).alias("left"))
-    # few links come out of much work: their tables aren't gathered into few tasks
-    inside = store.written(one.where(F.size("left") > 1).select("left").repartition(spread(spark)).mapInArrow(_links(all_sets, False, rule), "a long, b long"), f"{directory}-inside")
-    many = placed.where("block > 0").select("root").distinct()
-    if many.isEmpty():
-        return components(inside, f"{directory}-roots")
-    # clusters of several blocks: pairs of blocks that share a bucket, connected members as one
-    half, _ = components(inside, f"{directory}-half")
-    within = placed.join(many, "root").join(half.select("id", F.col("root").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    within = kept(within, "within")
-    at = within.select("id", "root", "block")
-    bucket = found.where("sign is not null").select("sign", F.col("a").alias("id")).join(at, "id").select("sign", "root", "block").distinct()
-    x, y = bucket.alias("x"), bucket.alias("y")
-    met = x.join(y, (F.col("x.sign") == F.col("y.sign")) & (F.col("x.root") == F.col("y.root")) & (F.col("x.block") < F.col("y.block"))).select(F.col("x.root").alias("root"), F.col("x.block").alias("p"), F.col("y.block").alias("q"))
-    star = found.where("sign is null").join(at.select(F.col("id").alias("a"), "root", F.col("block").alias("p")), "a").join(at.select(F.col("id").alias("b"), F.col("block").alias("q")), "b").where("p <> q")
-    met = met.unionByName(star.select("root", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))).distinct()
-    members = within.groupBy("root", "block").agg(F.sort_array(F.collect_list(F.struct("id", "label"))).alias("m"))
-    side = lambda block, name: members.select("root", F.col("block").alias(block), F.transform("m", lambda s: s["id"]).alias(name), F.transform("m", lambda s: s["label"]).alias(f"{name}_root"))
-    rows = met.join(side("p", "left"), ["root", "p"]).join(side("q", "right"), ["root", "q"]).select("left", "left_root", "right", "right_root")
-    across = rows.repartition(spread(spark)).mapInArrow(_links(all_sets, True, rule), "a long, b long")
-    return components(store.written(inside.unionByName(across), f"{directory}-links"), f"{directory}-roots")
+    shards(shipped.groupBy("shard").applyInArrow(_keep_sets(directory), "shard int"))
+    # buckets of the same least member meet in one task, which compares a pair once
+    links = found.repartition(spread(spark), "least").mapInArrow(_links(directory, bits, rule), "a long, b long")
+    return components(store.written(links, f"{directory}-links"), f"{directory}-roots")[0]
 
 
 def spread(spark: SparkSession) -> int:

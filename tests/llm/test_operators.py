@@ -740,3 +740,30 @@ def test_pipeline_near_duplicates(spark, good, block, monkeypatch):
     kept = [x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
     same(kept, [i for i, _, c in want if i == c])
     assert len(kept) < sum(i == c for i, _, c in plain.near_duplicates(rows))
+
+
+def test_jaccard_sketches_lose_no_link(tmp_path):
+    """Sketches differ in no more bits than sets in shingles; a pair of many buckets is compared once."""
+    from sparkveil.llm import store
+
+    r = np.random.default_rng(4)
+    base = [r.integers(1, 1 << 62, n).astype(np.uint64) for n in (30, 200, 900, 3000)]
+    every = [np.unique(np.concatenate([b[cut:], r.integers(1, 1 << 62, cut).astype(np.uint64)])) for b in base for cut in (0, len(b) // 40, len(b) // 15, len(b) // 5)]
+    name, size = np.arange(len(every)).astype(np.int64), np.array([len(x) for x in every])
+    store.save(str(tmp_path), "set-0", name.view(np.uint64))
+    store.save(str(tmp_path), "end-0", np.cumsum(size))
+    store.save(str(tmp_path), "flat-0", np.concatenate(every))
+    store.save(str(tmp_path), "sketch-0", jaccard.sketches(np.concatenate(every), size))
+    for rule in (jaccard.OP5, jaccard.NEAR):
+        some = jaccard.Sets(str(tmp_path), 8, name)
+        pairs = [(i, j) for i in range(len(every)) for j in range(i)]
+        true = {(i, j) for i, j in pairs if jaccard.linked(len(np.intersect1d(every[i], every[j])), size[i], size[j], rule)}
+        open_ = {(i, j) for i, j in pairs if jaccard.alike(some, np.array([i]), np.array([j]), rule)[0]}
+        assert true and true <= open_ and len(open_) < len(pairs) // 2
+        links, tried = jaccard.Links(some, rule), []
+        compare = links._linked
+        links._linked = lambda i, j, x: tried.append((min(i, j), max(i, j))) or compare(i, j, x)
+        for _ in range(3):
+            links.bucket(name.copy())
+        assert len(tried) == len(set(tried))
+        assert all(len(set(links.root(np.array(p)).tolist())) == 1 for p in true) and all((max(p), min(p)) in true for p in links.found)
