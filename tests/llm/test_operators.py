@@ -744,6 +744,8 @@ def test_pipeline_near_duplicates(spark, good, block, monkeypatch):
 
 def test_jaccard_sketches_lose_no_link(tmp_path):
     """Sketches differ in no more bits than sets in shingles; a pair of many buckets is compared once."""
+    import numpy as np
+
     from sparkveil.llm import store
 
     r = np.random.default_rng(4)
