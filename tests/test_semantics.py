@@ -495,3 +495,19 @@ def test_engines_as_table_functions(spark):
     assert sent["model"] == "m" and sent["input"][0]["content"][1] == {"type": "input_video", "video_url": "data:video/mp4;base64,eHl6"} and sent["input"][0]["content"][0] == {"type": "input_text", "text": "face"}
     sound = readers.probe_sound(spark.createDataFrame([("x", "broken"), ("y", '{"streams": [{"codec_type": "audio"}], "format": {"duration": "2.5"}}')], "media_id string, probe_json string"))
     assert {r.media_id: (r.duration, r.has_audio) for r in sound.collect()} == {"x": (0.0, False), "y": (2.5, True)}
+
+
+def test_blur_of_small_frames_is_one_matrix_a_side(monkeypatch):
+    """The same pixels as mean by mean, without a pass over the frame for each."""
+    r = np.random.default_rng(3)
+    for h, w, kernel in ((48, 48, 21), (31, 90, 41), (5, 7, 81), (1, 300, 9), (64, 2, 1)):
+        frame = r.integers(0, 256, (h, w, 3)).astype(np.uint8)
+        got = pixels.blur(frame, kernel)
+        with monkeypatch.context() as m:
+            m.setattr(pixels, "SMALL", 0)
+            assert (pixels.blur(frame, kernel) == got).all()
+    frame, calls = np.zeros((48, 48, 3), np.uint8), []
+    pixels.blur(frame, 21)
+    monkeypatch.setattr(pixels, "_box_mean", lambda *a: calls.append(a))
+    pixels.blur(frame, 21)
+    assert not calls
