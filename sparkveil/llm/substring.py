@@ -57,7 +57,8 @@ FIELDS = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256"
 
 
 def minimizers(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the windows that lie in one document, and the least 5-gram hash of each."""
+    """Starts of the windows that lie in one document, and the minimizer of each: its least 5-gram
+    hash, mixed again, since leading bits name shards and least ones crowd at the low end."""
     if len(h) < WINDOW:
         return np.zeros(0, np.int64), np.zeros(0, U)
     m = mix(windows(h, GRAM))
@@ -68,7 +69,7 @@ def minimizers(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         least = np.minimum(least[: len(least) - step], least[step:])
         done += step
     at = np.flatnonzero(inside(row, WINDOW))
-    return at, least[at]
+    return at, mix(least[at])
 
 
 def runs(at: np.ndarray, key: np.ndarray, row: np.ndarray, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -500,15 +501,23 @@ class Found:
     def __init__(self, router: Router, stored: frozenset[int]):
         self.router, self.stored = router, stored
 
+    def _passages(self, h: np.ndarray, w: Words) -> tuple[np.ndarray, ...]:
+        """First word, number of windows and shard of the passages whose shard has an index; whole
+        texts of about PART_WORDS words are looked at together."""
+        cut = np.unique(w.first[np.searchsorted(w.first, np.arange(0, len(h) + PART_WORDS, PART_WORDS)).clip(max=w.block.n)])
+        parts = []
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            start, n, shard = self.router.passages(h[a:b], w.row[a:b])
+            ok = np.isin(shard, list(self.stored))
+            parts.append((start[ok] + a, n[ok], shard[ok]))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
+
     def removed(self, w: Words, ids: np.ndarray) -> np.ndarray:
         """Marks the words under a window that a smaller id holds too."""
         h, data = w.hashes(), w.block.data
-        out = np.zeros(len(h), bool)
-        start, n, shard = self.router.passages(h, w.row)
-        ok = np.isin(shard, list(self.stored))
-        start, n, shard = start[ok], n[ok], shard[ok]
+        start, n, shard = self._passages(h, w)
         if not len(start):
-            return out
+            return np.zeros(len(h), bool)
         # words of the passages, each known by its bytes
         inside_ = covered(len(h), start, n + WINDOW - 1)
         some = np.flatnonzero(inside_)
@@ -519,10 +528,9 @@ class Found:
         # a passage that the block repeats is searched once
         like = alike(h, word, start, n)
         one = np.flatnonzero(like == np.arange(len(like)))
-        length = n[one] + WINDOW - 1
         begin = np.zeros(len(n), np.int64)
-        begin[one] = np.cumsum(length) - length
-        least = np.full(int(length.sum()), MOST, np.int64)
+        begin[one] = np.cumsum(n[one]) - n[one]
+        least = np.full(int(n[one].sum()), MOST, np.int64)
         order = one[np.argsort(shard[one], kind="stable")]
         cut = np.concatenate([[0], np.flatnonzero(np.diff(shard[order])) + 1, [len(order)]])
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
@@ -531,12 +539,16 @@ class Found:
             m = n[mine] + WINDOW - 1
             known, back = np.unique(word[spread(start[mine], m)], return_inverse=True)
             symbol = index.symbols(data, begin_of[first[known]], size[first[known]], hashes[known])
-            row = index.matches(symbol[back], np.cumsum(m) - m, m)
-            least[spread(begin[mine], m)] = index.least(row)
+            at = np.cumsum(m) - m
+            row = index.matches(symbol[back], at, m)
+            least[spread(begin[mine], n[mine])] = index.least(row[spread(at, n[mine])])
         # back to all windows of all passages
-        window = spread(start, n)
-        found = least[spread(begin[like], n)]
-        return covered(len(h), window[found < ids[w.row[window]]], WINDOW)
+        hit = np.zeros(len(h), bool)
+        for i in range(0, len(n), PART_WORDS):
+            some = slice(i, i + PART_WORDS)
+            window = spread(start[some], n[some])
+            hit[window[least[spread(begin[like[some]], n[some])] < ids[w.row[window]]]] = True
+        return covered(len(h), np.flatnonzero(hit), WINDOW)
 
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Found:

@@ -133,14 +133,16 @@ def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:
-    """Rolling hashes of every run of k consecutive entries of h."""
-    n = len(h)
-    if n < k:
-        return np.zeros(0, U)
-    power, inverse = _pow(n + 1)
-    total = np.zeros(n + 1, U)
-    np.cumsum(h * power[:n], out=total[1:])
-    return mix((total[k:] - total[: n - k + 1]) * inverse[: n - k + 1] + U(k))
+    """Rolling hashes of every run of k consecutive entries of h, taken part by part."""
+    out = np.empty(max(0, len(h) - k + 1), U)
+    for at in range(0, len(out), PART):
+        part = h[at : at + PART + k - 1]
+        n = len(part)
+        power, inverse = _pow(n + 1)
+        total = np.zeros(n + 1, U)
+        np.cumsum(part * power[:n], out=total[1:])
+        out[at : at + PART] = mix((total[k:] - total[: n - k + 1]) * inverse[: n - k + 1] + U(k))
+    return out
 
 
 def inside(row: np.ndarray, k: int) -> np.ndarray:
@@ -150,10 +152,10 @@ def inside(row: np.ndarray, k: int) -> np.ndarray:
 
 def covered(n: int, at: np.ndarray, length) -> np.ndarray:
     """Marks each of n places that lies in a window starting at one of ``at``."""
-    d = np.zeros(n + 1, np.int64)
+    d = np.zeros(n + 1, np.int32)
     np.add.at(d, at, 1)
     np.add.at(d, at + length, -1)
-    return np.cumsum(d[:-1]) > 0
+    return np.cumsum(d[:-1], out=d[:-1]) > 0
 
 
 def repeated(key: np.ndarray) -> np.ndarray:

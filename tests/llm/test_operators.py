@@ -352,6 +352,38 @@ def test_hashes_by_part(monkeypatch):
     assert len(np.unique(want)) == len({x for line in lines for x in line.split()})
 
 
+def test_minimizers_are_dealt_evenly():
+    """Least hashes crowd at the low end; shards are named by leading bits, and none may get many times its share."""
+    import numpy as np
+
+    from sparkveil.llm import store
+    from sparkveil.llm.text import mix
+
+    h = mix(np.arange(1, 60_001, dtype=np.uint64))
+    at, key = substring.minimizers(h, np.arange(60_000) // 300)
+    head, _ = substring.runs(at, key, np.arange(60_000) // 300)
+    n = np.bincount(store.shard_of(key[head], 6), minlength=64)
+    assert len(n) == 64 and n.min() > 0.6 * n.mean() and n.max() < 1.5 * n.mean()
+
+
+def test_substrings_by_part(spark, good, monkeypatch):
+    """What is removed doesn't depend on where a block's words are cut into parts."""
+    import numpy as np
+
+    from sparkveil.llm import text
+
+    found = substring.build(good)
+    rows = good.select("doc_id", "text").limit(80).collect()
+    w = substring.as_block([(r.text or "").replace("\n", " ").encode() for r in rows]).words()
+    ids = np.array([r.doc_id for r in rows], np.int64)
+    want = found.removed(w, ids)
+    assert want.any() and not want.all()
+    for part in (40, 300):
+        monkeypatch.setattr(substring, "PART_WORDS", part)
+        monkeypatch.setattr(text, "PART", part)
+        assert (found.removed(w, ids) == want).all()
+
+
 def test_substrings_need_the_index(spark, good, monkeypatch):
     """What is removed comes out of the search: without its answers nothing is."""
     from pyspark.sql import functions as F
