@@ -366,6 +366,45 @@ def test_per_frame_masks_take_all_tracks(spark):
     assert {m for m, _, _ in want} == set(inputs.KIND_OF) and sorted(map(tuple, got)) == sorted(want)
 
 
+def test_masks_of_many_boxes(spark):
+    """Three frames of 1200 boxes: what neighbours share is found without comparing every two cuts."""
+    import threading
+
+    r = np.random.default_rng(3)
+    corner = r.integers(0, 82, (3, 1200, 2))
+    frames = np.concatenate([corner, corner + 18], 2)
+    rows = [("m", f, [tuple(map(int, b)) for b in frames[f]]) for f in range(3)]
+    df = spark.createDataFrame(rows, "media_id string, frame int, boxes array<struct<x1:int,y1:int,x2:int,y2:int>>")
+    p, q = frames[0][:, None], frames[2]
+    cut = np.concatenate([np.maximum(p[..., :2], q[:, :2]), np.minimum(p[..., 2:], q[:, 2:])], 2).reshape(-1, 4)
+    want = [np.unique(np.concatenate(x), axis=0).tolist() for x in ((frames[0], frames[1]), (frames[1], cut[(cut[:, 2:] > cut[:, :2]).all(1)]), (frames[2], frames[1]))]
+    spark.sparkContext.setJobGroup("many", "many boxes")
+    late = threading.Timer(60, lambda: spark.sparkContext.cancelJobGroup("many"))
+    late.start()
+    try:
+        got = {x.frame: [list(b) for b in x.boxes] for x in tracks.smooth(df).collect()}
+        many = {x.frame: x.n_boxes for x in tracks.smooth(df, count=True).collect()}
+        merged = tracks.merge_frames(df.withColumn("frame", F.lit(0))).first().boxes
+    finally:
+        late.cancel()
+    assert [got[f] for f in range(3)] == want and [many[f] for f in range(3)] == list(map(len, want))
+    assert [list(b) for b in merged] == np.unique(frames.reshape(-1, 4), axis=0).tolist()
+
+
+@pytest.mark.parametrize("few,pairs,marks", [(1 << 12, 1 << 20, 1 << 26), (0, 1 << 20, 1 << 26), (0, 40, 1 << 26), (0, 1 << 20, 0), (1 << 12, 7, 0)])
+def test_cut_masks(monkeypatch, few, pairs, marks):
+    """Against plain Python, by tables and pair by pair: repeated boxes, no boxes, nothing shared."""
+    for name, value in (("FEW_PAIRS", few), ("MOST_PAIRS", pairs), ("MOST_MARKS", marks)):
+        monkeypatch.setattr(boxes, name, value)
+    r = np.random.default_rng(5)
+    for case in range(40):
+        own, a, b = (np.concatenate([c := r.integers(-5, 12, (int(r.integers(0, 9)), 2)), c + r.integers(1, 6, c.shape)], 1) for _ in range(3))
+        a = a + 40 * (case % 5 == 0)
+        cut = [(max(p[0], q[0]), max(p[1], q[1]), min(p[2], q[2]), min(p[3], q[3])) for p in a.tolist() for q in b.tolist()]
+        want = sorted({tuple(x) for x in own.tolist()} | {c for c in cut if c[2] > c[0] and c[3] > c[1]})
+        assert list(map(tuple, boxes.cut_union(own, a, b).tolist())) == want and boxes.cut_union(own, a, b, count=True) == len(want)
+
+
 def test_audit_sums_up_every_layer(spark):
     """Finds of all layers reach summaries and gate; media without any have a row; errors give 2."""
     tracks_ = spark.createDataFrame([("m", "software:0", 0)], "media_id string, track_key string, frame int")
