@@ -51,6 +51,8 @@ MOST_WINDOWS = WINDOW - GRAM + 1
 #: Bounds of a task's memory: bytes of passages held before they are sent, of texts searched at once,
 #: of passages hashed at once, and words compared at once.
 SHIP_BYTES, SEARCH_BYTES, PART_BYTES, PART_WORDS = 16 << 20, 16 << 20, 2 << 20, 1 << 16
+#: Passages searched at once, where shards have fewer.
+SEARCH_PASSAGES = 4096
 BELOW = (U(1) << np.arange(64, dtype=U)) - U(1)
 MOST, LEAST = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 FIELDS = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("removed", T.ArrayType(T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())])))]
@@ -373,9 +375,9 @@ class FMIndex:
         out[6] = begin - index.step(np.arange(symbols), np.zeros(symbols, np.int64))
         return [*out, group, group_end, least]
 
-    def step(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
+    def step(self, symbol: np.ndarray, i: np.ndarray, passage: np.ndarray | None = None) -> np.ndarray:
         """Row of the first suffix that begins with the symbol, behind the first i rows' such symbols.
-        i may hold several rows of numbers, one number for each symbol."""
+        i may hold several rows of numbers, one number for each symbol (of each passage searched)."""
         up = (symbol >> np.arange(self.levels - 1, -1, -1)[:, None] & 1).astype(bool)
         for k in range(self.levels):
             at = i >> 6
@@ -406,12 +408,13 @@ class FMIndex:
         where a match can't be made longer, the search goes on from the next end that it allows."""
         out = np.full(len(flat), -1, np.int64)
         live = np.flatnonzero(length >= window)
-        e, lo, hi = length.copy(), np.zeros(len(length), np.int64), np.full(len(length), self.n, np.int64)
+        whole = np.full(len(length), self.n, np.int64)
+        e, lo, hi = length.copy(), np.zeros(len(length), np.int64), whole.copy()
         j = length - 1
         while len(live):
             at = begin[live] + j[live]
             c = flat[at]
-            a, b = self.step(c, np.stack([lo[live], hi[live]]))
+            a, b = self.step(c, np.stack([lo[live], hi[live]]), live)
             ok = (c > 0) & (a < b)
             good, bad = live[ok], live[~ok]
             lo[good], hi[good] = a[ok], b[ok]
@@ -420,7 +423,7 @@ class FMIndex:
             j[good] -= 1
             if len(bad):
                 e[bad] = np.where(c[~ok] > 0, np.minimum(e[bad] - 1, j[bad] + window), j[bad])
-                lo[bad], hi[bad], j[bad] = 0, self.n, e[bad] - 1
+                lo[bad], hi[bad], j[bad] = 0, whole[bad], e[bad] - 1
             live = live[(j[live] >= 0) & (e[live] >= window)]
         return out
 
@@ -435,6 +438,35 @@ class FMIndex:
         return out
 
 
+class Together(FMIndex):
+    """Several indexes searched at once, each for its own passages (in order, ``count`` for each), so
+    that a step's cost is not paid anew for every small shard."""
+
+    def __init__(self, indexes: list[FMIndex], count: np.ndarray):
+        self.indexes, self.last, self.levels = indexes, np.cumsum(count), max(x.levels for x in indexes)
+        self.n = np.repeat([x.n for x in indexes], count)
+        # an index of fewer levels begins later: before, its bits and zeros are none
+        self.rows = [[None] * (self.levels - x.levels) + list(zip(x.wave, x.ones, strict=True)) for x in indexes]
+        self.zeros_ = np.array([[0] * (self.levels - x.levels) + x.zeros[:-1].tolist() for x in indexes]).T
+
+    def step(self, symbol: np.ndarray, i: np.ndarray, passage: np.ndarray | None = None) -> np.ndarray:
+        cut = [0, *np.searchsorted(passage, self.last).tolist()]
+        mine = [(x, rows, a, b) for x, rows, a, b in zip(self.indexes, self.rows, cut[:-1], cut[1:], strict=True) if b > a]
+        zeros = np.repeat(self.zeros_, np.diff(cut), axis=1)[:, :, None]
+        up = (symbol >> np.arange(self.levels - 1, -1, -1)[:, None] & 1).astype(bool)[:, :, None]
+        i = np.ascontiguousarray(i.T)
+        bits, ones = np.zeros(i.shape, U), np.zeros(i.shape, np.uint32)
+        for k in range(self.levels):
+            at = i >> 6
+            for _, rows, a, b in mine:
+                if rows[k]:
+                    rows[k][0].take(at[a:b], out=bits[a:b], mode="clip")
+                    rows[k][1].take(at[a:b], out=ones[a:b], mode="clip")
+            one = np.bitwise_count(bits & BELOW[i & 63]) + ones
+            i = np.where(up[k], one + zeros[k], i - one)
+        return i.T + np.concatenate([x.offset[symbol[a:b]] for x, _, a, b in mine])
+
+
 def suffixes(text: np.ndarray, ends: np.ndarray, longest: int) -> np.ndarray:
     """Suffix array by doubling; the i-th end of a passage counts as less than the next."""
     n = len(text)
@@ -533,15 +565,22 @@ class Found:
         least = np.full(int(n[one].sum()), MOST, np.int64)
         order = one[np.argsort(shard[one], kind="stable")]
         cut = np.concatenate([[0], np.flatnonzero(np.diff(shard[order])) + 1, [len(order)]])
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            mine = order[a:b]
-            index = FMIndex(store.load_all(self.router.directory, f"index-{int(shard[mine[0]])}"))
+        at = 0
+        while at < len(cut) - 1:  # as many shards at once as have about SEARCH_PASSAGES together
+            to = max(at + 1, int(np.searchsorted(cut, cut[at] + SEARCH_PASSAGES, "right")) - 1)
+            mine, indexes, symbols = order[cut[at] : cut[to]], [], []
+            for a, b in zip(cut[at:to].tolist(), cut[at + 1 : to + 1].tolist(), strict=True):
+                some = order[a:b]
+                indexes.append(FMIndex(store.load_all(self.router.directory, f"index-{int(shard[some[0]])}")))
+                known, back = np.unique(word[spread(start[some], n[some] + WINDOW - 1)], return_inverse=True)
+                symbols.append(indexes[-1].symbols(data, begin_of[first[known]], size[first[known]], hashes[known])[back])
+            index = Together(indexes, np.diff(cut[at : to + 1])) if len(indexes) > 1 else indexes[0]
             m = n[mine] + WINDOW - 1
-            known, back = np.unique(word[spread(start[mine], m)], return_inverse=True)
-            symbol = index.symbols(data, begin_of[first[known]], size[first[known]], hashes[known])
-            at = np.cumsum(m) - m
-            row = index.matches(symbol[back], at, m)
-            least[spread(begin[mine], n[mine])] = index.least(row[spread(at, n[mine])])
+            row, place = index.matches(np.concatenate(symbols), np.cumsum(m) - m, m), np.cumsum(m) - m
+            parts = np.concatenate([[0], np.cumsum(m)])[cut[at : to + 1] - cut[at]].tolist()
+            held = np.concatenate([x.least(row[a:b]) for x, a, b in zip(indexes, parts[:-1], parts[1:], strict=True)])
+            least[spread(begin[mine], n[mine])] = held[spread(place, n[mine])]
+            at = to
         # back to all windows of all passages
         hit = np.zeros(len(h), bool)
         for i in range(0, len(n), PART_WORDS):

@@ -352,6 +352,28 @@ def test_hashes_by_part(monkeypatch):
     assert len(np.unique(want)) == len({x for line in lines for x in line.split()})
 
 
+def test_indexes_searched_together():
+    """Several indexes searched at once, of different alphabets, give the rows that each gives alone."""
+    import numpy as np
+
+    r = random.Random(11)
+    names = [[f"w{i}" for i in range(k)] for k in (2, 40, 3)]
+    docs = [[" ".join(r.choice(n) for _ in range(r.randint(13, 40))) for _ in range(30)] for n in names]
+    indexes = [fm_index(d, [(i, i + 1) for i in range(len(d))]) for d in docs]
+    assert len({x.levels for x in indexes}) > 1
+    flat, length, want, count = [], [], [], [0] * len(docs)
+    for k, (d, index) in enumerate(zip(docs, indexes, strict=True)):
+        asked = r.sample(d, 7) + [" ".join(r.choice(names[k]) for _ in range(30)) for _ in range(3)] + ["x " * 14 + d[0]]
+        w = substring.as_block([x.encode() for x in asked]).words()
+        flat.append(symbols(index, w))
+        want.append(index.matches(flat[-1], w.first[:-1], w.count))
+        length.append(w.count)
+        count[k] = len(asked)
+    n = np.concatenate(length)
+    got = substring.Together(indexes, np.array(count)).matches(np.concatenate(flat), np.cumsum(n) - n, n)
+    assert (got == np.concatenate(want)).all() and (got >= 0).any() and (got < 0).any()
+
+
 def test_minimizers_are_dealt_evenly():
     """Least hashes crowd at the low end; shards are named by leading bits, and none may get many times its share."""
     import numpy as np
@@ -382,6 +404,9 @@ def test_substrings_by_part(spark, good, monkeypatch):
         monkeypatch.setattr(substring, "PART_WORDS", part)
         monkeypatch.setattr(text, "PART", part)
         assert (found.removed(w, ids) == want).all()
+    for passages in (1, 20, 1 << 30):
+        monkeypatch.setattr(substring, "SEARCH_PASSAGES", passages)
+        assert (found.removed(w, ids) == want).all()
 
 
 def test_substrings_need_the_index(spark, good, monkeypatch):
